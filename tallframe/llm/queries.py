@@ -34,6 +34,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import dedup
+
+    return dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import token_positions
 
@@ -84,6 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op4_token_output": op4_token_output,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_warc": op6_warc,
