@@ -40,6 +40,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_graph import links
+
+    return links(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import token_positions
 
@@ -91,6 +97,7 @@ def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
         "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_embedding_graph": op3_embedding_graph,
         "op4_token_output": op4_token_output,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_warc": op6_warc,
