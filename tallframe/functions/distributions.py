@@ -21,10 +21,14 @@ from . import optimize
 _ERF = np.vectorize(erf, otypes=[float])
 
 
-@F.pandas_udf("double")
-def erf_column(x: pd.Series) -> pd.Series:
+def erf_column(x: Column) -> Column:
     """Error function, batch by batch."""
-    return pd.Series(_ERF(x.to_numpy(float)))
+
+    @F.pandas_udf("double")
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series(_ERF(v.to_numpy(float)))
+
+    return run(x)
 
 
 def beta_reg(a: float, b: float, x) -> np.ndarray:
@@ -124,8 +128,17 @@ class NormalRv(UniRv):
         if method is None:
             r = df.agg(F.avg(column), F.stddev_pop(column)).first()
             return NormalRv(r[0], r[1])
-        p = mle_problem(df, column, self, [10.0, 10.0], [[-1000.0, 1e-12], [1000.0, 1000.0]])
-        return NormalRv(*optimize.mlefit_fallback(p, method))
+        n, m, v = df.agg(F.count(column), F.avg(column), F.var_pop(column)).first()
+
+        def cost(many):  # the likelihood needs no more than these three numbers
+            out = []
+            for mu, sd in many:
+                ok = sd != 0
+                out.append(n * (log(abs(sd) * sqrt(2 * pi)) + (v + (m - mu) ** 2) / (2 * sd * sd)) if ok else 1e12)
+            return np.array(out)
+
+        p = optimize.Problem(cost, [10.0, 10.0], np.array([[-1000.0, 1e-12], [1000.0, 1000.0]]))
+        return NormalRv(*map(float, optimize.mlefit_fallback(p, method)))
 
 
 @dataclass(frozen=True)

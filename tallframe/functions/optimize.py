@@ -34,6 +34,8 @@ class Problem:
         """Value and forward differences, p + 1 vectors in one call."""
         h = np.sqrt(np.finfo(float).eps) * np.maximum(1.0, np.abs(x))
         v = self.cost([x, *(x + h[i] * np.eye(len(x))[i] for i in range(len(x)))])
+        if not np.isfinite(v).all():
+            raise ArithmeticError("no finite likelihood near the point")
         return float(v[0]), (v[1:] - v[0]) / h
 
 

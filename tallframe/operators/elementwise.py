@@ -169,7 +169,10 @@ def col_interactions(m: DataFrame, k: int, self_terms: bool = True) -> DataFrame
 
 def col_powers(m: DataFrame, degree: int) -> DataFrame:
     """[x, x^2, ..., x^degree], block by block."""
-    return _with(m, F.concat(*(F.transform(FEATURES, lambda v, p=p: F.pow(v, F.lit(float(p)))) for p in range(1, degree + 1))))
+    def power(p: int) -> Column:
+        return F.transform(FEATURES, lambda v: F.pow(v, F.lit(float(p))))
+
+    return _with(m, F.concat(*map(power, range(1, degree + 1))))
 
 
 def vandermonde(m: DataFrame, k: int, self_terms: bool = True) -> DataFrame:

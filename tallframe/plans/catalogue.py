@@ -1,9 +1,606 @@
-"""Registered queries of the numerical operators and their oracle SQL."""
+"""Registered queries of the numerical operators and their oracle SQL.
+
+Every query runs over the whole of its tables.  Both sides round alike and add
+0.0, which turns -0.0 into 0.0.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import distributions as dist
+from ..operators import active, dmd, elementwise as ew, gram as gm, interp, linalg, pca, pod, sampling, stats
+from ..sources import matrices as src
+from .ordering import global_rank
+
+_QUERIES: dict = {}
+_ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of (spark, sf_dir) under a name, with its SQL."""
+
+    def add(fn):
+        _QUERIES[name] = fn
+        if sql is not None:
+            _ORACLE[name] = sql
+        return fn
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLE)
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _part(spark, sf) -> DataFrame:
+    return src.from_columns(_t(spark, sf, "part"), ["p_size", "p_retailprice"], "p_partkey")
+
+
+def _emb(spark, sf) -> DataFrame:
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("features"))
+
+
+def _r(c: Column | str, digits: int = 6) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, digits) + F.lit(0.0)
+
+
+def _coo(m: DataFrame, digits: int = 6) -> DataFrame:
+    return src.to_coo(m).select("i", "j", _r("value", digits).alias("value"))
+
+
+def _small(spark, rows, schema) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+P = "p AS (SELECT p_partkey AS i, CAST(p_size AS DOUBLE) AS a, p_retailprice AS b FROM part)"
+
+
+def _cols(*exprs: str, digits: int = 6, cte: str = P, tail: str = "FROM p") -> str:
+    one = [f"SELECT i, {j} AS j, round({e}, {digits}) + 0.0 AS value {tail}" for j, e in enumerate(exprs)]
+    return f"WITH {cte} " + " UNION ALL ".join(one)
+
+
+def _elementwise(name: str, op, *exprs: str, digits: int = 6) -> None:
+    query(name, _cols(*exprs, digits=digits))(lambda spark, sf: _coo(op(_part(spark, sf)), digits))
+
+
+# sources
+
+query("s1_from_columns", _cols("a", "b"))(lambda s, sf: _coo(_part(s, sf)))
+query("s2_to_coo_embeddings", """
+SELECT vec_id AS i, CAST(k - 1 AS INTEGER) AS j, round(CAST(embedding[k] AS DOUBLE), 6) + 0.0 AS value
+FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(k)""")(lambda s, sf: _coo(_emb(s, sf)))
+query("s3_random_normal", "SELECT CAST(20000 AS BIGINT) AS n, true AS mean_near_0, true AS std_near_1")(
+    lambda s, sf: src.to_coo(src.random_normal(s, 2000, 10, 5)).agg(
+        F.count("*").alias("n"), (F.abs(F.avg("value")) < 0.1).alias("mean_near_0"), (F.abs(F.stddev("value") - 1) < 0.1).alias("std_near_1")))
+query("s4_random_uniform", "SELECT CAST(20000 AS BIGINT) AS n, true AS inside, true AS mean_near_mid")(
+    lambda s, sf: src.to_coo(src.random_uniform(s, 2000, 10, -1.0, 3.0, 5)).agg(
+        F.count("*").alias("n"), ((F.min("value") >= -1) & (F.max("value") < 3)).alias("inside"), (F.abs(F.avg("value") - 1) < 0.1).alias("mean_near_mid")))
+query("s5_linspace_as_coded", "SELECT i AS row_id, round(i * 0.25, 6) + 0.0 AS x FROM range(40) AS r(i)")(
+    lambda s, sf: src.linspace_as_coded(s, 2.0, 12.0, 40).select("row_id", _r("x").alias("x")))
+query("s5_linspace", "SELECT i AS row_id, round(2.0 + i * CAST(10.0 AS DOUBLE) / 40, 6) + 0.0 AS x FROM range(41) AS r(i)")(
+    lambda s, sf: src.linspace(s, 2.0, 12.0, 41).select("row_id", _r("x").alias("x")))
+
+
+@query("s6_from_vector", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS row_id, CAST(n_regionkey AS DOUBLE) AS x FROM nation")
+def _(spark, sf):
+    v = _t(spark, sf, "nation").agg(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_regionkey"))), lambda c: c["n_regionkey"].cast("double")).alias("v"))
+    return src.from_vector(v, "v").select("row_id", F.col("features")[0].alias("x"))
+
+
+# element-wise
+
+_elementwise("e1_scalar_fn", lambda m: ew.scalar_fn(m, lambda x: x * x + F.lit(1.0)), "a*a+1", "b*b+1", digits=3)
+_elementwise("e2_col_vec_add", lambda m: ew.col_vec_add(m, [0.5, -2.0]), "a+0.5", "b-2.0")
+_elementwise("e3_row_vec_add", lambda m: ew.row_vec_add(m, m.select("row_id", F.col("row_id").cast("double").alias("x"))), "a+i", "b+i")
+_elementwise("e4_vec_add_axis0", lambda m: ew.vec_add(m, [1.0, 2.0], 0), "a+1", "b+2")
+_elementwise("e4_vec_add_axis1", lambda m: ew.vec_add(m, m.select("row_id", (F.col("row_id") * 2.0).alias("x")), 1), "a+2*i", "b+2*i")
+_elementwise("e5_ele_pow", lambda m: ew.ele_pow(m, 1.5), "pow(a,1.5)", "pow(b,1.5)", digits=4)
+_elementwise("e6_hadamard", lambda m: ew.hadamard(m, ew.scalar_add(m, 1.0)), "a*(a+1)", "b*(b+1)", digits=3)
+_elementwise("e7_scalar_add", lambda m: ew.scalar_add(m, 3.25), "a+3.25", "b+3.25")
+_elementwise("e8_row_mod", lambda m: ew.set_row(m, 7, [-1.0, -2.0]), "CASE WHEN i=7 THEN -1 ELSE a END", "CASE WHEN i=7 THEN -2 ELSE b END")
+_elementwise("e9_col_mod", lambda m: ew.col_mod(m, 1, ew.col_to_vec(m, 0)), "a", "a")
+_elementwise("e10_set_col", lambda m: ew.set_col(m, 0, ew.col_to_vec(m, 1)), "b", "b")
+_elementwise("e21_center", stats.center, "a-(SELECT avg(a) FROM p)", "b-(SELECT avg(b) FROM p)", digits=5)
+_elementwise("e22_zcenter", stats.zcenter, "(a-(SELECT avg(a) FROM p))/(SELECT stddev_samp(a) FROM p)", "(b-(SELECT avg(b) FROM p))/(SELECT stddev_samp(b) FROM p)")
+_elementwise("e23_hstack", lambda m: ew.hstack(m, ew.scale(m, 2.0)), "a", "b", "2*a", "2*b")
+_elementwise("e24_interactions", lambda m: ew.col_interactions(m, 2), "a*a", "a*b", "b*b", digits=3)
+_elementwise("e24_interactions_no_self", lambda m: ew.col_interactions(m, 2, False), "a*b", digits=3)
+_elementwise("e25_col_powers", lambda m: ew.col_powers(ew.scale(m, 0.01), 3), "a*0.01", "b*0.01", "pow(a*0.01,2)", "pow(b*0.01,2)", "pow(a*0.01,3)", "pow(b*0.01,3)")
+_elementwise("e26_vandermonde", lambda m: ew.vandermonde(m, 2), "a", "b", "a*a", "a*b", "b*b", "CAST(1 AS DOUBLE)", digits=3)
+_elementwise("e27_full_vandermonde_linear", lambda m: ew.full_vandermonde(m, 2, 1), "a", "b", "CAST(1 AS DOUBLE)")
+_elementwise("e27_full_vandermonde_quadratic", lambda m: ew.full_vandermonde(m, 2, 3), "a", "b", "a*a", "a*b", "b*b", "CAST(1 AS DOUBLE)", digits=3)
+_elementwise("e30_scale", lambda m: ew.scale(m, -0.5), "a*-0.5", "b*-0.5")
+
+query("e11_complex_from_parts", f"WITH {P} SELECT i, 0 AS j, a AS re, a*2 AS im FROM p UNION ALL SELECT i, 1, b, b*2 FROM p")(
+    lambda s, sf: ew.complex_from_parts(m := _part(s, sf), ew.scale(m, 2.0)).select(F.col("row_id").alias("i"), F.posexplode("features").alias("j", "c")).select("i", "j", "c.re", "c.im"))
+query("e12_parts_from_complex", _cols("a*2", "b*2"))(
+    lambda s, sf: _coo(ew.parts_from_complex(ew.complex_from_parts(m := _part(s, sf), ew.scale(m, 2.0)))[1]))
+
+
+def _vec(s, sf):
+    return _t(s, sf, "supplier").select(F.col("s_suppkey").alias("row_id"), F.col("s_acctbal").alias("x"))
+
+
+_DIAG = "SELECT s_suppkey AS i, s_suppkey AS j, s_acctbal AS value FROM supplier"
+query("e13_colvec_to_diag", _DIAG)(lambda s, sf: ew.vec_to_diag(_vec(s, sf)))
+query("e14_colmat_to_diag", _DIAG)(lambda s, sf: ew.vec_to_diag(ew.col_to_vec(src.from_columns(_t(s, sf, "supplier"), ["s_acctbal"], "s_suppkey"), 0)))
+query("e15_rowvec_to_diag", "SELECT CAST(n_nationkey AS INTEGER) AS i, CAST(n_nationkey AS INTEGER) AS j, CAST(n_regionkey AS DOUBLE) AS value FROM nation")(
+    lambda s, sf: ew.rowvec_to_diag(_t(s, sf, "nation").agg(F.lit(0).cast("long").alias("row_id"), F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_regionkey"))), lambda c: c["n_regionkey"].cast("double")).alias("features"))))
+query("e16_diag_to_dense", """
+SELECT CAST(a.n_nationkey AS BIGINT) AS i, CAST(b.n_nationkey AS INTEGER) AS j, CASE WHEN a.n_nationkey = b.n_nationkey THEN CAST(a.n_regionkey AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS value
+FROM nation a, nation b""")(lambda s, sf: src.to_coo(ew.diag_to_dense(ew.vec_to_diag(_t(s, sf, "nation").select(F.col("n_nationkey").alias("row_id"), F.col("n_regionkey").cast("double").alias("x"))), 25)))
+query("e17_pinv_diag", "SELECT n_nationkey AS i, n_nationkey AS j, CASE WHEN n_regionkey = 0 THEN 0.0 ELSE round(CAST(1 AS DOUBLE) / n_regionkey, 9) END AS value FROM nation")(
+    lambda s, sf: ew.pinv_diag(ew.vec_to_diag(_t(s, sf, "nation").select(F.col("n_nationkey").alias("row_id"), F.col("n_regionkey").cast("double").alias("x")))).select("i", "j", F.round("value", 9).alias("value")))
+query("e18_row_to_vec", f"WITH {P} SELECT 0 AS idx, a AS x FROM p WHERE i=11 UNION ALL SELECT 1, b FROM p WHERE i=11")(lambda s, sf: ew.row_to_vec(_part(s, sf), 11))
+query("e19_col_to_vec", f"WITH {P} SELECT i AS row_id, b AS x FROM p")(lambda s, sf: ew.col_to_vec(_part(s, sf), 1))
+query("e20_diag_to_vec", "SELECT vec_id AS row_id, round(CAST(embedding[vec_id + 1] AS DOUBLE), 6) + 0.0 AS x FROM embeddings WHERE vec_id < len(embedding)")(
+    lambda s, sf: ew.diag_to_vec(_emb(s, sf)).select("row_id", _r("x").alias("x")))
+query("e28_transpose", f"WITH {P} SELECT 0 AS i, i AS j, a AS value FROM p UNION ALL SELECT 1, i, b FROM p")(lambda s, sf: ew.transpose(src.to_coo(_part(s, sf))))
+query("e29_submatrix", """
+SELECT vec_id AS i, CAST(k - 5 AS INTEGER) AS j, round(CAST(embedding[k] AS DOUBLE), 6) + 0.0 AS value
+FROM embeddings, unnest(range(5, 9)) AS u(k) WHERE vec_id >= 100 AND vec_id < 300""")(lambda s, sf: _coo(ew.submatrix(_emb(s, sf), 100, 4, 200, 4)))
+
+# predicates
+
+query("p1_box_filter", f"WITH {P} SELECT i AS row_id FROM p WHERE a BETWEEN 10 AND 40 AND b BETWEEN 950 AND 1500")(
+    lambda s, sf: ew.box_filter(_part(s, sf), [(10, 40), (950, 1500)]).select("row_id"))
+query("p2_ln_prior_uniform", f"WITH {P} SELECT i AS row_id, CASE WHEN a > 10 AND a < 40 AND b > 950 AND b < 1500 THEN CAST(0 AS DOUBLE) ELSE CAST('-infinity' AS DOUBLE) END AS lnp FROM p")(
+    lambda s, sf: _part(s, sf).select("row_id", ew.ln_prior_uniform(F.col("features"), [(10, 40), (950, 1500)]).alias("lnp")))
+query("p3_approx_eq", f"WITH {P} SELECT 2 * count(*) AS n, CAST(0.25 AS DOUBLE) AS max_diff FROM p")(
+    lambda s, sf: ew.max_abs_diff(src.to_coo(m := _part(s, sf)), src.to_coo(ew.scalar_add(m, 0.25))).select("n", F.round("max_diff", 6).alias("max_diff")))
+query("p4_scalar_approx_eq", "SELECT true AS near, false AS far")(
+    lambda s, sf: _small(s, [(ew.scalar_approx_eq(z := ew.scalar_fn(_part(s, sf), lambda x: x * 0.0 + 2.0), 2.0, 1e-12), ew.scalar_approx_eq(z, 2.5, 1e-3))], "near boolean, far boolean"))
+
+# join-like
+
+_NEAR = """n AS (SELECT q.i AS q, s.i AS row_id, (q.a-s.a)*(q.a-s.a)+(q.b-s.b)*(q.b-s.b) AS d2,
+ row_number() OVER (PARTITION BY q.i ORDER BY (q.a-s.a)*(q.a-s.a)+(q.b-s.b)*(q.b-s.b), s.i) AS rank FROM p q, p s)"""
+query("j1_knn", f"WITH {P}, {_NEAR} SELECT q, row_id, CAST(rank AS INTEGER) AS rank, round(d2, 6) + 0.0 AS d2 FROM n WHERE rank <= 10")(
+    lambda s, sf: active.knn(m := _part(s, sf), m, 10, 2).select("q", "row_id", "rank", _r("d2").alias("d2")))
+for _name, _kernel, _sql in (
+    ("linear", interp.linear(), "r"), ("cubic", interp.cubic(), "r*r*r"),
+    ("multiquadric", interp.multiquadric(0.5), "sqrt(1+pow(0.5*r,2))"), ("gaussian", interp.gaussian(0.5), "exp(-pow(0.5*r,2))"),
+):
+    query(f"j3_kernel_{_name}", f"""
+SELECT row_id, CAST(s AS INTEGER) AS s, round({_sql}, 6) + 0.0 AS value FROM
+(SELECT s_suppkey AS row_id, n_nationkey AS s, abs(s_acctbal / 1000 - n_nationkey) AS r FROM supplier, nation)""")(
+        lambda s, sf, k=_kernel: interp.kernel_frame(
+            _t(s, sf, "supplier").select(F.col("s_suppkey").alias("row_id"), F.array(F.col("s_acctbal") / 1000).alias("features")),
+            np.array([[r[0]] for r in _t(s, sf, "nation").orderBy("n_nationkey").select("n_nationkey").collect()], float), k,
+        ).select("row_id", "s", _r("value").alias("value")))
+
+_EV = "ev AS (SELECT CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS t, event_type AS e, avg(value) AS v FROM events GROUP BY 1, 2)"
+
+
+def _days(spark, sf) -> DataFrame:
+    """(t_idx, state): mean value of each event type by day, types in order."""
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    cells = _t(spark, sf, "events").groupBy(day.alias("t_idx"), "event_type").agg(F.avg("value").alias("v"))
+    return cells.groupBy("t_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("event_type", "v"))), lambda c: c["v"]).alias("state"))
+
+
+_W = """s AS (SELECT t, e, v, row_number() OVER (PARTITION BY t ORDER BY e) - 1 AS j FROM ev)"""
+_SHIFT = f"WITH {_EV}, {_W} SELECT x.t AS t_idx, CAST(x.j AS INTEGER) AS j, round(x.v, 6) + 0.0 AS x, round(y.v, 6) + 0.0 AS y FROM s x JOIN s y ON y.t = x.t + 1 AND y.j = x.j"
+query("j5_snapshot_shift", _SHIFT)(
+    lambda s, sf: dmd.shift_pairs(_days(s, sf)).select("t_idx", F.posexplode(F.arrays_zip("x", "y")).alias("j", "c")).select("t_idx", "j", _r("c.x").alias("x"), _r("c.y").alias("y")))
+query("w1_time_shift", _SHIFT)(
+    lambda s, sf: dmd.shift_pairs_window(_days(s, sf).withColumn("series", F.lit(0)), "series").select("t_idx", F.posexplode(F.arrays_zip("x", "y")).alias("j", "c")).select("t_idx", "j", _r("c.x").alias("x"), _r("c.y").alias("y")))
+
+_EC = "c AS (SELECT vec_id AS i, k - 1 AS j, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(k))"
+query("j6_matmul", f"WITH {_EC} SELECT CAST(x.j AS INTEGER) AS i, CAST(y.j AS INTEGER) AS j, round(sum(x.v * y.v), 6) + 0.0 AS value FROM c x JOIN c y ON x.i = y.i GROUP BY 1, 2")(
+    lambda s, sf: ew.transpose(c := src.to_coo(_emb(s, sf))).transform(lambda t: linalg.matmul(t, c)).select("i", "j", _r("value").alias("value")))
+query("a3_matmul_scaled", f"WITH {_EC} SELECT CAST(x.j AS INTEGER) AS i, CAST(y.j AS INTEGER) AS j, round(0.5 * sum(x.v * y.v), 6) + 0.0 AS value FROM c x JOIN c y ON x.i = y.i GROUP BY 1, 2")(
+    lambda s, sf: linalg.matmul(ew.transpose(c := src.to_coo(_emb(s, sf))), c, 0.5).select("i", "j", _r("value").alias("value")))
+query("j6_times_small", _cols("2*a+b", "a-b"))(lambda s, sf: _coo(linalg.times(_part(s, sf), np.array([[2.0, 1.0], [1.0, -1.0]]))))
+
+# aggregations
+
+query("a1_row_mean", "SELECT vec_id AS row_id, round(list_avg(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) + 0.0 AS x FROM embeddings")(
+    lambda s, sf: stats.mat_mean(_emb(s, sf), 0).select("row_id", _r("x").alias("x")))
+query("a1_col_mean", f"WITH {P} SELECT 0 AS j, round(avg(a), 6) + 0.0 AS x FROM p UNION ALL SELECT 1, round(avg(b), 6) + 0.0 FROM p")(
+    lambda s, sf: stats.mat_mean(_part(s, sf), 1).select("j", _r("x").alias("x")))
+query("a2_row_std", "SELECT vec_id AS row_id, round(list_stddev_samp(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) + 0.0 AS x FROM embeddings")(
+    lambda s, sf: stats.mat_std(_emb(s, sf), 0).select("row_id", _r("x").alias("x")))
+query("a2_col_std", f"WITH {P} SELECT 0 AS j, round(stddev_samp(a), 6) + 0.0 AS x FROM p UNION ALL SELECT 1, round(stddev_samp(b), 6) + 0.0 FROM p")(
+    lambda s, sf: stats.mat_std(_part(s, sf), 1).select("j", _r("x").alias("x")))
+
+_L = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _items(spark, sf, cols=tuple(_L)) -> DataFrame:
+    """Row matrix without a unique id: only reductions are taken of it."""
+    return _t(spark, sf, "lineitem").select(F.lit(0).cast("long").alias("row_id"), F.array(*(F.col(c) for c in cols)).alias("features"))
+
+
+def _matrix(spark, a: np.ndarray, digits: int = 6) -> DataFrame:
+    return src.coo_from_numpy(spark, np.round(a, digits) + 0.0)
+
+
+def _pairs(fn: str, digits: int) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round({fn}({a}, {b}), {digits}) + 0.0 AS value FROM lineitem" for i, a in enumerate(_L) for j, b in enumerate(_L))
+
+
+query("a4_pearson_corr", _pairs("corr", 6))(lambda s, sf: _matrix(s, stats.pearson_corr(_items(s, sf))))
+query("a5_cov", _pairs("covar_samp", 3))(lambda s, sf: _matrix(s, stats.cov_centered(_items(s, sf)), 3))
+query("a5_cov_arrow_backend", _pairs("covar_samp", 3))(lambda s, sf: _matrix(s, gm.gram(_items(s, sf), 4, "arrow").cov, 3))
+query("a6_frobenius", "SELECT round(sqrt(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 6) AS norm FROM embeddings")(
+    lambda s, sf: _small(s, [(round(stats.frobenius(_emb(s, sf)), 6),)], "norm double"))
+
+# sort, top-k, windows, sets
+
+_O = lambda s, sf: _t(s, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("x"))
+query("o1_argsort", "SELECT CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS BIGINT) AS rank, o_orderkey AS row_id, o_totalprice AS x FROM orders")(lambda s, sf: ew.argsort(_O(s, sf)))
+query("o2_argsort_rev", "SELECT CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS BIGINT) AS rank, o_orderkey AS row_id, o_totalprice AS x FROM orders")(lambda s, sf: ew.argsort(_O(s, sf), True))
+query("o4_top_k", "SELECT o_orderkey AS row_id, o_totalprice AS x FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")(
+    lambda s, sf: _O(s, sf).orderBy(F.col("x").desc(), "row_id").limit(25))
+
+
+def _as_chains(spark, sf) -> DataFrame:
+    e = _t(spark, sf, "events")
+    return e.select(F.lit(0).cast("long").alias("ensemble_id"), (F.col("user_id") % 8).cast("int").alias("chain_id"), F.col("event_id").cast("int").alias("step"), F.array("value").alias("sample"), (F.col("value") > 20).alias("accepted"))
+
+
+_CH = "c AS (SELECT CAST(user_id % 8 AS INTEGER) AS chain_id, CAST(event_id AS INTEGER) AS step, value AS x, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id DESC) AS r FROM events)"
+for _n, _what in ((5, "o5_chain_tail"), (0, "o6_get_samples")):
+    query(_what, f"WITH {_CH} SELECT chain_id, step, x FROM c" + f" WHERE r <= {_n}" * bool(_n))(
+        lambda s, sf, n=_n: sampling.chain_tail(_as_chains(s, sf), n).select("chain_id", "step", F.col("sample")[0].alias("x")))
+query("o7_head_sample", f"WITH {_CH} SELECT chain_id, x FROM c WHERE r = 1")(lambda s, sf: sampling.chain_heads(_as_chains(s, sf)).select("chain_id", F.col("sample")[0].alias("x")))
+query("a8_accept_ratio", "SELECT round(avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END), 9) AS accept_ratio FROM events")(
+    lambda s, sf: sampling.accept_ratio(_as_chains(s, sf)).select(F.round("accept_ratio", 9).alias("accept_ratio")))
+query("a9_upper_median", "SELECT value AS x FROM (SELECT value, row_number() OVER (ORDER BY value, event_id) - 1 AS r, count(*) OVER () AS n FROM events) WHERE r = n // 2")(
+    lambda s, sf: global_rank(e := _t(s, sf, "events").select("value", "event_id"), [F.col("value").asc(), F.col("event_id").asc()], "r").where(F.col("r") == e.count() // 2).select(F.col("value").alias("x")))
+query("u1_vstack", f"WITH {P}, m AS (SELECT max(i) + 1 AS d FROM p) SELECT i, 0 AS j, a AS value FROM p UNION ALL SELECT i, 1, b FROM p UNION ALL SELECT i + d, 0, 2 * a FROM p, m UNION ALL SELECT i + d, 1, 2 * b FROM p, m")(
+    lambda s, sf: src.to_coo(ew.vstack(m := _part(s, sf), ew.scale(m, 2.0))))
+
+# decompositions: invariants
+
+query("d1_pinv", "SELECT CAST(0 AS DOUBLE) AS residual")(
+    lambda s, sf: _small(s, [(round(float(np.abs((a := stats.pearson_corr(_items(s, sf))) @ linalg.pinv(a) @ a - a).max()), 6) + 0.0,)], "residual double"))
+query("d2_pinv_complex", "SELECT CAST(0 AS DOUBLE) AS residual")(
+    lambda s, sf: _small(s, [(round(float(np.abs((a := stats.pearson_corr(_items(s, sf)) * (1 + 0.5j)) @ linalg.pinv_complex(a) @ a - a).max()), 6) + 0.0,)], "residual double"))
+_SQ = "SELECT round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS sum_squares, true AS orthonormal FROM embeddings"
+
+
+def _svd_facts(spark, found) -> DataFrame:
+    ok = np.abs(found.vt @ found.vt.T - np.eye(len(found.vt))).max() < 1e-8
+    return _small(spark, [(round(float((found.s**2).sum()), 4), bool(ok))], "sum_squares double, orthonormal boolean")
+
+
+query("d3_truncated_svd_full", _SQ)(lambda s, sf: _svd_facts(s, linalg.truncated_svd(_emb(s, sf), 64, 64)))
+query("d5_random_svd_full", _SQ)(lambda s, sf: _svd_facts(s, linalg.random_svd(_emb(s, sf), 64, 2, 10, k=64)))
+
+
+@query("d4_power_iter", "SELECT true AS orthonormal, true AS spans_leading")
+def _(spark, sf):
+    m = _emb(spark, sf)
+    z = linalg.power_iter(m, 14, 12, 64)
+    _, v = linalg.eigh_desc(gm.gram(m, 64).raw)
+    part = np.linalg.norm(z.T @ v[:, 0])
+    return _small(spark, [(bool(np.abs(z.T @ z - np.eye(14)).max() < 1e-8), bool(part > 0.999))], "orthonormal boolean, spans_leading boolean")
+
+
+query("d6_eigh", "SELECT round(var_samp(l_quantity) + var_samp(l_extendedprice) + var_samp(l_discount) + var_samp(l_tax), 2) AS trace FROM lineitem")(
+    lambda s, sf: _small(s, [(round(float(linalg.eigh_desc(stats.cov_centered(_items(s, sf)))[0].sum()), 2),)], "trace double"))
+query("d7_eig_general", "SELECT round(var_samp(l_quantity) * 2 + var_samp(l_discount), 4) AS trace FROM lineitem")(
+    lambda s, sf: _small(s, [(round(float(linalg.eig_general(np.array([[2, 1], [0, 1]]) * np.diag(stats.cov_centered(_items(s, sf, ("l_quantity", "l_discount"))))[:, None])[0].real.sum()), 4),)], "trace double"))
+
+
+@query("d8_thin_qr", "SELECT true AS orthonormal, true AS reconstructs")
+def _(spark, sf):
+    m = _emb(spark, sf)
+    q, r = linalg.thin_qr(m, 64)
+    g = gm.gram(q, 64).raw
+    full = gm.gram(m, 64).raw
+    return _small(spark, [(bool(np.abs(g - np.eye(64)).max() < 1e-8), bool(np.abs(r.T @ r - full).max() < 1e-8))], "orthonormal boolean, reconstructs boolean")
+
+
+# regression
+
+query("r1_linear_fit_k1", "SELECT 0 AS i, round(regr_slope(l_extendedprice, l_quantity), 4) AS value FROM lineitem UNION ALL SELECT 1, round(regr_intercept(l_extendedprice, l_quantity), 4) FROM lineitem")(
+    lambda s, sf: _small(s, [(i, round(float(v), 4)) for i, v in enumerate(stats.linear_fit(_items(s, sf, ("l_quantity", "l_extendedprice")))[:, 0])], "i int, value double"))
+_CR = """c AS (SELECT var_pop(l_quantity) AS v1, var_pop(l_discount) AS v2, covar_pop(l_quantity, l_discount) AS c12, covar_pop(l_quantity, l_extendedprice) AS y1,
+ covar_pop(l_discount, l_extendedprice) AS y2, avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my FROM lineitem),
+b AS (SELECT (y1*v2-y2*c12)/(v1*v2-c12*c12) AS b1, (y2*v1-y1*c12)/(v1*v2-c12*c12) AS b2, m1, m2, my FROM c)"""
+_Y2 = ("l_quantity", "l_discount", "l_extendedprice")
+query("r1_linear_fit_k2", f"WITH {_CR} SELECT 0 AS i, round(b1, 4) AS value FROM b UNION ALL SELECT 1, round(b2, 4) FROM b UNION ALL SELECT 2, round(my-b1*m1-b2*m2, 4) FROM b")(
+    lambda s, sf: _small(s, [(i, round(float(v), 4)) for i, v in enumerate(stats.linear_fit(_items(s, sf, _Y2))[:, 0])], "i int, value double"))
+query("r2_jac_from_lin", f"WITH {_CR} SELECT 0 AS i, 0 AS j, round(b1, 4) AS value FROM b UNION ALL SELECT 0, 1, round(b2, 4) FROM b")(lambda s, sf: _matrix(s, stats.jac_from_lin(_items(s, sf, _Y2)), 4))
+
+
+def _quad(spark, sf) -> DataFrame:
+    """part scaled to a = size / 10, b = price / 1000, and y = a^2 / 2 + b - a b / 4 + 2."""
+    m = _t(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.array(F.col("p_size") / 10.0, F.col("p_retailprice") / 1000.0).alias("features"))
+    a, b = F.col("features")[0], F.col("features")[1]
+    return m.withColumn("y", a * a * 0.5 + b - a * b * 0.25 + 2.0)
+
+
+query("r3_quad_fit", "SELECT * FROM (VALUES (0, 0.0), (1, 1.0), (2, 0.5), (3, -0.25), (4, 0.0), (5, 2.0)) AS t(i, v)".replace("SELECT *", "SELECT i, CAST(v AS DOUBLE) AS value"))(
+    lambda s, sf: _small(s, [(i, round(float(v), 4) + 0.0) for i, v in enumerate(stats.quad_fit(_quad(s, sf), "y", 2)[:, 0])], "i int, value double"))
+_QC = np.array([0.0, 1.0, 0.5, -0.25, 0.0, 2.0])
+_QP = "p AS (SELECT p_partkey AS i, p_size / CAST(10 AS DOUBLE) AS a, p_retailprice / 1000 AS b FROM part)"
+query("r4_quad_eval", f"WITH {_QP} SELECT i AS row_id, round(a*a*0.5+b-a*b*0.25+2, 8) + 0.0 AS x FROM p")(lambda s, sf: stats.quad_eval(_quad(s, sf), _QC, 2).select("row_id", _r("x", 8).alias("x")))
+query("r5_jac_from_quad", _cols("a-0.25*b", "1-0.25*a", cte=_QP))(lambda s, sf: _coo(stats.jac_from_quad(_quad(s, sf), _QC, 2)))
+query("r6_r_squared", "SELECT round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(1 - (1 - regr_r2(l_extendedprice, l_quantity)) * (count(*) - 1) / (count(*) - 2), 6) AS r2_dof FROM lineitem")(
+    lambda s, sf: _small(s, [(round(stats.rsquared(None, False, g := gm.gram(_items(s, sf, ("l_quantity", "l_extendedprice")))), 6), round(stats.rsquared(None, True, g), 6))], "r2 double, r2_dof double"))
+query("r7_sandwich", "SELECT 0 AS i, 0 AS j, round(4*var_samp(l_quantity)+4*covar_samp(l_quantity,l_discount)+var_samp(l_discount), 4) AS value FROM lineitem")(
+    lambda s, sf: _matrix(s, stats.sandwich(stats.cov_centered(_items(s, sf, ("l_quantity", "l_discount"))), np.array([[2.0, 1.0]])), 4))
+
+
+def _smooth(spark, sf) -> DataFrame:
+    m = _part(spark, sf)
+    a, b = F.col("features")[0], F.col("features")[1]
+    return m.withColumn("y", a * a * 0.01 + b * 0.1 + a * b * 0.001)
+
+
+_G = f"""{P}, {_NEAR}, y AS (SELECT i, a, b, a*a*0.01+b*0.1+a*b*0.001 AS y FROM p),
+g AS (SELECT q, (covar_pop(a,y)*var_pop(b)-covar_pop(b,y)*covar_pop(a,b))/(var_pop(a)*var_pop(b)-covar_pop(a,b)*covar_pop(a,b)) AS g1,
+ (covar_pop(b,y)*var_pop(a)-covar_pop(a,y)*covar_pop(a,b))/(var_pop(a)*var_pop(b)-covar_pop(a,b)*covar_pop(a,b)) AS g2
+ FROM n JOIN y ON y.i = n.row_id WHERE rank <= 14 GROUP BY q)"""
+query("r8_grad_linear", f"WITH {_G} SELECT q AS i, 0 AS j, round(g1, 4) + 0.0 AS value FROM g UNION ALL SELECT q, 1, round(g2, 4) + 0.0 FROM g")(lambda s, sf: _coo(active.gradients(_smooth(s, sf), 1, 14, 2), 4))
+query("as4_sensitivity", f"WITH {_G} SELECT 0 AS j, round(avg(g1*g1), 4) AS value FROM g UNION ALL SELECT 1, round(avg(g2*g2), 4) FROM g")(
+    lambda s, sf: _small(s, [(j, round(float(v), 4)) for j, v in enumerate(active.fit(active.gradients(_smooth(s, sf), 1, 14, 2), 1).sensitivity)], "j int, value double"))
+def _customers(spark, sf) -> DataFrame:
+    """a = balance / 1000, b = nation / 10, and y = a^2 / 2 + b - a b / 4 + 2."""
+    m = _t(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"), F.array(F.col("c_acctbal") / 1000.0, F.col("c_nationkey") / 10.0).alias("features"))
+    a, b = F.col("features")[0], F.col("features")[1]
+    return m.withColumn("y", a * a * 0.5 + b - a * b * 0.25 + 2.0)
+
+
+def _rounded(m: DataFrame) -> DataFrame:
+    """Balances to two digits, so that no gradient lies on a rounding edge."""
+    a, b = F.round(F.col("features")[0], 2), F.col("features")[1]
+    return m.select("row_id", F.array(a, b).alias("features"), (a * a * 0.5 + b - a * b * 0.25 + 2.0).alias("y"))
+
+
+_CP = "p AS (SELECT c_custkey AS i, c_acctbal / 1000 AS a, c_nationkey / CAST(10 AS DOUBLE) AS b FROM customer)"
+query("r9_grad_quadratic", _cols("a-0.25*b", "1-0.25*a", digits=4, cte=_CP.replace("c_acctbal / 1000", "round(c_acctbal / 1000, 2)")))(
+    lambda s, sf: _coo(active.gradients(_rounded(_customers(s, sf)), 2, 24, 2), 4))
+
+
+@query("as_active_subspace", "SELECT true AS trace_ok, true AS orthonormal, true AS svd_agrees, true AS round_trip")
+def _(spark, sf):
+    g = stats.jac_from_quad(_quad(spark, sf), _QC, 2).cache()
+    a, b = active.fit(g, 2), active.fit_svd(g, 2)
+    back = a.inverse(a.transform(g))
+    near = ew.max_abs_diff(src.to_coo(back), src.to_coo(g)).first()["max_diff"] < 1e-9
+    return _small(spark, [(
+        bool(abs(a.eigenvalues.sum() - a.sensitivity.sum()) < 1e-9), bool(np.abs(a.vectors.T @ a.vectors - np.eye(2)).max() < 1e-9),
+        bool(np.allclose(a.eigenvalues, b.eigenvalues, rtol=1e-6)), bool(near))], "trace_ok boolean, orthonormal boolean, svd_agrees boolean, round_trip boolean")
+
+
+# principal components
+
+_PC = f"""{P}, c AS (SELECT var_samp(a) AS v, var_samp(b) AS w, covar_samp(a, b) AS c FROM p),
+e AS (SELECT (v+w)/2 + sqrt((v-w)*(v-w)/4+c*c) AS l1, (v+w)/2 - sqrt((v-w)*(v-w)/4+c*c) AS l2, v, w, c FROM c)"""
+query("pc5_explained_var", f"WITH {_PC} SELECT 0 AS j, round(l1, 4) AS value FROM e UNION ALL SELECT 1, round(l2, 4) FROM e")(
+    lambda s, sf: _small(s, [(j, round(float(v), 4)) for j, v in enumerate(pca.fit(_part(s, sf), 2).explained_var)], "j int, value double"))
+query("pc6_components", f"""WITH {_PC}, u AS (SELECT abs(c)/sqrt(c*c+(l1-v)*(l1-v)) AS x, sign(c)*abs(l1-v)/sqrt(c*c+(l1-v)*(l1-v)) AS y FROM e),
+z AS (SELECT CASE WHEN abs(x) >= abs(y) THEN x ELSE x * sign(y) END AS x, CASE WHEN abs(x) >= abs(y) THEN y ELSE abs(y) END AS y FROM u)
+SELECT 0 AS i, 0 AS j, round(x, 5) + 0.0 AS value FROM z UNION ALL SELECT 0, 1, round(y, 5) + 0.0 FROM z""")(
+    lambda s, sf: _matrix(s, pca.fit(_part(s, sf), 2).components[:1], 5))
+query("pca_lineitem", "SELECT round(var_samp(l_quantity) + var_samp(l_extendedprice) + var_samp(l_discount) + var_samp(l_tax), 2) AS total_var, CAST(4 AS BIGINT) AS n_comps FROM lineitem")(
+    lambda s, sf: _small(s, [(round(float((m := pca.fit(_items(s, sf), 4)).explained_var.sum()), 2), len(m.components))], "total_var double, n_comps long"))
+query("pc1_pca_randomized", "SELECT true AS agrees")(
+    lambda s, sf: _small(s, [(bool(np.allclose(pca.fit(m := _emb(s, sf), 4, n_iters=4, method="random").singular_values, pca.fit(m, 4).singular_values, rtol=0.05)),)], "agrees boolean"))
+
+
+@query("pc3_pc4_round_trip", _cols("a", "b", digits=4))
+def _(spark, sf):
+    m = _part(spark, sf)
+    model = pca.fit(m, 2)
+    return _coo(model.inverse(model.transform(m, "fit")), 4)
+
+
+# interpolation and reduced models
+
+
+@query("i9_rbf_fit_predict", "SELECT CAST(n_nationkey AS BIGINT) AS row_id, round(CAST(n_regionkey AS DOUBLE), 4) + 0.0 AS x FROM nation")
+def _(spark, sf):
+    xy = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("row_id"), F.array(F.col("n_nationkey") / 24.0).alias("features"), F.col("n_regionkey").cast("double").alias("y"))
+    model = interp.RbfInterp(interp.linear(), 1, 1).fit_frame(xy)
+    return model.predict(xy).select("row_id", _r("x", 4).alias("x"))
+
+
+@query("i8_rbf_kernels_at_supports", " UNION ALL ".join(f"SELECT '{k}' AS kernel, CAST(n_nationkey AS BIGINT) AS row_id, round(CAST(n_regionkey AS DOUBLE), 3) + 0.0 AS x FROM nation" for k in ("linear", "cubic", "multiquadric", "gaussian")))
+def _(spark, sf):
+    xy = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("row_id"), F.array(F.col("n_nationkey") / 24.0).alias("features"), F.col("n_regionkey").cast("double").alias("y"))
+    out = None
+    for k in (interp.linear(), interp.cubic(), interp.multiquadric(20.0), interp.gaussian(20.0)):
+        one = interp.RbfInterp(k, 1, 1).fit_frame(xy).predict(xy).select(F.lit(k.name).alias("kernel"), "row_id", _r("x", 3).alias("x"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("po_pod_reconstruct", f"WITH {_EV}, {_W} SELECT t AS t_idx, j AS row_id, round(v, 9) + 0.0 AS x FROM s".replace("t AS t_idx", "CAST(t AS INTEGER) AS t_idx").replace("j AS row_id", "CAST(j AS BIGINT) AS row_id"))
+def _(spark, sf):
+    days = _days(spark, sf).select(F.col("t_idx").cast("long").alias("snap_id"), F.array(F.col("t_idx").cast("double")).alias("t"), F.col("state").alias("field"))
+    model = pod.fit(days, 5)
+    return model.predict(model.times).select("t_idx", "row_id", _r("x", 9).alias("x"))
+
+
+_A = np.array([[0.9, 0.1, 0.0], [-0.2, 0.8, 0.1], [0.0, 0.05, 0.95]])
+_B = np.array([[0.5], [0.0], [-0.25]])
+_REC = """WITH RECURSIVE r(t, x, y, z) AS (SELECT 0, CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), CAST(-1 AS DOUBLE) UNION ALL
+ SELECT t + 1, 0.9*x+0.1*y+0.5*cos(t), -0.2*x+0.8*y+0.1*z, 0.05*y+0.95*z-0.25*cos(t) FROM r WHERE t < 15)
+"""
+
+
+def _linear_system(spark):
+    x, u = [np.array([1.0, 0.0, -1.0])], np.cos(np.arange(16.0))
+    for t in range(15):
+        x.append(_A @ x[-1] + _B[:, 0] * u[t])
+    rows = [(t, v.tolist(), [float(u[t])]) for t, v in enumerate(x)]
+    return dmd.fit(_small(spark, rows, "t_idx int, state array<double>, control array<double>"), 4), u
+
+
+@query("dm8_dmdc_predict", _REC + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS i, CAST(t - 1 AS INTEGER) AS j, round({c}, 4) + 0.0 AS value FROM r WHERE t > 0" for i, c in enumerate("xyz")))
+def _(spark, sf):
+    model, u = _linear_system(spark)
+    return _coo(model.predict_multiple(np.array([1.0, 0.0, -1.0]), u[None, :15]), 4)
+
+
+@query("dm5_est_a", "SELECT i, j, v AS value FROM (VALUES " + ", ".join(f"({i}, {j}, CAST({v} AS DOUBLE))" for i, r in enumerate(_A) for j, v in enumerate(r)) + ") AS t(i, j, v)")
+def _(spark, sf):
+    return _matrix(spark, _linear_system(spark)[0].est_a(), 5)
+
+
+@query("dm6_est_b", "SELECT i, j, v AS value FROM (VALUES " + ", ".join(f"({i}, 0, CAST({v[0]} AS DOUBLE))" for i, v in enumerate(_B)) + ") AS t(i, j, v)")
+def _(spark, sf):
+    return _coo(_linear_system(spark)[0].est_b(), 5).select(F.col("i").cast("int").alias("i"), "j", "value")
+
+
+# samplers
+
+_BOX = [(0.0, 0.0026), (0.1955, 0.1995), (0.80, 0.825)]
+
+
+@query("x2_constrained_dirichlet", "SELECT CAST(200 AS BIGINT) AS n, CAST(0 AS BIGINT) AS violations, true AS sums_to_one")
+def _(spark, sf):
+    m = sampling.constrained_dirichlet(spark, _BOX, 200, 500, 20_000, 1.0, [0.6], 3)
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+    return m.agg(F.count("*").alias("n"), F.count_if(~ew.in_box(F.col("features"), _BOX)).alias("violations"), (F.max(F.abs(total - 1)) < 1e-12).alias("sums_to_one"))
+
+
+@query("x3_mv_normal", "SELECT true AS cov_is_squared, true AS cov_is_cov")
+def _(spark, sf):
+    c = np.array([[0.9, 0.5], [0.5, 0.9]])
+    a = gm.gram(sampling.mv_normal(spark, c, 8000, 1)).cov
+    b = gm.gram(sampling.mv_normal(spark, c, 8000, 1, "cholesky")).cov
+    return _small(spark, [(bool(np.abs(a - c @ c).max() < 0.1), bool(np.abs(b - c).max() < 0.1))], "cov_is_squared boolean, cov_is_cov boolean")
+
+
+def _gauss(x):
+    return -0.5 * ((x[:, 0] - 2) / 3) ** 2
+
+
+@query("x13_demc_gaussian", "SELECT CAST(40016 AS BIGINT) AS n, true AS mean_ok, true AS std_ok, true AS ratio_ok")
+def _(spark, sf):
+    lnp = sampling.ln_sum(_gauss, sampling.ln_prior_uniform([(-20, 20)]))
+    c = sampling.ensembles(spark, lnp, np.zeros((8, 1)), 2500, 2, 0.8, 1e-10, None, 4)
+    return c.agg(
+        F.count("*").alias("n"), (F.abs(F.avg(F.col("sample")[0]) - 2) < 0.5).alias("mean_ok"), (F.abs(F.stddev(F.col("sample")[0]) - 3) < 0.5).alias("std_ok"),
+        (F.avg(F.col("accepted").cast("int")) > 0.2).alias("ratio_ok"))
+
+
+@query("x12_demc_sequential", "SELECT CAST(8008 AS BIGINT) AS n, true AS ratio_ok")
+def _(spark, sf):
+    c = sampling.ensembles(spark, _gauss, np.zeros((8, 1)), 1000, 1, 0.8, 1e-10, None, 4, sequential=True)
+    return c.agg(F.count("*").alias("n"), (F.avg(F.col("accepted").cast("int")) > 0.2).alias("ratio_ok"))
+
+
+@query("x_mcmc_dirichlet", "SELECT CAST(2400 AS BIGINT) AS n, CAST(0 AS BIGINT) AS violations, true AS sums_to_one, true AS moves")
+def _(spark, sf):
+    from .. import api
+
+    x, ratio = api.cs_mcmc_dirichlet_sample(spark, _BOX, 200, 12, 500, 20_000, 1.0, [0.6])
+    b = np.array(_BOX)
+    bad = int((~((x >= b[:, 0]) & (x <= b[:, 1])).all(1)).sum())
+    return _small(spark, [(len(x), bad, bool(np.abs(x.sum(1) - 1).max() < 1e-9), bool(ratio > 0.2))], "n long, violations long, sums_to_one boolean, moves boolean")
+
+
+@query("x7_ln_like_dirichlet", "SELECT n_nationkey AS i, round(lgamma(6.0) - lgamma(2.0) - lgamma(1.0) - lgamma(3.0) + ln(x) + 2 * ln(z), 6) + 0.0 AS lnp FROM (SELECT n_nationkey, (n_nationkey + 1) / CAST(60 AS DOUBLE) AS x, 0.9 - (n_nationkey + 1) / CAST(60 AS DOUBLE) AS z FROM nation)")
+def _(spark, sf):
+    ids = [r[0] for r in _t(spark, sf, "nation").select("n_nationkey").collect()]
+    x = np.array([[(i + 1) / 60, 0.1, 0.9 - (i + 1) / 60] for i in ids])
+    return _small(spark, [(int(i), round(float(v), 6) + 0.0) for i, v in zip(ids, sampling.ln_like_dirichlet([2, 1, 3])(x))], "i int, lnp double")
+
+
+# distributions
+
+_ERF = """CASE WHEN z = 0 THEN 0.0 WHEN abs(z) > 6 THEN sign(z) ELSE sign(z) * 2/sqrt(pi())*exp(-z*z)*list_sum(list_transform(range(0,150),
+ lambda n: abs(z)*exp(n*ln(2.0*z*z)-(lgamma(2*n+2)-n*ln(2.0)-lgamma(n+1))))) END"""
+
+
+def _ev(s, sf):
+    return _t(s, sf, "events").select("event_id", "value")
+
+
+def _dist(name: str, rv, which: str, sql: str, x=None) -> None:
+    query(name, f"SELECT event_id, round({sql}, 8) + 0.0 AS y FROM events")(
+        lambda s, sf: _ev(s, sf).select("event_id", _r(getattr(rv, which)(F.col("value") if x is None else x(F.col("value"))), 8).alias("y")))
+
+
+_dist("n1_normal_pdf", dist.NormalRv(50.0, 40.0), "pdf", "exp(-0.5*pow((value-50)/40,2))/(40*sqrt(2*pi()))")
+_dist("q1_exponential_pdf", dist.ExponentialRv(0.02), "pdf", "0.02*exp(-0.02*value)")
+_dist("q2_exponential_cdf", dist.ExponentialRv(0.02), "cdf", "1-exp(-0.02*value)")
+_dist("b1_beta_pdf", dist.BetaRv(2.0, 3.0, 0.0, 1000.0), "pdf", "(value/1000)*pow(1-value/1000,2)*exp(lgamma(5.0)-lgamma(2.0)-lgamma(3.0))")
+_dist("b2_beta_cdf", dist.BetaRv(2.0, 3.0, 0.0, 1000.0), "cdf", "6*pow(value/1000,2)-8*pow(value/1000,3)+3*pow(value/1000,4)")
+query("n2_normal_cdf", f"SELECT event_id, round(0.5*(1+{_ERF}), 8) + 0.0 AS y FROM (SELECT event_id, (value-50)/(40*sqrt(2.0)) AS z FROM events)")(
+    lambda s, sf: _ev(s, sf).select("event_id", _r(dist.NormalRv(50.0, 40.0).cdf(F.col("value")), 8).alias("y")))
+query("n4_normal_mle", "SELECT round(avg(value), 6) AS mu, round(stddev_pop(value), 6) AS std FROM events")(
+    lambda s, sf: _small(s, [(round((f := dist.NormalRv().mlfit(_ev(s, sf), "value")).mu, 6), round(f.std, 6))], "mu double, std double"))
+query("l4_normal_mle_lbfgs", "SELECT round(avg(value), 2) AS mu, round(stddev_pop(value), 2) AS std FROM events")(
+    lambda s, sf: _small(s, [(round(float((f := dist.NormalRv().mlfit(_ev(s, sf), "value", 2)).mu), 2), round(float(f.std), 2))], "mu double, std double"))
+query("q4_exponential_mle", "SELECT round(1/avg(value), 8) AS lam FROM events")(lambda s, sf: _small(s, [(round(dist.ExponentialRv().mlfit(_ev(s, sf), "value").lam, 8),)], "lam double"))
+query("l3_exponential_mle_swarm", "SELECT round(1/avg(value), 5) AS lam FROM events")(lambda s, sf: _small(s, [(round(float(dist.ExponentialRv().mlfit(_ev(s, sf), "value", 1).lam), 5),)], "lam double"))
+query("l2_exponential_mle_descent", "SELECT round(1/avg(value), 4) AS lam FROM events")(lambda s, sf: _small(s, [(round(float(dist.ExponentialRv().mlfit(_ev(s, sf), "value", 0).lam), 4),)], "lam double"))
+query("b4_beta_moments", """WITH m AS (SELECT avg(value/1000) AS m, var_samp(value/1000) AS v FROM events)
+SELECT round(m*(m*(1-m)/v-1), 6) AS alpha, round((1-m)*(m*(1-m)/v-1), 6) AS beta FROM m""")(
+    lambda s, sf: _small(s, [(round((f := dist.BetaRv(1, 1, 0.0, 1000.0).mlfit(_ev(s, sf), "value")).alpha, 6), round(f.beta, 6))], "alpha double, beta double"))
+
+
+@query("b5_beta_mle", "SELECT true AS beats_moments, true AS stationary")
+def _(spark, sf):
+    e = _ev(spark, sf)
+    rv = dist.BetaRv(1.0, 1.0, 0.0, 1000.0)
+    a, b = rv.mlfit(e, "value"), rv.mlfit(e, "value", 2)
+    v = dist.nll_many(e, "value", rv, [(a.alpha, a.beta), (b.alpha, b.beta), (b.alpha * 1.02, b.beta), (b.alpha * 0.98, b.beta), (b.alpha, b.beta * 1.02), (b.alpha, b.beta * 0.98)])
+    return _small(spark, [(bool(v[1] <= v[0]), bool((v[1] <= v[2:]).all()))], "beats_moments boolean, stationary boolean")
+
+
+query("a7_nll", "SELECT round(-sum(ln(exp(-0.5*pow((value-50)/40,2))/(40*sqrt(2*pi())))), 3) AS nll FROM events")(
+    lambda s, sf: _small(s, [(round(dist.NormalRv(50.0, 40.0).nll(_ev(s, sf), "value"), 3),)], "nll double"))
+query("l6_penalised_cost", "SELECT round(-sum(ln(0.02*exp(-0.02*value))), 3) AS inside, round(-sum(ln(120*exp(-120*value/1000))) + 10*400.0, 3) AS outside FROM events")(
+    lambda s, sf: _small(s, [(
+        round(float(dist.mle_problem(e := _ev(s, sf), "value", dist.ExponentialRv(), [1.0], [[1e-12], [100.0]]).cost([[0.02]])[0]), 3),
+        round(float(dist.mle_problem(e.select((F.col("value") / 1000).alias("value")), "value", dist.ExponentialRv(), [1.0], [[1e-12], [100.0]]).cost([[120.0]])[0]), 3))], "inside double, outside double"))
+
+
+@query("l7_gradient", "SELECT round(sum(value) - count(*)/0.02, -1) + 0.0 AS d_lam FROM events")
+def _(spark, sf):
+    p = dist.mle_problem(_ev(spark, sf), "value", dist.ExponentialRv(), [1.0], [[1e-12], [100.0]])
+    return _small(spark, [(round(float(p.gradient(np.array([0.02]))[1][0]), -1) + 0.0,)], "d_lam double")
+
+
+_KD = "SELECT c_custkey AS q, round(avg({}), 8) + 0.0 AS y FROM customer, supplier GROUP BY 1"
+
+
+def _kde(s, sf):
+    return dist.KdeRv(1500.0, np.array([r[0] for r in _t(s, sf, "supplier").select("s_acctbal").collect()]))
+
+
+query("k2_kde_pdf", _KD.format("1000*exp(-0.5*pow((c_acctbal-s_acctbal)/1500,2))/(1500*sqrt(2*pi()))"))(
+    lambda s, sf: _t(s, sf, "customer").select(F.col("c_custkey").alias("q"), _r(_kde(s, sf).pdf(F.col("c_acctbal")) * 1000, 8).alias("y")))
+query("k3_kde_cdf", f"SELECT q, round(avg(0.5*(1+{_ERF})), 6) + 0.0 AS y FROM (SELECT c_custkey AS q, (c_acctbal-s_acctbal)/(1500*sqrt(2.0)) AS z FROM customer, supplier) GROUP BY 1")(
+    lambda s, sf: _t(s, sf, "customer").select(F.col("c_custkey").alias("q"), _r(_kde(s, sf).cdf(F.col("c_acctbal")), 6).alias("y")))
+
+
+def _draws(name: str, rv, mean: float, tol: float) -> None:
+    query(name, "SELECT CAST(4000 AS BIGINT) AS n, true AS mean_ok")(
+        lambda s, sf: rv.sample(s, 4000, 2).agg(F.count("*").alias("n"), (F.abs(F.avg("x") - mean) < tol).alias("mean_ok")))
+
+
+_draws("n3_normal_sample", dist.NormalRv(5.25, 10.0), 5.25, 0.8)
+_draws("b3_beta_sample", dist.BetaRv(2.0, 2.0, 0.0, 100.0), 50.0, 2.0)
+_draws("q3_exponential_sample", dist.ExponentialRv(0.5), 2.0, 0.2)
+_draws("k4_kde_sample", dist.KdeRv(0.5, np.array([1.0, 2.0, 6.0])), 3.0, 0.2)
+
+
+@query("k6_build_kde", "SELECT true AS positive, CAST(0 AS DOUBLE) AS median_gap")
+def _(spark, sf):
+    x = np.array([r[0] for r in _t(spark, sf, "supplier").orderBy("s_suppkey").select("s_acctbal").collect()])
+    kde = dist.build_kde(1.0, x, 5)
+    return _small(spark, [(bool(kde.bandwidth > 0), float(dist.upper_median([3, 1, 2, 4]) - 3))], "positive boolean, median_gap double")
