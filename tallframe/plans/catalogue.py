@@ -604,3 +604,55 @@ def _(spark, sf):
     x = np.array([r[0] for r in _t(spark, sf, "supplier").orderBy("s_suppkey").select("s_acctbal").collect()])
     kde = dist.build_kde(1.0, x, 5)
     return _small(spark, [(bool(kde.bandwidth > 0), float(dist.upper_median([3, 1, 2, 4]) - 3))], "positive boolean, median_gap double")
+
+
+# array interface
+
+query("o3_sort_evd", f"WITH {_PC} SELECT 0 AS j, round(l1, 4) AS value FROM e UNION ALL SELECT 1, round(l2, 4) FROM e")(
+    lambda s, sf: _small(s, [(j, round(float(v), 4)) for j, v in enumerate(linalg.sort_evd(*np.linalg.eigh(gm.gram(_part(s, sf)).cov))[0])], "j int, value double"))
+
+
+@query("api_rsvd", "SELECT round(sum(CAST(p_size AS DOUBLE) * p_size + p_retailprice * p_retailprice), 0) AS sum_squares FROM part")
+def _(spark, sf):
+    from .. import api
+
+    _, s, _ = api.rsvd(src.to_numpy(_part(spark, sf)), 2, 4, 10)
+    return _small(spark, [(round(float((s**2).sum()), 0),)], "sum_squares double")
+
+
+@query("api_rpca", f"WITH {_PC} SELECT 0 AS j, round(l1, 4) AS value FROM e UNION ALL SELECT 1, round(l2, 4) FROM e")
+def _(spark, sf):
+    from .. import api
+
+    a = src.to_numpy(_part(spark, sf))
+    s, _ = api.rpca(a, 2)
+    return _small(spark, [(j, round(float(v), 4)) for j, v in enumerate(s[:, 0] ** 2 / (len(a) - 1))], "j int, value double")
+
+
+@query("api_active_ss", f"WITH {_G} SELECT 0 AS j, round(avg(g1*g1), 4) AS value FROM g UNION ALL SELECT 1, round(avg(g2*g2), 4) FROM g")
+def _(spark, sf):
+    from .. import api
+
+    rows = _smooth(spark, sf).orderBy("row_id").select("features", "y").toPandas()
+    _, _, sens = api.active_ss(spark, np.array(rows["features"].tolist()), rows["y"].to_numpy(), 1, 14, 1)
+    return _small(spark, [(j, round(float(v), 4)) for j, v in enumerate(sens)], "j int, value double")
+
+
+@query("api_dmdc_with_start", _REC + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS i, CAST(t AS INTEGER) AS j, round({c}, 4) + 0.0 AS value FROM r" for i, c in enumerate("xyz")))
+def _(spark, sf):
+    from .. import api
+
+    x, u = [np.array([1.0, 0.0, -1.0])], np.cos(np.arange(16.0))
+    for t in range(15):
+        x.append(_A @ x[-1] + _B[:, 0] * u[t])
+    out = api.DMDc(spark, np.array(x).T, u[None], 4).predict(x[0], u[None, :15], include_start=True)
+    return _coo(src.from_numpy(spark, out), 4)
+
+
+@query("k5_est_bandwidth", "SELECT true AS positive, true AS not_worse")
+def _(spark, sf):
+    x = np.array([r[0] for r in _t(spark, sf, "supplier").orderBy("s_suppkey").select("s_acctbal").collect()])
+    kde = dist.KdeRv(1500.0, x[::2])
+    h = kde.est_bandwidth(x[1::2])
+    test = _small(spark, [(float(v),) for v in x[1::2]], "x double")
+    return _small(spark, [(h > 0, kde.nll(test, "x", (h,)) <= kde.nll(test, "x") + 1e-6)], "positive boolean, not_worse boolean")
