@@ -6,8 +6,8 @@
 2.  Balls go to the shards of their ``OVERLAP`` nearest centroids (k-means on
     a bounded sample, ``SAMPLE`` nodes).  Each shard builds a flat graph by
     robust pruning, and the adjacency lists of a ball's shards are united.
-3.  Each shard searches for the balls at home in it, over its members and
-    their outside neighbours: a greedy beam search from the medoid, then
+3.  Each shard searches for the balls at home in it, over its members and the
+    outside neighbours of these balls: a greedy beam search from the medoid, then
     expansion of everything within range until nothing new is in range.
 4.  Pairs found are verified in double precision.  Two balls are linked as
     wholes if even their farthest vectors are; if the radii leave it open,
@@ -36,26 +36,22 @@ OVERLAP = 3
 SAMPLE = 8192
 SHARD = 400
 MAX_SHARDS = 4096
-DEGREE = 24
+DEGREE = 16
 BEAM = 24
 ALPHA = 1.2
 EPS = 1e-9
 
 
-def units(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    """(validity, unit vectors as a list) of raw vectors, in double precision."""
-    ok, out = np.zeros(len(rows), bool), [None] * len(rows)
-    for i, r in enumerate(rows):
-        if not r or any(x is None for x in r):
-            continue
-        v = np.asarray(r, np.float64)
-        if not np.isfinite(v).all():
-            continue
-        v = v / np.abs(v).max() if v.any() else v
-        norm = np.sqrt(v @ v)
-        if norm > 0:
-            ok[i], out[i] = True, v / norm
-    return ok, out
+def usable(r: list | None) -> bool:
+    """Whether a raw vector is non-null, non-zero and finite throughout."""
+    return bool(r) and all(x is not None for x in r) and bool(np.isfinite(v := np.asarray(r, np.float64)).all()) and bool(v.any())
+
+
+def unit(rows) -> np.ndarray:
+    """Unit vectors, in double precision, of usable vectors of one length."""
+    x = np.array(rows, np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def centroids(vectors: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.ndarray:
@@ -164,22 +160,18 @@ def links(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", co
 
     def clean(batches):
         for b in batches:
-            ok, u = units(b.column(1).to_pylist())
-            at = np.flatnonzero(ok)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at)), b.column(2).take(pa.array(at)), pa.array([u[i] for i in at], pa.list_(pa.float64())), b.column(3).take(pa.array(at))],
-                ["nid", "least", "u", "n"],
-            )
+            ok = pa.array([usable(r) for r in b.column(1).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in (0, 2, 1, 3)], ["nid", "least", "u", "n"])
 
-    kind = vectors.schema[key].dataType.simpleString()
+    kind, raw_kind = (vectors.schema[c].dataType.simpleString() for c in (key, column))
     distinct = rows.groupBy("embedding").agg(F.min("key").alias("least"), F.count("*").alias("n"))
     raw = distinct.select(_node_id().alias("nid"), "embedding", "least", "n")
-    nodes = materialize(raw.mapInArrow(clean, f"nid long, least {kind}, u array<double>, n long"), "nodes")
+    nodes = materialize(raw.mapInArrow(clean, f"nid long, least {kind}, u {raw_kind}, n long"), "nodes")
     total = nodes.count()
     picked = [r["u"] for r in nodes.orderBy(F.xxhash64("nid"), "nid").limit(SAMPLE).select("u").collect()]
     centres: dict[int, np.ndarray] = {}
     for d in {len(u) for u in picked}:
-        same = np.array([u for u in picked if len(u) == d])
+        same = unit([u for u in picked if len(u) == d])
         centres[d] = centroids(same, max(1, min(MAX_SHARDS, total // SHARD, len(same) // 2)))
     shared = spark.sparkContext.broadcast(centres)  # at most SAMPLE / 2 vectors
 
@@ -189,23 +181,23 @@ def links(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", co
         held: dict[tuple, list] = {}
 
         def balls(rows_):
-            x = np.array([r[2] for r in rows_])
+            x = unit([r[2] for r in rows_])
             lead, cos = leaders(x, float(np.cos(np.radians(BALL))))
             for i, (r, j) in enumerate(zip(rows_, lead.tolist())):
                 yield r[0], rows_[j][0], float(np.arccos(min(1.0, cos[i]))), r[1], r[3], r[2]
 
         def out(found):
             cols = list(zip(*found)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.float64(), least_type, pa.int64(), pa.list_(pa.float64())]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), *types[:1], pa.int64(), *types[1:]]
             return pa.RecordBatch.from_arrays(
                 [pa.array(x, k) for x, k in zip(cols, kinds)], ["nid", "bid", "rho", "least", "n", "u"]
             )
 
-        least_type = None
+        types: list = []
         for b in batches:
-            least_type = b.schema.field(1).type
+            types[:] = [b.schema.field(1).type, b.schema.field(2).type]
             for r in zip(*(b.column(i).to_pylist() for i in range(4))):
-                u = np.asarray(r[2])
+                (u,) = unit([r[2]])
                 home = int(np.argmax(c[len(u)] @ u)) if len(u) in c else -1
                 group = held.setdefault((len(u), home), [])
                 group.append(r)
@@ -217,7 +209,7 @@ def links(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", co
                 yield out(list(balls(group)))
 
     members = materialize(
-        nodes.select("nid", "least", "u", "n").mapInArrow(fold, f"nid long, bid long, rho double, least {kind}, n long, u array<double>"), "members"
+        nodes.select("nid", "least", "u", "n").mapInArrow(fold, f"nid long, bid long, rho double, least {kind}, n long, u {raw_kind}"), "members"
     )
     sizes = members.groupBy("bid").agg(F.max("rho").alias("rho"), F.sum("n").alias("w"), F.min("least").alias("least"))
     balls = materialize(
@@ -231,22 +223,22 @@ def links(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", co
             out = []
             for bid, u, rho in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if len(u) in c:
-                    s = c[len(u)] @ np.asarray(u)
+                    s = c[len(u)] @ unit([u])[0]
                     near = np.argsort(-s, kind="stable")[:OVERLAP].tolist()
                 else:
                     near = [0]
                 out += [(f"{len(u)}:{x}", i == 0, bid, rho, u) for i, x in enumerate(near)]
             cols = list(zip(*out)) or [[]] * 5
-            kinds = [pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
+            kinds = [pa.string(), pa.bool_(), pa.int64(), pa.float64(), b.schema.field(1).type]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["shard", "home", "bid", "rho", "u"])
 
     routed = materialize(
-        balls.select("bid", "u", "rho").mapInArrow(route, "shard string, home boolean, bid long, rho double, u array<double>"), "routed"
+        balls.select("bid", "u", "rho").mapInArrow(route, f"shard string, home boolean, bid long, rho double, u {raw_kind}"), "routed"
     )
 
     def build(table: pa.Table) -> pa.Table:
         ids = table.column("bid").to_numpy()
-        nbrs = robust_prune(np.array(table.column("u").to_pylist()))
+        nbrs = robust_prune(unit(table.column("u").to_pylist()))
         return pa.table({"bid": ids, "nbrs": pa.array([ids[x] for x in nbrs], pa.list_(pa.int64()))})
 
     lists = routed.groupBy("shard").applyInArrow(build, "bid long, nbrs array<long>")
@@ -255,19 +247,19 @@ def links(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", co
     )
     inside = routed.join(united, "bid", "left")
     outside = (
-        inside.select("shard", F.explode("nbrs").alias("bid")).distinct()
+        inside.where("home").select("shard", F.explode("nbrs").alias("bid")).distinct()
         .join(routed.select("shard", "bid"), ["shard", "bid"], "left_anti")
     )
-    halo = outside.join(balls.select("bid", "rho", "u"), "bid").join(united, "bid", "left")
+    halo = outside.join(balls.select("bid", "rho", "u"), "bid")
     region = inside.select("shard", "home", "bid", "rho", "u", "nbrs").unionByName(
-        halo.select("shard", F.lit(False).alias("home"), "bid", "rho", "u", "nbrs")
+        halo.select("shard", F.lit(False).alias("home"), "bid", "rho", "u", F.lit(None).cast("array<bigint>").alias("nbrs"))
     )
 
     def search(table: pa.Table) -> pa.Table:
         """Pairs (q, p, cosine) of balls whose vectors may be linked."""
         table = table.sort_by("bid")
         ids = table.column("bid").to_numpy()
-        x, rho = np.array(table.column("u").to_pylist()), table.column("rho").to_numpy()
+        x, rho = unit(table.column("u").to_pylist()), table.column("rho").to_numpy()
         at = {b: i for i, b in enumerate(ids.tolist())}
         nbrs = [np.array([at[b] for b in (l or []) if b in at], np.int64) for l in table.column("nbrs").to_pylist()]
         home = np.flatnonzero(table.column("home").to_numpy(zero_copy_only=False))
@@ -299,7 +291,7 @@ def links(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", co
     def compare(table: pa.Table) -> pa.Table:
         """Links of each vector across one pair of balls."""
         side = np.array(table.column("side").to_pylist())
-        x, n, nid = np.array(table.column("u").to_pylist()), table.column("n").to_numpy(), table.column("nid").to_numpy()
+        x, n, nid = unit(table.column("u").to_pylist()), table.column("n").to_numpy(), table.column("nid").to_numpy()
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         got = np.zeros(len(nid), np.int64)
         for i in range(0, len(a), 1024):
@@ -345,18 +337,16 @@ def audit(vectors: DataFrame, result: DataFrame, key: str = "vec_id", column: st
     shared = vectors.sparkSession.sparkContext.broadcast([(r[key], r[column]) for r in picked])
 
     def count(batches):
-        ok, q = units([v for _, v in shared.value])
-        ids = [k for k, _ in shared.value]
+        q = [(k, unit([v])[0]) for k, v in shared.value if usable(v)]
         for b in batches:
-            good, u = units(b.column(0).to_pylist())
-            dims = {len(x) for x in u if x is not None}
-            n = np.zeros(len(ids), np.int64)
-            for d in dims:
-                x = np.array([v for v in u if v is not None and len(v) == d])
-                for i in np.flatnonzero(ok):
-                    if len(q[i]) == d:
-                        n[i] += int((x @ q[i] >= cosine).sum())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n)], ["id", "true"])
+            rows = [r for r in b.column(0).to_pylist() if usable(r)]
+            n = np.zeros(len(q), np.int64)
+            for d in {len(r) for r in rows}:
+                x = unit([r for r in rows if len(r) == d])
+                for i, (_, u) in enumerate(q):
+                    if len(u) == d:
+                        n[i] += int((x @ u >= cosine).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in q], pa.int64()), pa.array(n)], ["id", "true"])
 
     truth = vectors.select(column).mapInArrow(count, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
     both = truth.join(result, truth["id"] == result[key]).select((F.greatest(F.col("true") - 1, F.lit(0))).alias("t"), "n_links")
