@@ -5,7 +5,7 @@ each digest is the response and the others become revisit records that refer
 to it.  Archives are written through Spark's own text sink, whose committer
 keeps only files of finished tasks, on whatever store the folder is in: a
 record is one value, and the blank lines that end a WARC record are the
-line separator.  Payloads stay UTF-8 text, so the files are plain WARC/1.1.
+line separator.  Payloads stay UTF-8 text; each file is WARC/1.1, gzipped whole.
 
 Reading parses whole archive files by Content-Length (payload text may hold
 anything, separators too), checks digests, and joins revisits to responses by
@@ -20,6 +20,7 @@ record.  An empty table gives no records and an empty result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,7 +91,19 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", payload:
     record = F.when(revisit, _record("revisit", *args, F.concat(head, F.lit("\r\n")), F.col("url"))).otherwise(
         _record("response", *args, full, F.col("url"))
     )
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(folder)
+    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(folder)
+
+
+def unpack(data: bytes) -> bytes:
+    """The bytes of a gzip file, all members of it; other data as they are."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data:
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        data = member.unused_data
+    return b"".join(out)
 
 
 def parse(data: bytes):
@@ -117,7 +130,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 out = []
-                for head, block in parse(data.as_py()):
+                for head, block in parse(unpack(data.as_py())):
                     raw = bytes(block)
                     ident = head["WARC-Record-ID"][len("<urn:tallframe:page:") : -1]
                     refers, kind = head.get("WARC-Refers-To"), head["WARC-Type"]
