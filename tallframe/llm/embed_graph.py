@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize
 
 COSINE = 0.95
-BALL = 4.0
+#: below half of the linking angle (18.19 degrees), so that all of a ball is linked
+BALL = 9.0
 OVERLAP = 3
 SAMPLE = 8192
 SHARD = 400
