@@ -99,14 +99,24 @@ class ChunkMemo(dict):
     """
 
     def __init__(self, encode, limit: int = MEMO):
-        self.encode_chunk, self.limit, self.head = encode, limit, {}
+        self.encode_chunk, self.limit, self.head, self.marks = encode, limit, {}, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        self[word] = out = self.encode_chunk(" " + word)
+        if word[-1:] in MARKS and word[:-1].isalpha():  # two pre-tokens; the first is often known
+            out = self[word[:-1]] + self.mark(word[-1])
+        else:
+            out = self.encode_chunk(" " + word)
+        self[word] = out
         return out
 
+    def mark(self, mark: str) -> bytes:
+        """Ids of a mark that follows letters."""
+        if mark not in self.marks:
+            self.marks[mark] = self.encode_chunk(mark)
+        return self.marks[mark]
+
     def encode(self, text: str) -> bytes:
         """Ids of a text, chunk by chunk."""
         first, *rest = text.split(" ") if LOOSE_BLANK.search(text) is None else CUT.split(text)
