@@ -283,7 +283,9 @@ def read_shards(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFr
             }
         )
 
-    distinct = manifest.select("shard", "file", "key").distinct()
+    # a number given here keeps small manifests of large files from meeting in a few tasks
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = manifest.select("shard", "file", "key").distinct().repartition(n, "shard", "file")
     out = distinct.groupBy("shard", "file").applyInArrow(
         run, f"key {kind}, shard int, at long, n_tokens long, ids_crc32 long"
     )
