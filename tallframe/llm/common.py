@@ -10,10 +10,15 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: bits of a bit map: 16 MB at any corpus size
+MAP_BITS = 27
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; set to a temporary one only where unset."""
     sc = spark.sparkContext
@@ -85,3 +90,50 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(roots).distinct().select(
         F.col("id").cast(kind).alias("id"), F.col("component").cast(kind).alias("component")
     )
+
+
+def bit_map(hashes: DataFrame) -> bytes:
+    """Fixed-size bit map of the low bits of ``hashes(h)``, built in 4,096 pieces
+    by the executors.  It never misses a hash; a full map lets all through."""
+    inner = (1 << (MAP_BITS - 12)) - 1
+
+    def fill(pdf):
+        import pandas as pd
+
+        bits = np.zeros(inner + 1, np.uint8)
+        bits[pdf["low"].to_numpy()] = 1
+        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    at = hashes.select(F.expr(f"h & {(1 << MAP_BITS) - 1}").alias("at"))
+    cells = at.select(
+        F.shiftright("at", MAP_BITS - 12).cast("int").alias("piece"), F.expr(f"cast(at & {inner} as int)").alias("low")
+    ).distinct()
+    out = np.zeros((4096, (inner + 1) // 8), np.uint8)
+    for r in cells.groupBy("piece").applyInPandas(fill, "piece int, bits binary").collect():
+        out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
+def in_bit_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash (unsigned) may be in the map."""
+    at = (h & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def mark_hits(df: DataFrame, hash_column: str, bits: bytes, flag: str) -> DataFrame:
+    """``df`` with a boolean column: whether its hash may be in the map.  Rows
+    pass through Arrow without being unpacked."""
+    import pyarrow as pa
+
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+    at = df.columns.index(hash_column)
+
+    def run(batches):
+        table = np.frombuffer(shared.value, np.uint8)
+        for b in batches:
+            hit = in_bit_map(table, b.column(at).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], [*b.schema.names, flag])
+
+    from pyspark.sql import types as T
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(flag, T.BooleanType())]))

@@ -9,7 +9,7 @@ anywhere else in the corpus.  The suffix array that tells is built in shards:
     their hashes are counted over all rows.
 2.  Anchors that occur once own no repeats.  For the others the stretch of
     text they own goes to the shard of the anchor's hash.  Which hashes occur
-    again is told by a bit map of fixed size (``MAP_BITS``); a false positive
+    again is told by a bit map of fixed size (16 MB); a false positive
     only adds work.
 3.  In a shard, whole anchors are put together in blocks of bounded size, the
     suffix array of a block is built by induced sorting (``sais``), permuted
@@ -38,13 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import by_bytes
-from .common import materialize
+from .common import bit_map, in_bit_map, materialize
 from .sais import permuted_lcp, suffix_array
 
 LENGTH = 200
 GRAM = 40
-#: bits of the map of repeated anchor hashes: 16 MB at any corpus size
-MAP_BITS = 27
 #: bytes of a suffix array block, about
 BLOCK = 3_000_000
 #: bytes that are looked at together when anchors are chosen
@@ -175,29 +173,8 @@ def _runs(starts: np.ndarray) -> list[int]:
 
 
 def _repeat_map(hashes: DataFrame) -> bytes:
-    """Bit map of the hashes that occur twice or more, built in 4,096 pieces of
-    fixed size by the executors."""
-    again = hashes.groupBy("h").count().where("count > 1").select(F.expr(f"h & {(1 << MAP_BITS) - 1}").alias("at"))
-    word = F.shiftright("at", MAP_BITS - 12).cast("int").alias("piece")
-    inner = (1 << (MAP_BITS - 12)) - 1
-
-    def fill(pdf):
-        import pandas as pd
-
-        bits = np.zeros(inner + 1, np.uint8)
-        bits[pdf["low"].to_numpy()] = 1
-        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
-
-    cells = again.select(word, F.expr(f"cast(at & {inner} as int)").alias("low")).distinct()
-    out = np.zeros((4096, (inner + 1) // 8), np.uint8)
-    for r in cells.groupBy("piece").applyInPandas(fill, "piece int, bits binary").collect():
-        out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.tobytes()
-
-
-def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = (h & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    """Bit map of the hashes that occur twice or more."""
+    return bit_map(hashes.groupBy("h").count().where("count > 1").select("h"))
 
 
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -229,7 +206,7 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
         for _, texts in by_bytes(batches, "text"):
             data = new(texts)
             for owner, a, b, h in all_anchors(data):
-                ok = _in_map(bits, h)
+                ok = in_bit_map(bits, h)
                 for o, x, y, z in zip(owner[ok].tolist(), a[ok].tolist(), b[ok].tolist(), h[ok].view(np.int64).tolist()):
                     k = (z, data[o][x : y + LENGTH])
                     if k in held:
@@ -279,7 +256,7 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
             data = new(texts)
             tks = [hashlib.md5(d).digest() for d in data]
             for owner, a, b, h in all_anchors(data):
-                ok = _in_map(bits, h)
+                ok = in_bit_map(bits, h)
                 got = list(zip(owner[ok].tolist(), a[ok].tolist(), b[ok].tolist()))
                 yield pa.RecordBatch.from_arrays(
                     [
