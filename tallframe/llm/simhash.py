@@ -193,8 +193,8 @@ def _shingles(words: list[bytes], n: int) -> list[bytes]:
 
 
 def sketch(text: str) -> tuple[int, int, int, list[int]]:
-    """(number of distinct shingles, fingerprint, one-bit least hashes of 64
-    shares of the shingles, window fingerprints).
+    """(number of distinct shingles, fingerprint, one-bit least hashes of 64 shares of the
+    shingles, window fingerprints).
 
     Windows lie around the shingles with the least hashes, so near copies pick
     the same places; each window gets a SimHash of its own 3-word shingles."""
@@ -205,9 +205,8 @@ def sketch(text: str) -> tuple[int, int, int, list[int]]:
         return 0, 0, 0, [0]
     hashes = np.array([xxh64_intdigest(s, SEED) for s in _shingles(words, WORDS)], np.uint64)
     distinct, first = np.unique(hashes, return_index=True)
-    seen = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
-    ones = np.concatenate([np.bincount(seen[:, i], minlength=256) @ _BITS for i in range(8)])
-    whole = int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    n = len(distinct)
+    whole = fingerprint(text, WORDS)
     out = set()
     for at in first[:WINDOWS].tolist():
         a = max(0, at - (SPAN - WORDS) // 2)
@@ -215,7 +214,7 @@ def sketch(text: str) -> tuple[int, int, int, list[int]]:
     share = (distinct >> np.uint64(58)).astype(np.int64)
     least = np.concatenate([[True], share[1:] != share[:-1]])  # distinct hashes are in order
     bits = sum(1 << int(i) for i in share[least & (distinct & np.uint64(1)).astype(bool)])
-    return len(distinct), whole, bits, sorted(out)
+    return n, whole, bits, sorted(out)
 
 
 def similarity(a: str, b: str) -> float:
@@ -224,48 +223,70 @@ def similarity(a: str, b: str) -> float:
     return len(x & y) / len(x | y)
 
 
-def _closest_forest(bucket: np.ndarray, fp: np.ndarray, bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs that span, within each bucket, all pairs with fingerprints at
-    most ``FAR`` apart and sizes that allow the similarity; closest first, so
-    that a group hangs together by its most alike members."""
-    n = len(fp)
-    label = np.arange(n)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+def _strips(bucket: np.ndarray, bits: np.ndarray, fp: np.ndarray, size: np.ndarray):
+    """Row pairs within each bucket (rows in order of size) whose sketches and
+    sizes allow the similarity, strip by strip, closest first.  Sets with that
+    similarity differ in a ninth of their joint size at most."""
+    n = len(bits)
     for least, most in ((0, 2), (3, 5), (6, 8), (9, 11), (12, UNLIKE)):
         step, live = 1, np.arange(n)
         while True:
             live = live[live + step < n]
-            live = live[bucket[live] == bucket[live + step]]
+            live = live[(bucket[live] == bucket[live + step]) & (size[live] >= SIMILAR * size[live + step])]
             if not len(live):
                 break
             other = live + step
             d = np.bitwise_count(bits[live] ^ bits[other])
-            ok = (d >= least) & (d <= most) & (np.bitwise_count(fp[live] ^ fp[other]) <= FAR) & (label[live] != label[other])
-            ok &= np.minimum(size[live], size[other]) >= SIMILAR * np.maximum(size[live], size[other])
-            a, b = live[ok], other[ok]
-            while len(a):
-                ra, rb = label[a], label[b]
-                differ = ra != rb
-                a, b, lo, hi = a[differ], b[differ], np.minimum(ra, rb)[differ], np.maximum(ra, rb)[differ]
-                if not len(a):
-                    break
-                _, one = np.unique(hi, return_index=True)  # each root hangs below one other
-                found.append((a[one], b[one]))
-                label[hi[one]] = lo[one]
-                while (up := label[label] != label).any():
-                    label[up] = label[label[up]]
+            ok = (d >= least) & (d <= most) & (9 * d.astype(np.int64) <= size[live] + size[other]) & (np.bitwise_count(fp[live] ^ fp[other]) <= FAR)
+            yield live[ok], other[ok]
             step += 1
-    if not found:
-        return (np.array([], np.int64),) * 2
-    return tuple(np.concatenate(z) for z in zip(*found))
 
 
-def near_edges(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(a, b): ids of distinct texts (XXH64) with similarity of at least 0.8.
-
-    Candidates are texts with a common window: window fingerprints within one
-    bit, found by covering masks.  In a bucket the closest texts are joined
-    into a forest, whose edges are then verified on the whole texts."""
+def _closest_forest(bucket: np.ndarray, bits: np.ndarray, fp: np.ndarray, size: np.ndarray):
+    """Row pairs that span, within each bucket, all pairs of ``_strips``;
+    closest first, so that a group hangs together by its most alike members."""
+    label = np.arange(len(bits))
+    for a, b in _strips(bucket, bits, fp, size):
+        while len(a):
+            ra, rb = label[a], label[b]
+            differ = ra != rb
+            a, b, lo, hi = a[differ], b[differ], np.minimum(ra, rb)[differ], np.maximum(ra, rb)[differ]
+            if not len(a):
+                break
+            _, one = np.unique(hi, return_index=True)  # each root hangs below one other
+            yield a[one], b[one]
+            label[hi[one]] = lo[one]
+            while (up := label[label] != label).any():
+                label[up] = label[label[up]]
+
+
+def _across(bucket: np.ndarray, bits: np.ndarray, fp: np.ndarray, size: np.ndarray, group: np.ndarray, times: int):
+    """Row pairs of ``_strips`` that lie in two groups, closest first.  A bucket
+    that has given ``times`` pairs for each of its rows and has more gives a
+    row paired with itself at the end."""
+    quota = times * np.bincount(bucket)
+    given, more = np.zeros_like(quota), np.full(len(quota), -1)
+    for a, b in _strips(bucket, bits, fp, size):
+        two = group[a] != group[b]
+        a, b = a[two], b[two]
+        full = given[bucket[a]] >= quota[bucket[a]]
+        more[bucket[a[full]]] = a[full]
+        a, b = a[~full], b[~full]
+        given += np.bincount(bucket[a], minlength=len(given))
+        if len(a):
+            yield a, b
+    rest = more[more >= 0]
+    yield rest, rest
+
+
+def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(id, component): groups of distinct texts (XXH64) that hang together by
+    similarity of at least 0.8; texts alone are left out.
+
+    Candidates are texts with a common window: window fingerprints within one bit, found by covering masks.  In a bucket
+    the closest texts are joined into a forest, whose edges are verified on the
+    whole texts.  Where an edge fails, the bucket's pairs across verified groups
+    are verified too, ever more in each round, until none is left."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(text, F.lit("")).alias("text")).select(F.xxhash64("text").alias("nid"), "text")
 
@@ -281,37 +302,35 @@ def near_edges(docs: DataFrame, text: str = "text") -> DataFrame:
             )
 
     seen = rows.mapInArrow(look, "nid long, size long, fp long, bits long, windows array<long>")
-    seen = materialize(seen.groupBy("nid").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.first("windows").alias("windows")), "sketch")
+    seen = materialize(seen.groupBy("nid").agg(*(F.first(c).alias(c) for c in ("size", "fp", "bits", "windows"))), "sketch")
     masks = [_signed(m) for m in covering_masks(list(range(64)), 1, SEED)]
-    keys = seen.withColumn("w", F.explode("windows")).select(
-        "nid", "size", "fp", "bits", F.explode(F.array(*(F.struct(F.lit(m).alias("mask"), F.col("w").bitwiseAND(F.lit(m)).alias("part")) for m in masks))).alias("k")
-    ).select("k.mask", "k.part", "nid", "size", "fp", "bits")
 
-    def pair(batches):
-        tables = [pa.Table.from_batches([b]) for b in batches]
-        if not tables:
-            return
-        t = pa.concat_tables(tables)
-        mask, part, nid, size, fp, bits = (t.column(c).to_numpy() for c in ("mask", "part", "nid", "size", "fp", "bits"))
-        order = np.lexsort((nid, size, part, mask))
-        mask, part, nid, size, fp, bits = (x[order] for x in (mask, part, nid, size, fp, bits))
-        same = np.concatenate([[False], (mask[1:] == mask[:-1]) & (part[1:] == part[:-1])])
-        shared = same | np.append(same[1:], False)
-        bucket = np.cumsum(~same)[shared]
-        nid, size, fp, bits = nid[shared], size[shared], fp[shared].view(np.uint64), bits[shared].view(np.uint64)
-        a, b = _closest_forest(bucket, fp, bits, size)
-        pairs = np.unique(np.stack([np.minimum(nid[a], nid[b]), np.maximum(nid[a], nid[b])], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    pairs = keys.repartition("mask", "part").mapInArrow(pair, "a long, b long").where("a != b").distinct()
-    pairs = materialize(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("nid"), "a", "b")
-    # texts that are in no pair stay where they are
-    asked = mark_hits(rows, "nid", bit_map(ends.select(F.col("nid").alias("h"))), "asked").where("asked")
-    full = ends.join(asked, "nid").select("a", "b", "nid", "text")
-    both = full.groupBy("a", "b").agg(
-        F.max(F.when(F.col("nid") == F.col("a"), F.col("text"))).alias("x"), F.max(F.when(F.col("nid") == F.col("b"), F.col("text"))).alias("y")
-    )
+    def keys(texts: DataFrame) -> DataFrame:
+        """``texts(nid, label, ...)`` once for each bucket."""
+        near = F.flatten(F.transform("windows", lambda w: F.array(*(F.struct(F.lit(m).alias("mask"), w.bitwiseAND(F.lit(m)).alias("part")) for m in masks))))
+        return texts.select("nid", "label", "size", "fp", "bits", F.explode(near).alias("k")).select("k.mask", "k.part", "nid", "label", "size", "fp", "bits")
+
+    def candidates(buckets: DataFrame, times: int) -> DataFrame:
+        """(mask, part, a, b); a = b in buckets that have more."""
+
+        def pair(batches):
+            tables = [pa.Table.from_batches([b]) for b in batches]
+            if not tables:
+                return
+            t = pa.concat_tables(tables)
+            cols = [t.column(c).to_numpy() for c in ("mask", "part", "nid", "label", "size", "fp", "bits")]
+            order = np.lexsort((cols[2], cols[4], cols[1], cols[0]))
+            mask, part = cols[0][order], cols[1][order]
+            same = np.concatenate([[False], (mask[1:] == mask[:-1]) & (part[1:] == part[:-1])])
+            shared = same | np.append(same[1:], False)
+            bucket = np.unique(np.cumsum(~same)[shared], return_inverse=True)[1]
+            mask, part, nid, label, size, fp, bits = (c[order][shared] for c in cols)
+            fp, bits = fp.view(np.uint64), bits.view(np.uint64)
+            for a, b in _across(bucket, bits, fp, size, label, times) if times else _closest_forest(bucket, bits, fp, size):
+                ends = np.minimum(nid[a], nid[b]), np.maximum(nid[a], nid[b])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (mask[a], part[a], *ends)], ["mask", "part", "a", "b"])
+
+        return materialize(buckets.repartition("mask", "part").mapInArrow(pair, "mask long, part long, a long, b long"), "candidates")
 
     def verify(batches):
         for b in batches:
@@ -321,7 +340,40 @@ def near_edges(docs: DataFrame, text: str = "text") -> DataFrame:
                 [pa.array([v for v, k in zip(z, ok) if k], pa.int64()) for z in (a, c)], ["a", "b"]
             )
 
-    return both.mapInArrow(verify, "a long, b long")
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("nid"), "a", "b")
+        # texts that are in no pair stay where they are
+        asked = mark_hits(rows, "nid", bit_map(ends.select(F.col("nid").alias("h"))), "asked").where("asked")
+        full = ends.join(asked, "nid").select("a", "b", "nid", "text")
+        both = full.groupBy("a", "b").agg(
+            F.max(F.when(F.col("nid") == F.col("a"), F.col("text"))).alias("x"), F.max(F.when(F.col("nid") == F.col("b"), F.col("text"))).alias("y")
+        )
+        return materialize(both.mapInArrow(verify, "a long, b long"), "near")
+
+    live, times = keys(seen.withColumn("label", F.col("nid"))), 0
+    tested = edges = None
+    while True:
+        found = candidates(live, times)
+        pairs = found.where("a != b").select("a", "b").distinct()
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        good = verified(pairs)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        edges = good if edges is None else edges.unionByName(good)
+        labels = connected_components(edges)
+        if times:
+            left = found.where("a = b")
+        else:  # a bucket is done if its forest lies within verified groups
+            left = found.join(good, ["a", "b"], "left_anti")
+            for end in "ab":
+                one = labels.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
+                left = left.join(one, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+            left = left.where("of_a != of_b")
+        left = materialize(left.select("mask", "part").distinct(), "left")
+        if not left.limit(1).count():
+            return labels
+        times = 8 * (times or 1)
+        known = seen.join(labels.select(F.col("id").alias("nid"), F.col("component").alias("label")), "nid", "left")
+        live = keys(known.withColumn("label", F.coalesce("label", "nid"))).join(left, ["mask", "part"], "left_semi")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -331,7 +383,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     body = F.xxhash64(F.coalesce(text, F.lit("")))
     heads = docs.select(body.alias("nid"), F.col(key).alias("k"))
     nodes = materialize(heads.groupBy("nid", "k").agg(F.count("*").alias("n")), "heads")
-    labels = connected_components(near_edges(docs, text))
+    labels = near_groups(docs, text)
     least = nodes.groupBy("nid").agg(F.min("k").alias("least"))
     group = least.join(labels.withColumnRenamed("id", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
     # of a component's texts with the smallest key (keys may repeat) the smallest id stays

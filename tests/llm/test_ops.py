@@ -101,6 +101,36 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, docs, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def kept_by_brute_force(rows):
+    """Smallest key of each group that hangs together by similarity of at least 0.8."""
+    def shingles(t):
+        w = t.lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    s = {k: shingles(t) for k, t in rows}
+    linked = [(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])]
+    return sorted(set(union_find(s, linked).values())), len(linked)
+
+
+def test_near_duplicate_stage_on_families_of_edited_copies(spark):
+    from tallframe.llm import simhash
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(4):
+        base = rng.choice(words, 300).tolist()
+        for _ in range(60):
+            w = list(base)
+            for at in rng.choice(300, rng.integers(3, 9), replace=False):
+                w[at] = f"e{rng.integers(10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    kept, n = kept_by_brute_force(rows)
+    assert n > 20 and len(kept) > 100  # most pairs fail, so they crowd out the others in a forest
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == kept
+
+
 def test_op2_repeated_bytes(spark, empty):
     from tallframe.llm import suffix
 
