@@ -182,6 +182,9 @@ FAR = 18
 #: one-bit least hashes differ with chance (1 - similarity) / 2: 6.4 of 64 at 0.8; more than
 #: this has a chance under 1 in 500 there
 UNLIKE = 14
+#: texts of so many distinct shingles or fewer are found by their shingles, without loss: theirs and
+#: a partner's sets differ in 14 shingles at most, so their least hashes do too
+SHORT = 59
 
 
 def _words(text: str) -> list[bytes]:
@@ -192,29 +195,34 @@ def _shingles(words: list[bytes], n: int) -> list[bytes]:
     return [b" ".join(words)] if len(words) <= n else list(map(b" ".join, zip(*(words[i:] for i in range(n)))))
 
 
-def sketch(text: str) -> tuple[int, int, int, list[int]]:
+def sketch(text: str) -> tuple[int, int, int, list[int], list[int]]:
     """(number of distinct shingles, fingerprint, one-bit least hashes of 64 shares of the
-    shingles, window fingerprints).
+    shingles, window fingerprints, shingle keys).
 
     Windows lie around the shingles with the least hashes, so near copies pick
-    the same places; each window gets a SimHash of its own 3-word shingles."""
+    the same places; each window gets a SimHash of its own 3-word shingles.  A
+    text of up to ``SHORT`` shingles has shingle keys instead, one that may be
+    like such a text has both: of n shingles the n - ceil(0.8 n) + 1 with the
+    least hashes, of which texts with that similarity always share one."""
     from xxhash import xxh64_intdigest
 
     words = _words(text)
     if not words:
-        return 0, 0, 0, [0]
+        return 0, 0, 0, [], [0]
     hashes = np.array([xxh64_intdigest(s, SEED) for s in _shingles(words, WORDS)], np.uint64)
     distinct, first = np.unique(hashes, return_index=True)
     n = len(distinct)
     whole = fingerprint(text, WORDS)
     out = set()
-    for at in first[:WINDOWS].tolist():
-        a = max(0, at - (SPAN - WORDS) // 2)
-        out.add(fingerprint(b" ".join(words[a : a + SPAN]).decode("utf-8", "surrogatepass")))
+    if n > SHORT:
+        for at in first[:WINDOWS].tolist():
+            a = max(0, at - (SPAN - WORDS) // 2)
+            out.add(fingerprint(b" ".join(words[a : a + SPAN]).decode("utf-8", "surrogatepass")))
+    keys = distinct[: n - (4 * n + 4) // 5 + 1].tolist() if 4 * n <= 5 * SHORT else []
     share = (distinct >> np.uint64(58)).astype(np.int64)
     least = np.concatenate([[True], share[1:] != share[:-1]])  # distinct hashes are in order
     bits = sum(1 << int(i) for i in share[least & (distinct & np.uint64(1)).astype(bool)])
-    return n, whole, bits, sorted(out)
+    return n, whole, bits, sorted(out), keys
 
 
 def similarity(a: str, b: str) -> float:
@@ -283,7 +291,8 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """(id, component): groups of distinct texts (XXH64) that hang together by
     similarity of at least 0.8; texts alone are left out.
 
-    Candidates are texts with a common window: window fingerprints within one bit, found by covering masks.  In a bucket
+    Candidates are texts with a common shingle key, or with a common window:
+    window fingerprints within one bit, found by covering masks.  In a bucket
     the closest texts are joined into a forest, whose edges are verified on the
     whole texts.  Where an edge fails, the bucket's pairs across verified groups
     are verified too, ever more in each round, until none is left."""
@@ -292,23 +301,24 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def look(batches):
         for part, texts in by_bytes(batches, "text"):
-            n, fp, least, windows = zip(*map(sketch, texts))
+            n, fp, least, *keys = zip(*map(sketch, texts))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, least)),
-                    pa.array([[_signed(w) for w in x] for x in windows], pa.list_(pa.int64())),
+                    *(pa.array([[_signed(w) for w in x] for x in k], pa.list_(pa.int64())) for k in keys),
                 ],
-                ["nid", "size", "fp", "bits", "windows"],
+                ["nid", "size", "fp", "bits", "windows", "shingles"],
             )
 
-    seen = rows.mapInArrow(look, "nid long, size long, fp long, bits long, windows array<long>")
-    seen = materialize(seen.groupBy("nid").agg(*(F.first(c).alias(c) for c in ("size", "fp", "bits", "windows"))), "sketch")
+    seen = rows.mapInArrow(look, "nid long, size long, fp long, bits long, windows array<long>, shingles array<long>")
+    seen = materialize(seen.groupBy("nid").agg(*(F.first(c).alias(c) for c in ("size", "fp", "bits", "windows", "shingles"))), "sketch")
     masks = [_signed(m) for m in covering_masks(list(range(64)), 1, SEED)]
 
     def keys(texts: DataFrame) -> DataFrame:
-        """``texts(nid, label, ...)`` once for each bucket."""
+        """``texts(nid, label, ...)`` once for each bucket; shingle keys have mask 0."""
         near = F.flatten(F.transform("windows", lambda w: F.array(*(F.struct(F.lit(m).alias("mask"), w.bitwiseAND(F.lit(m)).alias("part")) for m in masks))))
-        return texts.select("nid", "label", "size", "fp", "bits", F.explode(near).alias("k")).select("k.mask", "k.part", "nid", "label", "size", "fp", "bits")
+        same = F.transform("shingles", lambda h: F.struct(F.lit(0).cast("long").alias("mask"), h.alias("part")))
+        return texts.select("nid", "label", "size", "fp", "bits", F.explode(F.concat(near, same)).alias("k")).select("k.mask", "k.part", "nid", "label", "size", "fp", "bits")
 
     def candidates(buckets: DataFrame, times: int) -> DataFrame:
         """(mask, part, a, b); a = b in buckets that have more."""

@@ -131,6 +131,22 @@ def test_near_duplicate_stage_on_families_of_edited_copies(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == kept
 
 
+def test_near_duplicate_stage_on_short_texts_with_other_ends(spark):
+    from tallframe.llm import simhash
+
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for n in [*range(1, 30), 62, 63, 64, 75, 80]:
+        for _ in range(4):
+            w = rng.choice(words, n).tolist()
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join([*w, "more"])), (len(rows) + 2, " ".join([*w[:-1], "other"]))]
+    kept, n = kept_by_brute_force(rows)
+    assert n > 200
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == kept
+
+
 def test_op2_repeated_bytes(spark, empty):
     from tallframe.llm import suffix
 
