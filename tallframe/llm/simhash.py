@@ -176,9 +176,6 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", words_p
 
 #: near-duplicate stage: words of a shingle, similarity, windows of a text, words of a window
 WORDS, SIMILAR, WINDOWS, SPAN = 5, 0.8, 8, 14
-#: fingerprints of texts with that similarity differ in so many bits at most (15.3 of 64 are the
-#: mean at 0.7, measured pairs at 0.8 and more stay at 14 or less)
-FAR = 18
 #: one-bit least hashes differ with chance (1 - similarity) / 2: 6.4 of 64 at 0.8; more than
 #: this has a chance under 1 in 500 there
 UNLIKE = 14
@@ -195,8 +192,8 @@ def _shingles(words: list[bytes], n: int) -> list[bytes]:
     return [b" ".join(words)] if len(words) <= n else list(map(b" ".join, zip(*(words[i:] for i in range(n)))))
 
 
-def sketch(text: str) -> tuple[int, int, int, list[int], list[int]]:
-    """(number of distinct shingles, fingerprint, one-bit least hashes of 64 shares of the
+def sketch(text: str) -> tuple[int, int, list[int], list[int]]:
+    """(number of distinct shingles, one-bit least hashes of 64 shares of the
     shingles, window fingerprints, shingle keys).
 
     Windows lie around the shingles with the least hashes, so near copies pick
@@ -208,11 +205,10 @@ def sketch(text: str) -> tuple[int, int, int, list[int], list[int]]:
 
     words = _words(text)
     if not words:
-        return 0, 0, 0, [], [0]
+        return 0, 0, [], [0]
     hashes = np.array([xxh64_intdigest(s, SEED) for s in _shingles(words, WORDS)], np.uint64)
     distinct, first = np.unique(hashes, return_index=True)
     n = len(distinct)
-    whole = fingerprint(text, WORDS)
     out = set()
     if n > SHORT:
         for at in first[:WINDOWS].tolist():
@@ -222,7 +218,7 @@ def sketch(text: str) -> tuple[int, int, int, list[int], list[int]]:
     share = (distinct >> np.uint64(58)).astype(np.int64)
     least = np.concatenate([[True], share[1:] != share[:-1]])  # distinct hashes are in order
     bits = sum(1 << int(i) for i in share[least & (distinct & np.uint64(1)).astype(bool)])
-    return n, whole, bits, sorted(out), keys
+    return n, bits, sorted(out), keys
 
 
 def similarity(a: str, b: str) -> float:
@@ -231,7 +227,7 @@ def similarity(a: str, b: str) -> float:
     return len(x & y) / len(x | y)
 
 
-def _strips(bucket: np.ndarray, bits: np.ndarray, fp: np.ndarray, size: np.ndarray):
+def _strips(bucket: np.ndarray, bits: np.ndarray, size: np.ndarray):
     """Row pairs within each bucket (rows in order of size) whose sketches and
     sizes allow the similarity, strip by strip, closest first.  Sets with that
     similarity differ in a ninth of their joint size at most."""
@@ -245,16 +241,16 @@ def _strips(bucket: np.ndarray, bits: np.ndarray, fp: np.ndarray, size: np.ndarr
                 break
             other = live + step
             d = np.bitwise_count(bits[live] ^ bits[other])
-            ok = (d >= least) & (d <= most) & (9 * d.astype(np.int64) <= size[live] + size[other]) & (np.bitwise_count(fp[live] ^ fp[other]) <= FAR)
+            ok = (d >= least) & (d <= most) & (9 * d.astype(np.int64) <= size[live] + size[other])
             yield live[ok], other[ok]
             step += 1
 
 
-def _closest_forest(bucket: np.ndarray, bits: np.ndarray, fp: np.ndarray, size: np.ndarray):
+def _closest_forest(bucket: np.ndarray, bits: np.ndarray, size: np.ndarray):
     """Row pairs that span, within each bucket, all pairs of ``_strips``;
     closest first, so that a group hangs together by its most alike members."""
     label = np.arange(len(bits))
-    for a, b in _strips(bucket, bits, fp, size):
+    for a, b in _strips(bucket, bits, size):
         while len(a):
             ra, rb = label[a], label[b]
             differ = ra != rb
@@ -268,13 +264,13 @@ def _closest_forest(bucket: np.ndarray, bits: np.ndarray, fp: np.ndarray, size:
                 label[up] = label[label[up]]
 
 
-def _across(bucket: np.ndarray, bits: np.ndarray, fp: np.ndarray, size: np.ndarray, group: np.ndarray, times: int):
+def _across(bucket: np.ndarray, bits: np.ndarray, size: np.ndarray, group: np.ndarray, times: int):
     """Row pairs of ``_strips`` that lie in two groups, closest first.  A bucket
     that has given ``times`` pairs for each of its rows and has more gives a
     row paired with itself at the end."""
     quota = times * np.bincount(bucket)
     given, more = np.zeros_like(quota), np.full(len(quota), -1)
-    for a, b in _strips(bucket, bits, fp, size):
+    for a, b in _strips(bucket, bits, size):
         two = group[a] != group[b]
         a, b = a[two], b[two]
         full = given[bucket[a]] >= quota[bucket[a]]
@@ -301,24 +297,24 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def look(batches):
         for part, texts in by_bytes(batches, "text"):
-            n, fp, least, *keys = zip(*map(sketch, texts))
+            n, least, *keys = zip(*map(sketch, texts))
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, least)),
+                    part.column(0), pa.array(n, pa.int64()), pa.array(np.array(least, np.uint64).view(np.int64)),
                     *(pa.array([[_signed(w) for w in x] for x in k], pa.list_(pa.int64())) for k in keys),
                 ],
-                ["nid", "size", "fp", "bits", "windows", "shingles"],
+                ["nid", "size", "bits", "windows", "shingles"],
             )
 
-    seen = rows.mapInArrow(look, "nid long, size long, fp long, bits long, windows array<long>, shingles array<long>")
-    seen = materialize(seen.groupBy("nid").agg(*(F.first(c).alias(c) for c in ("size", "fp", "bits", "windows", "shingles"))), "sketch")
+    seen = rows.mapInArrow(look, "nid long, size long, bits long, windows array<long>, shingles array<long>")
+    seen = materialize(seen.groupBy("nid").agg(*(F.first(c).alias(c) for c in ("size", "bits", "windows", "shingles"))), "sketch")
     masks = [_signed(m) for m in covering_masks(list(range(64)), 1, SEED)]
 
     def keys(texts: DataFrame) -> DataFrame:
         """``texts(nid, label, ...)`` once for each bucket; shingle keys have mask 0."""
         near = F.flatten(F.transform("windows", lambda w: F.array(*(F.struct(F.lit(m).alias("mask"), w.bitwiseAND(F.lit(m)).alias("part")) for m in masks))))
         same = F.transform("shingles", lambda h: F.struct(F.lit(0).cast("long").alias("mask"), h.alias("part")))
-        return texts.select("nid", "label", "size", "fp", "bits", F.explode(F.concat(near, same)).alias("k")).select("k.mask", "k.part", "nid", "label", "size", "fp", "bits")
+        return texts.select("nid", "label", "size", "bits", F.explode(F.concat(near, same)).alias("k")).select("k.mask", "k.part", "nid", "label", "size", "bits")
 
     def candidates(buckets: DataFrame, times: int) -> DataFrame:
         """(mask, part, a, b); a = b in buckets that have more."""
@@ -328,15 +324,17 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
             if not tables:
                 return
             t = pa.concat_tables(tables)
-            cols = [t.column(c).to_numpy() for c in ("mask", "part", "nid", "label", "size", "fp", "bits")]
+            cols = [t.column(c).to_numpy() for c in ("mask", "part", "nid", "label", "size", "bits")]
             order = np.lexsort((cols[2], cols[4], cols[1], cols[0]))
             mask, part = cols[0][order], cols[1][order]
             same = np.concatenate([[False], (mask[1:] == mask[:-1]) & (part[1:] == part[:-1])])
             shared = same | np.append(same[1:], False)
-            bucket = np.unique(np.cumsum(~same)[shared], return_inverse=True)[1]
-            mask, part, nid, label, size, fp, bits = (c[order][shared] for c in cols)
-            fp, bits = fp.view(np.uint64), bits.view(np.uint64)
-            for a, b in _across(bucket, bits, fp, size, label, times) if times else _closest_forest(bucket, bits, fp, size):
+            mask, part, order = mask[shared], part[shared], order[shared]
+            bucket = np.cumsum(~same[shared]) - 1
+            nid, label, size, bits = (c[order] for c in cols[2:])
+            del tables, t, cols, order, same, shared
+            bits = bits.view(np.uint64)
+            for a, b in _across(bucket, bits, size, label, times) if times else _closest_forest(bucket, bits, size):
                 ends = np.minimum(nid[a], nid[b]), np.maximum(nid[a], nid[b])
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (mask[a], part[a], *ends)], ["mask", "part", "a", "b"])
 
@@ -344,11 +342,9 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def verify(batches):
         for b in batches:
-            a, c, x, y = (b.column(i).to_pylist() for i in range(4))
-            ok = [similarity(s, t) >= SIMILAR for s, t in zip(x, y)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v for v, k in zip(z, ok) if k], pa.int64()) for z in (a, c)], ["a", "b"]
-            )
+            for part, x in by_bytes([b], "x"):
+                ok = [similarity(s, t.as_py()) >= SIMILAR for s, t in zip(x, part.column("y"))]
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(ok, pa.bool_())) for c in "ab"], ["a", "b"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("nid"), "a", "b")

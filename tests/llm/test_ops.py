@@ -147,6 +147,22 @@ def test_near_duplicate_stage_on_short_texts_with_other_ends(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == kept
 
 
+def test_near_duplicate_stage_on_repeated_lines(spark):
+    from tallframe.llm import simhash
+
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for times in (20, 60):
+        for _ in range(10):
+            body, line = " ".join(rng.choice(words, 250)), " ".join(rng.choice(words, 10))
+            rows += [(len(rows), f"{body} {line}"), (len(rows) + 1, body + f" {line}" * times)]
+    kept, n = kept_by_brute_force(rows)
+    assert n == 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == kept
+
+
 def test_op2_repeated_bytes(spark, empty):
     from tallframe.llm import suffix
 
