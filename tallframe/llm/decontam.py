@@ -142,25 +142,29 @@ def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text")
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
     """key, items (matching item ids, ascending), distances (of each), ends.
-    One row per document for each block of items (one block as a rule)."""
+    One row per row of ``docs``: what a block finds is carried on to the next."""
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    out = None
+    form = "items array<long>, distances array<long>, ends array<long>"
+    out = docs.select(docs[key].alias("key"), docs[text].alias("text"), *(F.array().cast("array<long>").alias(c) for c in ("items", "distances", "ends")))
     for block in item_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             m = Matcher(shared.value, rate)
             for part, texts in by_bytes(batches, "text"):
-                found = [sorted((i, d, e) for i, (d, e) in m.find(t).items()) for t in texts]
+                known = zip(*(part.column(c).to_pylist() for c in ("items", "distances", "ends")))
+                found = [{i: (d, e) for i, d, e in zip(*k)} for k in known]
+                for f, t in zip(found, texts):
+                    for i, hit in m.find(t).items():
+                        f[i] = min(hit, f[i], key=lambda x: x[0]) if i in f else hit
+                rows = [sorted((i, d, e) for i, (d, e) in f.items()) for f in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array([[x[n] for x in f] for f in found], pa.list_(pa.int64())) for n in range(3))],
-                    ["key", "items", "distances", "ends"],
+                    [part.column("key"), part.column("text"), *(pa.array([[x[n] for x in f] for f in rows], pa.list_(pa.int64())) for n in range(3))],
+                    ["key", "text", "items", "distances", "ends"],
                 )
 
-        one = rows.mapInArrow(run, f"key {kind}, items array<long>, distances array<long>, ends array<long>")
-        out = one if out is None else out.unionByName(one)
-    return out.withColumnRenamed("key", key)
+        out = out.mapInArrow(run, f"key {kind}, text string, {form}")
+    return out.select(F.col("key").alias(key), "items", "distances", "ends")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = ERROR_RATE) -> DataFrame:

@@ -324,6 +324,20 @@ def test_op7_edit_matches(spark, docs, empty):
     assert decontam.matches(df, bench.limit(0)).where("size(items) > 0").count() == 0
 
 
+def test_op7_blocks_of_items_give_one_row_per_document(spark, monkeypatch):
+    from tallframe.llm import decontam
+
+    items = [f"item {i} asks how many {i * 7919} apples a shop {i * 31} sells before it closes" for i in range(12)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame([(1, " ".join(items)), (1, " ".join(items)), (2, items[3]), (3, "clean"), (4, None)], "doc_id long, text string")
+    want = sorted(map(tuple, decontam.matches(df, bench).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 200)
+    assert len([b for b in decontam.item_blocks(bench) if b]) > 1
+    got = sorted(map(tuple, decontam.matches(df, bench).collect()))
+    assert got == want and [r[0] for r in got] == [1, 1, 2, 3, 4]
+    assert set(got[0][1]) == set(range(12))
+
+
 def test_op8_positions_and_growth(docs, empty):
     from tallframe.llm import shards
 
