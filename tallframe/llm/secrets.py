@@ -17,7 +17,6 @@ what was unpacked by then is scanned).
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -40,6 +39,11 @@ SIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]"
 PERCENT = re.compile(r"[\w.~!*'()/?&=:;,+-]*(?:%[0-9A-Fa-f]{2}[\w.~!*'()/?&=:;,+-]*)+", re.ASCII)
 UNICODE = re.compile(r"(?:[\x21-\x5b\x5d-\x7e]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|U[0-9A-Fa-f]{8}))+[\x21-\x5b\x5d-\x7e]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: lines of base64 signs, the last of any length but with nothing like a word behind it
+WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}(?![\x20\t]*[\w+/=-])")
+#: how base64 of gzip and of zlib data begins
+PACKED = re.compile(r"(?=H4sI|e[AFJN])")
+PLAIN = re.compile(rb"[\t\n\r\x20-\x7e]{12}")
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
 MAX_LAYER = 16_000_000
 
@@ -55,23 +59,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _text(data: bytes) -> str | None:
-    """Decoded bytes as text if they look like text."""
-    try:
-        s = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\r\n") for c in s)
-    return s if s and odd * 20 <= len(s) else None
-
-
 def _inflate(data: bytes, max_layer: int) -> bytes | None:
-    if not (data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0):
-        return None
-    try:
-        return zlib.decompressobj(47).decompress(data, max_layer)
-    except zlib.error:
-        return None
+    """All members of a stream, one after the other."""
+    out, left = [], max_layer
+    while left > 0 and (
+        data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0
+    ):
+        d = zlib.decompressobj(47)
+        try:
+            out.append(d.decompress(data, left))
+        except zlib.error:
+            break
+        left -= len(out[-1])
+        data = d.unused_data
+    return b"".join(out) if out else None
 
 
 def _unescape(m: re.Match) -> str:
@@ -79,27 +80,74 @@ def _unescape(m: re.Match) -> str:
     return chr(n) if n < 0x110000 else m[0]
 
 
+def _unpercent(run: str) -> str:
+    raw = re.sub(rb"%([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), run.encode())
+    return raw.decode("utf-8", "replace")
+
+
+def _base64_layers(run: str, max_layer: int):
+    """Texts in a run of base64 signs: compressed streams wherever they begin,
+    and what the run decodes to at each of the four alignments, as it may have
+    other signs in front.  Any find takes ``PLAIN`` bytes of ASCII in a row."""
+    run = run.replace("-", "+").replace("_", "/")
+    for m in PACKED.finditer(run):
+        tail = run[m.start() :]
+        tail = tail[: len(tail) - (len(tail) % 4 == 1)]
+        data = more = base64.b64decode(tail + "=" * (-len(tail) % 4))
+        while (more := _inflate(data, max_layer)) is not None and more != data:
+            data = more
+        if PLAIN.search(data):
+            yield data.decode("utf-8", "replace")
+    for at in range(4):
+        part = run[at:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        data = base64.b64decode(part + "=" * (-len(part) % 4))
+        if PLAIN.search(data):
+            yield data.decode("utf-8", "replace")
+
+
 def unwrap(text: str, max_layer: int = MAX_LAYER):
     """(start, end, decoded text) of the encoded runs of one layer."""
     if "%" in text:
         for m in PERCENT.finditer(text):
-            raw = re.sub(rb"%([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), m[0].encode())
-            yield m.start(), m.end(), raw.decode("utf-8", "replace")
+            yield m.start(), m.end(), _unpercent(m[0])
     if "\\" in text:
         for m in UNICODE.finditer(text):
             yield m.start(), m.end(), ESCAPE.sub(_unescape, m[0])
     for m in BASE64.finditer(text):
         run = m[0].rstrip("=")
-        if len(run) % 4 == 1 or run.isalpha() and (run.islower() or run[1:].islower()):
-            continue  # no whole bytes, or plainly a word
-        try:
-            data = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        while (more := _inflate(data, max_layer)) is not None and more != data:
-            data = more
-        if (s := _text(data)) is not None:
+        if run.isalpha() and (run.islower() or run[1:].islower()):
+            continue  # plainly a word
+        for s in _base64_layers(run, max_layer):
             yield m.start(), m.end(), s
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            for s in _base64_layers("".join(m[0].split()).rstrip("="), max_layer):
+                yield m.start(), m.end(), s
+
+
+def in_context(text: str):
+    """The text with its percent runs, then its Unicode runs decoded in place,
+    again until nothing changes: (layer, first, last) of each turn, with the
+    original offsets of each sign; those of a decoded run are the whole run's."""
+    first, last = range(len(text)), range(1, len(text) + 1)
+    while True:
+        before = text
+        for sign, pattern, decode in (("%", PERCENT, _unpercent), ("\\", UNICODE, lambda run: ESCAPE.sub(_unescape, run))):
+            runs = [m for m in pattern.finditer(text) if decode(m[0]) != m[0]] if sign in text else []
+            if not runs:
+                continue
+            out, lo, hi, at = [], [], [], 0
+            for m in runs:
+                s, e, new = m.start(), m.end(), decode(m[0])
+                out += [text[at:s], new]
+                lo += [*first[at:s], *[first[s]] * len(new)]
+                hi += [*last[at:s], *[last[e - 1]] * len(new)]
+                at = e
+            text, first, last = "".join([*out, text[at:]]), [*lo, *first[at:]], [*hi, *last[at:]]
+            yield text, first, last
+        if text == before:
+            return
 
 
 def all_spans(text: str, max_layer: int = MAX_LAYER) -> list[tuple[int, int, int]]:
@@ -107,6 +155,9 @@ def all_spans(text: str, max_layer: int = MAX_LAYER) -> list[tuple[int, int, int
     found = set(base_spans(text))
     seen = {hash(text)}
     work = list(unwrap(text, max_layer))
+    for layer, first, last in in_context(text):  # what has no decoded sign in it is in the text itself
+        found |= {(first[s], kind, last[e - 1]) for s, kind, e in base_spans(layer) if last[e - 1] - first[s] != e - s}
+        work += [(first[s], last[e - 1], inner) for s, e, inner in unwrap(layer, max_layer) if last[e - 1] - first[s] != e - s]
     while work:
         start, end, layer = work.pop()
         mark = hash((start, end, layer))
@@ -115,6 +166,7 @@ def all_spans(text: str, max_layer: int = MAX_LAYER) -> list[tuple[int, int, int
         seen.add(mark)
         found |= {(start, kind, end) for _, kind, _ in base_spans(layer)}
         work += [(start, end, inner) for _, _, inner in unwrap(layer, max_layer) if inner != layer]
+        work += [(start, end, inner) for inner, _, _ in in_context(layer)]
     return sorted(found)
 
 

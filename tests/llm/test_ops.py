@@ -393,6 +393,24 @@ def test_op9_spans(docs, empty):
     assert secrets.redact(docs).where("text is null").count() == docs.where("text is null").count()
 
 
+def test_op9_runs_in_their_context():
+    import base64
+    import gzip
+
+    from tallframe.llm import secrets
+
+    inner = b"some words and password=hunter2hunter2 here"
+    enc = base64.b64encode(inner).decode()
+    packed = base64.b64encode(gzip.compress(b"first member ") + gzip.compress(inner)).decode()
+    wrapped = base64.encodebytes(b"x" * 45 + b" password=hunter2hunter2 and more").decode()
+    for t in ["blob_" + enc, "id-" + enc, "/v1/x/" + enc, "data" + enc, "blob_" + packed, wrapped, '"password"%3A"hunter2hunter2"',
+              "password %3D hunter2hunter2", '"password"%253A"hunter2hunter2"', "password \\u003d hunter2hunter2", base64.b64encode(b'x "password"%3A"hunter2hunter2"').decode()]:
+        spans = secrets.all_spans("é " + t + " at the end")
+        assert spans and all(k == 0 and s >= 2 and e <= 2 + len(t) for s, k, e in spans), (t, spans)
+        assert "hunter2" not in secrets.redact_text("é " + t)
+    assert secrets.all_spans("50%25 of plain/words-and_paths/with/slashes 100%") == []
+
+
 def test_op10_quality(spark, docs, empty):
     from tallframe.llm import quality
 
