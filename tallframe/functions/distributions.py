@@ -254,9 +254,13 @@ class KdeRv(UniRv):
         return self.support[rng.integers(0, len(self.support))] + rng.normal(0, self.bandwidth)
 
     def est_bandwidth(self, test: np.ndarray | DataFrame, column: str | None = None, method: int = 1) -> float:
-        """Width that minimises the NLL of the test samples (not stored)."""
+        """Width that minimises the NLL of the test samples (not stored).  A
+        table of more than ``MAX`` rows raises: no part of it stands for the whole."""
         if isinstance(test, DataFrame):
-            test = np.array([r[0] for r in test.select(column).limit(self.MAX).collect()], float)
+            found = test.select(column).limit(self.MAX + 1).collect()
+            if len(found) > self.MAX:
+                raise ValueError(f"more than {self.MAX} test samples: sample them first")
+            test = np.array([r[0] for r in found], float)
         d2 = (np.asarray(test, float)[:, None] - np.asarray(self.support, float)) ** 2
 
         def cost(many):

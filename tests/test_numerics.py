@@ -168,3 +168,12 @@ def test_streaming_gram(spark, tmp_path):
     rows = spark.table("gram_out").orderBy("window_start").collect()
     assert [r.n for r in rows] == [2, 2]
     near([r.cov_a_b for r in rows], [1.0, -1.0])
+
+
+def test_kde_bandwidth_takes_all_test_samples_or_raises(spark, monkeypatch):
+    kde = dist.KdeRv(0.5, np.linspace(0, 1, 20))
+    test = spark.range(30).selectExpr("id / 30 AS x")
+    near(kde.est_bandwidth(test, "x"), kde.est_bandwidth(np.arange(30) / 30))
+    monkeypatch.setattr(dist.KdeRv, "MAX", 29)
+    with pytest.raises(ValueError):
+        kde.est_bandwidth(test, "x")
