@@ -1,7 +1,8 @@
 """Shared helpers of the training-data operators: scratch space, edges, components.
 
 Scratch data goes only to the folder named in ``spark.checkpoint.dir``; a
-private one is set up where that setting is absent (tests, notebooks).
+private one is set up where that setting is absent and Spark runs in one
+process (tests, notebooks).  A cluster without the setting is an error.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ MAP_BITS = 27
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set to a temporary one only where unset."""
+    """The folder all executors share; a temporary one only in local mode where unset."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallframe-"))
         base = sc.getCheckpointDir()
     return base.rstrip("/")
@@ -56,6 +59,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_groups(batches, keys: list[str], rows: int = 50_000):
+    """Tables of about ``rows`` rows that never cut a group of equal ``keys``;
+    the batches come in order of the keys.  Holds that many rows and one group."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n < rows:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        other = np.zeros(n, bool)
+        for k in keys:
+            column = t.column(k).to_numpy()
+            other |= column != column[-1]
+        cut = int(other.nonzero()[0][-1]) + 1 if other.any() else 0
+        if cut:
+            yield t.slice(0, cut)
+        rest = t.slice(cut)
+        held, n = rest.to_batches(), rest.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable from each id that has an edge.
 
@@ -95,21 +124,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def bit_map(hashes: DataFrame) -> bytes:
     """Fixed-size bit map of the low bits of ``hashes(h)``, built in 4,096 pieces
     by the executors.  It never misses a hash; a full map lets all through."""
-    inner = (1 << (MAP_BITS - 12)) - 1
+    import pyarrow as pa
 
-    def fill(pdf):
-        import pandas as pd
+    inner = 1 << (MAP_BITS - 12)
 
-        bits = np.zeros(inner + 1, np.uint8)
-        bits[pdf["low"].to_numpy()] = 1
-        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
+    def fill(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = b.column(0).to_numpy()
+            order = np.argsort(at, kind="stable")
+            piece, low = at[order] >> (MAP_BITS - 12), at[order] & (inner - 1)
+            cut = np.flatnonzero(np.diff(piece, prepend=-1)) if len(at) else []
+            for i, j in zip(cut, [*cut[1:], len(at)]):
+                held.setdefault(int(piece[i]), np.zeros(inner, bool))[low[i:j]] = True
+        keys = sorted(held)
+        bits = pa.array([np.packbits(held[k]).tobytes() for k in keys], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), bits], ["piece", "bits"])
 
     at = hashes.select(F.expr(f"h & {(1 << MAP_BITS) - 1}").alias("at"))
-    cells = at.select(
-        F.shiftright("at", MAP_BITS - 12).cast("int").alias("piece"), F.expr(f"cast(at & {inner} as int)").alias("low")
-    ).distinct()
-    out = np.zeros((4096, (inner + 1) // 8), np.uint8)
-    for r in cells.groupBy("piece").applyInPandas(fill, "piece int, bits binary").collect():
+    dealt = at.distinct().repartition(F.shiftright("at", MAP_BITS - 12))
+    out = np.zeros((4096, inner // 8), np.uint8)
+    for r in dealt.mapInArrow(fill, "piece int, bits binary").collect():
         out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
     return out.tobytes()
 

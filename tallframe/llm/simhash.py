@@ -15,7 +15,9 @@ only a spanning forest of the links is passed on.
 Nulls count as empty texts; texts without words have fingerprint zero and link
 like any other.  Rows with a null id get a fingerprint and the component of
 their group (null if the group has no id).  Repeated rows stay repeated, an
-empty table gives an empty result.
+empty table gives an empty result.  Very long texts are hashed whole, about
+4 MB of texts at a time.  Only the key and text columns are read, so columns of
+the table may have any other names, those of the result included.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import by_bytes
-from .common import bit_map, connected_components, mark_hits, materialize
+from .common import connected_components, materialize, whole_groups
 
 RADIUS = 3
 SEED = 42
@@ -50,7 +52,12 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
         hashes = [xxh64_intdigest(b" ".join(words), SEED)]
     else:
         hashes = [xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(n))))]
-    seen = np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes (unsigned)."""
+    seen = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(seen[:, i], minlength=256) @ _BITS for i in range(8)])
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
@@ -81,82 +88,83 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def join_trees(label: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """Join the trees of rows ``a[i]`` and ``b[i]`` in ``label`` (root of each
+    row, updated in place); gives the row pairs that joined two trees."""
+    while len(a):
+        ra, rb = label[a], label[b]
+        differ = ra != rb
+        a, b, lo, hi = a[differ], b[differ], np.minimum(ra, rb)[differ], np.maximum(ra, rb)[differ]
+        if not len(a):
+            return
+        _, one = np.unique(hi, return_index=True)  # each root hangs below one other
+        yield a[one], b[one]
+        label[hi[one]] = lo[one]
+        while (up := label[label] != label).any():
+            label[up] = label[label[up]]
+
+
 def _forest(bucket: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fp, smallest fp of its local component) of links within equal
-    ``bucket`` runs.  Pairs at distance 1, 2, ... in a run are tested as
-    vectors; nothing quadratic is held."""
+    """A spanning forest of the links (fp, fp) within equal ``bucket`` runs.
+    Pairs at distance 1, 2, ... in a run are tested as vectors; nothing
+    quadratic is held."""
     label = np.arange(len(fps))
-    step, live = 1, np.arange(len(fps))
+    step, live, out = 1, np.arange(len(fps)), []
     while True:
         live = live[live + step < len(fps)]
         live = live[bucket[live] == bucket[live + step]]
         if not len(live):
             break
         near = live[np.bitwise_count(fps[live] ^ fps[live + step]) <= radius]
-        if len(near):
-            a, b = near, near + step
-            while True:  # join the two trees of each link, smaller root on top
-                ra, rb = label[a], label[b]
-                differ = ra != rb
-                if not differ.any():
-                    break
-                a, b = a[differ], b[differ]
-                lo, hi = np.minimum(ra[differ], rb[differ]), np.maximum(ra[differ], rb[differ])
-                np.minimum.at(label, hi, lo)
-                while (up := label[label] != label).any():
-                    label[up] = label[label[up]]
+        out += join_trees(label, near, near + step)
         step += 1
-    child = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[child], fps[label[child]]
+    a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.array([], np.int64),) * 2
+    return fps[a], fps[b]
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): a spanning set of links between the distinct fingerprints
-    ``distinct(fp)`` that differ in 1 to ``radius`` bits."""
+    """(a, b): a spanning set of the links between the distinct fingerprints
+    ``distinct(fp)`` that differ in 1 to ``radius`` bits.  Every pair given is a link."""
     spark = distinct.sparkSession
 
     def verify(batches):
-        tables = [pa.Table.from_batches([b]) for b in batches]
-        if not tables:
-            return
-        t = pa.concat_tables(tables)
-        mask, part, fp = (t.column(c).to_numpy() for c in ("mask", "part", "fp"))
-        order = np.lexsort((fp, part, mask))
-        mask, part, fp = mask[order], part[order], fp[order]
-        new = np.concatenate([[True], (mask[1:] != mask[:-1]) | (part[1:] != part[:-1])])
-        a, b = _forest(np.cumsum(new), fp.view(np.uint64), radius)
-        for i in range(0, len(a), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000].view(np.int64)) for x in (a, b)], ["a", "b"])
-
-    def dealt(level: list[tuple[int, list[int]]], rows: DataFrame) -> DataFrame:
-        """``rows(mask, fp)`` once for each child mask of theirs."""
-        table = spark.createDataFrame([(_signed(m), _signed(c)) for m, cs in level for c in cs], "mask long, child long")
-        return rows.join(F.broadcast(table), "mask").select(
-            F.col("child").alias("mask"), F.expr("fp & child").alias("part"), "fp"
-        )
+        for t in whole_groups(batches, ["mask", "part"]):
+            mask, part, fp = (t.column(c).to_numpy() for c in ("mask", "part", "fp"))
+            new = np.concatenate([[True], (mask[1:] != mask[:-1]) | (part[1:] != part[:-1])])
+            a, b = _forest(np.cumsum(new), fp.view(np.uint64), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
+
+    def verified(buckets: DataFrame) -> DataFrame:
+        dealt = buckets.repartition("mask", "part").sortWithinPartitions("mask", "part", "fp")
+        return dealt.mapInArrow(verify, "a long, b long")
 
     everything = list(range(64))
-    level = [(0, covering_masks(everything, radius, SEED))]
-    rows = distinct.select(F.lit(0).cast("long").alias("mask"), "fp")
+    masks = covering_masks(everything, radius, SEED)
+    children = F.array(*(F.lit(_signed(m)) for m in masks))
+    buckets = distinct.select("fp", F.explode(children).alias("mask")).select("mask", F.expr("fp & mask").alias("part"), "fp")
     found = []
     while True:
-        buckets = dealt(level, rows)
-        heavy = materialize(buckets.groupBy("mask", "part").count().where(F.col("count") > HEAVY), "heavy")
-        some = heavy.select("mask").distinct().limit(1).count()
-        light = buckets.join(heavy.select("mask", "part"), ["mask", "part"], "left_anti") if some else buckets
-        found.append(light.repartition("mask", "part").mapInArrow(verify, "a long, b long"))
-        if not some:
+        heavy = materialize(buckets.groupBy("mask", "part").count().where(F.col("count") > HEAVY).select("mask", "part"), "heavy")
+        if not heavy.limit(1).count():
+            found.append(verified(buckets))
             break
-        # only what is in heavy buckets goes on, with masks that look at more bits
-        masks = [c for _, cs in level for c in cs]
+        found.append(verified(buckets.join(heavy, ["mask", "part"], "left_anti")))
+        # what is in heavy buckets goes on, with masks that look at more bits; 16 free bits or
+        # fewer make buckets of at most 65,536 members, which are verified as they are
+        crowded = buckets.join(heavy, ["mask", "part"], "left_semi")
         free = {m: [i for i in everything if not m >> i & 1] for m in masks}
-        level = [(m, [m | x for x in covering_masks(f, radius, SEED)]) for m, f in free.items() if len(f) > 16]
-        rows = buckets.join(heavy.select("mask", "part"), ["mask", "part"], "left_semi").select("mask", "fp")
-        if not level:  # 16 free bits or fewer: a bucket has at most 65,536 members
-            found.append(
-                buckets.join(heavy.select("mask", "part"), ["mask", "part"], "left_semi").repartition("mask", "part").mapInArrow(verify, "a long, b long")
-            )
+        small = [m for m in masks if len(free[m]) <= 16]
+        if small:
+            found.append(verified(crowded.where(F.col("mask").isin([_signed(m) for m in small]))))
+        level = [(m, [m | x for x in covering_masks(free[m], radius, SEED)]) for m in masks if len(free[m]) > 16]
+        if not level:
             break
+        # a mask of 64 bits and its 15 children: some thousand rows at the deepest level
+        table = spark.createDataFrame([(_signed(m), _signed(c)) for m, cs in level for c in cs], "mask long, child long")
+        buckets = materialize(
+            crowded.join(F.broadcast(table), "mask").select(F.col("child").alias("mask"), F.expr("fp & child").alias("part"), "fp").distinct(), "level"
+        )
+        masks = sorted({c for _, cs in level for c in cs})
     return reduce(DataFrame.unionByName, found)
 
 
@@ -172,240 +180,3 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", words_p
     return fps.join(per_fp, "fp").select(
         F.col("key").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-#: near-duplicate stage: words of a shingle, similarity, windows of a text, words of a window
-WORDS, SIMILAR, WINDOWS, SPAN = 5, 0.8, 8, 14
-#: one-bit least hashes differ with chance (1 - similarity) / 2: 6.4 of 64 at 0.8; more than
-#: this has a chance under 1 in 500 there
-UNLIKE = 14
-#: texts of so many distinct shingles or fewer are found by their shingles, without loss: theirs and
-#: a partner's sets differ in 14 shingles at most, so their least hashes do too
-SHORT = 59
-
-
-def _words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def _shingles(words: list[bytes], n: int) -> list[bytes]:
-    return [b" ".join(words)] if len(words) <= n else list(map(b" ".join, zip(*(words[i:] for i in range(n)))))
-
-
-def sketch(text: str) -> tuple[int, int, list[int], list[int]]:
-    """(number of distinct shingles, one-bit least hashes of 64 shares of the
-    shingles, window fingerprints, shingle keys).
-
-    Windows lie around the shingles with the least hashes, so near copies pick
-    the same places; each window gets a SimHash of its own 3-word shingles.  A
-    text of up to ``SHORT`` shingles has shingle keys instead, one that may be
-    like such a text has both: of n shingles the n - ceil(0.8 n) + 1 with the
-    least hashes, of which texts with that similarity always share one."""
-    from xxhash import xxh64_intdigest
-
-    words = _words(text)
-    if not words:
-        return 0, 0, [], [0]
-    hashes = np.array([xxh64_intdigest(s, SEED) for s in _shingles(words, WORDS)], np.uint64)
-    distinct, first = np.unique(hashes, return_index=True)
-    n = len(distinct)
-    out = set()
-    if n > SHORT:
-        for at in first[:WINDOWS].tolist():
-            a = max(0, at - (SPAN - WORDS) // 2)
-            out.add(fingerprint(b" ".join(words[a : a + SPAN]).decode("utf-8", "surrogatepass")))
-    keys = distinct[: n - (4 * n + 4) // 5 + 1].tolist() if 4 * n <= 5 * SHORT else []
-    share = (distinct >> np.uint64(58)).astype(np.int64)
-    least = np.concatenate([[True], share[1:] != share[:-1]])  # distinct hashes are in order
-    bits = sum(1 << int(i) for i in share[least & (distinct & np.uint64(1)).astype(bool)])
-    return n, bits, sorted(out), keys
-
-
-def similarity(a: str, b: str) -> float:
-    """Jaccard similarity of the sets of five-word shingles."""
-    x, y = set(_shingles(_words(a), WORDS)), set(_shingles(_words(b), WORDS))
-    return len(x & y) / len(x | y)
-
-
-def _strips(bucket: np.ndarray, bits: np.ndarray, size: np.ndarray):
-    """Row pairs within each bucket (rows in order of size) whose sketches and
-    sizes allow the similarity, strip by strip, closest first.  Sets with that
-    similarity differ in a ninth of their joint size at most."""
-    n = len(bits)
-    for least, most in ((0, 2), (3, 5), (6, 8), (9, 11), (12, UNLIKE)):
-        step, live = 1, np.arange(n)
-        while True:
-            live = live[live + step < n]
-            live = live[(bucket[live] == bucket[live + step]) & (size[live] >= SIMILAR * size[live + step])]
-            if not len(live):
-                break
-            other = live + step
-            d = np.bitwise_count(bits[live] ^ bits[other])
-            ok = (d >= least) & (d <= most) & (9 * d.astype(np.int64) <= size[live] + size[other])
-            yield live[ok], other[ok]
-            step += 1
-
-
-def _closest_forest(bucket: np.ndarray, bits: np.ndarray, size: np.ndarray):
-    """Row pairs that span, within each bucket, all pairs of ``_strips``;
-    closest first, so that a group hangs together by its most alike members."""
-    label = np.arange(len(bits))
-    for a, b in _strips(bucket, bits, size):
-        while len(a):
-            ra, rb = label[a], label[b]
-            differ = ra != rb
-            a, b, lo, hi = a[differ], b[differ], np.minimum(ra, rb)[differ], np.maximum(ra, rb)[differ]
-            if not len(a):
-                break
-            _, one = np.unique(hi, return_index=True)  # each root hangs below one other
-            yield a[one], b[one]
-            label[hi[one]] = lo[one]
-            while (up := label[label] != label).any():
-                label[up] = label[label[up]]
-
-
-def _across(bucket: np.ndarray, bits: np.ndarray, size: np.ndarray, group: np.ndarray, times: int):
-    """Row pairs of ``_strips`` that lie in two groups, closest first.  A bucket
-    that has given ``times`` pairs for each of its rows and has more gives a
-    row paired with itself at the end."""
-    quota = times * np.bincount(bucket)
-    given, more = np.zeros_like(quota), np.full(len(quota), -1)
-    for a, b in _strips(bucket, bits, size):
-        two = group[a] != group[b]
-        a, b = a[two], b[two]
-        full = given[bucket[a]] >= quota[bucket[a]]
-        more[bucket[a[full]]] = a[full]
-        a, b = a[~full], b[~full]
-        given += np.bincount(bucket[a], minlength=len(given))
-        if len(a):
-            yield a, b
-    rest = more[more >= 0]
-    yield rest, rest
-
-
-def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(id, component): groups of distinct texts (XXH64) that hang together by
-    similarity of at least 0.8; texts alone are left out.
-
-    Candidates are texts with a common shingle key, or with a common window:
-    window fingerprints within one bit, found by covering masks.  In a bucket
-    the closest texts are joined into a forest, whose edges are verified on the
-    whole texts.  Where an edge fails, the bucket's pairs across verified groups
-    are verified too, ever more in each round, until none is left."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(text, F.lit("")).alias("text")).select(F.xxhash64("text").alias("nid"), "text")
-
-    def look(batches):
-        for part, texts in by_bytes(batches, "text"):
-            n, least, *keys = zip(*map(sketch, texts))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0), pa.array(n, pa.int64()), pa.array(np.array(least, np.uint64).view(np.int64)),
-                    *(pa.array([[_signed(w) for w in x] for x in k], pa.list_(pa.int64())) for k in keys),
-                ],
-                ["nid", "size", "bits", "windows", "shingles"],
-            )
-
-    seen = rows.mapInArrow(look, "nid long, size long, bits long, windows array<long>, shingles array<long>")
-    seen = materialize(seen.groupBy("nid").agg(*(F.first(c).alias(c) for c in ("size", "bits", "windows", "shingles"))), "sketch")
-    masks = [_signed(m) for m in covering_masks(list(range(64)), 1, SEED)]
-
-    def keys(texts: DataFrame) -> DataFrame:
-        """``texts(nid, label, ...)`` once for each bucket; shingle keys have mask 0."""
-        near = F.flatten(F.transform("windows", lambda w: F.array(*(F.struct(F.lit(m).alias("mask"), w.bitwiseAND(F.lit(m)).alias("part")) for m in masks))))
-        same = F.transform("shingles", lambda h: F.struct(F.lit(0).cast("long").alias("mask"), h.alias("part")))
-        return texts.select("nid", "label", "size", "bits", F.explode(F.concat(near, same)).alias("k")).select("k.mask", "k.part", "nid", "label", "size", "bits")
-
-    def candidates(buckets: DataFrame, times: int) -> DataFrame:
-        """(mask, part, a, b); a = b in buckets that have more."""
-
-        def pair(batches):
-            tables = [pa.Table.from_batches([b]) for b in batches]
-            if not tables:
-                return
-            t = pa.concat_tables(tables)
-            cols = [t.column(c).to_numpy() for c in ("mask", "part", "nid", "label", "size", "bits")]
-            order = np.lexsort((cols[2], cols[4], cols[1], cols[0]))
-            mask, part = cols[0][order], cols[1][order]
-            same = np.concatenate([[False], (mask[1:] == mask[:-1]) & (part[1:] == part[:-1])])
-            shared = same | np.append(same[1:], False)
-            mask, part, order = mask[shared], part[shared], order[shared]
-            bucket = np.cumsum(~same[shared]) - 1
-            nid, label, size, bits = (c[order] for c in cols[2:])
-            del tables, t, cols, order, same, shared
-            bits = bits.view(np.uint64)
-            for a, b in _across(bucket, bits, size, label, times) if times else _closest_forest(bucket, bits, size):
-                ends = np.minimum(nid[a], nid[b]), np.maximum(nid[a], nid[b])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (mask[a], part[a], *ends)], ["mask", "part", "a", "b"])
-
-        return materialize(buckets.repartition("mask", "part").mapInArrow(pair, "mask long, part long, a long, b long"), "candidates")
-
-    def verify(batches):
-        for b in batches:
-            for part, x in by_bytes([b], "x"):
-                ok = [similarity(s, t.as_py()) >= SIMILAR for s, t in zip(x, part.column("y"))]
-                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(ok, pa.bool_())) for c in "ab"], ["a", "b"])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("nid"), "a", "b")
-        # texts that are in no pair stay where they are
-        asked = mark_hits(rows, "nid", bit_map(ends.select(F.col("nid").alias("h"))), "asked").where("asked")
-        full = ends.join(asked, "nid").select("a", "b", "nid", "text")
-        both = full.groupBy("a", "b").agg(
-            F.max(F.when(F.col("nid") == F.col("a"), F.col("text"))).alias("x"), F.max(F.when(F.col("nid") == F.col("b"), F.col("text"))).alias("y")
-        )
-        return materialize(both.mapInArrow(verify, "a long, b long"), "near")
-
-    live, times = keys(seen.withColumn("label", F.col("nid"))), 0
-    tested = edges = None
-    while True:
-        found = candidates(live, times)
-        pairs = found.where("a != b").select("a", "b").distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        good = verified(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = good if edges is None else edges.unionByName(good)
-        labels = connected_components(edges)
-        if times:
-            left = found.where("a = b")
-        else:  # a bucket is done if its forest lies within verified groups
-            left = found.join(good, ["a", "b"], "left_anti")
-            for end in "ab":
-                one = labels.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
-                left = left.join(one, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
-            left = left.where("of_a != of_b")
-        left = materialize(left.select("mask", "part").distinct(), "left")
-        if not left.limit(1).count():
-            return labels
-        times = 8 * (times or 1)
-        known = seen.join(labels.select(F.col("id").alias("nid"), F.col("component").alias("label")), "nid", "left")
-        live = keys(known.withColumn("label", F.coalesce("label", "nid"))).join(left, ["mask", "part"], "left_semi")
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns) but for copies and near copies: of
-    each group the row with the smallest key stays (null keys are largest; of
-    rows that repeat key and text one stays)."""
-    body = F.xxhash64(F.coalesce(text, F.lit("")))
-    heads = docs.select(body.alias("nid"), F.col(key).alias("k"))
-    nodes = materialize(heads.groupBy("nid", "k").agg(F.count("*").alias("n")), "heads")
-    labels = near_groups(docs, text)
-    least = nodes.groupBy("nid").agg(F.min("k").alias("least"))
-    group = least.join(labels.withColumnRenamed("id", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-    # of a component's texts with the smallest key (keys may repeat) the smallest id stays
-    best = group.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("z"), "least", "nid")).alias("best"))
-    stay = materialize(best.select(F.col("best.nid").alias("nid"), F.col("best.least").alias("k")).join(
-        nodes.select("nid", F.col("k").alias("k2"), "n"), "nid").where(F.col("k").eqNullSafe(F.col("k2"))).select("nid", "k", "n"), "stay")
-    # rows of texts that stand alone aren't shuffled: only the others are looked up
-    several = nodes.groupBy("nid").agg(F.sum("n").alias("n")).where("n > 1")
-    touched = labels.select(F.col("id").alias("h")).unionByName(several.select(F.col("nid").alias("h")))
-    marked = mark_hits(docs.withColumn("__nid", body), "__nid", bit_map(touched), "__hit")
-    alone, rest = marked.where("not __hit"), marked.where("__hit")
-    once = stay.where("n = 1").select(F.col("nid").alias("__id"), F.col("k").alias("__k"))
-    again = stay.where("n > 1").select(F.col("nid").alias("__id"), F.col("k").alias("__k"))
-
-    def those(which: DataFrame) -> DataFrame:
-        return rest.join(which, (rest["__nid"] == which["__id"]) & rest[key].eqNullSafe(which["__k"]), "left_semi")
-
-    repeated = those(again).dropDuplicates(["__nid", key])
-    return alone.unionByName(those(once)).unionByName(repeated).drop("__nid", "__hit")

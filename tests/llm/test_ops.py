@@ -80,7 +80,7 @@ def test_op1_components(docs, empty, monkeypatch):
 
 
 def test_near_duplicate_stage_keeps_one_of_each_group(spark, docs, empty):
-    from tallframe.llm import simhash
+    from tallframe.llm import near
 
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(3000)]
@@ -93,12 +93,12 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, docs, empty):
         rows.append((100 + i, " ".join(w)))
         rows.append((200 + i, b))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == list(range(12))
-    kept = simhash.keep_one(docs)
+    assert sorted(r.doc_id for r in near.keep_one(df).collect()) == list(range(12))
+    kept = near.keep_one(docs)
     assert kept.columns == docs.columns
     seen = Counter((r.text or "") for r in kept.collect())
     assert max(seen.values()) == 1
-    assert simhash.keep_one(empty).count() == 0
+    assert near.keep_one(empty).count() == 0
 
 
 def kept_by_brute_force(rows):
@@ -113,7 +113,7 @@ def kept_by_brute_force(rows):
 
 
 def test_near_duplicate_stage_on_families_of_edited_copies(spark):
-    from tallframe.llm import simhash
+    from tallframe.llm import near
 
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(3000)]
@@ -128,11 +128,11 @@ def test_near_duplicate_stage_on_families_of_edited_copies(spark):
     kept, n = kept_by_brute_force(rows)
     assert n > 20 and len(kept) > 100  # most pairs fail, so they crowd out the others in a forest
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == kept
+    assert sorted(r.doc_id for r in near.keep_one(df).collect()) == kept
 
 
 def test_near_duplicate_stage_on_short_texts_with_other_ends(spark):
-    from tallframe.llm import simhash
+    from tallframe.llm import near
 
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(3000)]
@@ -144,11 +144,11 @@ def test_near_duplicate_stage_on_short_texts_with_other_ends(spark):
     kept, n = kept_by_brute_force(rows)
     assert n > 200
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == kept
+    assert sorted(r.doc_id for r in near.keep_one(df).collect()) == kept
 
 
 def test_near_duplicate_stage_on_repeated_lines(spark):
-    from tallframe.llm import simhash
+    from tallframe.llm import near
 
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(3000)]
@@ -160,7 +160,7 @@ def test_near_duplicate_stage_on_repeated_lines(spark):
     kept, n = kept_by_brute_force(rows)
     assert n == 20
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == kept
+    assert sorted(r.doc_id for r in near.keep_one(df).collect()) == kept
 
 
 def test_op2_repeated_bytes(spark, empty):
