@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallframe.llm import bpe, common, decontam, quality, secrets, simhash
+from tallframe.llm import bpe, common, decontam, near, quality, secrets
 from tallframe.llm.queries import pattern, tokenizer_path
 
 
@@ -26,7 +26,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies."""
-    return simhash.keep_one(docs)
+    return near.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
