@@ -4,20 +4,24 @@ Base spans come from three patterns over the text itself.  Then a worklist
 unwraps every encoded run found (percent escapes, Unicode escapes, base64,
 gzip or zlib data inside base64), scans each decoded layer and goes on with
 the encoded runs of that layer until none is left.  A layer that has been
-seen before in the same document is not opened again, so cycles end.  A find
-in a decoded layer is reported at the outermost encoded run that holds it.
+seen before in the same document is not opened again, so cycles end.  Escapes
+are decoded in place and keep exact offsets; a find in base64 is reported at
+the outermost base64 run that holds it.
 
 Null texts count as empty ones; an empty text has no spans and the digest of
-no bytes.  Texts are scanned whole.  Repeated rows give repeated results, an
-empty table an empty result.  Decompression of one run stops being followed
-after ``max_layer`` bytes (documented bound against archives made to explode;
-what was unpacked by then is scanned).
+no bytes.  Texts are scanned whole, very long ones in time that grows with
+their length.  Repeated rows give repeated results, an empty table an empty
+result.  Columns of the table may have any names; ``scan`` reads key and text
+only.  Compressed streams are followed to their end, all members, ``WINDOW``
+bytes at a time: memory is bounded however far they expand.  Within a stream of
+more than that, a further base64 run that itself crosses windows is opened in parts.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -36,16 +40,17 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: every assignment has one of these two signs right after its word; texts without them need no look
 SIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]""")
 
-PERCENT = re.compile(r"[\w.~!*'()/?&=:;,+-]*(?:%[0-9A-Fa-f]{2}[\w.~!*'()/?&=:;,+-]*)+", re.ASCII)
-UNICODE = re.compile(r"(?:[\x21-\x5b\x5d-\x7e]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|U[0-9A-Fa-f]{8}))+[\x21-\x5b\x5d-\x7e]*")
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
+#: a find takes 12 bytes at least, which are 16 signs
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: lines of base64 signs, the last of any length but with nothing like a word behind it
-WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]+={0,2}(?![\x20\t]*[\w+/=-])")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+\r?\n[\x20\t]*+)+[A-Za-z0-9+/_-]++={0,2}(?![\x20\t]*[\w+/=-])")
 #: how base64 of gzip and of zlib data begins
 PACKED = re.compile(r"(?=H4sI|e[AFJN])")
 PLAIN = re.compile(rb"[\t\n\r\x20-\x7e]{12}")
-ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
-MAX_LAYER = 16_000_000
+#: bytes of a decompressed stream that are scanned at a time, and how far scans overlap where no line ends
+WINDOW, OVERLAP = 16_000_000, 65_536
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -59,114 +64,167 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _inflate(data: bytes, max_layer: int) -> bytes | None:
-    """All members of a stream, one after the other."""
-    out, left = [], max_layer
-    while left > 0 and (
-        data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0
-    ):
-        d = zlib.decompressobj(47)
-        try:
-            out.append(d.decompress(data, left))
-        except zlib.error:
-            break
-        left -= len(out[-1])
-        data = d.unused_data
-    return b"".join(out) if out else None
-
-
-def _unescape(m: re.Match) -> str:
-    n = int(m[1] or m[2] or m[3], 16)
-    return chr(n) if n < 0x110000 else m[0]
-
-
-def _unpercent(run: str) -> str:
-    raw = re.sub(rb"%([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), run.encode())
-    return raw.decode("utf-8", "replace")
-
-
-def _base64_layers(run: str, max_layer: int):
+def _packed(head: bytes) -> bool:
+    return head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0
+
+
+def _inflate(chunks):
+    """Decompressed pieces of all members of a stream, a bounded piece at a
+    time; ends where the stream does or is broken."""
+    d, data = zlib.decompressobj(47), b""
+    for chunk in chunks:
+        data += chunk
+        while data:
+            try:
+                piece = d.decompress(data, 1 << 20)
+            except zlib.error:
+                return
+            data = d.unconsumed_tail
+            if piece:
+                yield piece
+            if d.eof:
+                data = d.unused_data
+                if not _packed(data):
+                    return
+                d = zlib.decompressobj(47)
+            elif not piece:
+                break
+
+
+def _unpacked(chunks):
+    """What a stream holds when no compression is left."""
+    chunks = iter(chunks)
+    head = next(chunks, b"")
+    both = itertools.chain([head], chunks)
+    if not _packed(head):
+        return both
+    first = next(inner := _inflate(both), None)
+    return both if first is None else _unpacked(itertools.chain([first], inner))
+
+
+def _windows(chunks):
+    """Texts of a stream, ``WINDOW`` bytes at most: cut behind a line's end, or
+    with an overlap that holds all that a find takes."""
+    held = b""
+    for chunk in chunks:
+        held += chunk
+        if len(held) >= WINDOW:
+            cut = held.rfind(b"\n") + 1 or len(held)
+            yield held[:cut].decode("utf-8", "replace")
+            held = held[cut:] if cut < len(held) else held[-OVERLAP:]
+    if PLAIN.search(held):
+        yield held.decode("utf-8", "replace")
+
+
+def _bytes_of(run: str) -> bytes:
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run + "=" * (-len(run) % 4))
+
+
+def _base64_layers(run: str):
     """Texts in a run of base64 signs: compressed streams wherever they begin,
     and what the run decodes to at each of the four alignments, as it may have
     other signs in front.  Any find takes ``PLAIN`` bytes of ASCII in a row."""
     run = run.replace("-", "+").replace("_", "/")
+    at = 0
     for m in PACKED.finditer(run):
-        tail = run[m.start() :]
-        tail = tail[: len(tail) - (len(tail) % 4 == 1)]
-        data = more = base64.b64decode(tail + "=" * (-len(tail) % 4))
-        while (more := _inflate(data, max_layer)) is not None and more != data:
-            data = more
-        if PLAIN.search(data):
-            yield data.decode("utf-8", "replace")
-    for at in range(4):
-        part = run[at:]
-        part = part[: len(part) - (len(part) % 4 == 1)]
-        data = base64.b64decode(part + "=" * (-len(part) % 4))
+        head = _bytes_of(run[m.start() : m.start() + 1024])
+        if m.start() < at or not _packed(head):
+            continue
+        try:
+            zlib.decompressobj(47).decompress(head, 1 << 20)
+        except zlib.error:  # not worth a look at all of a long run
+            continue
+        data = _bytes_of(run[m.start() :])
+        pieces = _inflate([data])
+        if (first := next(pieces, None)) is not None:
+            yield from _windows(_unpacked(itertools.chain([first], pieces)))
+            at = m.start() + 4
+    for n in range(4):
+        data = _bytes_of(run[n:])
         if PLAIN.search(data):
             yield data.decode("utf-8", "replace")
 
 
-def unwrap(text: str, max_layer: int = MAX_LAYER):
-    """(start, end, decoded text) of the encoded runs of one layer."""
-    if "%" in text:
-        for m in PERCENT.finditer(text):
-            yield m.start(), m.end(), _unpercent(m[0])
-    if "\\" in text:
-        for m in UNICODE.finditer(text):
-            yield m.start(), m.end(), ESCAPE.sub(_unescape, m[0])
-    for m in BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        if run.isalpha() and (run.islower() or run[1:].islower()):
-            continue  # plainly a word
-        for s in _base64_layers(run, max_layer):
-            yield m.start(), m.end(), s
-    if "\n" in text:
-        for m in WRAPPED.finditer(text):
-            for s in _base64_layers("".join(m[0].split()).rstrip("="), max_layer):
-                yield m.start(), m.end(), s
-
-
-def in_context(text: str):
-    """The text with its percent runs, then its Unicode runs decoded in place,
-    again until nothing changes: (layer, first, last) of each turn, with the
-    original offsets of each sign; those of a decoded run are the whole run's."""
-    first, last = range(len(text)), range(1, len(text) + 1)
-    while True:
-        before = text
-        for sign, pattern, decode in (("%", PERCENT, _unpercent), ("\\", UNICODE, lambda run: ESCAPE.sub(_unescape, run))):
-            runs = [m for m in pattern.finditer(text) if decode(m[0]) != m[0]] if sign in text else []
-            if not runs:
+def _percent(m: re.Match):
+    """(signs, source signs of each) of a run of percent escapes."""
+    s = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
+    return s, [3 * len(c.encode("utf-8", "surrogateescape")) for c in s]
+
+
+def _escape(m: re.Match):
+    n = int(m[1] or m[2] or m[3], 16)
+    return (chr(n), [len(m[0])]) if n < 0x110000 else (m[0], [1] * len(m[0]))
+
+
+class Layer:
+    """A text and where its signs come from in the document: sign i stands for
+    [first[i], last[i]); without these lists all stand for ``whole``."""
+
+    def __init__(self, text: str, whole=None, first=None, last=None):
+        self.text, self.whole, self.first, self.last = text, whole, first, last
+
+    def place(self, start: int, end: int) -> tuple[int, int]:
+        return self.whole or (self.first[start], self.last[end - 1])
+
+    def decoded(self):
+        """The layer with its percent or Unicode escapes decoded in place, or None."""
+        for sign, pattern, decode in (("%", PERCENT, _percent), ("\\", ESCAPE, _escape)):
+            if sign not in self.text:
                 continue
-            out, lo, hi, at = [], [], [], 0
-            for m in runs:
-                s, e, new = m.start(), m.end(), decode(m[0])
-                out += [text[at:s], new]
-                lo += [*first[at:s], *[first[s]] * len(new)]
-                hi += [*last[at:s], *[last[e - 1]] * len(new)]
-                at = e
-            text, first, last = "".join([*out, text[at:]]), [*lo, *first[at:]], [*hi, *last[at:]]
-            yield text, first, last
-        if text == before:
-            return
-
-
-def all_spans(text: str, max_layer: int = MAX_LAYER) -> list[tuple[int, int, int]]:
-    """Base spans and those of all decoded layers, each once, in order."""
+            out, first, last, at, text = [], [], [], 0, self.text
+            for m in pattern.finditer(text):
+                new, many = decode(m)
+                out += [text[at : m.start()], new]
+                if not self.whole:
+                    first += self.first[at : m.start()]
+                    last += self.last[at : m.start()]
+                    i = m.start()
+                    for n in many:
+                        first.append(self.first[i])
+                        last.append(self.last[i + n - 1])
+                        i += n
+                at = m.end()
+            new = "".join([*out, text[at:]])
+            if new != text:
+                if self.whole:
+                    yield Layer(new, self.whole)
+                else:
+                    yield Layer(new, None, [*first, *self.first[at:]], [*last, *self.last[at:]])
+
+    def opened(self):
+        """The layers inside base64 runs, compressed ones unpacked."""
+        for m in BASE64.finditer(self.text):
+            for s in _base64_layers(m[0].rstrip("=")):
+                yield Layer(s, self.place(m.start(), m.end()))
+        if "\n" in self.text:
+            for m in WRAPPED.finditer(self.text):
+                for s in _base64_layers("".join(m[0].split()).rstrip("=")):
+                    yield Layer(s, self.place(m.start(), m.end()))
+
+
+def all_spans(text: str) -> list[tuple[int, int, int]]:
+    """Base spans and those of all decoded layers, each once, in order.
+
+    A worklist of layers: escapes are decoded in place, in their context, with
+    exact offsets; what base64 holds stands for its whole run.  A layer that has
+    been seen with the same place isn't opened again."""
     found = set(base_spans(text))
-    seen = {hash(text)}
-    work = list(unwrap(text, max_layer))
-    for layer, first, last in in_context(text):  # what has no decoded sign in it is in the text itself
-        found |= {(first[s], kind, last[e - 1]) for s, kind, e in base_spans(layer) if last[e - 1] - first[s] != e - s}
-        work += [(first[s], last[e - 1], inner) for s, e, inner in unwrap(layer, max_layer) if last[e - 1] - first[s] != e - s]
+    top = Layer(text, None, range(len(text)), range(1, len(text) + 1))
+    seen, work = set(), [itertools.chain(top.decoded(), top.opened())]
     while work:
-        start, end, layer = work.pop()
-        mark = hash((start, end, layer))
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        mark = layer.whole, hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest()
         if mark in seen:
             continue
         seen.add(mark)
-        found |= {(start, kind, end) for _, kind, _ in base_spans(layer)}
-        work += [(start, end, inner) for _, _, inner in unwrap(layer, max_layer) if inner != layer]
-        work += [(start, end, inner) for inner, _, _ in in_context(layer)]
+        for s, kind, e in base_spans(layer.text):
+            a, b = layer.place(s, e)
+            found.add((a, kind, b))
+        work.append(itertools.chain(layer.decoded(), layer.opened()))  # one layer at a time is held
     return sorted(found)
 
 
@@ -175,13 +233,13 @@ def form(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", max_layer: int = MAX_LAYER) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_assign, n_access, n_hex (base spans), base_sha256, spans."""
 
     def run(batches):
         for part, texts in by_bytes(batches, "text"):
             base = [base_spans(t) for t in texts]
-            full = [all_spans(t, max_layer) for t in texts]
+            full = [all_spans(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
@@ -198,10 +256,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", max_layer: in
     return out.withColumnRenamed("key", key)
 
 
-def redact_text(text: str, mask: str = "[SECRET]", max_layer: int = MAX_LAYER) -> str:
+def redact_text(text: str, mask: str = "[SECRET]") -> str:
     """The text with every span (overlaps joined) replaced by ``mask``."""
     out, at = [], 0
-    for s, _, e in all_spans(text, max_layer):
+    for s, _, e in all_spans(text):
         if s >= at:
             out += [text[at:s], mask]
         at = max(at, e)

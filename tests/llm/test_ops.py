@@ -411,6 +411,93 @@ def test_op9_runs_in_their_context():
     assert secrets.all_spans("50%25 of plain/words-and_paths/with/slashes 100%") == []
 
 
+def slow_spans(text):
+    """Every escape decoded sign by sign, every run of base64 signs decoded from each offset."""
+    import base64
+    import re
+    import zlib
+
+    from tallframe.llm import secrets
+
+    def escapes(t, place, sign):
+        out, i = [], 0
+        while i < len(t):
+            m = re.compile("(?:%[0-9A-Fa-f]{2})+" if sign == "%" else r"\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|U[0-9A-Fa-f]{8})").match(t, i)
+            if not m:
+                out.append((t[i], place[i]))
+                i += 1
+            elif sign == "%":
+                for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+                    n = 3 * len(c.encode("utf-8", "surrogateescape"))
+                    out.append((c, (place[i][0], place[i + n - 1][1])))
+                    i += n
+            else:
+                out.append((chr(int(m[0][2:], 16)), (place[i][0], place[m.end() - 1][1])))
+                i = m.end()
+        return "".join(c for c, _ in out), [p for _, p in out]
+
+    def unpack(data):
+        try:
+            return unpack(zlib.decompressobj(47).decompress(data))
+        except zlib.error:
+            return data
+
+    found, seen, work = set(), set(), [(text, [(i, i + 1) for i in range(len(text))])]
+    while work:
+        t, place = work.pop()
+        if not t or (t, tuple(place)) in seen:
+            continue
+        seen.add((t, tuple(place)))
+        found |= {(place[s][0], k, place[e - 1][1]) for s, k, e in secrets.base_spans(t)}
+        work += [escapes(t, place, sign) for sign in "%\\"]
+        for m in re.finditer("[A-Za-z0-9+/_-]{16,}=*", t):
+            run, where = m[0].rstrip("=").replace("-", "+").replace("_", "/"), (place[m.start()][0], place[m.end() - 1][1])
+            for at in range(len(run) - 15):
+                part = run[at:][: len(run[at:]) - (len(run[at:]) % 4 == 1)]
+                new = unpack(base64.b64decode(part + "=" * (-len(part) % 4))).decode("utf-8", "replace")
+                work.append((new, [where] * len(new))) if re.search("[ -~\\s]{12}", new) else None
+    return sorted(found)
+
+
+def test_op9_scan_against_a_slow_reference(spark, docs):
+    import base64
+    import gzip
+
+    from tallframe.llm import secrets
+
+    inner = "x password=hunter2hunter2 and token: abcdefgh"
+    enc = base64.b64encode(inner.encode()).decode()
+    rows = [(i, t) for i, (_, t) in enumerate(texts(docs)) if t != LONG]
+    rows += [(1000 + i, t) for i, t in enumerate([
+        f"é {enc} x", f"a/b_{enc}", "pass%77ord%3Dhunter2%68unter2 %C3%A9 token\\u003dabcdef\\x67", "%5Cu0041KIA" + "B" * 16,
+        "q " + base64.b64encode(gzip.compress(enc.encode())).decode(), "%41%4b%49%41" + "C" * 20, "tail " + base64.b64encode(enc.encode()).decode()])]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        r, base = got[k], secrets.base_spans(t)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x == n for _, x, _ in base) for n in range(3)]
+        assert r.base_sha256 == hashlib.sha256(secrets.form(base).encode()).hexdigest()
+        assert r.spans == secrets.form(slow_spans(t)), t[:200]
+
+
+def test_op9_long_runs_take_linear_time_and_streams_are_read_to_the_end(monkeypatch):
+    import base64
+    import gzip
+    import time
+
+    from tallframe.llm import secrets
+
+    for t in ("% " + "a." * 500_000, "\\ " + "a" * 1_000_000, "-a" * 500_000 + "\n", "%41" * 300_000):
+        start = time.time()
+        secrets.all_spans(t)
+        assert time.time() - start < 5
+    assert secrets.all_spans("xx password%3dhunter2hunter2 y") == [(3, 0, 28)]
+    monkeypatch.setattr(secrets, "WINDOW", 100_000)
+    for filler in (b"no line ends here ", b"line\n", b"\0"):
+        data = gzip.compress(filler * 40_000) + gzip.compress(b"\npassword=hunter2hunter2")
+        t = base64.b64encode(data).decode()
+        assert secrets.all_spans("a " + t) == [(2, 0, 2 + len(t))]
+
+
 def test_op10_quality(spark, docs, empty):
     from tallframe.llm import quality
 
