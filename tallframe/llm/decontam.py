@@ -10,14 +10,20 @@ least edit distance of the item to any substring of the window.
 Text is compared after lower-casing and with each white-space character turned
 into a blank; both keep positions, so spans are in code points of the original.
 
-Nulls and empty texts match nothing, as do null and empty items.  Items that
-equal each other after normalisation all count.  Repeated rows give repeated
+Nulls and empty texts match nothing, as do items of null or empty text.  Item
+ids may be of any ordered type; items with the id null count as one item, given
+last.  Items that equal each other after normalisation all count, and an id
+that repeats counts once, by its closest text.  Repeated rows give repeated
 results.  An empty benchmark leaves every document clean; an empty table gives
-an empty result.  Whole texts are searched, and all hits are verified.
+an empty result.  Whole texts are searched, very long ones too, and all hits
+are verified.  Columns of the table may have any names: ``matches`` reads key
+and text only, ``decontaminate`` returns all columns as they are.
 """
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +34,8 @@ from .bpe import by_bytes
 ERROR_RATE = 0.08
 #: characters of items that one automaton takes; larger benchmarks are done in blocks
 BLOCK_CHARS = 4_000_000
+#: white space other than the blank
+SPACE = re.compile(r"[^\S ]")
 
 
 def normalise(text: str) -> str:
@@ -35,10 +43,7 @@ def normalise(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    for s in "\n\t\r\v\f\xa0":
-        if s in low:
-            low = low.replace(s, " ")
-    return low
+    return SPACE.sub(" ", low)
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -79,7 +84,7 @@ def myers(item: str, window: str) -> tuple[int, int]:
 class Matcher:
     """Automaton over the pieces of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
+    def __init__(self, items: list[tuple], rate: float = ERROR_RATE):
         import ahocorasick
 
         self.items, found = [], {}
@@ -97,7 +102,7 @@ class Matcher:
         if found:
             self.automaton.make_automaton()
 
-    def find(self, text: str) -> dict[int, tuple[int, int]]:
+    def find(self, text: str) -> dict:
         """item id -> (least distance, end of the match in the text)."""
         if not self.items or not text:
             return {}
@@ -113,7 +118,7 @@ class Matcher:
                     mine[-1][1] = max(mine[-1][1], b)  # one pass over windows that overlap
                 else:
                     mine.append([a, b])
-        out: dict[int, tuple[int, int]] = {}
+        out: dict = {}
         for item, spans in windows.items():
             ident, t, k = self.items[item]
             for a, b in spans:
@@ -128,8 +133,8 @@ class Matcher:
         return out
 
 
-def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> list[list[tuple[int, str]]]:
-    """Items in blocks of at most ``BLOCK_CHARS`` characters (a longer single
+def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> list[list[tuple]]:
+    """Items in blocks of about ``BLOCK_CHARS`` characters (a longer single
     item makes a block of its own).  Lengths are looked at first; each block is
     read on its own when it is used."""
     rows = benchmark.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -140,31 +145,35 @@ def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text")
         yield [(r["k"], r["t"]) for r in rows.where(part == i).collect()]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
-    """key, items (matching item ids, ascending), distances (of each), ends.
-    One row per row of ``docs``: what a block finds is carried on to the next."""
-    kind = docs.schema[key].dataType.simpleString()
-    form = "items array<long>, distances array<long>, ends array<long>"
-    out = docs.select(docs[key].alias("key"), docs[text].alias("text"), *(F.array().cast("array<long>").alias(c) for c in ("items", "distances", "ends")))
-    for block in item_blocks(benchmark):
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", rate: float = ERROR_RATE, item_key: str = "item_id") -> DataFrame:
+    """key, items (matching item ids, ascending, null last), distances (of
+    each), ends.  One row per row of ``docs``: what a block finds is carried on
+    to the next."""
+    item_type = benchmark.schema[item_key].dataType
+    kind, item = docs.schema[key].dataType.simpleString(), item_type.simpleString()
+    names = ["items", "distances", "ends"]
+    empty = [F.array().cast(f"array<{x}>").alias(c) for c, x in zip(names, (item, "bigint", "bigint"))]
+    out = docs.select(docs[key].alias("key"), docs[text].alias("text"), *empty)
+    for block in item_blocks(benchmark, item_key):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             m = Matcher(shared.value, rate)
             for part, texts in by_bytes(batches, "text"):
-                known = zip(*(part.column(c).to_pylist() for c in ("items", "distances", "ends")))
+                kinds = [part.schema.field(c).type for c in names]
+                known = zip(*(part.column(c).to_pylist() for c in names))
                 found = [{i: (d, e) for i, d, e in zip(*k)} for k in known]
                 for f, t in zip(found, texts):
                     for i, hit in m.find(t).items():
                         f[i] = min(hit, f[i], key=lambda x: x[0]) if i in f else hit
-                rows = [sorted((i, d, e) for i, (d, e) in f.items()) for f in found]
+                rows = [sorted(((i, d, e) for i, (d, e) in f.items()), key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0)) for f in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), part.column("text"), *(pa.array([[x[n] for x in f] for f in rows], pa.list_(pa.int64())) for n in range(3))],
-                    ["key", "text", "items", "distances", "ends"],
+                    [part.column("key"), part.column("text"), *(pa.array([[x[n] for x in f] for f in rows], kinds[n]) for n in range(3))],
+                    ["key", "text", *names],
                 )
 
-        out = out.mapInArrow(run, f"key {kind}, text string, {form}")
-    return out.select(F.col("key").alias(key), "items", "distances", "ends")
+        out = out.mapInArrow(run, f"key {kind}, text string, items array<{item}>, distances array<long>, ends array<long>")
+    return out.select(F.col("key").alias(key), *names)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = ERROR_RATE) -> DataFrame:

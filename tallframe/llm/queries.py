@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def tokenizer_path(name: str) -> str:
-    """A vocabulary file: below $TOKENIZER_DIR if set, else where the installed
-    package of public tokenizers has it."""
-    if folder := os.environ.get("TOKENIZER_DIR"):
-        return os.path.join(folder, name)
+    """Where the installed package of public tokenizers has a vocabulary file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)

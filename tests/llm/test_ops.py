@@ -356,6 +356,8 @@ def test_op8_positions_and_growth(docs, empty):
     for n in (1, 5, 16, 17):
         held = Counter(shards.slot_map(n))
         assert len(held) == n and max(held.values()) - min(held.values()) <= n
+    many = shards.assign(docs.unionByName(docs), 16).collect()
+    assert {r.doc_id: r.shard for r in many} == by_id and len(many) == 2 * len(got)
     bytes_ = {s: 1 + (s % 7) * 100 for s in range(shards.SLOTS)}
     load = Counter()
     for s, o in enumerate(shards.rebalance(shards.slot_map(16), bytes_, 16)):
@@ -411,6 +413,39 @@ def test_op9_runs_in_their_context():
     assert secrets.all_spans("50%25 of plain/words-and_paths/with/slashes 100%") == []
 
 
+def test_op8_stored_map(docs, tmp_path):
+    from tallframe.llm import shards
+
+    spark = docs.sparkSession
+    got = shards.assign(docs, 16, path=str(tmp_path / "map")).collect()
+    store = shards.SlotMap(spark, str(tmp_path / "map"))
+    first, n_bytes = store.owners(1)
+    second, _ = store.owners(2)
+    assert first == shards.slot_map(16) and second == shards.slot_map(17)
+    want = Counter()
+    for r in got:
+        assert (r.shard, r.grown_shard) == (first[r.vslot], second[r.vslot])
+        want[r.vslot] += r.size
+    assert {s: n for s, n in n_bytes.items() if n} == dict(want)
+    third = store.rebalance(store.rebalance(2))
+    owner, _ = store.owners(third)
+    load = Counter()
+    for s, o in enumerate(owner):
+        load[o] += n_bytes[s]
+    assert third == 4 and max(owner) == 16 and sum(load.values()) == sum(want.values())
+
+
+def test_op7_ids_and_white_space(spark):
+    from tallframe.llm import decontam
+
+    item = "which of the two trains reaches the town before noon today"
+    df = spark.createDataFrame([(None, "a " + item.replace(" ", "\u3000"), 1), (5, item.replace(" ", "\u2003"), 2), (5, item.upper(), 3), (6, "x " * 200_000 + item, 4)], "doc_id long, text string, items long")
+    bench = spark.createDataFrame([(None, item), ("b", item + "?"), ("a", item), ("a", item), (None, item)], "item_id string, text string")
+    got = decontam.matches(df, bench).collect()
+    assert len(got) == 4 and all(r["items"] == ["a", "b", None] and r["distances"] == [0, 1, 0] for r in got)
+    assert decontam.decontaminate(df, bench).columns == df.columns
+
+
 def slow_spans(text):
     """Every escape decoded sign by sign, every run of base64 signs decoded from each offset."""
     import base64
