@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,16 @@ def remove_path(spark: SparkSession, path: str) -> None:
         pass
 
 
+def open_folder(base: str):
+    """Arrow filesystem and path of a folder given as a path or URI, for files
+    that tasks write or read themselves."""
+    import pyarrow.fs as pafs
+
+    if urlparse(base).scheme in ("", "file"):
+        return pafs.LocalFileSystem(), urlparse(base).path
+    return pafs.FileSystem.from_uri(base)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it: cuts lineage
     in a way that survives the loss of any executor."""

@@ -248,15 +248,58 @@ def test_op4_files_round_trip(docs, empty):
     assert to.token_positions(empty, path).count() == 0
 
 
-def test_perfect_hash_is_minimal_and_turns_strangers_away():
+def test_op4_equals_the_library_on_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    from tallframe.llm import token_output as to
+
+    path = P.path("byte_bpe_50k.json")
+    lib, enc = Tokenizer.from_file(path), to.Encoder(path)
+    t = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for x, ids in zip(t, enc.encode(t)):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(x, add_special_tokens=False).ids
+
+
+def shard_file(rows):
+    import pyarrow as pa
+
     from tallframe.llm import token_output as to
 
-    keys = [None, *range(3000)]
-    s = to.Shard(to.shard_bytes(keys, [np.arange(i % 5) for i in range(len(keys))]))
-    first, many = s.find(keys)
-    assert first.tolist() == list(range(len(keys))) and set(many) == {1}
-    assert sorted(s.index.places(np.array([to.fingerprint(k) for k in keys], np.uint64))) == list(range(len(keys)))
-    assert (s.find([-1, "x", 99999])[0] == -1).all()
+    class Kept(pa.BufferOutputStream):
+        def close(self):
+            pass
+
+    out = Kept()
+    w = to.ShardWriter(out)
+    for k, ids in rows:
+        w.add(k, ids)
+    w.close()
+    return pa.BufferReader(out.getvalue())
+
+
+def test_perfect_hash_is_minimal_and_turns_strangers_away(monkeypatch):
+    from tallframe.llm import token_output as to
+
+    rows = [(k, np.arange(i % 5)) for i, k in enumerate([None, *range(3000), 3000, 3000, "x" * 9])]
+    for weak in (False, True):
+        if weak:  # fingerprints that meet under the first seeds
+            real = to.fingerprint
+            monkeypatch.setattr(to, "fingerprint", lambda k, seed=0: real(k, seed) & (0xFF if seed < 3 else (1 << 64) - 1))
+        s = to.Shard(shard_file(rows))
+        assert s.seed == (3 if weak else 0)
+        keys = [None, *range(3001), "x" * 9]
+        first, many = s.find(keys)
+        assert first.tolist() == [*range(3002), 3003] and many.tolist() == [1] * 3001 + [2, 1]
+        assert (s.find([-1, "y", 99999])[0] == -1).all() and s.lookup(-1) == [] and s.lookup("y") == []
+        for i in (0, 1, 77, 3001):
+            assert [x.tolist() for x in s.lookup(keys[i])] == [r.tolist() for k, r in rows if k == keys[i]]
+        assert [x.tolist() for _, x in s.documents(0, len(rows), 7)] == [r.tolist() for _, r in rows]
+    calls = []
+    real_read = s.read
+    s.read = lambda n, at: calls.append(n) or real_read(n, at)
+    s.lookup(1500)
+    assert len(calls) < 16 and sum(calls) < 4096  # whatever the size of the shard
+    assert to.Shard(shard_file([])).find([1])[0].tolist() == [-1]
 
 
 def test_op5_against_tiktoken(docs, empty):
@@ -287,6 +330,27 @@ def test_op6_archives(spark):
         refers = 3 if k in (4, 7) else None
         assert tuple(got[k]) == (k, len(b), hashlib.sha256(b).hexdigest(), "revisit" if refers else "response", refers)
     assert warc.round_trip(pages.limit(0)).count() == 0
+    # null and repeated ids, repeated rows, a payload of some MB, a column named like a result
+    long = "<p>lang</p>" * 300_000
+    rows = [(None, "u", body, "x"), (9, "u", body, "y"), (9, "u", body, "y"), (10, "u", body, None), (None, "u", None, "z"), (11, None, long, "z"), (12, None, long, "z")]
+    odd = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string")
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(odd).collect())
+    n = len(body.encode())
+    assert got == Counter([(None, n, "revisit", 9), (9, n, "response", None), (9, n, "response", None), (10, n, "revisit", 9), (None, 0, "response", None),
+                           (11, len(long), "response", None), (12, len(long), "revisit", 11)])
+
+
+def test_op6_archive_forms():
+    import gzip
+
+    from tallframe.llm import warc
+
+    records = [warc._record("response", str(i), "d", None, "u", b"\r\n\r\nWARC/1.1" * i) for i in range(5)]
+    for data in (b"".join(records), gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
+        for size in (7, 1 << 20):
+            found = list(warc.parse(iter([data[i : i + size] for i in range(0, len(data), size)])))
+            assert [h["WARC-Record-ID"] for h, _ in found] == [f"<urn:tallframe:page:{i}>" for i in range(5)]
+            assert [b.split(b"\r\n\r\n", 1)[1] for _, b in found] == [b"\r\n\r\nWARC/1.1" * i for i in range(5)]
 
 
 def test_op7_edit_matches(spark, docs, empty):
