@@ -8,7 +8,8 @@ the byte mapping.
 
 Nulls encode as the empty text.  An empty text has no ids, and the digests of
 no bytes.  Texts are encoded whole, whatever their length; repeated rows give
-repeated results.  An empty table gives an empty result.
+repeated results.  An empty table gives an empty result.  Only the key and text
+columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ CUT = re.compile(r" (?=\S)")
 MARKS = frozenset(".,;:!?()-")
 #: Entries that a worker remembers before it starts afresh; bounds its memory.
 MEMO = 600_000
+#: Signs of the longest chunk that is remembered.
+KEPT = 64
 
 
 def byte_chars() -> list[str]:
@@ -95,7 +98,8 @@ class ChunkMemo(dict):
     """Chunk -> ids (little-endian unsigned 32-bit), learned on first use.
 
     Keys are chunks without their leading blank; ``head`` holds those that have
-    none.  A full memory is emptied, which costs time but no result.
+    none.  Chunks over ``KEPT`` signs aren't kept, and a full memory is emptied,
+    which bounds its bytes and costs time but no result.
     """
 
     def __init__(self, encode, limit: int = MEMO):
@@ -108,7 +112,8 @@ class ChunkMemo(dict):
             out = self[word[:-1]] + self.mark(word[-1])
         else:
             out = self.encode_chunk(" " + word)
-        self[word] = out
+        if len(word) <= KEPT:
+            self[word] = out
         return out
 
     def mark(self, mark: str) -> bytes:
@@ -120,6 +125,8 @@ class ChunkMemo(dict):
     def encode(self, text: str) -> bytes:
         """Ids of a text, chunk by chunk."""
         first, *rest = text.split(" ") if LOOSE_BLANK.search(text) is None else CUT.split(text)
+        if len(first) > KEPT:
+            return self.encode_chunk(first) + b"".join(map(self.__getitem__, rest))
         if first not in self.head:
             if len(self.head) >= self.limit // 8:
                 self.head.clear()

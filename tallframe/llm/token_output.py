@@ -1,8 +1,9 @@
 """Token-id shards with a minimal perfect hash index.
 
 A shard is one binary file: a header, the raw ids of its documents one after
-the other (unsigned 16- or 32-bit little-endian), the offsets of documents,
-and an index.  The index is a minimal perfect hash over the shard's distinct
+the other (unsigned 16- or 32-bit little-endian, by the vocabulary's size), the
+offsets of documents, an index and a footer.  It is written from front to back,
+ids as they are made.  The index is a minimal perfect hash over the shard's distinct
 keys (cascaded bit arrays: each level keeps the keys that fall alone on a bit;
 the number of bits set before a key's bit is its place), with, per place, a
 64-bit fingerprint of the key and the first document of that key.  A lookup
@@ -15,8 +16,9 @@ leave whole files only.
 
 Nulls: a null text encodes as the empty one (its end id alone), a null key
 sorts first and is looked up like any other.  Repeated keys keep all their
-rows, next to each other in order of text digest.  An empty table gives no
-shards and an empty result.
+rows, next to each other in order of text digest.  Very long texts are encoded
+whole.  An empty table gives no shards and an empty result.  Only the key and
+text columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -26,26 +28,26 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ChunkMemo, by_bytes, byte_chars, plain_pieces
-from .common import materialize, new_path
+from .common import materialize, new_path, open_folder
 
-MAGIC = b"TFIDS001"
-#: bits for each key at a level of the hash
-GAMMA = 2
+MAGIC = b"TFIDS002"
+#: bits for each key at a level of the hash, bits of a block
+GAMMA, BLOCK = 2, 512
+#: bytes of text in a shard, about: at most, and at least where that leaves no core idle
+SHARD_BYTES, SMALL_SHARD = 256_000_000, 8_000_000
 
 
-def fingerprint(key) -> int:
+def fingerprint(key, seed: int = 0) -> int:
     """64 bits of a key's text form; null has a form of its own."""
     form = b"\x00" if key is None else str(key).encode("utf-8", "surrogatepass") + b"\x01"
-    return int.from_bytes(hashlib.blake2b(form, digest_size=8).digest(), "little")
+    return int.from_bytes(hashlib.blake2b(form, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
 
 
 def _mix(x: np.ndarray, level: int) -> np.ndarray:
@@ -58,18 +60,21 @@ def _mix(x: np.ndarray, level: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """Minimal perfect hash of distinct 64-bit fingerprints."""
+    """Minimal perfect hash of distinct 64-bit fingerprints: bit arrays, level by
+    level, with the number of bits set before each block of ``BLOCK`` bits."""
 
     def __init__(self, levels: list[np.ndarray]):
         self.levels = levels
         self.base = np.cumsum([0, *[int(b.sum()) for b in levels]])
-        self.before = [np.cumsum(b, dtype=np.int64) - b for b in levels]
 
     @classmethod
     def build(cls, prints: np.ndarray) -> PerfectHash:
-        levels, left = [], np.asarray(prints, np.uint64)
+        left = np.asarray(prints, np.uint64)
+        if len(np.unique(left)) < len(left):
+            raise ValueError("fingerprints must differ")
+        levels = []
         while len(left):
-            size = max(8, GAMMA * len(left))
+            size = -(-max(8, GAMMA * len(left)) // BLOCK) * BLOCK
             at = (_mix(left, len(levels)) % np.uint64(size)).astype(np.int64)
             alone = np.bincount(at, minlength=size) == 1
             levels.append(alone)
@@ -84,71 +89,120 @@ class PerfectHash:
         for n, bits in enumerate(self.levels):
             at = (_mix(prints[todo], n) % np.uint64(len(bits))).astype(np.int64)
             hit = bits[at]
-            out[todo[hit]] = self.base[n] + self.before[n][at[hit]]
+            out[todo[hit]] = self.base[n] + (np.cumsum(bits) - 1)[at[hit]]
             todo = todo[~hit]
         return out
 
     def to_bytes(self) -> bytes:
-        sizes = np.array([len(b) for b in self.levels], "<u8")
-        return struct.pack("<I", len(sizes)) + sizes.tobytes() + b"".join(np.packbits(b).tobytes() for b in self.levels)
+        """Blocks of all levels: bits set before the block (8 bytes), its bits."""
+        bits = np.concatenate([np.zeros(0, bool), *self.levels]).reshape(-1, BLOCK)
+        before = np.cumsum(bits.sum(1)) - bits.sum(1)
+        return np.concatenate([before.astype("<u8")[:, None].view(np.uint8), np.packbits(bits, axis=1)], axis=1).tobytes()
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> PerfectHash:
-        (n,) = struct.unpack_from("<I", data)
-        at, levels = 4 + 8 * n, []
-        for size in np.frombuffer(data, "<u8", n, 4).tolist():
-            raw = np.frombuffer(data, np.uint8, (size + 7) // 8, at)
-            levels.append(np.unpackbits(raw, count=size).astype(bool))
-            at += len(raw)
-        return cls(levels)
-
-
-def shard_bytes(keys: list, ids: list[np.ndarray], width: int = 2) -> bytes:
-    """The file of one shard: documents in the given order, equal keys adjacent."""
-    lengths = np.array([len(x) for x in ids], np.int64)
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
-    prints = np.array([fingerprint(k) for k in keys], np.uint64)
-    firsts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])) if len(prints) else np.array([], np.int64)
-    index = PerfectHash.build(prints[firsts])
-    place = index.places(prints[firsts])
-    stored, first, many = np.zeros(len(firsts), "<u8"), np.zeros(len(firsts), "<u8"), np.zeros(len(firsts), "<u8")
-    stored[place], first[place] = prints[firsts], firsts
-    many[place] = np.diff(np.append(firsts, len(prints)))
-    payload = b"".join(x.astype("<u2" if width == 2 else "<u4").tobytes() for x in ids)
-    hashed = index.to_bytes()
-    head = struct.pack("<8sIQQQ", MAGIC, width, len(keys), len(firsts), len(payload)) + struct.pack("<Q", len(hashed))
-    return head + payload + offsets.tobytes() + stored.tobytes() + first.tobytes() + many.tobytes() + hashed
+    def from_bytes(cls, data: bytes, sizes: list[int]) -> PerfectHash:
+        bits = np.unpackbits(np.frombuffer(data, np.uint8).reshape(-1, 8 + BLOCK // 8)[:, 8:], axis=1).astype(bool).ravel()
+        ends = np.cumsum([0, *sizes])
+        return cls([bits[a:b] for a, b in zip(ends, ends[1:])])
+
+
+class ShardWriter:
+    """Writes a shard from front to back: ids as they come, the index at the end.
+    Only keys and lengths are held."""
+
+    def __init__(self, out, width: int = 2):
+        self.out, self.kind, self.keys, self.lengths = out, "<u2" if width == 2 else "<u4", [], []
+        out.write(struct.pack("<8sII", MAGIC, width, 0))
+
+    def add(self, key, ids: np.ndarray) -> None:
+        """The next document; equal keys come one after the other."""
+        self.keys.append(key)
+        self.lengths.append(len(ids))
+        self.out.write(np.asarray(ids).astype(self.kind).tobytes())
+
+    def close(self) -> None:
+        keys, n = self.keys, len(self.keys)
+        offsets = np.concatenate([[0], np.cumsum(np.array(self.lengths, np.int64))]).astype("<u8")
+        firsts = np.array([i for i in range(n) if not i or keys[i] != keys[i - 1] or (keys[i] is None) != (keys[i - 1] is None)], np.int64)
+        for seed in range(100):  # the next seed where two keys meet in one fingerprint
+            prints = np.array([fingerprint(keys[i], seed) for i in firsts], np.uint64)
+            if len(np.unique(prints)) == len(prints):
+                break
+        index = PerfectHash.build(prints)
+        place = index.places(prints)
+        table = np.zeros((len(firsts), 3), "<u8")
+        table[place, 0], table[place, 1], table[place, 2] = prints, firsts, np.diff(np.append(firsts, n))
+        sizes = [len(b) for b in index.levels]
+        self.out.write(offsets.tobytes() + table.tobytes() + index.to_bytes() + np.array(sizes, "<u8").tobytes())
+        self.out.write(struct.pack("<QQQII8s", n, len(firsts), int(offsets[-1]), len(sizes), seed, MAGIC))
+        self.out.close()
 
 
 class Shard:
-    """Keyed access to the bytes of a shard file."""
+    """Keyed access to a shard file that can be read at any place.
 
-    HEAD = struct.calcsize("<8sIQQQ") + 8
+    ``lookup`` reads a few fixed-size pieces whatever the shard's size: a block
+    of the hash, a row of the table, two offsets, the ids.  ``find`` looks up
+    many keys and loads hash and table for that, never the ids."""
 
-    def __init__(self, data: bytes):
-        magic, width, n_docs, n_keys, n_payload = struct.unpack_from("<8sIQQQ", data)
+    FOOT = struct.calcsize("<QQQII8s")
+
+    def __init__(self, file):
+        size = file.size()
+        self.read = file.read_at  # (number of bytes, place)
+        n_docs, self.n_keys, n_ids, n_levels, self.seed, magic = struct.unpack("<QQQII8s", self.read(self.FOOT, size - self.FOOT))
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        at = self.HEAD
-        self.payload = np.frombuffer(data, "<u2" if width == 2 else "<u4", n_payload // width, at)
-        at += n_payload
-        self.offsets = np.frombuffer(data, "<u8", n_docs + 1, at)
-        at += 8 * (n_docs + 1)
-        self.stored, self.first, self.many = (np.frombuffer(data, "<u8", n_keys, at + 8 * n_keys * i) for i in range(3))
-        self.index = PerfectHash.from_bytes(data[at + 24 * n_keys :])
+        _, width, _ = struct.unpack("<8sII", self.read(16, 0))
+        self.kind = np.dtype("<u2" if width == 2 else "<u4")
+        self.offsets_at = 16 + n_ids * width
+        self.table_at = self.offsets_at + 8 * (n_docs + 1)
+        self.hash_at = self.table_at + 24 * self.n_keys
+        levels_at = size - self.FOOT - 8 * n_levels
+        self.hash_bytes = levels_at - self.hash_at
+        self.sizes = np.frombuffer(self.read(8 * n_levels, levels_at), "<u8").tolist()
+
+    def lookup(self, key) -> list[np.ndarray]:
+        """The ids of each document of a key; none if there is no such key."""
+        p = fingerprint(key, self.seed)
+        before = 0
+        for n, size in enumerate(self.sizes):
+            at = int(_mix(np.array([p], np.uint64), n)[0] % np.uint64(size)) + before
+            block = self.read(8 + BLOCK // 8, self.hash_at + at // BLOCK * (8 + BLOCK // 8))
+            bits = np.unpackbits(np.frombuffer(block, np.uint8, offset=8))
+            if bits[at % BLOCK]:
+                place = struct.unpack("<Q", block[:8])[0] + int(bits[: at % BLOCK].sum())
+                stored, first, many = struct.unpack("<QQQ", self.read(24, self.table_at + 24 * place))
+                return [x for _, x in self.documents(first, first + many)] if stored == p else []
+            before += size
+        return []
 
     def find(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
         """(first document, number of documents) of each key; (-1, 0) if absent."""
-        prints = np.array([fingerprint(k) for k in keys], np.uint64)
-        place = self.index.places(prints)
+        index = PerfectHash.from_bytes(self.read(self.hash_bytes, self.hash_at), self.sizes)
+        table = np.frombuffer(self.read(24 * self.n_keys, self.table_at), "<u8").reshape(-1, 3)
+        prints = np.array([fingerprint(k, self.seed) for k in keys], np.uint64)
+        place = index.places(prints)
         ok = place >= 0
-        ok[ok] = self.stored[place[ok]] == prints[ok]
+        ok[ok] = table[place[ok], 0] == prints[ok]
         first, many = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        first[ok], many[ok] = self.first[place[ok]], self.many[place[ok]]
+        first[ok], many[ok] = table[place[ok], 1], table[place[ok], 2]
         return first, many
 
-    def ids(self, document: int) -> np.ndarray:
-        return self.payload[int(self.offsets[document]) : int(self.offsets[document + 1])]
+    def documents(self, start: int, end: int, window: int = 1 << 20):
+        """(ids before it in the shard, ids) of documents in order, read
+        ``window`` ids at a time (a longer document at once)."""
+        while start < end:
+            some = min(end, start + 65_536)
+            at = np.frombuffer(self.read(8 * (some - start + 1), self.offsets_at + 8 * start), "<u8").astype(np.int64)
+            i = 0
+            while i < some - start:
+                j = max(i + 1, int(np.searchsorted(at, at[i] + window, "right")) - 1)
+                ids = np.frombuffer(self.read(int(at[j] - at[i]) * self.kind.itemsize, 16 + int(at[i]) * self.kind.itemsize), self.kind)
+                for d in range(i, j):
+                    yield int(at[d]), ids[at[d] - at[i] : at[d + 1] - at[i]]
+                i = j
+            start = some
 
 
 class Encoder:
@@ -169,6 +223,8 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.model, self.chars = self.lib.model, byte_chars()
+        # only what works byte by byte may be cut at blanks
+        self.cuts = self.lib.normalizer is None and "ByteLevel" in type(self.lib.pre_tokenizer).__name__
         self.memo = ChunkMemo(self._chunk)
 
     def _chunk(self, chunk: str) -> bytes:
@@ -186,7 +242,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return [self._whole(t) if any(a in t for a in self.added) else self.memo.encode(t) for t in texts]
+        return [self.memo.encode(t) if self.cuts and not any(a in t for a in self.added) else self._whole(t) for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -198,13 +254,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _fs(base: str):
-    """Filesystem and path of a folder given as a path or URI."""
-    if urlparse(base).scheme in ("", "file"):
-        return pafs.LocalFileSystem(), urlparse(base).path
-    return pafs.FileSystem.from_uri(base)
-
-
 def write_shards(
     docs: DataFrame, path: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = 0, n_shards: int | None = None
 ) -> DataFrame:
@@ -215,40 +264,39 @@ def write_shards(
     rows is spread over shards too.
     """
     spark = docs.sparkSession
-    n = n_shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    if n_shards is None:
+        total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n_shards = max(1, -(-total // SHARD_BYTES), min(wide, -(-total // SMALL_SHARD)))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
-        keys, ids = [], []
-        enc = encoder(path)
-        top = 0
-        for part, texts in by_bytes(batches, "text"):
-            keys += part.column(0).to_pylist()
-            for x in enc.encode(texts):
-                a = np.append(np.frombuffer(x, "<u4"), np.uint32(end_id))
-                top = max(top, int(a.max()))
-                ids.append(a.astype(np.uint16) if a.max() < 65536 else a)
-        if not keys:
-            return
-        fs, base = _fs(folder)
+        enc, writer, mine = encoder(path), None, None
+        fs, base = open_folder(folder)
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}.ids"
-        fs.create_dir(base, recursive=True)
-        mine = f"{base}/.{name}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(mine) as out:
-            out.write(shard_bytes(keys, ids, 2 if top < 65536 else 4))
+        for part, texts in by_bytes(batches, "text"):
+            if writer is None:
+                fs.create_dir(base, recursive=True)
+                mine = f"{base}/.{name}.{uuid.uuid4().hex}"
+                writer = ShardWriter(fs.open_output_stream(mine), 2 if max(enc.lib.get_vocab_size(), end_id + 1) <= 65536 else 4)
+            for k, x in zip(part.column(0).to_pylist(), enc.encode(texts)):
+                writer.add(k, np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)))
+        if writer is None:
+            return
+        writer.close()
         fs.move(mine, f"{base}/{name}")
-        for at in range(0, len(keys), 10_000):
-            some = keys[at : at + 10_000]
+        for at in range(0, len(writer.keys), 10_000):
+            some = writer.keys[at : at + 10_000]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard] * len(some), pa.int32()), pa.array([name] * len(some)), pa.array(some, part.column(0).type)],
                 ["shard", "file", "key"],
             )
 
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    dealt = rows.repartitionByRange(n, F.col("key").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(
+    dealt = rows.repartitionByRange(n_shards, F.col("key").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(
         F.col("key").asc_nulls_first(), F.xxhash64("text")
     )
     return materialize(dealt.mapInArrow(run, f"shard int, file string, key {kind}"), "manifest")
@@ -262,24 +310,28 @@ def read_shards(manifest: DataFrame, folder: str, key: str = "doc_id") -> DataFr
 
     def run(keys_: tuple, rows: pa.Table) -> pa.Table:
         shard, name = keys_[0].as_py(), keys_[1].as_py()
-        fs, base = _fs(folder)
+        fs, base = open_folder(folder)
         with fs.open_input_file(f"{base}/{name}") as f:
-            s = Shard(f.read())
-        keys = rows.column("key").to_pylist()
-        first, many = s.find(keys)
-        if (first < 0).any():
-            raise LookupError(f"{name} lacks a key of its manifest")
-        k, d = [], []
-        for key_, a, m in zip(keys, first.tolist(), many.tolist()):
-            k += [key_] * m
-            d += range(a, a + m)
-        found = [s.ids(i) for i in d]
+            s = Shard(f)
+            keys = rows.column("key").to_pylist()
+            first, many = s.find(keys)
+            if (first < 0).any():
+                raise LookupError(f"{name} lacks a key of its manifest")
+            k, at, n, crc = [], [], [], []
+            order = np.argsort(first)
+            runs = np.flatnonzero(np.append(True, first[order][1:] != (first + many)[order][:-1])) if len(order) else []
+            for i, j in zip(runs, [*runs[1:], len(order)]):  # neighbours are read together
+                owner = [keys[x] for x in order[i:j] for _ in range(many[x])]
+                a = int(first[order[i]])
+                for key_, (before, ids) in zip(owner, s.documents(a, a + len(owner))):
+                    k.append(key_)
+                    at.append(before)
+                    n.append(len(ids))
+                    crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
         return pa.table(
             {
                 "key": pa.array(k, rows.schema.field("key").type), "shard": pa.array([shard] * len(k), pa.int32()),
-                "at": pa.array([int(s.offsets[i]) for i in d], pa.int64()),
-                "n_tokens": pa.array([len(x) for x in found], pa.int64()),
-                "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64()),
+                "at": pa.array(at, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
             }
         )
 
