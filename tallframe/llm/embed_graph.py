@@ -4,10 +4,10 @@
     ``BALL`` degrees of a leader met in the same task fold into a ball: any
     two of its vectors are linked, so dense groups are counted, not paired.
 2.  Balls go to the shards of their ``OVERLAP`` nearest centroids (k-means on
-    a bounded sample, ``SAMPLE`` nodes).  Each shard builds a flat graph by
+    a bounded sample, ``SAMPLE`` nodes); shards that grow large are split again.  Each shard builds a flat graph by
     robust pruning, and the adjacency lists of a ball's shards are united.
 3.  Each shard searches for the balls at home in it, over its members and the
-    outside neighbours of these balls: a greedy beam search from the medoid, then
+    outside neighbours of these balls with their united lists: a greedy beam search from the medoid, then
     expansion of everything within range until nothing new is in range.
 4.  Pairs found are verified in double precision.  Two balls are linked as
     wholes if even their farthest vectors are; if the radii leave it open,
@@ -18,11 +18,13 @@ Vectors that are null, zero, or hold null or non-finite components link with
 nothing: no links, a component of their own.  Vectors of different lengths
 never link.  Rows with equal vectors link with each other; a row with a null id
 has its links but gives no component its name.  An empty table gives an empty
-result.
+result.  Only key and vector are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +37,10 @@ COSINE = 0.95
 BALL = 9.0
 OVERLAP = 3
 SAMPLE = 8192
-SHARD = 400
-MAX_SHARDS = 4096
+#: balls of a shard, centres of the first level, balls above which a shard is split into FINE
+SHARD, MAX_SHARDS, SPLIT, FINE = 400, 4096, 6000, 16
+#: vectors that a worker holds while it folds them into balls
+HELD = 40_000
 DEGREE = 16
 BEAM = 24
 ALPHA = 1.2
@@ -149,8 +153,50 @@ def range_search(x: np.ndarray, nbrs: list[np.ndarray], queries: np.ndarray, sta
     return row, node, sims[row, node]
 
 
-def _node_id() -> F.Column:
-    return F.xxhash64(F.col("embedding"))
+def _digest() -> list:
+    """128 bits that tell vectors apart in joins."""
+    return [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")]
+
+
+def _split(routed: DataFrame) -> DataFrame:
+    """``routed`` with shards of over ``SPLIT`` balls dealt to finer ones, level
+    by level: the ``FINE`` members with the least hash in a shard are its new
+    centres, and each ball goes to the two nearest, the first being home if the
+    shard was.  Centres are joined by shard, so nothing grows on the driver."""
+    kind = routed.schema["u"].dataType.simpleString()
+    parts, before = [routed], None
+    while True:
+        coarse = parts.pop()
+        sizes = coarse.groupBy("shard").agg(F.count("*").alias("size"))
+        large = materialize(sizes.where(F.col("size") > SPLIT), "large")
+        most = large.agg(F.max("size")).first()[0]
+        large = large.select("shard")
+        if most is None or before and most > 0.9 * before:  # vectors that no centres tell apart stay together
+            return reduce(DataFrame.unionByName, [*parts, coarse])
+        parts.append(coarse.join(large, "shard", "left_anti"))
+        crowd = coarse.join(large, "shard")
+        # the smallest structs of a shard, kept while rows stream by
+        order = F.struct(F.xxhash64("bid").alias("o"), "u")
+        centres = crowd.groupBy("shard", F.pmod(F.xxhash64("bid"), F.lit(FINE)).alias("cell")).agg(F.min(order).alias("c"))
+        centres = centres.groupBy("shard").agg(F.sort_array(F.collect_list("c")).alias("c")).select("shard", F.transform("c", lambda c: c["u"]).alias("c"))
+
+        def deal(batches):
+            for b in batches:
+                out = []
+                for shard, home, bid, rho, u, c in zip(*(b.column(i).to_pylist() for i in range(6))):
+                    near = np.argsort(-(unit(c) @ unit([u])[0]), kind="stable")[:2].tolist()
+                    out += [(f"{shard}/{x}", home and not i, bid, rho, u) for i, x in enumerate(near)]
+                yield _batch(out, b.schema.field(4).type)
+
+        finer = crowd.join(centres, "shard").select("shard", "home", "bid", "rho", "u", "c")
+        before = most
+        parts.append(materialize(finer.mapInArrow(deal, f"shard string, home boolean, bid long, rho double, u {kind}"), "finer"))
+
+
+def _batch(rows: list, kind) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * 5
+    kinds = [pa.string(), pa.bool_(), pa.int64(), pa.float64(), kind]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["shard", "home", "bid", "rho", "u"])
 
 
 def links(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -161,15 +207,16 @@ def links(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", co
 
     def clean(batches):
         for b in batches:
-            ok = pa.array([usable(r) for r in b.column(1).to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in (0, 2, 1, 3)], ["nid", "least", "u", "n"])
+            ok = pa.array([usable(r) for r in b.column(3).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in range(5)], ["h1", "h2", "least", "u", "n"])
 
     kind, raw_kind = (vectors.schema[c].dataType.simpleString() for c in (key, column))
     distinct = rows.groupBy("embedding").agg(F.min("key").alias("least"), F.count("*").alias("n"))
-    raw = distinct.select(_node_id().alias("nid"), "embedding", "least", "n")
-    nodes = materialize(raw.mapInArrow(clean, f"nid long, least {kind}, u {raw_kind}, n long"), "nodes")
+    raw = distinct.select(*_digest(), "least", "embedding", "n")
+    good = raw.mapInArrow(clean, f"h1 long, h2 long, least {kind}, u {raw_kind}, n long")
+    nodes = materialize(good.select(F.monotonically_increasing_id().alias("nid"), "*"), "nodes")
     total = nodes.count()
-    picked = [r["u"] for r in nodes.orderBy(F.xxhash64("nid"), "nid").limit(SAMPLE).select("u").collect()]
+    picked = [r["u"] for r in nodes.orderBy("h1", "h2").limit(SAMPLE).select("u").collect()]
     centres: dict[int, np.ndarray] = {}
     for d in {len(u) for u in picked}:
         same = unit([u for u in picked if len(u) == d])
@@ -180,6 +227,7 @@ def links(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", co
         """Balls of a task's rows, those of a nearest centroid together."""
         c = shared.value
         held: dict[tuple, list] = {}
+        size = 0
 
         def balls(rows_):
             x = unit([r[2] for r in rows_])
@@ -202,9 +250,17 @@ def links(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", co
                 home = int(np.argmax(c[len(u)] @ u)) if len(u) in c else -1
                 group = held.setdefault((len(u), home), [])
                 group.append(r)
+                size += 1
                 if len(group) >= 2000:
                     yield out(list(balls(group)))
+                    size -= len(group)
                     group.clear()
+                if size >= HELD:  # the largest go, so that what stays is few and far between
+                    for group in sorted(held.values(), key=len)[-len(held) // 2 :]:
+                        if group:
+                            yield out(list(balls(group)))
+                            size -= len(group)
+                            group.clear()
         for group in held.values():
             if group:
                 yield out(list(balls(group)))
@@ -229,13 +285,12 @@ def links(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", co
                 else:
                     near = [0]
                 out += [(f"{len(u)}:{x}", i == 0, bid, rho, u) for i, x in enumerate(near)]
-            cols = list(zip(*out)) or [[]] * 5
-            kinds = [pa.string(), pa.bool_(), pa.int64(), pa.float64(), b.schema.field(1).type]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["shard", "home", "bid", "rho", "u"])
+            yield _batch(out, b.schema.field(1).type)
 
     routed = materialize(
         balls.select("bid", "u", "rho").mapInArrow(route, f"shard string, home boolean, bid long, rho double, u {raw_kind}"), "routed"
     )
+    routed = _split(routed)
 
     def build(table: pa.Table) -> pa.Table:
         ids = table.column("bid").to_numpy()
@@ -253,7 +308,7 @@ def links(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", co
     )
     halo = outside.join(balls.select("bid", "rho", "u"), "bid")
     region = inside.select("shard", "home", "bid", "rho", "u", "nbrs").unionByName(
-        halo.select("shard", F.lit(False).alias("home"), "bid", "rho", "u", F.lit(None).cast("array<bigint>").alias("nbrs"))
+        halo.join(united, "bid", "left").select("shard", F.lit(False).alias("home"), "bid", "rho", "u", "nbrs")
     )
 
     def search(table: pa.Table) -> pa.Table:
@@ -323,7 +378,8 @@ def links(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", co
     per_node = members.select("nid", "bid").join(per_ball, "bid").join(more, "nid", "left").select(
         "nid", "component_id", (F.col("base") + F.coalesce("more", F.lit(0))).alias("n_links")
     )
-    out = rows.select("key", _node_id().alias("nid")).join(per_node, "nid", "left")
+    named = nodes.select("h1", "h2", "nid").join(per_node, "nid")
+    out = rows.select("key", *_digest()).join(named, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "key")
     return out.select(
         F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -202,9 +202,12 @@ def test_suffix_array_and_common_prefixes():
                 assert p[q] == m
 
 
-def test_op3_links(spark):
+@pytest.mark.parametrize("split", [6000, 60])
+def test_op3_links(spark, monkeypatch, split):
     from tallframe.llm import embed_graph
 
+    monkeypatch.setattr(embed_graph, "SPLIT", split)  # the second sends shards down the splitting path
+    monkeypatch.setattr(embed_graph, "HELD", split)
     rng = np.random.default_rng(2)
     x = rng.standard_normal((700, 16))
     x[:120] = x[0] + 0.02 * rng.standard_normal((120, 16))  # a dense ball
