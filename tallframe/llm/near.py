@@ -60,21 +60,18 @@ class WordHashes(dict):
 
         h = xxh64_intdigest(word, SEED)
         if len(word) <= 64:
-            if len(self) >= 400_000:
+            if len(self) >= 100_000:
                 self.clear()
             self[word] = h
         return h
 
 
-_words = WordHashes()
-
-
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, memo: WordHashes | None = None) -> np.ndarray:
     """Distinct 64-bit hashes of the five-word shingles (A-Z lower-cased, words
     between ASCII white space), ascending; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words) - WORDS + 1
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map((WordHashes() if memo is None else memo).__getitem__, words), np.uint64, len(words))
     if n <= 0:  # as long as the text, and unlike any longer one
         n, w = 1, np.concatenate([np.full(WORDS - len(w), len(w), np.uint64), w])
     h = w[:n].copy()
@@ -129,9 +126,9 @@ def rarity(texts: DataFrame) -> np.ndarray:
     over all texts; copies within a task count once.  A fixed 1 MB."""
 
     def count(batches):
-        new, total = _Once(), np.zeros(CELLS, np.int64)
+        new, memo, total = _Once(), WordHashes(), np.zeros(CELLS, np.int64)
         for part, body in by_bytes(batches, "text"):
-            got = [shingles(body[i]) for i in new(part.column("tk").to_pylist())]
+            got = [shingles(body[i], memo) for i in new(part.column("tk").to_pylist())]
             if got:
                 total += np.bincount(_cell(np.concatenate(got)), minlength=CELLS)
         if total.any():
@@ -161,10 +158,10 @@ def sketches(texts: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(rarity(texts))
 
     def look(batches):
-        rare, new = shared.value, _Once()
+        rare, new, memo = shared.value, _Once(), WordHashes()
         for part, body in by_bytes(batches, "text"):
             at = new(part.column("tk").to_pylist())
-            sets = [shingles(body[i]) for i in at]
+            sets = [shingles(body[i], memo) for i in at]
             sizes = [len(h) for h in sets]
             prefixes = [h[np.argsort(rare[_cell(h)], kind="stable")[: n - -(-ABOVE * n // BELOW) + 1]] for h, n in zip(sets, sizes)]
             ends = np.cumsum([0, *map(len, prefixes)])
@@ -188,9 +185,10 @@ def verified(texts: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
     are asked for leave their place, each once and then once for each pair."""
 
     def check(batches):
+        memo = WordHashes()
         for b in batches:
             for part, x in by_bytes([b], "x"):
-                ok = [alike(shingles(s), shingles(t.as_py())) for s, t in zip(x, part.column("y"))]
+                ok = [alike(shingles(s, memo), shingles(t.as_py(), memo)) for s, t in zip(x, part.column("y"))]
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(ok, pa.bool_())) for c in "ab"], ["a", "b"])
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()

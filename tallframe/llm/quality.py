@@ -34,7 +34,7 @@ DIM = 12
 SAME = b"\x00same"
 #: neutral features that each text has besides: few words decide little
 PRIOR = 30
-MEMO = 600_000
+MEMO = 200_000
 
 
 def word_features(word: str, buckets: int = BUCKETS) -> list[int]:
@@ -167,6 +167,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         m = shared.value
         for part, texts in by_bytes(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(m.scores(texts))], ["key", "held_out", "score"])
+        m.memo = None
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), (fold(key) == 0).alias("held_out"), F.col(text).alias("text"))
@@ -183,5 +184,6 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: floa
         for batch in batches:
             for part, texts in by_bytes([batch], text):
                 yield part.filter(pa.array(m.scores(texts) >= threshold))
+        m.memo = None  # workers live on; their next tasks may need the memory
 
     return docs.mapInArrow(run, docs.schema)
