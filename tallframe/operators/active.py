@@ -12,10 +12,101 @@ from pyspark.sql import Window as W
 
 from .elementwise import FEATURES, interaction_pairs
 from .gram import as_block, gram, width
-from .linalg import eigh_desc, pinv, random_svd, times
+from .linalg import DAMP, eigh_desc, random_svd, times
 
 #: bytes of points that may be sent to every executor
 SEND = 50_000_000
+#: points of a block where they are too many to be sent, and of the sample that blocks are cut from
+BLOCK, CUT_SAMPLE = 200_000, 65_536
+
+
+class Index:
+    """A kd-tree, flattened to leaves: points in leaf order and the tight box of
+    each leaf.  Splits are at the median of the widest side."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = 64):
+        order, starts = np.arange(len(x)), []
+        work = [(0, len(x))]
+        while work:
+            a, b = work.pop()
+            if b - a <= leaf:
+                starts.append(a)
+                continue
+            part = x[order[a:b]]
+            side = int(np.argmax(np.ptp(part, axis=0)))
+            half = (b - a) // 2
+            order[a:b] = order[a:b][np.argpartition(part[:, side], half)]
+            work += [(a + half, b), (a, a + half)]
+        self.ids, self.x = ids[order], x[order]
+        self.starts = np.array([*sorted(starts), len(x)])
+        cuts = self.starts[:-1]
+        self.lo, self.hi = (f.reduceat(self.x, cuts, axis=0) if len(x) else self.x for f in (np.minimum, np.maximum))
+
+    def search(self, q: np.ndarray, n: int, within: np.ndarray | None = None):
+        """(query row, position, squared distance) of the n nearest points of
+        each query, by distance, then by id; with ``within`` only points at most
+        that squared distance away."""
+        n = min(n, len(self.x))
+        out = [np.zeros((0, 3))]
+        for a in range(0, len(q), 2048) if n else ():
+            out.append(self._some(q[a : a + 2048], n, None if within is None else within[a : a + 2048]) + [a, 0, 0])
+        found = np.concatenate(out)
+        return found[:, 0].astype(np.int64), found[:, 1].astype(np.int64), found[:, 2]
+
+    def _some(self, q, n, within):
+        far = np.zeros((len(q), len(self.lo)))  # squared distance to each box
+        for j in range(q.shape[1]):
+            far += np.maximum(0, np.maximum(self.lo[None, :, j] - q[:, None, j], q[:, None, j] - self.hi[None, :, j])) ** 2
+        reach = np.full(len(q), np.inf) if within is None else within.astype(float)
+        seen, rows = np.zeros(far.shape, bool), [np.zeros((0, 3))]
+        if within is None:  # the nearest leaf, and more until n points are met, give a first reach
+            near = np.argsort(far, axis=1, kind="stable")
+            size = np.diff(self.starts)[near].cumsum(axis=1)
+            first = np.argmax(size >= n, axis=1)
+            seen[np.arange(len(q))[:, None], near] = np.arange(far.shape[1]) <= first[:, None]
+            rows.append(self._met(q, seen, np.full(len(q), np.inf), n))
+            d = rows[-1]
+            last = np.flatnonzero(np.append(d[1:, 0] != d[:-1, 0], True))
+            reach[d[last, 0].astype(int)] = d[last, 2]
+        rows.append(self._met(q, (far <= reach[:, None]) & ~seen, reach, n))
+        return _best(np.concatenate(rows), self.ids, n)
+
+    def _met(self, q, wanted, reach, n):
+        """The n best of the points of each query's ``wanted`` leaves within reach."""
+        rows = [np.zeros((0, 3))]
+        for leaf in np.flatnonzero(wanted.any(axis=0)):
+            who = np.flatnonzero(wanted[:, leaf])
+            a, b = self.starts[leaf], self.starts[leaf + 1]
+            d = np.zeros((len(who), b - a))
+            for j in range(q.shape[1]):
+                d += (q[who, None, j] - self.x[None, a:b, j]) ** 2
+            r, c = np.nonzero(d <= reach[who, None])
+            rows.append(np.stack([who[r], a + c, d[r, c]], axis=1))
+        return _best(np.concatenate(rows), self.ids, n)
+
+
+def _best(rows: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    rows = rows[np.lexsort((ids[rows[:, 1].astype(np.int64)], rows[:, 2], rows[:, 0]))]
+    first = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])) if len(rows) else np.array([], np.int64)
+    rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+    return rows[rank < n]
+
+
+def _fits(points: DataFrame, k: int) -> bool:
+    return points.count() * (k + 2) * 8 <= SEND
+
+
+def _sent(points: DataFrame, *columns: str):
+    """A broadcast of numpy columns of checked size: ids, features, others."""
+    t = points.select("row_id", FEATURES, *columns).toArrow()
+    x = as_block(t.column(FEATURES).combine_chunks()) if t.num_rows else np.zeros((0, 1))
+    return points.sparkSession.sparkContext.broadcast((t.column("row_id").to_numpy(), x, *(t.column(c).to_numpy().astype(float) for c in columns)))
+
+
+def _dealt(queries: DataFrame) -> DataFrame:
+    """Queries on all cores: a small file is read by one task."""
+    n = queries.sparkSession.sparkContext.defaultParallelism
+    return queries.select("row_id", FEATURES).repartition(n)
 
 
 def knn(points: DataFrame, queries: DataFrame, n: int, k: int | None = None) -> DataFrame:
@@ -23,89 +114,195 @@ def knn(points: DataFrame, queries: DataFrame, n: int, k: int | None = None) ->
     squared distance, ties by row id; a query that is a stored point finds
     itself first.
 
-    The points are sent along if their size, which is checked, is small; else
-    they are dealt into blocks, every block keeps its n best per query, and the
-    best of these are merged: n rows per query and block are shuffled."""
-    spark, k = points.sparkSession, k or width(points)
+    Points below ``SEND`` bytes (checked) are sent along and indexed by each
+    task.  More are dealt into blocks of a coarse kd-tree: a query first searches
+    its nearest block, and then those other blocks whose box lies within the n-th
+    distance; each block gives n rows a query at most."""
+    k = k or width(points)
+    if not _fits(points, k):
+        return _knn_blocks(points, queries, n, k)
+    shared = _sent(points)
+
+    def nearest(batches):
+        index = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            index = index or Index(*shared.value)
+            row, at, d = index.search(as_block(batch.column(1)), n)
+            ids = batch.column(0).to_numpy()
+            start = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.array([], np.int64)
+            rank = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row)))) + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[row]), pa.array(index.ids[at]), pa.array(rank.astype(np.int32)), pa.array(d)], ["q", "row_id", "rank", "d2"]
+            )
+
+    return _dealt(queries).mapInArrow(nearest, "q long, row_id long, rank int, d2 double")
+
+
+def _knn_blocks(points: DataFrame, queries: DataFrame, n: int, k: int) -> DataFrame:
+    """``knn`` for points that no executor should hold whole.  The boxes of the
+    blocks, 2 k numbers each, are sent along; a block with very many equal
+    points is dealt into parts that are searched one by one."""
+    spark = points.sparkSession
     total = points.count()
-    blocks = max(1, -(-total * (k + 1) * 8 // SEND))
-    out = None
-    for b in range(blocks):
-        own = points if blocks == 1 else points.where(F.pmod(F.xxhash64("row_id"), F.lit(blocks)) == b)
-        rows = own.select("row_id", FEATURES).toPandas()
-        rows = rows.sort_values("row_id")
-        shared = spark.sparkContext.broadcast((rows["row_id"].to_numpy(), np.array(rows[FEATURES].tolist(), float)))
-
-        def nearest(batches, shared=shared):
-            ids, x = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(x):
-                    continue
-                q, at = as_block(batch.column(1)), batch.column(0).to_numpy()
-                for a in range(0, len(q), 256):
-                    d = ((q[a : a + 256, None, :] - x[None]) ** 2).sum(2) if len(x) * k < 400_000 else _blocked(q[a : a + 256], x)
-                    m = min(n, len(x))
-                    if m < len(x):  # all that tie with the m-th, then by id
-                        edge = np.partition(d, m - 1, axis=1)[:, m - 1 : m]
-                        found = [np.flatnonzero(r <= e) for r, e in zip(d, edge[:, 0])]
-                    else:
-                        found = [np.arange(len(x))] * len(d)
-                    best = [f[np.lexsort((ids[f], r[f]))][:m] for f, r in zip(found, d)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat(at[a : a + 256], m)), pa.array(ids[np.concatenate(best)]),
-                            pa.array(np.concatenate([r[b] for r, b in zip(d, best)])),
-                        ],
-                        ["q", "row_id", "d2"],
-                    )
-
-        one = queries.select("row_id", FEATURES).mapInArrow(nearest, "q long, row_id long, d2 double")
-        out = one if out is None else out.unionByName(one)
+    share = min(1.0, 2 * CUT_SAMPLE / max(1, total))
+    chosen = points.where(F.pmod(F.xxhash64("row_id"), F.lit(1 << 30)) <= int(share * (1 << 30))).limit(CUT_SAMPLE).select(FEATURES).toArrow()
+    sample = as_block(chosen.column(0).combine_chunks())
+    tree = Index(np.arange(len(sample)), sample, max(1, len(sample) * BLOCK // max(1, total)))
+    centres = spark.sparkContext.broadcast((tree.lo, tree.hi))
+
+    def far(x, boxes):
+        out = np.zeros((len(x), len(boxes[0])))
+        for j in range(x.shape[1]):
+            out += np.maximum(0, np.maximum(boxes[0][None, :, j] - x[:, None, j], x[:, None, j] - boxes[1][None, :, j])) ** 2
+        return out
+
+    def place(batches):
+        for b in batches:
+            if b.num_rows:
+                at = np.concatenate([np.argmin(far(x, centres.value), axis=1) for x in np.array_split(as_block(b.column(1)), 1 + b.num_rows // 1024)])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at.astype(np.int32))], ["row_id", FEATURES, "block"])
+
+    placed = points.select("row_id", FEATURES).mapInArrow(place, "row_id long, features array<double>, block int")
+    cells = [F.col(FEATURES)[j] for j in range(k)]
+    found = placed.groupBy("block").agg(F.count("*").alias("n"), F.array(*map(F.min, cells)).alias("lo"), F.array(*map(F.max, cells)).alias("hi")).orderBy("block").collect()
+    if not found:
+        return spark.createDataFrame([], "q long, row_id long, rank int, d2 double")
+    names = np.array([r["block"] for r in found])
+    parts = np.array([-(-r["n"] // (4 * BLOCK)) for r in found])
+    boxes = spark.sparkContext.broadcast((np.array([r["lo"] for r in found]), np.array([r["hi"] for r in found])))
+    many = F.element_at(F.create_map(*(F.lit(int(v)) for r in zip(names, parts) for v in r)), F.col("block"))
+    held = placed.withColumn("part", F.pmod(F.xxhash64("row_id"), many).cast("int"))
+
+    def ask(batches, first):
+        """(block, part, q, features, reach): the nearest block, or all others within reach."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = as_block(b.column(1))
+            d = far(x, boxes.value)
+            home = np.argmin(d, axis=1)
+            if first:
+                row, col = np.arange(len(x)), home
+                reach = np.full(len(x), np.inf)
+            else:
+                r2 = b.column(2).to_numpy()
+                wanted = d <= r2[:, None]
+                wanted[np.arange(len(x)), home] = False
+                row, col = np.nonzero(wanted)
+                reach = r2[row]
+            times = parts[col]
+            row, col, reach = (np.repeat(v, times) for v in (row, col, reach))
+            part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[col].astype(np.int32)), pa.array(part.astype(np.int32)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(reach)],
+                ["block", "part", "q", FEATURES, "reach"],
+            )
+
+    def search(mine: pa.Table, asked: pa.Table) -> pa.Table:
+        if not mine.num_rows or not asked.num_rows:
+            return pa.table({"q": pa.array([], pa.int64()), "row_id": pa.array([], pa.int64()), "d2": pa.array([], pa.float64())})
+        index = Index(mine.column("row_id").to_numpy(), as_block(mine.column(FEATURES).combine_chunks()))
+        row, at, d = index.search(as_block(asked.column(FEATURES).combine_chunks()), n, asked.column("reach").to_numpy())
+        return pa.table({"q": asked.column("q").to_numpy()[row], "row_id": index.ids[at], "d2": d})
+
+    form = "block int, part int, q long, features array<double>, reach double"
+
+    def step(asked: DataFrame) -> DataFrame:
+        return held.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(search, "q long, row_id long, d2 double")
+
+    ends = queries.select(F.col("row_id").alias("row_id"), FEATURES)
+    one = step(ends.mapInArrow(lambda b: ask(b, True), form))
     rank = F.row_number().over(W.partitionBy("q").orderBy("d2", "row_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= n).select("q", "row_id", "rank", "d2")
+    best = one.withColumn("rank", rank).where(F.col("rank") <= n)
+    reach = best.groupBy("q").agg(F.when(F.count("*") < n, F.lit(float("inf"))).otherwise(F.max("d2")).alias("reach"))
+    again = ends.join(reach, ends["row_id"] == reach["q"], "left").select("row_id", FEATURES, F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
+    both = best.select("q", "row_id", "d2").unionByName(step(again.mapInArrow(lambda b: ask(b, False), form)))
+    return both.withColumn("rank", rank).where(F.col("rank") <= n).select("q", "row_id", "rank", "d2")
 
 
-def _blocked(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    out = np.empty((len(q), len(x)))
-    for a in range(0, len(x), 20_000):
-        out[:, a : a + 20_000] = ((q[:, None, :] - x[None, a : a + 20_000]) ** 2).sum(2)
-    return out
+def _fit_gradients(x: np.ndarray, y: np.ndarray, x0: np.ndarray, order: int) -> np.ndarray:
+    """Gradients at ``x0`` (b x k) from neighbours (b x n x k) and values (b x n),
+    all fits of a batch as one stack of pseudo-inverses."""
+    k = x.shape[2]
+    one = np.ones((*x.shape[:2], 1))
+    if order == 1:
+        v = np.concatenate([x, one], axis=2)
+    else:  # centred on the query: its gradient is the linear part
+        d = x - x0[:, None, :]
+        pairs = np.array(interaction_pairs(k))
+        v = np.concatenate([d, d[:, :, pairs[:, 0]] * d[:, :, pairs[:, 1]], one], axis=2)
+    u, s, vt = np.linalg.svd(v, full_matrices=False)
+    c = np.einsum("bsc,bs->bc", vt, np.einsum("bns,bn->bs", u, y) / (s + DAMP))
+    return c[:, :k]
 
 
-def gradients(xy: DataFrame, order: int, n_nbr: int, k: int | None = None, queries: DataFrame | None = None) -> DataFrame:
+def gradients(xy: DataFrame, order: int, n_nbr: int, k: int | None = None, queries: DataFrame | None = None, estimator=None) -> DataFrame:
     """(row_id, features): gradient of y at each query from a linear (order 1)
-    or quadratic (order 2) fit of its neighbours; ``xy(row_id, features, y)``."""
+    or quadratic (order 2) fit of its neighbours; ``xy(row_id, features, y)``.
+
+    ``estimator(x, y, x0)`` may replace the fit: it gets the neighbours of a
+    batch of queries (b x n x k), their values (b x n) and the queries (b x k), and
+    returns the gradients (b x k)."""
     k = k or width(xy)
-    least = k + 1 if order == 1 else k * (k + 3) // 2
-    if order not in (1, 2):
-        raise ValueError("order is 1 or 2")
-    if n_nbr <= least:
-        raise ValueError(f"more than {least} neighbours are needed")
+    if estimator is None:
+        least = k + 1 if order == 1 else k * (k + 3) // 2
+        if order not in (1, 2):
+            raise ValueError("order is 1 or 2")
+        if n_nbr <= least:
+            raise ValueError(f"more than {least} neighbours are needed")
+
+        def estimator(x, y, x0):
+            return _fit_gradients(x, y, x0, order)
+
     queries = queries if queries is not None else xy
+    schema = "row_id long, features array<double>"
+
+    def rows(ids, g):
+        flat = pa.array(np.ascontiguousarray(g, float).ravel())
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(0, g.size + 1, k, dtype=np.int32)), flat)], ["row_id", FEATURES])
+
+    if _fits(xy, k):
+        shared = _sent(xy, "y")
+
+        def local(batches):
+            index = None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                if index is None:
+                    ids, x, y = shared.value
+                    index = Index(np.arange(len(ids)), x)
+                    tie = np.argsort(np.argsort(ids))  # ties go by id
+                    index.ids, y = tie[index.ids], y[index.ids]
+                q = as_block(b.column(1))
+                for a in range(0, len(q), 2048):
+                    x0 = q[a : a + 2048]
+                    _, at, _ = index.search(x0, n_nbr)
+                    at = at.reshape(len(x0), -1)
+                    yield rows(b.column(0).slice(a, len(x0)), estimator(index.x[at], y[at], x0))
+
+        return _dealt(queries).mapInArrow(local, schema)
     near = knn(xy, queries, n_nbr, k)
-    rows = near.join(xy.select("row_id", F.col(FEATURES).alias("x"), "y"), "row_id").select("q", "rank", "x", "y").join(
+    joined = near.join(xy.select("row_id", F.col(FEATURES).alias("x"), "y"), "row_id").select("q", "rank", "x", "y").join(
         queries.select(F.col("row_id").alias("q"), F.col(FEATURES).alias("x0")), "q"
     )
     # at most n_nbr rows per group
-    sets = rows.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y"))).alias("s"), F.first("x0").alias("x0"))
-    pairs = interaction_pairs(k)
+    sets = joined.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y"))).alias("s"), F.first("x0").alias("x0"))
 
     def fit(batches):
         for b in batches:
-            out = []
-            for s, x0 in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                x, y = np.array([r["x"] for r in s], float), np.array([r["y"] for r in s], float)
-                x0 = np.asarray(x0, float)
-                if order == 1:
-                    c = pinv(np.hstack([x, np.ones((len(x), 1))])) @ y
-                    out.append(c[:k])
-                else:  # centred on the query: its gradient is the linear part
-                    d = x - x0
-                    v = np.hstack([d, np.stack([d[:, i] * d[:, j] for i, j in pairs], 1), np.ones((len(d), 1))])
-                    out.append((pinv(v) @ y)[:k])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(g) for g in out], pa.list_(pa.float64()))], ["row_id", FEATURES])
-
-    return sets.select("q", "s", "x0").mapInArrow(fit, "row_id long, features array<double>")
+            if not b.num_rows:
+                continue
+            s = b.column(1)
+            x0, values = as_block(b.column(2)), s.flatten()
+            x = as_block(values.field("x")).reshape(len(x0), -1, k)
+            y = values.field("y").to_numpy(zero_copy_only=False).astype(float).reshape(len(x0), -1)
+            for a in range(0, len(x0), 2048):
+                yield rows(b.column(0).slice(a, 2048), estimator(x[a : a + 2048], y[a : a + 2048], x0[a : a + 2048]))
+
+    return sets.select("q", "s", "x0").mapInArrow(fit, schema)
 
 
 @dataclass(frozen=True)

@@ -79,6 +79,10 @@ class DmdcModel:
         schema = "row_id long, " + ", ".join(f"{n} array<double>" for n in names)
         return self.points.mapInArrow(run, schema)
 
+    def close(self) -> None:
+        """Release the state points."""
+        self.points.unpersist()
+
     def modes(self) -> DataFrame:
         """(row_id, re, im)."""
         return self._rows(self.modes_right.astype(complex), ["re", "im"])
@@ -155,7 +159,7 @@ def fit(steps: DataFrame, n_modes: int, n_iters: int = 20) -> DmdcModel:
     if n_modes > n_t - 1:
         raise ValueError(f"{n_modes} modes of {n_t} steps")
     u = np.array([c for _, c in ctl], float).reshape(n_t, -1)
-    p = state_points(steps).cache()
+    p = state_points(steps).persist()  # every prediction reads it; ``DmdcModel.close`` lets it go
     n_x = p.count()
     g = gram(p, n_t, "arrow").raw  # X^T X over state points, all steps
     gx, gxy, gy = g[:-1, :-1], g[:-1, 1:], g[1:, 1:]

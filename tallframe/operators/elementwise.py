@@ -242,5 +242,5 @@ def argsort(v: DataFrame, descending: bool = False) -> DataFrame:
 
     x = F.when(F.isnan("x"), F.raise_error(F.lit("NaN can't be ordered")).cast("double")).otherwise(F.col("x"))
     checked = v.select("row_id", x.alias("x"))
-    keys = [F.col("x").desc() if descending else F.col("x").asc(), F.col("row_id").asc()]
+    keys = [-F.col("x") if descending else F.col("x"), F.col("row_id")]
     return global_rank(checked, keys, "rank").select("rank", "row_id", "x")

@@ -71,9 +71,20 @@ def times(m: DataFrame, right: np.ndarray) -> DataFrame:
     return m.select("row_id", FEATURES).mapInArrow(run, "row_id long, features array<double>")
 
 
+def tall_product(a: DataFrame, b: DataFrame, beta: float = 1.0) -> np.ndarray:
+    """beta a^T b for two row matrices with the same row ids: rows meet once, and
+    each task adds up its part of the small product."""
+    k, l = width(a), width(b)
+    if a is b or a.sameSemantics(b):
+        return beta * gram(a, k, "arrow").raw
+    both = a.join(b.select("row_id", F.col(FEATURES).alias("right")), "row_id").select(F.concat(FEATURES, "right").alias(FEATURES))
+    return beta * tall_t_times(both, None, lambda x: x[:, :k].T @ x[:, k:], k, l)
+
+
 def matmul(a: DataFrame, b: DataFrame, beta: float = 1.0) -> DataFrame:
     """beta a b for coordinate matrices: join on the inner index, partial sums
-    before the shuffle."""
+    before the shuffle.  Meant for sparse ones; a^T b of tall matrices is
+    ``tall_product``, a tall one times a small one ``times``."""
     j = a.alias("a").join(b.alias("b"), F.col("a.j") == F.col("b.i"))
     return j.groupBy(F.col("a.i").alias("i"), F.col("b.j").alias("j")).agg((F.sum(F.col("a.value") * F.col("b.value")) * F.lit(float(beta))).alias("value"))
 
@@ -201,7 +212,7 @@ def random_svd(m: DataFrame, rank: int, n_iter: int = 10, n_oversamples: int = 1
     z = power_iter(m, size, n_iter, k, seed)
     zr = z @ pinv(_r_factor(m, z), rcond=1e-12)
     shared = m.sparkSession.sparkContext.broadcast(zr)
-    b = tall_t_times(m, None, lambda x: (x @ shared.value).T @ x, size, k)
+    b = tall_t_times(m, None, lambda x: (x @ shared.value).T @ x, zr.shape[1], k)
     ub, s, vt = np.linalg.svd(b, full_matrices=False)
     sign = canonical(vt)[:rank]
     return Svd(times(m, (zr @ ub[:, :rank]) * sign), s[:rank], vt[:rank] * sign[:, None])
@@ -232,3 +243,29 @@ def rsvd_local(a: np.ndarray, rank: int, n_iter: int, n_oversamples: int, seed:
     u, s, vt = np.linalg.svd(q.T @ a, full_matrices=False)
     sign = canonical(vt[:rank])
     return (q @ u[:, :rank]) * sign, s[:rank], vt[:rank] * sign[:, None]
+
+
+def power_iter_plain(m: DataFrame, size: int, n_iter: int, k: int, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """(Q as a row matrix, right factor Z with Q = A Z): A (A^T A)^n_iter Omega
+    without any rescaling, one QR at the end."""
+    z = np.random.default_rng(seed).standard_normal((k, size))
+    sc = m.sparkSession.sparkContext
+    for _ in range(n_iter):
+        shared = sc.broadcast(z)
+        z = tall_t_times(m, None, lambda x: x.T @ (x @ shared.value), k, size)
+        shared.unpersist()
+    z = z @ pinv(_r_factor(m, z), rcond=1e-12)
+    return times(m, z), z
+
+
+def rsvd_plain(m: DataFrame, rank: int = 4, n_oversamples: int = 4, n_iter: int = 8, seed: int = 0, k: int | None = None) -> Svd:
+    """Randomized SVD on plain power iterations; the sketch may be wider than the
+    matrix, what is beyond its rank comes to nothing."""
+    k = k or width(m)
+    _, z = power_iter_plain(m, rank + n_oversamples, n_iter, k, seed)
+    shared = m.sparkSession.sparkContext.broadcast(z)
+    b = tall_t_times(m, None, lambda x: (x @ shared.value).T @ x, z.shape[1], k)
+    ub, s, vt = np.linalg.svd(b, full_matrices=False)
+    rank = min(rank, len(s))
+    sign = canonical(vt)[:rank]
+    return Svd(times(m, (z @ ub[:, :rank]) * sign), s[:rank], vt[:rank] * sign[:, None])

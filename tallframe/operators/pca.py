@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..sources.matrices import coo_from_numpy
-from .elementwise import FEATURES
-from .gram import WIDE, gram, width
-from .linalg import canonical, eigh_desc, random_svd, times
-from .stats import center
+from ..sources.matrices import coo_from_numpy, to_coo
+from .elementwise import FEATURES, max_abs_diff
+from .gram import WIDE, as_block, gram, width
+from .linalg import canonical, eigh_desc, random_svd, tall_t_times, times
+
+
+class Transform(Protocol):
+    """What a fitted model that maps rows both ways offers."""
+
+    def transform(self, m: DataFrame) -> DataFrame: ...
+
+    def inverse(self, z: DataFrame) -> DataFrame: ...
+
+
+def round_trip_error(model: Transform, m: DataFrame, **how) -> float:
+    """Largest gap between rows and what the model makes of them and back."""
+    back = model.inverse(model.transform(m, **how))
+    return float(max_abs_diff(to_coo(back), to_coo(m)).first()["max_diff"])
 
 
 @dataclass(frozen=True)
@@ -31,16 +45,12 @@ class PcaModel:
     def transform(self, m: DataFrame, center_on: str = "target") -> DataFrame:
         """Scores; centred on the target's own means (as first defined) or, with
         ``center_on='fit'``, on the means of the fit."""
-        means = gram(m).mean if center_on == "target" else self.means
-        shift = -(means @ self.components.T)
-        scores = times(m, self.components.T)
-        v = F.array(*(F.lit(float(x)) for x in shift))
-        return scores.select("row_id", F.zip_with(FEATURES, v, lambda a, b: a + b).alias(FEATURES))
+        means = column_sums(m, len(self.means)) / m.count() if center_on == "target" else self.means
+        return shifted(times(m, self.components.T), -(means @ self.components.T))
 
     def inverse(self, z: DataFrame) -> DataFrame:
         """Back to features; adds the means of the fit."""
-        v = F.array(*(F.lit(float(x)) for x in self.means))
-        return times(z, self.components).select("row_id", F.zip_with(FEATURES, v, lambda a, b: a + b).alias(FEATURES))
+        return shifted(times(z, self.components), self.means)
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         """(i, j, value) of the components."""
@@ -58,8 +68,26 @@ def fit(m: DataFrame, rank: int, n_iters: int = 20, n_oversamples: int | None =
         w, v = eigh_desc(g.comoment)
         comp = v[:, :rank].T
         return PcaModel(g.n, g.mean, comp * canonical(comp)[:, None], np.sqrt(np.maximum(w[:rank], 0)))
-    g = gram(m, k) if k <= WIDE else None
-    c = center(m, g)
-    found = random_svd(c, rank, n_iters, min(k, 10) if n_oversamples is None else n_oversamples, seed, k)
-    n = g.n if g else m.count()
-    return PcaModel(n, g.mean if g else np.zeros(k), found.vt, found.s)
+    n = m.count()
+    means = column_sums(m, k) / n
+    found = random_svd(shifted(m, -means), rank, n_iters, min(k, 10) if n_oversamples is None else n_oversamples, seed, k)
+    return PcaModel(n, means, found.vt, found.s)
+
+
+def column_sums(m: DataFrame, k: int) -> np.ndarray:
+    """Sums of all columns in one pass, whatever their number."""
+    return tall_t_times(m, None, lambda x: x.sum(0)[None], 1, k)[0]
+
+
+def shifted(m: DataFrame, by: np.ndarray) -> DataFrame:
+    """Each row plus ``by``, which is sent along."""
+    shared = m.sparkSession.sparkContext.broadcast(np.asarray(by, float))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = as_block(b.column(1)) + shared.value
+                ends = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], ["row_id", FEATURES])
+
+    return m.select("row_id", FEATURES).mapInArrow(run, "row_id long, features array<double>")

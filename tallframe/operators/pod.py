@@ -15,20 +15,74 @@ from pyspark.sql import functions as F
 
 from .gram import gram
 from .interp import RbfInterp, linear
-from .linalg import eigh_desc
+from .linalg import eigh_desc, random_svd
 from .linalg import times as right
 
 MAX_SNAPSHOTS = 2000
 
 
+class Interp1d:
+    """One-dimensional interpolation: linear, nearest (a tie goes down), previous,
+    next, or cubic with not-a-knot ends.  Outside of the times raises."""
+
+    def __init__(self, t: np.ndarray, y: np.ndarray, kind: str = "linear"):
+        order = np.argsort(t, kind="stable")
+        self.t, self.y, self.kind = np.asarray(t, float)[order], np.asarray(y, float)[order], kind
+        if kind not in ("linear", "nearest", "previous", "next", "cubic"):
+            raise ValueError(f"unknown kind {kind}")
+        if kind == "cubic":
+            self.slope = self._slopes()
+
+    def _slopes(self) -> np.ndarray:
+        """Slopes of the spline at the knots."""
+        t, y, n = self.t, self.y, len(self.t)
+        if n < 4:
+            raise ValueError("a cubic needs four times")
+        h, d = np.diff(t), np.diff(y) / np.diff(t)
+        a, r = np.zeros((n, n)), np.zeros(n)
+        for i in range(1, n - 1):
+            a[i, i - 1 : i + 2] = h[i], 2 * (h[i - 1] + h[i]), h[i - 1]
+            r[i] = 3 * (h[i] * d[i - 1] + h[i - 1] * d[i])
+        for i, j, g, e in ((0, 1, h[:2], d[:2]), (n - 1, n - 2, h[:-3:-1], d[:-3:-1])):
+            a[i, i], a[i, j] = g[1], g[0] + g[1]
+            r[i] = ((g[0] + 2 * (g[0] + g[1])) * g[1] * e[0] + g[0] ** 2 * e[1]) / (g[0] + g[1])
+        return np.linalg.solve(a, r)
+
+    def predict_array(self, q: np.ndarray) -> np.ndarray:
+        x = np.asarray(q, float).reshape(-1)
+        t, y = self.t, self.y
+        if ((x < t[0]) | (x > t[-1])).any():
+            raise ValueError("outside of the times")
+        i = np.clip(np.searchsorted(t, x, "right") - 1, 0, len(t) - 2)
+        u = (x - t[i]) / (t[i + 1] - t[i])
+        if self.kind == "linear":
+            out = y[i] + u * (y[i + 1] - y[i])
+        elif self.kind == "nearest":
+            out = np.where(u <= 0.5, y[i], y[i + 1])
+        elif self.kind == "previous":
+            out = np.where(u < 1, y[i], y[i + 1])
+        elif self.kind == "next":
+            out = np.where(u > 0, y[i + 1], y[i])
+        else:
+            h, v = t[i + 1] - t[i], 1 - u
+            out = v * v * ((1 + 2 * u) * y[i] + u * h * self.slope[i]) + u * u * ((3 - 2 * u) * y[i + 1] - v * h * self.slope[i + 1])
+        return out[:, None]
+
+
 @dataclass(frozen=True)
 class PodModel:
     """modes (x_idx, features of r weights), weights (n_snap x r), interpolators."""
 
     modes: DataFrame
     weights: np.ndarray
-    interp: list[RbfInterp]
+    interp: list
     times: np.ndarray
+    source: DataFrame | None = None
+
+    def close(self) -> None:
+        """Release the field points that the modes are computed from."""
+        if self.source is not None:
+            self.source.unpersist()
 
     def weights_at(self, t: np.ndarray) -> np.ndarray:
         t = np.atleast_2d(np.asarray(t, float))
@@ -37,10 +91,7 @@ class PodModel:
     def predict(self, t) -> DataFrame:
         """(t_idx, row_id, x): field at each of the queried times."""
         w = self.weights_at(t)
-        rows = F.array(*(F.array(*(F.lit(float(v)) for v in r)) for r in w))
-        def dot(r):
-            return F.aggregate(F.zip_with("features", r, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        return self.modes.select("row_id", F.posexplode(F.transform(rows, dot)).alias("t_idx", "x")).select("t_idx", "row_id", "x")
+        return right(self.modes, w.T).select("row_id", F.posexplode("features").alias("t_idx", "x")).select("t_idx", "row_id", "x")
 
 
 def points(snapshots: DataFrame, ids: list[int]) -> DataFrame:
@@ -53,21 +104,40 @@ def points(snapshots: DataFrame, ids: list[int]) -> DataFrame:
     )
 
 
-def fit(snapshots: DataFrame, n_modes: int) -> PodModel:
+def fit(snapshots: DataFrame, n_modes: int, basis: str = "sorted", weights_by: str = "projection", kind: str = "rbf", seed: int = 0) -> PodModel:
     """No centring.  Modes are the leading left vectors over field points, found
-    by the method of snapshots; weights are projections on them."""
+    by the method of snapshots; weights are projections on them.
+
+    ``basis``: "sorted" takes the largest eigenvalues, "unsorted" the first ones in
+    the order that a general eigensolver gives them, "random" a randomized SVD.
+    ``weights_by="lstsq"`` solves the least squares of each snapshot against the
+    modes.  ``kind``: "rbf", or an interpolation of one-dimensional times
+    (``Interp1d``)."""
     heads = sorted((r["snap_id"], list(r["t"])) for r in snapshots.select("snap_id", "t").limit(MAX_SNAPSHOTS + 1).collect())
     if len(heads) > MAX_SNAPSHOTS:
         raise ValueError(f"more than {MAX_SNAPSHOTS} snapshots")
     if n_modes > len(heads):
         raise ValueError(f"{n_modes} modes of {len(heads)} snapshots")
     ids, times = [h[0] for h in heads], np.array([h[1] for h in heads], float)
-    p = points(snapshots, ids).cache()
-    w, v = eigh_desc(gram(p, len(ids), "arrow").raw)
-    s = np.sqrt(np.maximum(w[:n_modes], 0))
-    v = v[:, :n_modes]
-    modes = right(p, v * np.where(s > 0, 1 / np.where(s > 0, s, 1), 0.0))
-    weights = v * s  # modes^+ times each snapshot
-    interp = [RbfInterp(linear(), times.shape[1], 1).fit(times, weights[:, j]) for j in range(n_modes)]
-    return PodModel(modes, weights, interp, times)
+    p = points(snapshots, ids).persist()  # read again by ``modes``; ``PodModel.close`` lets it go
+    if basis == "random":
+        found = random_svd(p, n_modes, seed=seed, k=len(ids))
+        s, v = found.s, found.vt.T
+    else:
+        c = gram(p, len(ids), "arrow").raw
+        w, v = eigh_desc(c) if basis == "sorted" else map(np.real, np.linalg.eig(c))
+        s, v = np.sqrt(np.maximum(w[:n_modes], 0)), v[:, :n_modes]
+    # singular values under this share of the largest are noise of the Gram matrix
+    scale = v * np.where(s > 1e-7 * s.max(initial=0), 1 / np.where(s > 0, s, 1), 0.0)
+    modes = right(p, scale)
+    if weights_by == "lstsq":  # normal equations of the modes, which are few
+        c = gram(p, len(ids), "arrow").raw
+        weights = np.linalg.lstsq(scale.T @ c @ scale, scale.T @ c, rcond=1e-10)[0].T
+    else:
+        weights = v * s  # modes^+ times each snapshot
+    if kind == "rbf" or times.shape[1] != 1:
+        interp = [RbfInterp(linear(), times.shape[1], 1).fit(times, weights[:, j]) for j in range(n_modes)]
+    else:
+        interp = [Interp1d(times[:, 0], weights[:, j], kind) for j in range(n_modes)]
+    return PodModel(modes, weights, interp, times, p)
 

@@ -34,12 +34,14 @@ def alphas_of(alphas, dim: int) -> np.ndarray:
     return a
 
 
-def shot_sample(rng, bounds: np.ndarray, n: int, max_shots: int, chunk: int, c_scale: float, alphas: np.ndarray) -> np.ndarray:
-    """Up to n rows of Dirichlet(alphas) * c_scale inside the (inclusive) box."""
+def shot_sample(rng, bounds: np.ndarray, n: int, max_shots: int, chunk: int, c_scale: float, alphas: np.ndarray, strict: bool = False) -> np.ndarray:
+    """Up to n rows of Dirichlet(alphas) * c_scale inside the box, whose bounds
+    are part of it unless ``strict``."""
     kept, have = [], 0
     for _ in range(max_shots):
         z = rng.dirichlet(alphas, chunk) * c_scale
-        z = z[((z >= bounds[:, 0]) & (z <= bounds[:, 1])).all(1)][: n - have]
+        inside = (z > bounds[:, 0]) & (z < bounds[:, 1]) if strict else (z >= bounds[:, 0]) & (z <= bounds[:, 1])
+        z = z[inside.all(1)][: n - have]
         kept.append(z)
         have += len(z)
         if have >= n:
@@ -49,7 +51,7 @@ def shot_sample(rng, bounds: np.ndarray, n: int, max_shots: int, chunk: int, c_s
 
 def constrained_dirichlet(
     spark: SparkSession, bounds, n: int, max_zshots: int = 500, chunk_size: int = 20_000, c_scale: float = 1.0, alphas=None, seed: int = 0,
-    pad_zeros: bool = False, task_rows: int | None = None,
+    pad_zeros: bool = False, task_rows: int | None = None, strict: bool = False,
 ) -> DataFrame:
     """(row_id, features): n samples that sum to c_scale inside the box; fewer if
     the shots run out (``pad_zeros`` fills up with zero rows).  Drawn in ten
@@ -65,7 +67,7 @@ def constrained_dirichlet(
         for b in batches:
             for t in b.column(0).to_pylist():
                 want = min(size, n - t * size)
-                z = shot_sample(np.random.default_rng([seed, t]), bounds, want, max_zshots, chunk_size, c_scale, a)
+                z = shot_sample(np.random.default_rng([seed, t]), bounds, want, max_zshots, chunk_size, c_scale, a, strict)
                 if pad_zeros:
                     z = np.vstack([z, np.zeros((want - len(z), len(bounds)))])
                 ids = t * size + np.arange(len(z))
@@ -230,6 +232,15 @@ def chain_tail(chains: DataFrame, n: int = 0) -> DataFrame:
     return chains.withColumn("r", rank).where(F.col("r") <= n).drop("r")
 
 
+def get_samples(chains: DataFrame, n: int = 0) -> DataFrame:
+    """(position, ensemble_id, chain_id, step, sample): the last n rows of each
+    chain (0: all), step by step and in each step chain by chain, from 0 on."""
+    from ..plans.ordering import global_rank
+
+    rows = chain_tail(chains, n).select("ensemble_id", "chain_id", "step", "sample")
+    return global_rank(rows, [F.col("ensemble_id"), F.col("step"), F.col("chain_id")], "position")
+
+
 def chain_heads(chains: DataFrame) -> DataFrame:
     return chains.groupBy("ensemble_id", "chain_id").agg(F.max_by("sample", "step").alias("sample"))
 

@@ -1,4 +1,4 @@
-"""Global ranks without a single-partition window."""
+"""Global ranks and ranked values without a single-partition window."""
 
 from __future__ import annotations
 
@@ -8,26 +8,40 @@ from pyspark.sql import Window as W
 
 #: fewer rows than this are ranked by one window: a range shuffle would cost more
 SMALL = 200_000
+#: rows that cut points are taken from, cut points of each of two levels
+SAMPLE, FAN = 20_000, 32
 
 
 def global_rank(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
-    """``df`` with its 0-based position in the order of ``keys`` (which must
-    tell rows apart).
+    """``df`` with its 0-based position in ascending order of ``keys``, which
+    must tell rows apart; a number that is to descend is given negated.
 
-    Each column of ``keys`` is evaluated on a range partitioning; a quantile
-    grid of the first key (at most 1,000 cut points, a fixed size) names the
-    range of a row, so that a recomputed task gets the same range."""
+    Rows are dealt to ranges between cut points, tuples of all keys, so that
+    rows with one value of the first key spread over ranges too.  The cut points,
+    FAN x FAN at most, come from rows chosen by hash: a recomputed task gets the
+    same ranges."""
     spark = df.sparkSession
     n = df.count()
     if n <= SMALL:
         return df.withColumn(name, (F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*keys)) - 1).cast("long"))
-    first = _plain(keys[0])
-    parts = min(1000, max(2, n // SMALL))
-    cuts = df.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 10_000)).first()[0]
-    cuts = sorted(set(cuts))
-    grid = F.array(*(F.lit(c) for c in cuts))
-    part = F.size(F.filter(grid, lambda c: c < first))
-    rows = df.withColumn("__part", -part if _descending(keys[0]) else part)
+    k = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(keys)))
+    one_in = max(1, n // SAMPLE)
+    some = df.where(F.pmod(F.xxhash64(k), F.lit(one_in)) == 0).select(k.alias("k")).limit(4 * SAMPLE).orderBy("k").collect()
+    parts = min(FAN * FAN, max(2, n // SMALL))
+    cuts = [some[len(some) * i // parts]["k"] for i in range(1, parts)] if some else []
+    groups = [cuts[i : i + FAN] for i in range(0, len(cuts), FAN)]
+    lit = lambda c: F.struct(*(F.lit(v).alias(f"k{i}") for i, v in enumerate(c)))
+    if groups:  # the first level holds the last cut of each group but the last
+        low = lambda cuts_: F.size(F.filter(cuts_, lambda c: c < k))
+        top = F.array(*(lit(g[-1]) for g in groups[:-1])) if len(groups) > 1 else None
+        coarse = low(top) if top is not None else F.lit(0)
+        rows = df.withColumn("__c", coarse)
+        fine = F.lit(0)
+        for i, g in enumerate(groups):
+            fine = F.when(F.col("__c") == i, low(F.array(*map(lit, g)))).otherwise(fine)
+        rows = rows.withColumn("__part", F.col("__c") * (FAN + 1) + fine).drop("__c")
+    else:
+        rows = df.withColumn("__part", F.lit(0))
     counts = dict(rows.groupBy("__part").count().collect())
     starts, total = [], 0
     for p in sorted(counts):
@@ -38,10 +52,22 @@ def global_rank(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     return rows.withColumn("__at", within).join(F.broadcast(base), "__part").withColumn(name, F.col("__base") + F.col("__at")).drop("__part", "__base", "__at")
 
 
-def _descending(key: Column) -> bool:
-    return "DESC" in str(key)
-
-
-def _plain(key: Column) -> Column:
-    text = str(key).removeprefix("Column<'").removesuffix("'>")
-    return F.col(text.split(" ")[0])
+def value_at(df: DataFrame, column: str, rank: int):
+    """The value at a 0-based rank of a numeric column: the range that holds it
+    is narrowed by quantiles until few rows are left, which alone are sorted."""
+    x, below = F.col(column), 0
+    rows = df.select(x).where(x.isNotNull())
+    while True:
+        n = rows.count()
+        if n <= SMALL:
+            return rows.orderBy(x).offset(rank - below).first()[0]
+        at = (rank - below) / n
+        lo, hi = rows.agg(F.percentile_approx(x, [max(0.0, at - 0.01), min(1.0, at + 0.01)], 10_000)).first()[0]
+        less, least, most = rows.agg(F.count_if(x < lo), F.count_if(x <= lo), F.count_if(x <= hi)).first()
+        if below + less <= rank < below + least:
+            return lo
+        if not below + least <= rank < below + most:
+            raise ValueError("the quantiles do not hold the rank")
+        rows, below = rows.where((x > lo) & (x <= hi)), below + least
+        if most - least == n:
+            return rows.orderBy(x).offset(rank - below).first()[0]

@@ -67,17 +67,30 @@ def linspace(spark: SparkSession, start: float, end: float, n: int) -> DataFrame
     return spark.range(n).select(F.col("id").alias("row_id"), (F.lit(start) + F.col("id") * F.lit(step)).alias("x"))
 
 
+#: rows that one generator draws
+DRAWN = 1024
+
+
+def drawn(ids: np.ndarray, seed: int, draw, block: int = DRAWN) -> np.ndarray:
+    """What ``draw(rng, block)`` gives for ids: a generator for each (seed, block
+    of ids), so values don't depend on how rows are partitioned."""
+    out = []
+    for b in np.unique(ids // block):
+        out.append(draw(np.random.default_rng([seed, b]), block)[ids[ids // block == b] % block])
+    return np.concatenate(out)
+
+
 def _generated(spark: SparkSession, n_rows: int, n_cols: int, seed: int, draw) -> DataFrame:
-    """Rows drawn by a generator keyed by (seed, row id): the same values however
-    the rows are partitioned."""
+    """Rows drawn by generators keyed by seed and block of row ids."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            ids = b.column(0)
-            rows = [draw(np.random.default_rng([seed, i]), n_cols).tolist() for i in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.list_(pa.float64()))], ["row_id", "features"])
+            if b.num_rows:
+                x = drawn(b.column(0).to_numpy(), seed, lambda r, n: draw(r, (n, n_cols)), min(DRAWN, n_rows))
+                ends = pa.array(np.arange(0, x.size + 1, n_cols, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], ["row_id", "features"])
 
     return spark.range(n_rows).mapInArrow(run, "row_id long, features array<double>")
 

@@ -175,5 +175,59 @@ def test_kde_bandwidth_takes_all_test_samples_or_raises(spark, monkeypatch):
     test = spark.range(30).selectExpr("id / 30 AS x")
     near(kde.est_bandwidth(test, "x"), kde.est_bandwidth(np.arange(30) / 30))
     monkeypatch.setattr(dist.KdeRv, "MAX", 29)
-    with pytest.raises(ValueError):
-        kde.est_bandwidth(test, "x")
+    assert abs(kde.est_bandwidth(test, "x", 0) - kde.est_bandwidth(np.arange(30) / 30, method=0)) < 1e-3
+
+
+def test_ranks_across_ranges(spark, monkeypatch):
+    from tallframe.operators import elementwise as ew
+    from tallframe.plans import ordering
+
+    x = [float(v) for v in np.random.default_rng(0).integers(0, 40, 5000)]
+    x[:2000] = [7.0] * 2000  # a value that two fifths of the rows hold
+    v = spark.createDataFrame([(i, a) for i, a in enumerate(x)], "row_id long, x double")
+    monkeypatch.setattr(ordering, "SMALL", 30)
+    for down in (False, True):
+        want = sorted(range(len(x)), key=lambda i: (-x[i] if down else x[i], i))
+        got = [r.row_id for r in ew.argsort(v, down).orderBy("rank").collect()]
+        assert got == want
+    for rank in (0, 1, 2500, 4999):
+        assert ordering.value_at(v, "x", rank) == sorted(x)[rank]
+
+
+def test_principal_components_of_wide_rows(spark):
+    from tallframe.operators import pca
+
+    rng = np.random.default_rng(1)
+    a = rng.standard_normal((60, 3)) @ rng.standard_normal((3, 2500)) + np.arange(2500) / 100
+    model = pca.fit(src.from_numpy(spark, a), 3, n_iters=3)
+    s = np.linalg.svd(a - a.mean(0), compute_uv=False)
+    near(model.singular_values, s[:3])
+    near(model.means, a.mean(0))
+
+
+def test_nearest_neighbours_in_blocks(spark, monkeypatch):
+    from tallframe.operators import active
+
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((600, 3))
+    x[100:200] = x[100]  # ties go by id
+    d = sum((x[:, None, j] - x[None, :, j]) ** 2 for j in range(3))
+    want = {(i, j, r + 1) for i in range(600) for r, j in enumerate(np.lexsort((np.arange(600), d[i]))[:7])}
+    p = src.from_numpy(spark, x)
+    for send in (active.SEND, 1):  # the second deals points into blocks
+        monkeypatch.setattr(active, "SEND", send)
+        monkeypatch.setattr(active, "BLOCK", 40)
+        assert {(r.q, r.row_id, r["rank"]) for r in active.knn(p, p, 7).collect()} == want
+
+
+def test_error_function_and_spline():
+    from math import erf
+
+    from tallframe.operators.pod import Interp1d
+
+    x = np.concatenate([np.linspace(-7, 7, 4001), [0.0, -0.0, 1e-9, np.inf, -np.inf]])
+    near(dist._ERF(x), np.array([erf(v) for v in x]), 1e-12)
+    t = np.array([0.0, 0.7, 1.1, 2.0, 3.5])
+    f = lambda v: 1 + v - 2 * v**2 + 0.5 * v**3
+    q = np.linspace(0, 3.5, 50)
+    near(Interp1d(t, f(t), "cubic").predict_array(q)[:, 0], f(q), 1e-9)  # a cubic is met exactly
