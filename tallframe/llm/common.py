@@ -70,6 +70,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Give memory that a finished task has freed back to the system: Python
+    workers live on, and several wait beside the ones that work."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def whole_groups(batches, keys: list[str], rows: int = 50_000):
     """Tables of about ``rows`` rows that never cut a group of equal ``keys``;
     the batches come in order of the keys.  Holds that many rows and one group."""

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import by_bytes
-from .common import bit_map, connected_components, in_bit_map, mark_hits, materialize, whole_groups
+from .common import bit_map, connected_components, in_bit_map, mark_hits, materialize, tidy, whole_groups
 from .simhash import SEED, _signed, join_trees, links, majority
 
 #: words of a shingle
@@ -60,7 +60,7 @@ class WordHashes(dict):
 
         h = xxh64_intdigest(word, SEED)
         if len(word) <= 64:
-            if len(self) >= 100_000:
+            if len(self) >= 250_000:
                 self.clear()
             self[word] = h
         return h
@@ -134,6 +134,8 @@ def rarity(texts: DataFrame) -> np.ndarray:
         if total.any():
             cut = np.minimum(total, (1 << 32) - 1).astype("<u4").reshape(PIECES, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], ["piece", "n"])
+        del new, memo, total
+        tidy()
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
@@ -174,6 +176,8 @@ def sketches(texts: DataFrame) -> DataFrame:
                 ],
                 ["tk", "size", "fp", "parity", "prefix"],
             )
+        del new, memo
+        tidy()
 
     found = texts.mapInArrow(look, "tk binary, size long, fp long, parity binary, prefix array<long>")
     one = found.groupBy("tk").agg(*(F.first(c).alias(c) for c in ("size", "fp", "parity", "prefix")))
@@ -190,6 +194,8 @@ def verified(texts: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
             for part, x in by_bytes([b], "x"):
                 ok = [alike(shingles(s, memo), shingles(t.as_py(), memo)) for s, t in zip(x, part.column("y"))]
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(ok, pa.bool_())) for c in "ab"], ["a", "b"])
+        del memo
+        tidy()
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     asked = materialize(known.select("id", "tk").join(ends, "id"), "asked")
@@ -279,6 +285,7 @@ def candidates(known: DataFrame, shared: DataFrame, times: int) -> DataFrame:
                     [pa.array(flat[some]), pa.array(pos[some]), *(b.column(c).take(own) for c in ("id", "label", "size", "parity"))],
                     ["h", "pos", "id", "label", "size", "parity"],
                 )
+        tidy()
 
     def pair(batches):
         for t in whole_groups(batches, ["h", "bi", "bj"], 20_000):
@@ -290,6 +297,7 @@ def candidates(known: DataFrame, shared: DataFrame, times: int) -> DataFrame:
             for a, b in _across(strips, bucket, times) if times else _forest(strips, label):
                 ends = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h[a], *ends)], ["h", "a", "b"])
+        tidy()
 
     rows = known.select("id", "label", "size", "parity", "prefix").mapInArrow(
         spread, "h long, pos long, id long, label long, size long, parity binary"
@@ -334,7 +342,7 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
         shared = materialize(shared.join(left.select("h").distinct(), "h", "left_semi"), "left")
         if not shared.limit(1).count():
             return known.select("id", "tk").join(labels, "id").select("tk", "component")
-        times = 8 * (times or 1)
+        times = 8 * times or 64
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,7 +13,9 @@ Scoring covers every row and the whole text.
 Nulls: null texts score like empty ones; an empty text has only the class bias
 (a finite score).  Labelled rows with null ids or labels other than 0 and 1
 aren't learned from.  Without any usable label every score is 0.5.  Repeated
-rows are scored alike; an empty table gives an empty result.
+rows are scored alike; an empty table gives an empty result.  Very long texts are
+scored whole.  Only key and text are read for scores, so other columns may have
+any names; ``keep_good`` returns all columns as they are.
 """
 
 from __future__ import annotations
@@ -27,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import by_bytes
+from .common import tidy
 
 BUCKETS = 1 << 18
 DIM = 12
-#: a feature of its own for a word that repeats the word before it
+#: a feature of its own for a word that repeats the word before it: an addition to the plain method
 SAME = b"\x00same"
-#: neutral features that each text has besides: few words decide little
+#: neutral features that each text has besides, so that few words decide little: an addition too
 PRIOR = 30
-MEMO = 200_000
+MEMO = 600_000
 
 
 def word_features(word: str, buckets: int = BUCKETS) -> list[int]:
@@ -168,6 +171,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for part, texts in by_bytes(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(m.scores(texts))], ["key", "held_out", "score"])
         m.memo = None
+        tidy()
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), (fold(key) == 0).alias("held_out"), F.col(text).alias("text"))
@@ -184,6 +188,7 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: floa
         for batch in batches:
             for part, texts in by_bytes([batch], text):
                 yield part.filter(pa.array(m.scores(texts) >= threshold))
-        m.memo = None  # workers live on; their next tasks may need the memory
+        m.memo = None
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -24,8 +24,9 @@ are sent once for each task with a count, so a hot passage costs little.
 
 Nulls and empty texts have no bytes and keep none.  Texts shorter than
 ``LENGTH`` lose nothing.  Repeated rows are copies of each other (removed
-whole if long enough); a null key is carried through.  An empty table gives an
-empty result.
+whole if long enough); a null key is carried through.  Very long texts are cut
+into overlapping pieces for the search alone.  An empty table gives an empty
+result.  Only key and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

@@ -168,6 +168,8 @@ def test_op2_repeated_bytes(spark, empty):
 
     base = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()[:70]]
     extra = ["ab" * 300, None, "", "x" * 199, "x" * 200, "y" * 250, "z" * 100 + "q" * 100 + "z" * 100, "ü" * 150, "ab" * 90 + "c" * 40, base[0], base[1][:500] + "!" + base[2][:400]]
+    pattern = "".join(f"{i} {i * i % 7919}," for i in range(30_000))
+    extra += [pattern, pattern[262_000:263_000] + "?", pattern[200_000:]]  # over one piece, and repeats across the cut
     rows = list(enumerate(base + extra))
     got = {r[0]: tuple(r)[1:] for r in suffix.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     data = [(t or "").encode() for _, t in rows]
