@@ -32,8 +32,8 @@ CUT = re.compile(r" (?=\S)")
 MARKS = frozenset(".,;:!?()-")
 #: Entries that a worker remembers before it starts afresh; bounds its memory.
 MEMO = 600_000
-#: Signs of the longest chunk that is remembered.
-KEPT = 64
+#: Signs of the longest chunk that is remembered, and signs and bytes of all together.
+KEPT, MEMO_BYTES = 4096, 60_000_000
 
 
 def byte_chars() -> list[str]:
@@ -104,15 +104,18 @@ class ChunkMemo(dict):
 
     def __init__(self, encode, limit: int = MEMO):
         self.encode_chunk, self.limit, self.head, self.marks = encode, limit, {}, {}
+        self.used = 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.limit:
+        if len(self) >= self.limit or self.used >= MEMO_BYTES:
             self.clear()
+            self.used = 0
         if word[-1:] in MARKS and word[:-1].isalpha():  # two pre-tokens; the first is often known
             out = self[word[:-1]] + self.mark(word[-1])
         else:
             out = self.encode_chunk(" " + word)
         if len(word) <= KEPT:
+            self.used += len(word) + len(out)
             self[word] = out
         return out
 
@@ -125,7 +128,7 @@ class ChunkMemo(dict):
     def encode(self, text: str) -> bytes:
         """Ids of a text, chunk by chunk."""
         first, *rest = text.split(" ") if LOOSE_BLANK.search(text) is None else CUT.split(text)
-        if len(first) > KEPT:
+        if len(first) > 64:
             return self.encode_chunk(first) + b"".join(map(self.__getitem__, rest))
         if first not in self.head:
             if len(self.head) >= self.limit // 8:
