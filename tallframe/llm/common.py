@@ -70,6 +70,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Let Arrow batches to Python workers hold about ``size`` at most: Spark's
+    own bound is 64 MB, which each task holds several times over.  A bound that
+    the session sets itself stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == f"{64 << 20}b":
+        spark.conf.set(name, size)
+
+
 def tidy() -> None:
     """Give memory that a finished task has freed back to the system: Python
     workers live on, and several wait beside the ones that work."""

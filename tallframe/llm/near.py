@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import by_bytes
-from .common import bit_map, connected_components, in_bit_map, mark_hits, materialize, tidy, whole_groups
+from .common import bit_map, bound_batches, connected_components, in_bit_map, mark_hits, materialize, tidy, whole_groups
 from .simhash import SEED, _signed, join_trees, links, majority
 
 #: words of a shingle
@@ -60,7 +60,7 @@ class WordHashes(dict):
 
         h = xxh64_intdigest(word, SEED)
         if len(word) <= 64:
-            if len(self) >= 250_000:
+            if len(self) >= 100_000:
                 self.clear()
             self[word] = h
         return h
@@ -114,7 +114,7 @@ class _Once:
         out = []
         for i, k in enumerate(keys):
             if k not in self.seen:
-                if len(self.seen) >= 300_000:
+                if len(self.seen) >= 100_000:
                     self.seen.clear()
                 self.seen.add(k)
                 out.append(i)
@@ -313,6 +313,7 @@ def candidates(known: DataFrame, shared: DataFrame, times: int) -> DataFrame:
 def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """(tk, component): groups of distinct texts (MD5) that hang together by
     similarity; texts alone are left out."""
+    bound_batches(docs.sparkSession)
     texts = _texts(docs, text)
     known = sketches(texts)
     tested = materialize(simhash_pairs(known).distinct(), "pairs")
@@ -349,6 +350,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """The rows of ``docs`` (all columns) but for copies and near copies: of
     each group the row with the smallest key stays (null keys are largest; of
     rows that repeat key and text one stays)."""
+    bound_batches(docs.sparkSession)
     body = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     heads = docs.select(body.alias("tk"), F.col(key).alias("k"))
     nodes = materialize(heads.groupBy("tk", "k").agg(F.count("*").alias("n")), "heads")

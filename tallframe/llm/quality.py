@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import by_bytes
-from .common import tidy
+from .common import bound_batches, tidy
 
 BUCKETS = 1 << 18
 DIM = 12
@@ -164,6 +164,7 @@ def fit(
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
     """key, held_out, score, predicted for every row.  The model sent along is
     one number per bucket, a fixed 2 MB."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -181,6 +182,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` (all columns) that aren't rejected."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
