@@ -67,7 +67,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing will read again."""
+    remove_path(table.sparkSession, table._scratch)
 
 
 def bound_batches(spark: SparkSession, size: str = "4m") -> None:

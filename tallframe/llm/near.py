@@ -14,7 +14,8 @@ of 0.8 or more, found by SimHash links and, for the rest, by an exact prefix joi
 3.  Texts with such a shingle in common are compared by size, by what is left
     behind the shingle, and by parity maps: equal bits of 512 count shingles
     modulo 2, so that two maps differ in no more bits than the sets do in
-    shingles.  None of the three ever turns a similar pair away.
+    shingles.  Pairs that pass are compared by wider maps, of about as many bits
+    as a text has shingles.  None of these ever turns a similar pair away.
 4.  In each bucket the closest pairs between groups make a forest, whose edges are
     verified on the whole texts.  Where an edge fails, all pairs of the bucket
     that lie across groups are verified, ever more in each round, until none is
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import by_bytes
-from .common import bit_map, bound_batches, connected_components, in_bit_map, mark_hits, materialize, tidy, whole_groups
+from .common import bit_map, bound_batches, connected_components, discard, in_bit_map, mark_hits, materialize, tidy, whole_groups
 from .simhash import SEED, _signed, join_trees, links, majority
 
 #: words of a shingle
@@ -90,11 +91,24 @@ def alike(x: np.ndarray, y: np.ndarray) -> bool:
     return BELOW * common >= ABOVE * (len(x) + len(y) - common)
 
 
-def parity(h: np.ndarray) -> bytes:
-    odd = np.bincount((h >> np.uint64(20)).astype(np.int64) & PARITY - 1, minlength=PARITY) & 1
+def parity(h: np.ndarray, bits: int = PARITY) -> bytes:
+    odd = np.bincount((h >> np.uint64(20)).astype(np.int64) & bits - 1, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def wide_parity(h: np.ndarray) -> bytes:
+    """A parity map of as many bits as there are shingles, up to a power of two."""
+    return parity(h, max(64, 1 << (len(h) - 1).bit_length()))
+
+
+def may_be_alike(x: bytes, y: bytes, both: int) -> bool:
+    """False only for sets of ``both`` shingles together that can't be similar.
+    The wider map is folded to the other's width: parities add up."""
+    n = min(len(x), len(y))
+    a, b = (np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, n)) for m in (x, y))
+    return (ABOVE + BELOW) * int(np.bitwise_count(a ^ b).sum(dtype=np.int64)) <= both
+
+
 def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(44)).astype(np.int64)
 
@@ -155,7 +169,7 @@ def rarity(texts: DataFrame) -> np.ndarray:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(id, tk, size, fp, parity, prefix) of each distinct text, as a table:
+    """(id, tk, size, fp, parity, wide, prefix) of each distinct text, as a table:
     ids are numbers, so there are no collisions among them."""
     shared = texts.sparkSession.sparkContext.broadcast(rarity(texts))
 
@@ -172,18 +186,34 @@ def sketches(texts: DataFrame) -> DataFrame:
                 [
                     part.column("tk").take(pa.array(at, pa.int64())), pa.array(sizes, pa.int64()),
                     pa.array([_signed(majority(h)) for h in sets], pa.int64()), pa.array([parity(h) for h in sets], pa.binary()),
+                    pa.array([wide_parity(h) for h in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                 ],
-                ["tk", "size", "fp", "parity", "prefix"],
+                ["tk", "size", "fp", "parity", "wide", "prefix"],
             )
         del new, memo
         tidy()
 
-    found = texts.mapInArrow(look, "tk binary, size long, fp long, parity binary, prefix array<long>")
-    one = found.groupBy("tk").agg(*(F.first(c).alias(c) for c in ("size", "fp", "parity", "prefix")))
+    found = texts.mapInArrow(look, "tk binary, size long, fp long, parity binary, wide binary, prefix array<long>")
+    one = found.groupBy("tk").agg(*(F.first(c).alias(c) for c in ("size", "fp", "parity", "wide", "prefix")))
     return materialize(one.select(F.monotonically_increasing_id().alias("id"), "*"), "sketches")
 
 
+def plausible(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids that wide maps don't rule out."""
+
+    def check(batches):
+        for b in batches:
+            ok = [may_be_alike(*r) for r in zip(*(b.column(c).to_pylist() for c in ("x", "y", "both")))]
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok, pa.bool_())) for c in "ab"], ["a", "b"])
+
+    full = pairs
+    for end, name in ("ax", "by"):
+        full = full.join(known.select(F.col("id").alias(end), F.col("wide").alias(name), F.col("size").alias(f"n{end}")), end)
+    full = full.select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("both"))
+    return materialize(full.mapInArrow(check, "a long, b long"), "plausible")
+
+
 def verified(texts: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose whole texts are similar.  Only texts that
     are asked for leave their place, each once and then once for each pair."""
@@ -204,7 +234,10 @@ def verified(texts: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
     bodies = materialize(rows.groupBy("tk").agg(F.first("text").alias("text")).join(asked, "tk").select("id", "text"), "bodies")
     full = pairs.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
     full = full.join(bodies.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    return materialize(full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "near")
+    near = materialize(full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "near")
+    discard(bodies)
+    discard(asked)
+    return near
 
 
 def simhash_pairs(known: DataFrame) -> DataFrame:
@@ -321,15 +354,17 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     labels = connected_components(edges)
     shared, times = None, 0
     while True:
-        labelled = known.join(labels.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        labelled = known.select("id", "size", "parity", "prefix").join(labels.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
         if shared is None:
             labelled = materialize(labelled, "labelled")
             keys = labelled.select("label", F.explode("prefix").alias("h"))
             seen = keys.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
             shared = materialize(seen.where("lo < hi").select("h", "n"), "shared")
         found = candidates(labelled, shared, times)
+        if not times:
+            discard(labelled)
         fresh = materialize(found.where("a != b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        good = verified(texts, known, fresh)
+        good = verified(texts, known, plausible(known, fresh))
         tested, edges = tested.unionByName(fresh), edges.unionByName(good)
         labels = connected_components(edges)
         if times:
@@ -341,6 +376,7 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
                 left = left.join(one, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
             left = left.where("of_a != of_b")
         shared = materialize(shared.join(left.select("h").distinct(), "h", "left_semi"), "left")
+        discard(found)
         if not shared.limit(1).count():
             return known.select("id", "tk").join(labels, "id").select("tk", "component")
         times = 8 * times or 64

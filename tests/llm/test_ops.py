@@ -626,3 +626,38 @@ def test_components_of_long_chains(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_wide_maps_never_rule_out_a_similar_pair():
+    from tallframe.llm import near
+
+    rng = np.random.default_rng(5)
+    ruled_out = 0
+    for n in (1, 2, 40, 63, 64, 65, 700, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for changed in (0.0, 0.05, 0.1, 0.12, 0.5, 1.0):
+            kept = x[rng.random(len(x)) >= changed]
+            for extra in (0, len(x) // 10, len(x)):
+                y = np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, extra).astype(np.uint64)]))
+                if not len(y):
+                    continue
+                passes = near.may_be_alike(near.wide_parity(x), near.wide_parity(y), len(x) + len(y))
+                assert passes or not near.alike(x, y)
+                ruled_out += not passes
+    assert ruled_out > 40
+
+
+def test_batch_bound_leaves_a_setting_of_the_session_alone(spark):
+    from tallframe.llm.common import bound_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "9m")
+        bound_batches(spark)
+        assert spark.conf.get(name) == "9m"
+        spark.conf.unset(name)
+        bound_batches(spark)
+        assert spark.conf.get(name) == "4m"
+    finally:
+        spark.conf.set(name, before)
