@@ -150,7 +150,7 @@ class Codec:
         self.by_piece = sorted(self.ranks.values())  # sentencepiece id - 1 -> rank
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.memo = ChunkMemo(self._chunk)
+        self.memo = ChunkMemo(self._chunk, MEMO // 3)  # it stays with the worker, beside what later stages hold
 
     def pretoken_ids(self, pretoken: bytes) -> list[int]:
         """A pre-token that is a token itself is that token; others are merged."""

@@ -37,7 +37,7 @@ DIM = 12
 SAME = b"\x00same"
 #: neutral features that each text has besides, so that few words decide little: an addition too
 PRIOR = 30
-MEMO = 600_000
+MEMO = 200_000
 
 
 def word_features(word: str, buckets: int = BUCKETS) -> list[int]:
@@ -51,7 +51,8 @@ def word_features(word: str, buckets: int = BUCKETS) -> list[int]:
 
 
 class WordMemo(dict):
-    """Word -> sum of its features' scores + 1j x their number; emptied when full."""
+    """Word -> sum of its features' scores + 1j x their number; emptied when full,
+    long words aren't kept."""
 
     def __init__(self, table: np.ndarray):
         self.table = table
@@ -60,7 +61,9 @@ class WordMemo(dict):
         if len(self) >= MEMO:
             self.clear()
         feats = word_features(word, len(self.table))
-        self[word] = out = complex(float(self.table[feats].sum()), len(feats))
+        out = complex(float(self.table[feats].sum()), len(feats))
+        if len(word) <= 64:
+            self[word] = out
         return out
 
 
