@@ -88,6 +88,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import trie
+
+    return trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated rules, then rules mined from the pages of labelled documents."""
+    from .url_rules import Stated, judge, labelled_pages, mine
+
+    pages = _table(spark, sf_dir, "pages")
+    stated = [Stated("block", "net"), Stated("allow", "example.net", "/en/"), Stated("block", "example.com", "/de/"), Stated("allow", "org", "/fr/")]
+    return judge(pages, stated, mine(labelled_pages(pages, _table(spark, sf_dir, "labels"))))
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
@@ -100,6 +121,9 @@ def queries() -> dict:
         "op8_sharding": op8_sharding,
         "op9_secret_scan": op9_secret_scan,
         "op10_quality": op10_quality,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_centroids": op12_centroids,
+        "op13_url_filter": op13_url_filter,
     }
 
 
