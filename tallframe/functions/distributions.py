@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.matrices import drawn
-from . import optimize
+from . import kde, optimize
 
 #: erf at the grid points i / GRID up to 6, from which on it is 1 in double precision
 GRID = 1024
@@ -269,33 +269,50 @@ class KdeRv(UniRv):
         return np.asarray(self.support, float)[rng.integers(0, len(self.support), n)] + rng.normal(0, self.bandwidth, n)
 
     def est_bandwidth(self, test: np.ndarray | DataFrame, column: str | None = None, method: int = 1) -> float:
-        """Width that minimises the NLL of the test samples (not stored).  Samples
-        in a table of more than ``MAX`` rows stay there: each set of widths that
-        the optimiser tries costs a pass over all of them."""
-        bounds = np.array([[1e-9], [1000.0]])
+        """Width that minimises the NLL of the test samples (not stored), nulls
+        left out, weights of the supports kept.
+
+        The likelihood is evaluated on nested logarithmic grids of widths, about
+        five in all; each is one pass if the samples are a table.  The optimiser
+        runs on the line through these values."""
+        s = np.asarray(self.support, float)
+        w = np.full(len(s), 1 / len(s)) if self.weights is None else np.asarray(self.weights, float)
         if isinstance(test, DataFrame):
-            found = test.select(column).limit(self.MAX + 1).collect()
-            if len(found) > self.MAX:
-                def far(many):
-                    v = nll_many(test, column, self, [(max(abs(float(h)), 1e-12),) for (h,) in many])
-                    return np.where(np.isfinite(v), v, 1e12)
+            held = test.sparkSession.createDataFrame(pd.DataFrame({"grp": np.zeros(len(s), np.int32), "s": s, "w": w}))
+            asked = test.select(F.lit(0).alias("grp"), F.col(column).cast("double").alias("x"))
 
-                return float(optimize.mlefit_fallback(optimize.Problem(far, [self.bandwidth], bounds), method)[0])
-            test = np.array([r[0] for r in found], float)
-        d2 = (np.asarray(test, float)[:, None] - np.asarray(self.support, float)) ** 2
+            def costs(grids):
+                return kde.likelihoods(held, asked, grids, weighted=True)
+        else:
+            x = np.asarray(test, float)
+            x = x[~np.isnan(x)]
 
-        def cost(many):
-            out = []
-            for (h,) in many:
-                h = max(abs(float(h)), 1e-12)
-                p = np.exp(-0.5 * d2 / h**2).mean(1) / (h * sqrt(2 * pi))
-                with np.errstate(divide="ignore"):
-                    v = -np.log(p).sum()
-                out.append(v if np.isfinite(v) else 1e12)
-            return np.array(out)
+            def costs(grids):
+                return {g: np.array([_kernel_nll(x, s, w, h) for h in hs]) for g, hs in grids.items()}
+
+        return _optimum(*kde.zoom(costs, *BANDWIDTHS)[0], self.bandwidth, method)
+
+
+#: the least and the largest width that is looked at
+BANDWIDTHS = (1e-9, 1000.0)
 
-        p = optimize.Problem(cost, [self.bandwidth], bounds)
-        return float(optimize.mlefit_fallback(p, method)[0])
+
+def _kernel_nll(x: np.ndarray, s: np.ndarray, w: np.ndarray, h: float) -> float:
+    total = 0.0
+    for a in range(0, len(x), 1024):
+        p = np.exp(-0.5 * ((x[a : a + 1024, None] - s) / h) ** 2) @ w / (h * sqrt(2 * pi))
+        with np.errstate(divide="ignore"):
+            total -= np.log(p).sum()
+    return total
+
+
+def _optimum(widths: np.ndarray, costs: np.ndarray, init: float, method: int) -> float:
+    """Where the optimiser ends on the line through the costs; the best width
+    seen, should it end anywhere worse."""
+    line = lambda many: np.interp([np.log(max(abs(h), BANDWIDTHS[0])) for (h,) in many], np.log(widths), costs)
+    found = float(optimize.mlefit_fallback(optimize.Problem(line, [init], np.array(BANDWIDTHS)[:, None]), method)[0])
+    best = int(np.argmin(costs))
+    return found if line([(found,)])[0] < costs[best] else float(widths[best])
 
 
 def build_kde(bandwidth: float, samples: np.ndarray, n_iter: int = 20, method: int = 1, seed: int = 0) -> KdeRv:
@@ -309,17 +326,33 @@ def build_kde(bandwidth: float, samples: np.ndarray, n_iter: int = 20, method: i
     return KdeRv(upper_median(found), x)
 
 
+def estimated_bandwidth(support: DataFrame, test: DataFrame, bandwidth: float = 1.0, method: int = 1) -> float:
+    """``KdeRv.est_bandwidth`` with both sides as tables, ``support(s)`` and ``test(x)``."""
+    return _bandwidths(
+        support.select(F.lit(0).alias("grp"), F.col("s").cast("double")), test.select(F.lit(0).alias("grp"), F.col("x").cast("double")), [0], bandwidth, method
+    )[0]
+
+
+def split_bandwidth(samples: DataFrame, column: str, key: str, bandwidth: float = 1.0, n_iter: int = 20, method: int = 1, seed: int = 0) -> float:
+    """The width of ``build_kde`` for a table: rows are dealt 70/30 for each of
+    the splits by a hash of their key, and all splits share their passes."""
+    splits = F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))).alias("grp")
+    rows = samples.select(F.col(key).alias("key"), F.col(column).cast("double").alias("v"), splits).where(F.col("v").isNotNull())
+    inside = F.pmod(F.xxhash64("key", "grp", F.lit(seed)), F.lit(1000)) < 700
+    found = _bandwidths(rows.where(inside).select("grp", F.col("v").alias("s")), rows.where(~inside).select("grp", F.col("v").alias("x")), range(n_iter), bandwidth, method)
+    return upper_median(list(found.values()))
+
+
+def _bandwidths(support: DataFrame, test: DataFrame, groups, bandwidth: float, method: int) -> dict[int, float]:
+    held = support.where(F.col("s").isNotNull()).withColumn("w", F.lit(1.0))
+    seen = kde.zoom(lambda grids: kde.likelihoods(held, test, grids), *BANDWIDTHS, groups)
+    return {g: _optimum(*seen[g], bandwidth, method) for g in groups}
+
+
 def upper_median(values) -> float:
     return float(np.sort(np.asarray(values, float))[len(values) // 2])
 
 
 def kde_pdf_frame(queries: DataFrame, support: DataFrame, bandwidth: float) -> DataFrame:
-    """(q, density) with both sides as tables ``(q, x)`` and ``(s)``.
-
-    The support is turned into one array after its size is checked, so queries
-    stream past it: no pair of rows is ever made."""
-    n = support.limit(KdeRv.MAX + 1).count()
-    if n > KdeRv.MAX:
-        raise ValueError(f"more than {KdeRv.MAX} support points")
-    rv = KdeRv(bandwidth, np.array([r[0] for r in support.select("s").collect()]))
-    return queries.select("q", rv.pdf(F.col("x")).alias("density"))
+    """(q, density) with both sides as tables ``(q, x)`` and ``(s)`` of any size."""
+    return kde.kernel_sums(queries, support, bandwidth).select("q", "density")

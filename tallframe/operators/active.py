@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.scratch import stored
 from .elementwise import FEATURES, interaction_pairs
 from .gram import as_block, gram, width
 from .linalg import DAMP, eigh_desc, random_svd, times
@@ -21,26 +22,59 @@ BLOCK, CUT_SAMPLE = 200_000, 65_536
 
 
 class Index:
-    """A kd-tree, flattened to leaves: points in leaf order and the tight box of
-    each leaf.  Splits are at the median of the widest side."""
+    """A kd-tree of numpy arrays.  All leaves lie at one depth; node i of a
+    level has the children 2 i and 2 i + 1 of the next, split at the median of
+    the widest side.  Each node keeps its tight box."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = 64):
-        order, starts = np.arange(len(x)), []
-        work = [(0, len(x))]
-        while work:
-            a, b = work.pop()
-            if b - a <= leaf:
-                starts.append(a)
-                continue
-            part = x[order[a:b]]
-            side = int(np.argmax(np.ptp(part, axis=0)))
-            half = (b - a) // 2
-            order[a:b] = order[a:b][np.argpartition(part[:, side], half)]
-            work += [(a + half, b), (a, a + half)]
-        self.ids, self.x = ids[order], x[order]
-        self.starts = np.array([*sorted(starts), len(x)])
-        cuts = self.starts[:-1]
-        self.lo, self.hi = (f.reduceat(self.x, cuts, axis=0) if len(x) else self.x for f in (np.minimum, np.maximum))
+        n = len(x)
+        self.depth = max(0, int(np.ceil(np.log2(max(1, n) / leaf)))) if n else 0
+        order, bounds = np.arange(n), np.array([0, n])
+        self.side, self.cut = [], []
+        for _ in range(self.depth):
+            side, cut = np.zeros(len(bounds) - 1, int), np.zeros(len(bounds) - 1)
+            halves = (bounds[:-1] + bounds[1:]) // 2
+            for i, (a, h, b) in enumerate(zip(bounds, halves, bounds[1:])):
+                part = x[order[a:b]]
+                side[i] = int(np.argmax(np.ptp(part, axis=0)))
+                order[a:b] = order[a:b][np.argpartition(part[:, side[i]], h - a)]
+                cut[i] = x[order[h], side[i]]
+            self.side.append(side)
+            self.cut.append(cut)
+            bounds = np.insert(halves, np.arange(1, len(halves) + 1), bounds[1:])
+            bounds = np.concatenate([[0], bounds])
+        self.starts, self.ids, self.x = bounds, ids[order], x[order]
+        lo, hi = (f.reduceat(self.x, bounds[:-1], axis=0) if n else self.x for f in (np.minimum, np.maximum))
+        self.set_boxes(lo, hi)
+
+    def set_boxes(self, lo: np.ndarray, hi: np.ndarray) -> None:
+        """Boxes of all levels from those of the leaves."""
+        self.boxes = [(lo, hi)]
+        for _ in range(self.depth):
+            lo, hi = self.boxes[0]
+            self.boxes.insert(0, (np.minimum(lo[::2], lo[1::2]), np.maximum(hi[::2], hi[1::2])))
+
+    def home(self, q: np.ndarray) -> np.ndarray:
+        """The leaf on whose side of all cuts each query lies."""
+        at = np.zeros(len(q), int)
+        for side, cut in zip(self.side, self.cut):
+            at = 2 * at + (q[np.arange(len(q)), side[at]] >= cut[at])
+        return at
+
+    def reached(self, q: np.ndarray, reach: np.ndarray):
+        """(query row, leaf) of all leaves whose box lies within the squared
+        ``reach`` of a query: a descent from the root, all queries level by
+        level, that leaves nodes which are too far."""
+        row, node = np.arange(len(q)), np.zeros(len(q), int)
+        for level, (lo, hi) in enumerate(self.boxes):
+            if level:
+                row, node = np.repeat(row, 2), (2 * node[:, None] + [0, 1]).ravel()
+            far = np.zeros(len(row))
+            for j in range(q.shape[1]):
+                far += np.maximum(0, np.maximum(lo[node, j] - q[row, j], q[row, j] - hi[node, j])) ** 2
+            near = far <= reach[row]
+            row, node = row[near], node[near]
+        return row, node
 
     def search(self, q: np.ndarray, n: int, within: np.ndarray | None = None):
         """(query row, position, squared distance) of the n nearest points of
@@ -54,35 +88,44 @@ class Index:
         return found[:, 0].astype(np.int64), found[:, 1].astype(np.int64), found[:, 2]
 
     def _some(self, q, n, within):
-        far = np.zeros((len(q), len(self.lo)))  # squared distance to each box
-        for j in range(q.shape[1]):
-            far += np.maximum(0, np.maximum(self.lo[None, :, j] - q[:, None, j], q[:, None, j] - self.hi[None, :, j])) ** 2
-        reach = np.full(len(q), np.inf) if within is None else within.astype(float)
-        seen, rows = np.zeros(far.shape, bool), [np.zeros((0, 3))]
-        if within is None:  # the nearest leaf, and more until n points are met, give a first reach
-            near = np.argsort(far, axis=1, kind="stable")
-            size = np.diff(self.starts)[near].cumsum(axis=1)
-            first = np.argmax(size >= n, axis=1)
-            seen[np.arange(len(q))[:, None], near] = np.arange(far.shape[1]) <= first[:, None]
-            rows.append(self._met(q, seen, np.full(len(q), np.inf), n))
-            d = rows[-1]
-            last = np.flatnonzero(np.append(d[1:, 0] != d[:-1, 0], True))
-            reach[d[last, 0].astype(int)] = d[last, 2]
-        rows.append(self._met(q, (far <= reach[:, None]) & ~seen, reach, n))
-        return _best(np.concatenate(rows), self.ids, n)
-
-    def _met(self, q, wanted, reach, n):
-        """The n best of the points of each query's ``wanted`` leaves within reach."""
-        rows = [np.zeros((0, 3))]
-        for leaf in np.flatnonzero(wanted.any(axis=0)):
-            who = np.flatnonzero(wanted[:, leaf])
-            a, b = self.starts[leaf], self.starts[leaf + 1]
-            d = np.zeros((len(who), b - a))
-            for j in range(q.shape[1]):
-                d += (q[who, None, j] - self.x[None, a:b, j]) ** 2
-            r, c = np.nonzero(d <= reach[who, None])
-            rows.append(np.stack([who[r], a + c, d[r, c]], axis=1))
-        return _best(np.concatenate(rows), self.ids, n)
+        if within is None:  # the n-th distance among the points around the home leaf is a first reach
+            within = np.empty(len(q))
+            up = 0
+            while up < self.depth and np.diff(self.starts[:: 1 << up]).min() < n:
+                up += 1
+            home = self.home(q) >> up
+            first, last = self.starts[home << up], self.starts[(home + 1) << up]
+            for some in self._strips(last - first, q.shape[1]):
+                size = int((last - first)[some].max())
+                at = np.minimum(first[some][:, None] + np.arange(size), last[some][:, None] - 1)
+                d = np.where(np.arange(size) < (last - first)[some][:, None], self._apart(q[some][:, None, :], at), np.inf)
+                within[some] = np.partition(d, n - 1, axis=1)[:, n - 1]
+        row, leaf = self.reached(q, within)
+        first, size = self.starts[leaf], np.diff(self.starts)[leaf]
+        found = [np.zeros((0, 3))]
+        for some in self._strips(size, q.shape[1]):
+            rows, many = row[some], size[some]
+            start = np.repeat(first[some] - (np.cumsum(many) - many), many)
+            who, at = np.repeat(rows, many), start + np.arange(many.sum())
+            d = self._apart(q[who], at)
+            ok = d <= within[who]
+            found.append(_best(np.stack([who[ok], at[ok], d[ok]], axis=1), self.ids, n))
+        return _best(np.concatenate(found), self.ids, n)
+
+    def _apart(self, q, at):
+        d = np.zeros(at.shape)
+        for j in range(q.shape[-1]):
+            d += (q[..., j] - self.x[at, j]) ** 2
+        return d
+
+    @staticmethod
+    def _strips(size: np.ndarray, k: int, most: int = 4_000_000):
+        """Slices of rows with about ``most`` numbers in all."""
+        a, total = 0, np.cumsum(size) * (k + 2)
+        while a < len(size):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+            yield slice(a, b)
+            a = b
 
 
 def _best(rows: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
@@ -140,80 +183,118 @@ def knn(points: DataFrame, queries: DataFrame, n: int, k: int | None = None) ->
     return _dealt(queries).mapInArrow(nearest, "q long, row_id long, rank int, d2 double")
 
 
+def _salt(ids: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """A part of each row, below ``many``, from its id alone."""
+    z = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((z >> np.uint64(32)) % many.astype(np.uint64)).astype(np.int32)
+
+
 def _knn_blocks(points: DataFrame, queries: DataFrame, n: int, k: int) -> DataFrame:
-    """``knn`` for points that no executor should hold whole.  The boxes of the
-    blocks, 2 k numbers each, are sent along; a block with very many equal
-    points is dealt into parts that are searched one by one."""
+    """``knn`` for points that no executor should hold whole.
+
+    A coarse tree over a sample deals points into blocks by its cuts; its
+    boxes, 2 k numbers a block, come from all points.  Queries descend that tree
+    as they descend those inside the blocks.  A block of very many points is
+    dealt into parts that are searched one by one, one that very many queries
+    visit is sent to several tasks that share them."""
     spark = points.sparkSession
     total = points.count()
-    share = min(1.0, 2 * CUT_SAMPLE / max(1, total))
+    if not total:
+        return spark.createDataFrame([], "q long, row_id long, rank int, d2 double")
+    share = min(1.0, 2 * CUT_SAMPLE / total)
     chosen = points.where(F.pmod(F.xxhash64("row_id"), F.lit(1 << 30)) <= int(share * (1 << 30))).limit(CUT_SAMPLE).select(FEATURES).toArrow()
     sample = as_block(chosen.column(0).combine_chunks())
-    tree = Index(np.arange(len(sample)), sample, max(1, len(sample) * BLOCK // max(1, total)))
-    centres = spark.sparkContext.broadcast((tree.lo, tree.hi))
+    tree = Index(np.arange(len(sample)), sample, max(1, len(sample) * BLOCK // total))
+    cuts = spark.sparkContext.broadcast((tree.side, tree.cut, tree.depth))
 
-    def far(x, boxes):
-        out = np.zeros((len(x), len(boxes[0])))
-        for j in range(x.shape[1]):
-            out += np.maximum(0, np.maximum(boxes[0][None, :, j] - x[:, None, j], x[:, None, j] - boxes[1][None, :, j])) ** 2
+    def coarse() -> Index:
+        out = Index.__new__(Index)
+        out.side, out.cut, out.depth = cuts.value
         return out
 
+    def measure(batches):
+        held: dict[int, list] = {}
+        at = coarse()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = as_block(b.column(0))
+            home = at.home(x)
+            order = np.argsort(home, kind="stable")
+            seen, first = np.unique(home[order], return_index=True)
+            for i, c, lo, hi in zip(seen, np.diff(np.append(first, len(x))), *(f.reduceat(x[order], first, axis=0) for f in (np.minimum, np.maximum))):
+                old = held.get(i)
+                held[i] = [c, lo, hi] if old is None else [old[0] + c, np.minimum(old[1], lo), np.maximum(old[2], hi)]
+        if held:
+            keys = sorted(held)
+            yield pa.RecordBatch.from_pydict({"block": pa.array(keys, pa.int32()), "n": pa.array([int(held[i][0]) for i in keys]), "lo": [held[i][1].tolist() for i in keys], "hi": [held[i][2].tolist() for i in keys]})
+
+    per_task = points.select(FEATURES).mapInArrow(measure, "block int, n long, lo array<double>, hi array<double>")
+    found = per_task.groupBy("block").agg(
+        F.sum("n").alias("n"), *(F.array(*(f(F.col(c)[j]) for j in range(k))).alias(c) for c, f in (("lo", F.min), ("hi", F.max)))
+    ).collect()
+    lo, hi, parts = np.full((1 << tree.depth, k), np.inf), np.full((1 << tree.depth, k), -np.inf), np.ones(1 << tree.depth, int)
+    for r in found:
+        lo[r["block"]], hi[r["block"]], parts[r["block"]] = r["lo"], r["hi"], -(-r["n"] // (4 * BLOCK))
+    boxes = spark.sparkContext.broadcast((lo, hi, parts))
+
     def place(batches):
+        at, parts = coarse(), boxes.value[2]
         for b in batches:
             if b.num_rows:
-                at = np.concatenate([np.argmin(far(x, centres.value), axis=1) for x in np.array_split(as_block(b.column(1)), 1 + b.num_rows // 1024)])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at.astype(np.int32))], ["row_id", FEATURES, "block"])
+                block = at.home(as_block(b.column(1)))
+                part = _salt(b.column(0).to_numpy(), parts[block])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(block.astype(np.int32)), pa.array(part)], ["row_id", FEATURES, "block", "part"])
 
-    placed = points.select("row_id", FEATURES).mapInArrow(place, "row_id long, features array<double>, block int")
-    cells = [F.col(FEATURES)[j] for j in range(k)]
-    found = placed.groupBy("block").agg(F.count("*").alias("n"), F.array(*map(F.min, cells)).alias("lo"), F.array(*map(F.max, cells)).alias("hi")).orderBy("block").collect()
-    if not found:
-        return spark.createDataFrame([], "q long, row_id long, rank int, d2 double")
-    names = np.array([r["block"] for r in found])
-    parts = np.array([-(-r["n"] // (4 * BLOCK)) for r in found])
-    boxes = spark.sparkContext.broadcast((np.array([r["lo"] for r in found]), np.array([r["hi"] for r in found])))
-    many = F.element_at(F.create_map(*(F.lit(int(v)) for r in zip(names, parts) for v in r)), F.col("block"))
-    held = placed.withColumn("part", F.pmod(F.xxhash64("row_id"), many).cast("int"))
+    held = points.select("row_id", FEATURES).mapInArrow(place, "row_id long, features array<double>, block int, part int")
 
     def ask(batches, first):
-        """(block, part, q, features, reach): the nearest block, or all others within reach."""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = as_block(b.column(1))
-            d = far(x, boxes.value)
-            home = np.argmin(d, axis=1)
-            if first:
-                row, col = np.arange(len(x)), home
-                reach = np.full(len(x), np.inf)
-            else:
-                r2 = b.column(2).to_numpy()
-                wanted = d <= r2[:, None]
-                wanted[np.arange(len(x)), home] = False
-                row, col = np.nonzero(wanted)
-                reach = r2[row]
-            times = parts[col]
-            row, col, reach = (np.repeat(v, times) for v in (row, col, reach))
-            part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[col].astype(np.int32)), pa.array(part.astype(np.int32)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(reach)],
-                ["block", "part", "q", FEATURES, "reach"],
-            )
-
-    def search(mine: pa.Table, asked: pa.Table) -> pa.Table:
+        """(block, part, q, features, reach): the home block, or all others within reach."""
+        at = coarse()
+        lo, hi, parts = boxes.value
+        at.set_boxes(lo, hi)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                b = batch.slice(a, 2048)
+                x = as_block(b.column(1))
+                home = at.home(x)
+                if first:
+                    row, col = np.arange(len(x)), home
+                    reach = np.full(len(x), np.inf)
+                else:
+                    r2 = b.column(2).to_numpy()
+                    row, col = at.reached(x, r2)
+                    other = (col != home[row]) & (lo[col, 0] <= hi[col, 0])
+                    row, col = row[other], col[other]
+                    reach = r2[row]
+                times = parts[col]
+                row, col, reach = (np.repeat(v, times) for v in (row, col, reach))
+                part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(col.astype(np.int32)), pa.array(part.astype(np.int32)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(reach)],
+                    ["block", "part", "q", FEATURES, "reach"],
+                )
+
+    def search(mine, asked):
         if not mine.num_rows or not asked.num_rows:
             return pa.table({"q": pa.array([], pa.int64()), "row_id": pa.array([], pa.int64()), "d2": pa.array([], pa.float64())})
         index = Index(mine.column("row_id").to_numpy(), as_block(mine.column(FEATURES).combine_chunks()))
-        row, at, d = index.search(as_block(asked.column(FEATURES).combine_chunks()), n, asked.column("reach").to_numpy())
+        reach = asked.column("reach").to_numpy()
+        row, at, d = index.search(as_block(asked.column(FEATURES).combine_chunks()), n, None if np.isinf(reach).all() else reach)
         return pa.table({"q": asked.column("q").to_numpy()[row], "row_id": index.ids[at], "d2": d})
 
     form = "block int, part int, q long, features array<double>, reach double"
 
     def step(asked: DataFrame) -> DataFrame:
-        return held.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(search, "q long, row_id long, d2 double")
+        busy = asked.groupBy("block", "part").count().withColumn("tasks", F.ceil(F.col("count") / (2 * BLOCK)).cast("int")).drop("count")
+        shared = held.join(busy, ["block", "part"]).withColumn("task", F.explode(F.expr("sequence(0, tasks - 1)"))).drop("tasks")
+        dealt = asked.join(busy, ["block", "part"]).withColumn("task", F.pmod(F.xxhash64("q"), F.col("tasks")).cast("int")).drop("tasks")
+        key = ["block", "part", "task"]
+        return shared.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(search, "q long, row_id long, d2 double")
 
     ends = queries.select(F.col("row_id").alias("row_id"), FEATURES)
-    one = step(ends.mapInArrow(lambda b: ask(b, True), form))
+    one = stored(step(ends.mapInArrow(lambda b: ask(b, True), form)), "near")
     rank = F.row_number().over(W.partitionBy("q").orderBy("d2", "row_id"))
     best = one.withColumn("rank", rank).where(F.col("rank") <= n)
     reach = best.groupBy("q").agg(F.when(F.count("*") < n, F.lit(float("inf"))).otherwise(F.max("d2")).alias("reach"))

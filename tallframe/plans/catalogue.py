@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import distributions as dist
+from ..functions import distributions as dist, kde
 from ..operators import active, dmd, elementwise as ew, gram as gm, interp, linalg, pca, pod, sampling, stats
 from ..sources import matrices as src
 from .ordering import value_at
@@ -403,15 +403,9 @@ def _customers(spark, sf) -> DataFrame:
     return m.withColumn("y", a * a * 0.5 + b - a * b * 0.25 + 2.0)
 
 
-def _rounded(m: DataFrame) -> DataFrame:
-    """Balances to two digits, so that no gradient lies on a rounding edge."""
-    a, b = F.round(F.col("features")[0], 2), F.col("features")[1]
-    return m.select("row_id", F.array(a, b).alias("features"), (a * a * 0.5 + b - a * b * 0.25 + 2.0).alias("y"))
-
-
 _CP = "p AS (SELECT c_custkey AS i, c_acctbal / 1000 AS a, c_nationkey / CAST(10 AS DOUBLE) AS b FROM customer)"
-query("r9_grad_quadratic", _cols("a-0.25*b", "1-0.25*a", digits=4, cte=_CP.replace("c_acctbal / 1000", "round(c_acctbal / 1000, 2)")))(
-    lambda s, sf: _coo(active.gradients(_rounded(_customers(s, sf)), 2, 24, 2), 4))
+# gradients have 7 decimals: at 8 places none lies on a rounding edge
+query("r9_grad_quadratic", _cols("a-0.25*b", "1-0.25*a", digits=8, cte=_CP))(lambda s, sf: _coo(active.gradients(_customers(s, sf), 2, 24, 2), 8))
 
 
 @query("as_active_subspace", "SELECT true AS trace_ok, true AS orthonormal, true AS svd_agrees, true AS round_trip")
@@ -522,11 +516,14 @@ for _name, _at, _sql, _how in (
     ("py_pod_previous", 0.75, "x.v", {"kind": "previous"}), ("py_pod_next", 0.25, "y.v", {"kind": "next"}), ("py_pod_lstsq", 0.3137, "0.6863*x.v+0.3137*y.v", {"weights_by": "lstsq"}),
     ("py_pod_random_basis", 0.3137, "0.6863*x.v+0.3137*y.v", {"basis": "random"}), ("py_pod_unsorted_basis", 0.3137, "0.6863*x.v+0.3137*y.v", {"basis": "unsorted", "weights_by": "lstsq"}),
 ):
-    def _pod(spark, sf, at=_at, how=_how):
+    # means themselves come back as they are: at 4 places some lie on a rounding edge, at 9 none does
+    _digits = 9 if _sql in ("x.v", "y.v") else 4
+
+    def _pod(spark, sf, at=_at, how=_how, digits=_digits):
         m = pod.fit(_snapshots(spark, sf), 30 if how.get("basis") == "unsorted" else 5, **how)
-        return m.predict(m.times[:-1] + at).select("t_idx", "row_id", _r("x", 4).alias("x"))
+        return m.predict(m.times[:-1] + at).select("t_idx", "row_id", _r("x", digits).alias("x"))
 
-    query(_name, _BETWEEN.format(_sql))(_pod)
+    query(_name, _BETWEEN.format(_sql).replace(", 4)", f", {_digits})"))(_pod)
 
 
 @query("api_pod_interp", f"WITH {_EV}, {_W} SELECT CAST(j AS BIGINT) AS row_id, round(v, 6) + 0.0 AS x FROM s WHERE t = 0")
@@ -721,14 +718,16 @@ def _(spark, sf):
 _KD = "SELECT c_custkey AS q, round(avg({}), 8) + 0.0 AS y FROM customer, supplier GROUP BY 1"
 
 
-def _kde(s, sf):
-    return dist.KdeRv(1500.0, np.array([r[0] for r in _t(s, sf, "supplier").select("s_acctbal").collect()]))
+def _kernels(s, sf, digits, scale=1.0, **how):
+    """Kernels at the suppliers' balances, summed up at the customers'."""
+    q = _t(s, sf, "customer").select(F.col("c_custkey").alias("q"), F.col("c_acctbal").alias("x"))
+    out = kde.kernel_sums(q, _t(s, sf, "supplier").select(F.col("s_acctbal").alias("s")), 1500.0, name="y", **how)
+    return out.select("q", _r(F.col("y") * scale, digits).alias("y"))
 
 
-query("k2_kde_pdf", _KD.format("1000*exp(-0.5*pow((c_acctbal-s_acctbal)/1500,2))/(1500*sqrt(2*pi()))"))(
-    lambda s, sf: _t(s, sf, "customer").select(F.col("c_custkey").alias("q"), _r(_kde(s, sf).pdf(F.col("c_acctbal")) * 1000, 8).alias("y")))
+query("k2_kde_pdf", _KD.format("1000*exp(-0.5*pow((c_acctbal-s_acctbal)/1500,2))/(1500*sqrt(2*pi()))"))(lambda s, sf: _kernels(s, sf, 8, 1000.0))
 query("k3_kde_cdf", f"SELECT q, round(avg(0.5*(1+{_ERF})), 6) + 0.0 AS y FROM (SELECT c_custkey AS q, (c_acctbal-s_acctbal)/(1500*sqrt(2.0)) AS z FROM customer, supplier) GROUP BY 1")(
-    lambda s, sf: _t(s, sf, "customer").select(F.col("c_custkey").alias("q"), _r(_kde(s, sf).cdf(F.col("c_acctbal")), 6).alias("y")))
+    lambda s, sf: _kernels(s, sf, 6, cumulative=True))
 
 
 def _draws(name: str, rv, mean: float, tol: float) -> None:
@@ -744,9 +743,9 @@ _draws("k4_kde_sample", dist.KdeRv(0.5, np.array([1.0, 2.0, 6.0])), 3.0, 0.2)
 
 @query("k6_build_kde", "SELECT true AS positive, s_acctbal AS median FROM (SELECT s_acctbal, row_number() OVER (ORDER BY s_acctbal) - 1 AS r, count(*) OVER () AS n FROM supplier) WHERE r = n // 2")
 def _(spark, sf):
-    x = np.array([r[0] for r in _t(spark, sf, "supplier").orderBy("s_suppkey").select("s_acctbal").collect()])
-    kde = dist.build_kde(1.0, x, 5)
-    return _small(spark, [(bool(kde.bandwidth > 0), float(dist.upper_median(x)))], "positive boolean, median double")
+    t = _t(spark, sf, "supplier")
+    h = dist.split_bandwidth(t, "s_acctbal", "s_suppkey", 1.0, 5)
+    return _small(spark, [(bool(0 < h <= 1000), float(value_at(t, "s_acctbal", t.count() // 2)))], "positive boolean, median double")
 
 
 # array interface
@@ -792,10 +791,17 @@ def _(spark, sf):
     return _coo(src.from_numpy(spark, out), 4)
 
 
-@query("k5_est_bandwidth", "SELECT true AS positive, true AS not_worse")
+# the least value on a grid of 4,001 widths up to the upper bound
+@query("k5_est_bandwidth", """
+WITH s AS (SELECT s_acctbal AS s FROM supplier WHERE s_suppkey % 2 = 0), t AS (SELECT s_suppkey AS k, s_acctbal AS x FROM supplier WHERE s_suppkey % 2 = 1),
+h AS (SELECT 1000 * exp(-i * 0.0015) AS h FROM range(4001) AS r(i)),
+d AS (SELECT h, k, avg(exp(-0.5 * pow((x - s) / h, 2)) / (h * sqrt(2 * pi()))) AS d FROM h, t, s GROUP BY 1, 2),
+v AS (SELECT h, sum(CASE WHEN d > 0 THEN -ln(d) ELSE 1e12 END) AS v FROM d GROUP BY 1)
+SELECT (SELECT count(*) FROM t) AS n_test, round(min(v), 2) AS nll FROM v""")
 def _(spark, sf):
-    x = np.array([r[0] for r in _t(spark, sf, "supplier").orderBy("s_suppkey").select("s_acctbal").collect()])
-    kde = dist.KdeRv(1500.0, x[::2])
-    h = kde.est_bandwidth(x[1::2])
-    test = _small(spark, [(float(v),) for v in x[1::2]], "x double")
-    return _small(spark, [(h > 0, kde.nll(test, "x", (h,)) <= kde.nll(test, "x") + 1e-6)], "positive boolean, not_worse boolean")
+    t = _t(spark, sf, "supplier")
+    s = t.where("s_suppkey % 2 = 0").select(F.col("s_acctbal").alias("s"))
+    x = t.where("s_suppkey % 2 = 1").select(F.col("s_acctbal").alias("x"))
+    h = dist.estimated_bandwidth(s, x, 1500.0)
+    each = kde.kernel_sums(x, s, h).select((-F.log("density")).alias("v"))
+    return each.agg(F.count("*").alias("n_test"), F.round(F.sum("v"), 2).alias("nll"))

@@ -1,55 +1,70 @@
-"""Global ranks and ranked values without a single-partition window."""
+"""Global ranks, running sums and ranked values without a one-task window.
+
+Rows go through one range exchange and are stored in order; what a partition
+has to know of those before it is one number, so the driver adds up one number
+for each partition and sends them back."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
+
+from ..sources.scratch import stored
 
-#: fewer rows than this are ranked by one window: a range shuffle would cost more
+#: rows that are sorted by one task when a single value is looked for
 SMALL = 200_000
-#: rows that cut points are taken from, cut points of each of two levels
-SAMPLE, FAN = 20_000, 32
+#: Spark's row ids: the partition above, the row within it below
+WITHIN = 33
+
+
+def _starts(parts: DataFrame, kind: str) -> DataFrame:
+    """(part, start): what the partitions before hold, from (part, held)."""
+    rows = sorted(map(tuple, parts.collect()))
+    ends = np.cumsum([0, *(r[1] for r in rows)])
+    return parts.sparkSession.createDataFrame([(r[0], s.item()) for r, s in zip(rows, ends)], f"part long, start {kind}")
 
 
 def global_rank(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     """``df`` with its 0-based position in ascending order of ``keys``, which
     must tell rows apart; a number that is to descend is given negated.
 
-    Rows are dealt to ranges between cut points, tuples of all keys, so that
-    rows with one value of the first key spread over ranges too.  The cut points,
-    FAN x FAN at most, come from rows chosen by hash: a recomputed task gets the
-    same ranges."""
-    spark = df.sparkSession
-    n = df.count()
-    if n <= SMALL:
-        return df.withColumn(name, (F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*keys)) - 1).cast("long"))
-    k = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(keys)))
-    one_in = max(1, n // SAMPLE)
-    some = df.where(F.pmod(F.xxhash64(k), F.lit(one_in)) == 0).select(k.alias("k")).limit(4 * SAMPLE).orderBy("k").collect()
-    parts = min(FAN * FAN, max(2, n // SMALL))
-    cuts = [some[len(some) * i // parts]["k"] for i in range(1, parts)] if some else []
-    groups = [cuts[i : i + FAN] for i in range(0, len(cuts), FAN)]
-    lit = lambda c: F.struct(*(F.lit(v).alias(f"k{i}") for i, v in enumerate(c)))
-    if groups:  # the first level holds the last cut of each group but the last
-        low = lambda cuts_: F.size(F.filter(cuts_, lambda c: c < k))
-        top = F.array(*(lit(g[-1]) for g in groups[:-1])) if len(groups) > 1 else None
-        coarse = low(top) if top is not None else F.lit(0)
-        rows = df.withColumn("__c", coarse)
-        fine = F.lit(0)
-        for i, g in enumerate(groups):
-            fine = F.when(F.col("__c") == i, low(F.array(*map(lit, g)))).otherwise(fine)
-        rows = rows.withColumn("__part", F.col("__c") * (FAN + 1) + fine).drop("__c")
-    else:
-        rows = df.withColumn("__part", F.lit(0))
-    counts = dict(rows.groupBy("__part").count().collect())
-    starts, total = [], 0
-    for p in sorted(counts):
-        starts.append((p, total))
-        total += counts[p]
-    base = spark.createDataFrame(starts, "__part int, __base long")
-    within = F.row_number().over(W.partitionBy("__part").orderBy(*keys)) - 1
-    return rows.withColumn("__at", within).join(F.broadcast(base), "__part").withColumn(name, F.col("__base") + F.col("__at")).drop("__part", "__base", "__at")
+    Ranges are cut by all keys together, so rows with one value of the first
+    key spread over ranges too.  Each task numbers its rows as they come out of
+    its sort; the sizes of the ranges before are added."""
+    at = f"{name}__at"
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id())
+    rows = stored(ranged, "ranked")
+    part = F.shiftright(at, WITHIN)
+    starts = _starts(rows.groupBy(part.alias("part")).count(), "long").withColumnsRenamed({"part": f"{name}__part", "start": f"{name}__start"})
+    within = F.col(at).bitwiseAND((1 << WITHIN) - 1)
+    joined = rows.join(F.broadcast(starts), part == F.col(f"{name}__part"))
+    return joined.withColumn(name, F.col(f"{name}__start") + within).drop(at, f"{name}__part", f"{name}__start")
+
+
+def running_sum(df: DataFrame, keys: list[Column], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of a number over all rows up to and including it, in
+    ascending order of ``keys``; of rows with equal keys any may come first."""
+    at = df.columns.index(value)
+
+    def add_up(batches):
+        from pyspark import TaskContext
+
+        total, part = 0.0, TaskContext.get().partitionId()
+        for b in batches:
+            sums = total + np.cumsum(b.column(at).to_numpy(zero_copy_only=False).astype(float))
+            total = sums[-1] if len(sums) else total
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums), pa.array(np.full(n, part))], [*b.schema.names, name, f"{name}__in"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType()), T.StructField(f"{name}__in", T.LongType())])
+    rows = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(add_up, schema), "sums")
+    starts = _starts(rows.groupBy(f"{name}__in").agg(F.sum(value).cast("double")), "double")
+    starts = starts.withColumnsRenamed({"part": f"{name}__in", "start": f"{name}__start"})
+    joined = rows.join(F.broadcast(starts), f"{name}__in")
+    return joined.withColumn(name, F.col(name) + F.col(f"{name}__start")).drop(f"{name}__in", f"{name}__start")
 
 
 def value_at(df: DataFrame, column: str, rank: int):
