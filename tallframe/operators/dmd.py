@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.scratch import stored
 from .gram import as_block, gram
 from .linalg import eigh_desc
+from .pod import points
 
 MAX_STEPS = 2000
 MAX_STATE = 5_000_000
@@ -40,10 +42,8 @@ def shift_pairs_window(steps: DataFrame, series: str) -> DataFrame:
 
 def state_points(steps: DataFrame) -> DataFrame:
     """(row_id = state point, features = value per step, in step order)."""
-    long = steps.select("t_idx", F.posexplode("state").alias("p", "v"))
-    return long.groupBy(F.col("p").cast("long").alias("row_id")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("t_idx", "v"))), lambda c: c["v"]).alias("features")
-    )
+    ids = sorted(r["t_idx"] for r in steps.select("t_idx").limit(MAX_STEPS + 1).collect())
+    return points(steps.select(F.col("t_idx").alias("snap_id"), F.col("state").alias("field")), ids)
 
 
 @dataclass(frozen=True)
@@ -79,10 +79,6 @@ class DmdcModel:
         schema = "row_id long, " + ", ".join(f"{n} array<double>" for n in names)
         return self.points.mapInArrow(run, schema)
 
-    def close(self) -> None:
-        """Release the state points."""
-        self.points.unpersist()
-
     def modes(self) -> DataFrame:
         """(row_id, re, im)."""
         return self._rows(self.modes_right.astype(complex), ["re", "im"])
@@ -159,7 +155,7 @@ def fit(steps: DataFrame, n_modes: int, n_iters: int = 20) -> DmdcModel:
     if n_modes > n_t - 1:
         raise ValueError(f"{n_modes} modes of {n_t} steps")
     u = np.array([c for _, c in ctl], float).reshape(n_t, -1)
-    p = state_points(steps).persist()  # every prediction reads it; ``DmdcModel.close`` lets it go
+    p = stored(state_points(steps), "states")  # every prediction reads it
     n_x = p.count()
     g = gram(p, n_t, "arrow").raw  # X^T X over state points, all steps
     gx, gxy, gy = g[:-1, :-1], g[:-1, 1:], g[1:, 1:]

@@ -10,9 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .gram import gram
 from .interp import RbfInterp, linear
 from .linalg import eigh_desc, random_svd
@@ -77,12 +79,6 @@ class PodModel:
     weights: np.ndarray
     interp: list
     times: np.ndarray
-    source: DataFrame | None = None
-
-    def close(self) -> None:
-        """Release the field points that the modes are computed from."""
-        if self.source is not None:
-            self.source.unpersist()
 
     def weights_at(self, t: np.ndarray) -> np.ndarray:
         t = np.atleast_2d(np.asarray(t, float))
@@ -94,14 +90,36 @@ class PodModel:
         return right(self.modes, w.T).select("row_id", F.posexplode("features").alias("t_idx", "x")).select("t_idx", "row_id", "x")
 
 
+#: field points of a range
+RANGE = 1024
+
+
 def points(snapshots: DataFrame, ids: list[int]) -> DataFrame:
-    """Field points as rows (row_id = point, features = value per snapshot)."""
-    order = {s: i for i, s in enumerate(ids)}
-    index = F.create_map(*(F.lit(x) for kv in order.items() for x in kv))
-    long = snapshots.select(index[F.col("snap_id")].alias("s"), F.posexplode("field").alias("x", "v"))
-    return long.groupBy(F.col("x").cast("long").alias("row_id")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("s", "v"))), lambda c: c["v"]).alias("features")
+    """Field points as rows (row_id = point, features = value per snapshot).
+
+    The matrix is transposed by blocks: each field is cut into ranges of points,
+    whose values move as one array; the pieces of a range are stacked where they
+    meet, one for each snapshot, and turned."""
+    place = {s: i for i, s in enumerate(ids)}
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("field") / RANGE).cast("int") - 1)),
+        lambda r: F.struct(r.alias("range"), F.slice("field", r * RANGE + 1, RANGE).alias("v")),
     )
+    cut = snapshots.select("snap_id", F.explode(pieces).alias("p")).select("snap_id", "p.range", F.col("p.v").cast("array<double>").alias("v"))
+
+    def stack(key, rows):
+        out = np.full((RANGE, len(ids)), np.nan)
+        most = 0
+        for s, v in zip(rows.column("snap_id").to_pylist(), rows.column("v")):
+            values = v.values.to_numpy(zero_copy_only=False)
+            out[: len(values), place[s]] = values
+            most = max(most, len(values))
+        out = out[:most]
+        flat = pa.array(np.ascontiguousarray(out).ravel())
+        ends = pa.array(np.arange(0, out.size + 1, max(1, len(ids)), dtype=np.int32))
+        return pa.table({"row_id": pa.array(np.arange(most) + key[0].as_py() * RANGE), "features": pa.ListArray.from_arrays(ends, flat)})
+
+    return cut.groupBy("range").applyInArrow(stack, "row_id long, features array<double>")
 
 
 def fit(snapshots: DataFrame, n_modes: int, basis: str = "sorted", weights_by: str = "projection", kind: str = "rbf", seed: int = 0) -> PodModel:
@@ -119,7 +137,7 @@ def fit(snapshots: DataFrame, n_modes: int, basis: str = "sorted", weights_by: s
     if n_modes > len(heads):
         raise ValueError(f"{n_modes} modes of {len(heads)} snapshots")
     ids, times = [h[0] for h in heads], np.array([h[1] for h in heads], float)
-    p = points(snapshots, ids).persist()  # read again by ``modes``; ``PodModel.close`` lets it go
+    p = stored(points(snapshots, ids), "points")  # read again by ``modes``
     if basis == "random":
         found = random_svd(p, n_modes, seed=seed, k=len(ids))
         s, v = found.s, found.vt.T
@@ -139,5 +157,5 @@ def fit(snapshots: DataFrame, n_modes: int, basis: str = "sorted", weights_by: s
         interp = [RbfInterp(linear(), times.shape[1], 1).fit(times, weights[:, j]) for j in range(n_modes)]
     else:
         interp = [Interp1d(times[:, 0], weights[:, j], kind) for j in range(n_modes)]
-    return PodModel(modes, weights, interp, times, p)
+    return PodModel(modes, weights, interp, times)
 

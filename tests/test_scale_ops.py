@@ -104,3 +104,82 @@ def test_bandwidth_is_the_same_for_tables_and_arrays(spark):
     assert abs(dist.estimated_bandwidth(support, frame) / dist.KdeRv(1.0, s).est_bandwidth(x) - 1) < 1e-3
     for method in (0, 2):
         assert abs(dist.KdeRv(1.0, s).est_bandwidth(x, method=method) / dist.KdeRv(1.0, s).est_bandwidth(x) - 1) < 2e-3
+
+
+def frame(spark, a, parts=3):
+    return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(np.atleast_2d(a))], "row_id long, features array<double>").repartition(parts)
+
+
+def test_block_products(spark, monkeypatch):
+    from tallframe.operators import linalg
+
+    rng = np.random.default_rng(6)
+    for n, k, m, size in ((23, 41, 17, 8), (30, 5, 30, 7), (3, 3, 3, 512)):
+        a, b = rng.standard_normal((n, k)) * (rng.random((n, k)) < 0.4), rng.standard_normal((k, m)) * (rng.random((k, m)) < 0.4)
+        coo = lambda x: spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x))], "i int, j int, value double").repartition(3)
+        for held in (1, 24):
+            monkeypatch.setattr(linalg, "HELD", held)
+            got = linalg.matmul(coo(a), coo(b), 2.0, size).collect()
+            want = 2 * a @ b
+            some = (a != 0).astype(int) @ (b != 0).astype(int) > 0
+            assert {(r.i, r.j) for r in got} == set(zip(*map(lambda v: v.tolist(), np.nonzero(some)))) and all(abs(r.value - want[r.i, r.j]) < 1e-12 for r in got)
+    plan = linalg.matmul(coo(a), coo(b))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "MapInArrow" in plan  # blocks meet, products don't
+    assert linalg.matmul(coo(a).limit(0), coo(b)).count() == 0
+
+
+@pytest.mark.parametrize("tree", [512, 2])
+def test_merged_factors(spark, monkeypatch, tree):
+    from tallframe.operators import linalg
+
+    monkeypatch.setattr(linalg, "TREE", tree)
+    a = np.random.default_rng(7).standard_normal((2500, 40))
+    r = linalg._r_factor(frame(spark, a, 9), None, 40)
+    assert r.shape == (40, 40) and np.abs(r.T @ r - a.T @ a).max() < 1e-9
+    q, r = linalg.thin_qr(frame(spark, a, 9), 40)
+    found = np.array([x.features for x in q.orderBy("row_id").collect()])
+    assert np.abs(found @ r - a).max() < 1e-9 and np.abs(found.T @ found - np.eye(40)).max() < 1e-9
+
+
+def test_factors_of_many_columns(spark, monkeypatch):
+    """1,500 columns go through the tree; what reaches the driver is one factor."""
+    from tallframe.operators import linalg
+
+    a = np.random.default_rng(8).standard_normal((1700, 1500))
+    r = linalg._r_factor(frame(spark, a, 4), None, 1500)
+    assert np.abs(r.T @ r - a.T @ a).max() < 1e-8
+
+
+def test_one_scan_sketch(spark, monkeypatch):
+    from tallframe.operators import linalg
+
+    monkeypatch.setattr(linalg, "NARROW_R", 4)
+    rng = np.random.default_rng(9)
+    low = np.linalg.qr(rng.standard_normal((400, 5)))[0] @ np.diag([9.0, 5, 3, 2, 1]) @ np.linalg.qr(rng.standard_normal((300, 5)))[0].T
+    m = frame(spark, low, 5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would count each stage as a job
+    spark.sparkContext.setJobGroup("sketch", "sketch")
+    found = linalg.random_svd(m, 5, 2, 10, k=300, passes=1)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("sketch")) == 1
+    spark.sparkContext.setJobGroup("rest", "rest")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert np.abs(found.s - [9, 5, 3, 2, 1]).max() < 1e-6
+    u = np.array([x.features for x in found.u.orderBy("row_id").collect()])
+    assert np.abs((u * found.s) @ found.vt - low).max() < 1e-6
+    noisy = low + 0.01 * rng.standard_normal(low.shape)
+    s = np.linalg.svd(noisy, compute_uv=False)
+    got = linalg.random_svd(frame(spark, noisy, 5), 5, 4, 10, k=300).s
+    assert np.abs(got / s[:5] - 1).max() < 0.002
+    tiny = np.zeros((5, 5))
+    tiny[0, 0], tiny[0, 4], tiny[1, 2], tiny[4, 1] = 1, 2, 3, 2
+    assert np.abs(linalg.random_svd(frame(spark, tiny), 5, 12, 10, k=5).s - [3, 5**0.5, 2, 0, 0]).max() < 1e-3
+
+
+def test_snapshots_are_turned_by_ranges(spark, monkeypatch):
+    from tallframe.operators import pod
+
+    monkeypatch.setattr(pod, "RANGE", 7)
+    x = np.random.default_rng(10).standard_normal((4, 45))
+    df = spark.createDataFrame([(10 * i, v.tolist()) for i, v in enumerate(x)], "snap_id long, field array<double>")
+    got = {r.row_id: r.features for r in pod.points(df, [0, 10, 20, 30]).collect()}
+    assert sorted(got) == list(range(45)) and all(got[j] == x[:, j].tolist() for j in range(45))
