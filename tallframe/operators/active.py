@@ -14,6 +14,7 @@ from ..sources.scratch import stored
 from .elementwise import FEATURES, interaction_pairs
 from .gram import as_block, gram, width
 from .linalg import DAMP, eigh_desc, random_svd, times
+from .sketch import RowSketch
 
 #: bytes of points that may be sent to every executor
 SEND = 50_000_000
@@ -430,6 +431,14 @@ def fit(grads: DataFrame, n_comps: int) -> ActiveSubspace:
     return ActiveSubspace(w, v, n_comps, c)
 
 
+def from_sketch(s: RowSketch, n_comps: int) -> ActiveSubspace:
+    """From a sketch of gradients (``sketch``), so that new gradients are merged
+    without reading old ones; each entry of C is off by ``loss`` / n at most."""
+    c = s.raw / max(1, s.n)
+    w, v = eigh_desc(c)
+    return ActiveSubspace(w, v, n_comps, c)
+
+
 def fit_svd(grads: DataFrame, n_comps: int, n_iter: int = 8, n_oversamples: int = 10, seed: int = 0) -> ActiveSubspace:
     """The leading eigenpairs by randomized SVD of the gradients."""
     k = width(grads)

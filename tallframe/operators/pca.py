@@ -13,6 +13,7 @@ from ..sources.matrices import coo_from_numpy, to_coo
 from .elementwise import FEATURES, max_abs_diff
 from .gram import WIDE, as_block, gram, width
 from .linalg import canonical, eigh_desc, random_svd, tall_t_times, times
+from .sketch import RowSketch
 
 
 class Transform(Protocol):
@@ -74,6 +75,22 @@ def fit(m: DataFrame, rank: int, n_iters: int = 20, n_oversamples: int | None =
     return PcaModel(n, means, found.vt, found.s)
 
 
+def refit(old: RowSketch, new: RowSketch, rank: int) -> tuple[PcaModel, RowSketch]:
+    """The model of all rows from a stored sketch of the old ones and that of
+    new ones, and their merged sketch; old rows aren't read.  Squared singular
+    values are at most ``loss`` of the merged sketch below the exact ones."""
+    both = old.merge(new)
+    return from_sketch(both, rank), both
+
+
+def from_sketch(s: RowSketch, rank: int) -> PcaModel:
+    if rank > len(s.sums):
+        raise ValueError(f"rank {rank} exceeds {len(s.sums)}")
+    w, v = eigh_desc(s.comoment)
+    comp = v[:, :rank].T
+    return PcaModel(s.n, s.means, comp * canonical(comp)[:, None], np.sqrt(np.maximum(w[:rank], 0)))
+
+
 def column_sums(m: DataFrame, k: int) -> np.ndarray:
     """Sums of all columns in one pass, whatever their number."""
     return tall_t_times(m, None, lambda x: x.sum(0)[None], 1, k)[0]

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..sources.matrices import coo_from_numpy
 from .elementwise import FEATURES, interaction_pairs, vandermonde
-from .gram import Gram, gram, width
+from .gram import WIDE, Gram, gram, width
 from .linalg import pinv
+from .lsqr import lsqr, quadratic
 
 
 def row_mean(m: DataFrame) -> DataFrame:
@@ -85,11 +86,17 @@ def with_y(x: DataFrame, y: Column | str) -> DataFrame:
     return x.withColumn(FEATURES, F.concat(FEATURES, F.array(y.cast("double"))))
 
 
-def linear_fit(xy: DataFrame, n_out: int = 1, g: Gram | None = None) -> np.ndarray:
+def linear_fit(xy: DataFrame, n_out: int = 1, g: Gram | None = None, method: str | None = None) -> np.ndarray:
     """(k + 1) x n_out coefficients, intercept last; ``xy`` holds x then y.
 
-    Normal equations on centred moments of one pass, so the intercept column
-    never enters the conditioning."""
+    "gram", for up to ``WIDE`` columns: normal equations on centred moments of
+    one pass, so the intercept column never enters the conditioning.  "lsqr", for
+    more columns, or where they are nearly dependent and the condition mustn't be
+    squared: iterations of one pass each (``lsqr``; one y only)."""
+    if g is None and (method or ("gram" if (k := width(xy)) <= WIDE else "lsqr")) == "lsqr":
+        if n_out != 1:
+            raise ValueError("one y only")
+        return lsqr(xy)[0][:, None]
     g = g or gram(xy)
     k = len(g.mean) - n_out
     beta = pinv(g.comoment[:k, :k]) @ g.comoment[:k, k:]
@@ -101,10 +108,13 @@ def jac_from_lin(xy: DataFrame, n_out: int = 1) -> np.ndarray:
     return linear_fit(xy, n_out)[:-1].T
 
 
-def quad_fit(x: DataFrame, y: Column | str, k: int) -> np.ndarray:
-    """Coefficients of [x, interactions, 1]."""
+def quad_fit(x: DataFrame, y: Column | str, k: int, method: str | None = None) -> np.ndarray:
+    """Coefficients of [x, interactions, 1]; "lsqr", the default beyond ``WIDE``
+    of them, forms interactions block by block and never stores them."""
     size = k + len(interaction_pairs(k))
     y = F.col(y) if isinstance(y, str) else y
+    if (method or ("gram" if size < WIDE else "lsqr")) == "lsqr":
+        return lsqr(with_y(x, y), quadratic, k=k + 1)[0][:, None]
     f = F.col(FEATURES)
     inter = [f[a] * f[b] for a, b in interaction_pairs(k)]
     full = x.select("row_id", F.concat(f, F.array(*inter, y.cast("double"))).alias(FEATURES))

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distributions as dist, kde
-from ..operators import active, dmd, elementwise as ew, gram as gm, interp, linalg, pca, pod, sampling, stats
+from ..operators import active, dmd, elementwise as ew, gram as gm, interp, linalg, pca, pod, sampling, sketch, stats
 from ..sources import matrices as src
-from .ordering import value_at
+from ..sources.scratch import stored
+from .ordering import global_rank, value_at
 
 _QUERIES: dict = {}
 _ORACLE: dict[str, str] = {}
@@ -348,6 +349,19 @@ b AS (SELECT (y1*v2-y2*c12)/(v1*v2-c12*c12) AS b1, (y2*v1-y1*c12)/(v1*v2-c12*c12
 _Y2 = ("l_quantity", "l_discount", "l_extendedprice")
 query("r1_linear_fit_k2", f"WITH {_CR} SELECT 0 AS i, round(b1, 4) AS value FROM b UNION ALL SELECT 1, round(b2, 4) FROM b UNION ALL SELECT 2, round(my-b1*m1-b2*m2, 4) FROM b")(
     lambda s, sf: _small(s, [(i, round(float(v), 4)) for i, v in enumerate(stats.linear_fit(_items(s, sf, _Y2))[:, 0])], "i int, value double"))
+query("r1_linear_fit_lsqr", f"WITH {_CR} SELECT 0 AS i, round(b1, 4) AS value FROM b UNION ALL SELECT 1, round(b2, 4) FROM b UNION ALL SELECT 2, round(my-b1*m1-b2*m2, 4) FROM b")(
+    lambda s, sf: _small(s, [(i, round(float(v), 4)) for i, v in enumerate(stats.linear_fit(_items(s, sf, _Y2), method="lsqr")[:, 0])], "i int, value double"))
+
+
+# discount x 1e-4 beside the quantity: two columns that hardly differ; slopes b1 - 1e4 b2 and 1e4 b2
+@query("r1_linear_fit_dependent", f"WITH {_CR} SELECT 0 AS i, round((b1 - 1e4 * b2) / 1e4, 2) AS value FROM b UNION ALL SELECT 1, round(b2, 2) FROM b UNION ALL SELECT 2, round(my-b1*m1-b2*m2, 2) FROM b")
+def _(spark, sf):
+    q, d = F.col("l_quantity"), F.col("l_discount")
+    m = _t(spark, sf, "lineitem").select(F.lit(0).cast("long").alias("row_id"), F.array(q, q + d * 1e-4, F.col("l_extendedprice")).alias("features"))
+    b = stats.linear_fit(m, method="lsqr")[:, 0]
+    return _small(spark, [(0, round(float(b[0]) / 1e4, 2)), (1, round(float(b[1]) / 1e4, 2)), (2, round(float(b[2]), 2))], "i int, value double")
+
+
 query("r2_jac_from_lin", f"WITH {_CR} SELECT 0 AS i, 0 AS j, round(b1, 4) AS value FROM b UNION ALL SELECT 0, 1, round(b2, 4) FROM b")(lambda s, sf: _matrix(s, stats.jac_from_lin(_items(s, sf, _Y2)), 4))
 
 
@@ -362,6 +376,8 @@ query("r3_quad_fit", "SELECT * FROM (VALUES (0, 0.0), (1, 1.0), (2, 0.5), (3, -0
     lambda s, sf: _small(s, [(i, round(float(v), 4) + 0.0) for i, v in enumerate(stats.quad_fit(_quad(s, sf), "y", 2)[:, 0])], "i int, value double"))
 _QC = np.array([0.0, 1.0, 0.5, -0.25, 0.0, 2.0])
 _QP = "p AS (SELECT p_partkey AS i, p_size / CAST(10 AS DOUBLE) AS a, p_retailprice / 1000 AS b FROM part)"
+query("r3_quad_fit_lsqr", "SELECT * FROM (VALUES (0, 0.0), (1, 1.0), (2, 0.5), (3, -0.25), (4, 0.0), (5, 2.0)) AS t(i, v)".replace("SELECT *", "SELECT i, CAST(v AS DOUBLE) AS value"))(
+    lambda s, sf: _small(s, [(i, round(float(v), 4) + 0.0) for i, v in enumerate(stats.quad_fit(_quad(s, sf), "y", 2, "lsqr")[:, 0])], "i int, value double"))
 query("r4_quad_eval", f"WITH {_QP} SELECT i AS row_id, round(a*a*0.5+b-a*b*0.25+2, 8) + 0.0 AS x FROM p")(lambda s, sf: stats.quad_eval(_quad(s, sf), _QC, 2).select("row_id", _r("x", 8).alias("x")))
 query("r5_jac_from_quad", _cols("a-0.25*b", "1-0.25*a", cte=_QP))(lambda s, sf: _coo(stats.jac_from_quad(_quad(s, sf), _QC, 2)))
 query("r6_r_squared", "SELECT round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(1 - (1 - regr_r2(l_extendedprice, l_quantity)) * (count(*) - 1) / (count(*) - 2), 6) AS r2_dof FROM lineitem")(
@@ -435,6 +451,32 @@ query("pc1_pca_randomized", f"WITH {_PC}, m AS (SELECT avg(a) AS ma, avg(b) AS m
     lambda s, sf: _small(s, [(round(float((m := pca.fit(_part(s, sf), 1, n_iters=12, method="random")).explained_var[0]), 3), *(round(float(x), 6) for x in m.means))], "l1 double, ma double, mb double"))
 
 
+@query("pc2_refit", f"WITH {_PC}, m AS (SELECT avg(a) AS ma, avg(b) AS mb FROM p) SELECT 0 AS j, round(l1, 4) AS value, round(ma, 6) AS mean FROM e, m UNION ALL SELECT 1, round(l2, 4), round(mb, 6) FROM e, m")
+def _(spark, sf):
+    """A stored sketch of the odd parts, read back and merged with that of the even ones."""
+    m = _part(spark, sf)
+    old = stored(sketch.sketch(m.where("row_id % 2 = 1"), 8).to_df(spark), "sketch")
+    model, _ = pca.refit(sketch.RowSketch.from_df(old), sketch.sketch(m.where("row_id % 2 = 0"), 8), 2)
+    return _small(spark, [(j, round(float(v), 4), round(float(u), 6)) for j, (v, u) in enumerate(zip(model.explained_var, model.means))], "j int, value double, mean double")
+
+
+@query("pc2_refit_bound", "SELECT count(*) AS n, true AS within FROM embeddings")
+def _(spark, sf):
+    """Eigenvalues of 64 columns from merged sketches of 40 rows: within the bound that they carry."""
+    m = _emb(spark, sf)
+    both = sketch.sketch(m.where("row_id % 3 = 0"), 40).merge(sketch.sketch(m.where("row_id % 3 <> 0"), 40))
+    g = gm.gram(m, 64)
+    gap = np.linalg.eigvalsh(g.raw) - np.linalg.eigvalsh(both.raw)
+    return _small(spark, [(both.n, bool(gap.min() > -1e-6 and gap.max() <= both.loss + 1e-6 and both.loss <= np.trace(g.raw) / 20))], "n long, within boolean")
+
+
+@query("as2_refit", f"{_AC} SELECT 0 AS j, round(l1, 4) AS value FROM u UNION ALL SELECT 1, round(l2, 4) FROM u")
+def _(spark, sf):
+    g = active.gradients(_smooth(spark, sf), 1, 14, 2)
+    both = sketch.sketch(g.where("row_id % 2 = 0"), 8).merge(sketch.sketch(g.where("row_id % 2 = 1"), 8))
+    return _small(spark, [(j, round(float(v), 4)) for j, v in enumerate(active.from_sketch(both, 1).eigenvalues)], "j int, value double")
+
+
 @query("pc3_transform_on_target", f"WITH {_PC}, z AS (SELECT p.i, (a-(SELECT avg(a) FROM p))*(a-(SELECT avg(a) FROM p)) + (b-(SELECT avg(b) FROM p))*(b-(SELECT avg(b) FROM p)) AS d FROM p) SELECT i AS row_id, round(d, 3) + 0.0 AS d FROM z")
 def _(spark, sf):
     m = _part(spark, sf)
@@ -464,6 +506,26 @@ def _(spark, sf):
     return model.predict(xy).select("row_id", _r("x", 4).alias("x"))
 
 
+def _orders_on_a_line(spark, sf) -> DataFrame:
+    return _t(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.array(F.col("o_orderkey") / 1000.0).alias("features"), (F.col("o_totalprice") / 1000).alias("y"))
+
+
+query("i9_rbf_patches", "SELECT o_orderkey AS row_id, round(o_totalprice / 1000, 6) + 0.0 AS x FROM orders")(
+    lambda s, sf: interp.PatchedRbf(interp.linear(), 1, 1).fit_frame(m := _orders_on_a_line(s, sf)).predict(m).select("row_id", _r("x", 6).alias("x")))
+
+
+# linear kernels with a straight line beside them: halfway between neighbours lies their mean
+@query("i10_rbf_patches_between", """
+SELECT o_orderkey AS row_id, round((o_totalprice + next) / 2000, 7) + 0.0 AS x
+FROM (SELECT o_orderkey, o_totalprice, lead(o_totalprice) OVER (ORDER BY o_orderkey) AS next FROM orders) WHERE next IS NOT NULL""")
+def _(spark, sf):
+    m = _orders_on_a_line(spark, sf)
+    keys = global_rank(m.select("row_id"), [F.col("row_id")], "rank")
+    half = keys.join(keys.select((F.col("rank") - 1).alias("rank"), F.col("row_id").alias("next")), "rank")
+    q = half.select("row_id", F.array((F.col("row_id") + F.col("next")) / 2000.0).alias("features"))
+    return interp.PatchedRbf(interp.linear(), 1, 1).fit_frame(m).predict(q).select("row_id", _r("x", 7).alias("x"))
+
+
 @query("i8_rbf_kernels_at_supports", " UNION ALL ".join(f"SELECT '{k}' AS kernel, CAST(n_nationkey AS BIGINT) AS row_id, round(CAST(n_regionkey AS DOUBLE), 3) + 0.0 AS x FROM nation" for k in ("linear", "cubic", "multiquadric", "gaussian")))
 def _(spark, sf):
     xy = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("row_id"), F.array(F.col("n_nationkey") / 24.0).alias("features"), F.col("n_regionkey").cast("double").alias("y"))

@@ -183,3 +183,72 @@ def test_snapshots_are_turned_by_ranges(spark, monkeypatch):
     df = spark.createDataFrame([(10 * i, v.tolist()) for i, v in enumerate(x)], "snap_id long, field array<double>")
     got = {r.row_id: r.features for r in pod.points(df, [0, 10, 20, 30]).collect()}
     assert sorted(got) == list(range(45)) and all(got[j] == x[:, j].tolist() for j in range(45))
+
+
+def test_lsqr_of_many_and_of_dependent_columns(spark):
+    from tallframe.operators import stats
+    from tallframe.operators.lsqr import lsqr
+
+    rng = np.random.default_rng(11)
+    b = rng.standard_normal(5000)
+
+    def rows(batches):
+        """Row i: 5 in column i % 5000, noise everywhere, and y; made where they are needed."""
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in batch.column(0).to_numpy():
+                x = np.random.default_rng(int(i)).standard_normal(5000) * 0.004
+                x[i % 5000] += 5
+                flat = np.append(x, x @ b + 3)
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.ListArray.from_arrays(pa.array([0, 5001], pa.int32()), pa.array(flat))], ["row_id", "features"])
+
+    got, passes = lsqr(spark.range(5200).mapInArrow(rows, "row_id long, features array<double>"), k=5001, tol=1e-12, max_iters=30)
+    assert np.abs(got[:-1] - b).max() < 1e-8 and abs(got[-1] - 3) < 1e-8 and passes < 33
+    rng = np.random.default_rng(11)
+    # columns that differ by 1e-6 and a constant one
+    a = rng.standard_normal((400, 3))
+    a = np.column_stack([a[:, 0], a[:, 0] + 1e-6 * a[:, 1], a[:, 2], np.full(400, 7.0)])
+    y = a[:, 0] - 2 * a[:, 1] + 3 * a[:, 2] + 4
+    c = stats.linear_fit(frame(spark, np.column_stack([a, y])), method="lsqr")[:, 0]
+    assert np.abs(c - [1, -2, 3, 0, 4]).max() < 1e-8
+    with pytest.raises(ValueError):
+        stats.linear_fit(frame(spark, a), 2, method="lsqr")
+
+
+def test_frequent_directions(spark):
+    from tallframe.operators import active, pca, sketch
+
+    rng = np.random.default_rng(12)
+    a = rng.standard_normal((900, 30)) * np.linspace(3, 0.1, 30) + 5
+    m = frame(spark, a, 6)
+    for size in (8, 20, 64):
+        s = sketch.sketch(m.where("row_id < 500"), size).merge(sketch.RowSketch.from_df(sketch.sketch(m.where("row_id >= 500"), size).to_df(spark)))
+        gap = np.linalg.eigvalsh(a.T @ a - s.raw)
+        assert s.n == 900 and np.abs(s.means - a.mean(0)).max() < 1e-9 and len(s.b) <= size
+        assert gap.min() > -1e-6 and gap.max() <= s.loss + 1e-6 and s.loss <= 2 * (a**2).sum() / size
+    exact = pca.from_sketch(s, 5)  # as many rows as columns: nothing is lost
+    assert s.loss == 0 and np.abs(exact.explained_var - np.linalg.eigvalsh(np.cov(a.T))[::-1][:5]).max() < 1e-9
+    assert np.abs(active.from_sketch(s, 2).eigenvalues - np.linalg.eigvalsh(a.T @ a / 900)[::-1]).max() < 1e-8
+
+
+def test_patched_interpolation(spark, monkeypatch):
+    from tallframe.operators import interp
+
+    monkeypatch.setattr(interp, "PATCH", 120)
+    monkeypatch.setattr(interp, "QUERIES", 100)
+    rng = np.random.default_rng(13)
+    x = rng.random((3000, 2)) * [4, 2]
+    y = np.sin(x[:, 0]) + np.cos(2 * x[:, 1])
+    df = spark.createDataFrame([(i, r.tolist(), float(v)) for i, (r, v) in enumerate(zip(x, y))], "row_id long, features array<double>, y double").repartition(3)
+    q = np.vstack([x[:500], rng.random((500, 2)) * [4, 2] * 0.96 + 0.04, [[9.0, 9.0]]])
+    for kernel in (interp.cubic(), interp.multiquadric(1.0)):
+        f = interp.PatchedRbf(kernel, 2, 1).fit_frame(df)
+        got = {r.row_id: r.x for r in f.predict(frame(spark, q)).collect()}
+        assert len(got) == 1001
+        out = np.array([got[i] for i in range(1000)])
+        assert np.abs(out[:500] - y[:500]).max() < 1e-4  # at the supports
+        want = np.sin(q[500:1000, 0]) + np.cos(2 * q[500:1000, 1])
+        assert np.abs(out[500:] - want).max() < 0.02
+    with pytest.raises(ValueError):
+        interp.PatchedRbf(interp.cubic(), 3, 1).fit_frame(df)
