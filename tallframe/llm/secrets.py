@@ -2,15 +2,23 @@
 
 Base spans come from three patterns over the text itself.  Then a worklist
 unwraps every encoded run found (percent escapes, Unicode escapes, base64,
-gzip or zlib data inside base64), scans each decoded layer and goes on with
-the encoded runs of that layer until none is left.  A layer that has been
+gzip, zlib or raw deflate data, UTF-16 inside base64), scans each decoded layer
+and goes on with the encoded runs of that layer until none is left.  A layer that has been
 seen before in the same document is not opened again, so cycles end.  Escapes
 are decoded in place and keep exact offsets; a find in base64 is reported at
 the outermost base64 run that holds it.
 
+Escapes of the escape sign itself (``%252525...``, ``\\u005cu005c...``) would
+peel off one level at a time.  As long as nothing else is left to decode, all
+those levels are taken in one step: the sign stays, what it ate is skipped, and
+the finds of the levels between, runs of hex digits behind the sign, follow from
+their number; base64 runs of those levels are ends of the run opened before.
+
 Null texts count as empty ones; an empty text has no spans and the digest of
-no bytes.  Texts are scanned whole, very long ones in time that grows with
-their length.  Repeated rows give repeated results, an empty table an empty
+no bytes.  Texts are scanned whole.  A layer costs time in proportion to its
+length, and a text has more than a few dozen layers only if it holds escapes
+nested to as many different depths, which takes the square of their number in signs,
+or alternates escapes of two kinds.  Repeated rows give repeated results, an empty table an empty
 result.  Columns of the table may have any names; ``scan`` reads key and text
 only.  Compressed streams are followed to their end, all members, ``WINDOW``
 bytes at a time: memory is bounded however far they expand.  Within a stream of
@@ -41,11 +49,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]""")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: what an escaped escape sign eats, level by level
+NESTED_PERCENT, NESTED_ESCAPE = re.compile(r"(?:25)*"), re.compile(r"(?:u005[cC]|x5[cC]|U0000005[cC])*+")
+UNIT = re.compile(r"u005[cC]|x5[cC]|U0000005[cC]")
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
 #: a find takes 12 bytes at least, which are 16 signs
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: lines of base64 signs, the last of any length but with nothing like a word behind it
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+\r?\n[\x20\t]*+)+[A-Za-z0-9+/_-]++={0,2}(?![\x20\t]*[\w+/=-])")
+HEX_RUN = re.compile(r"[0-9a-f]*")
 #: how base64 of gzip and of zlib data begins
 PACKED = re.compile(r"(?=H4sI|e[AFJN])")
 PLAIN = re.compile(rb"[\t\n\r\x20-\x7e]{12}")
@@ -144,6 +156,50 @@ def _base64_layers(run: str):
         data = _bytes_of(run[n:])
         if PLAIN.search(data):
             yield data.decode("utf-8", "replace")
+        elif data.count(0) * 3 > len(data):
+            for order in ("utf-16-le", "utf-16-be"):
+                text = data[: len(data) & ~1].decode(order, "replace")
+                if PLAIN.search(text.encode("ascii", "replace").replace(b"?", b"\0")):
+                    yield text
+        elif n == 0:
+            yield from _raw_deflate(data)
+
+
+def _raw_deflate(data: bytes):
+    """Texts of a deflate stream without a header, which only its content tells:
+    it has to reach its end, and plain text has to come out of it."""
+    if len(data) < 12 or data[0] & 6 == 6:  # the block type that doesn't exist
+        return
+    try:
+        zlib.decompressobj(-15).decompress(data[:1024], 1 << 16)
+    except zlib.error:
+        return
+    d = zlib.decompressobj(-15)
+
+    def pieces():
+        rest = data
+        while not d.eof:
+            piece = d.decompress(rest, 1 << 20)
+            rest = d.unconsumed_tail
+            if not piece and not rest:
+                return
+            yield piece
+
+    try:
+        held = list(itertools.islice(pieces(), 1 + WINDOW // (1 << 20)))
+    except zlib.error:
+        return
+    if d.eof:
+        yield from _windows(_unpacked(iter(held)))
+    elif len(held) > WINDOW // (1 << 20):  # a long one: to its end, a window at a time
+        yield from _windows(itertools.chain(held, _quiet(pieces())))
+
+
+def _quiet(chunks):
+    try:
+        yield from chunks
+    except zlib.error:
+        return
 
 
 def _percent(m: re.Match):
@@ -168,13 +224,22 @@ class Layer:
         return self.whole or (self.first[start], self.last[end - 1])
 
     def decoded(self):
-        """The layer with its percent or Unicode escapes decoded in place, or None."""
+        """(layer with its percent or Unicode escapes decoded in place, finds of
+        the levels that were skipped) for each kind of escape in it."""
         for sign, pattern, decode in (("%", PERCENT, _percent), ("\\", ESCAPE, _escape)):
             if sign not in self.text:
                 continue
-            out, first, last, at, text = [], [], [], 0, self.text
-            for m in pattern.finditer(text):
+            text = self.text
+            runs = list(pattern.finditer(text))
+            levels = min((self._levels(m) for m in runs), default=0)
+            out, first, last, at, found = [], [], [], 0, []
+            for m in runs:
                 new, many = decode(m)
+                end = m.end()
+                if levels > 1:  # the sign stays and eats this much more
+                    found += self._between(m, levels)
+                    end = self._eaten(m, levels)
+                    many = [end - m.start()]
                 out += [text[at : m.start()], new]
                 if not self.whole:
                     first += self.first[at : m.start()]
@@ -184,23 +249,48 @@ class Layer:
                         first.append(self.first[i])
                         last.append(self.last[i + n - 1])
                         i += n
-                at = m.end()
+                at = end
             new = "".join([*out, text[at:]])
             if new != text:
                 if self.whole:
-                    yield Layer(new, self.whole)
+                    yield Layer(new, self.whole), found
                 else:
-                    yield Layer(new, None, [*first, *self.first[at:]], [*last, *self.last[at:]])
+                    yield Layer(new, None, [*first, *self.first[at:]], [*last, *self.last[at:]]), found
+
+    def _levels(self, m: re.Match) -> int:
+        """For how many levels nothing happens here but that an escape sign is unwrapped."""
+        if m[0] == "%25":
+            end = NESTED_PERCENT.match(self.text, m.end()).end()
+            return max(1, (end - m.end()) // 2 + (self.text[end : end + 1] != "%"))
+        if m[0][0] == "\\" and UNIT.fullmatch(m[0], 1):
+            end = NESTED_ESCAPE.match(self.text, m.end()).end()
+            return 1 + sum(1 for _ in UNIT.finditer(self.text, m.end(), end))
+        return 1
+
+    def _eaten(self, m: re.Match, levels: int) -> int:
+        if m[0] == "%25":
+            return m.end() + 2 * (levels - 1)
+        units = itertools.islice(UNIT.finditer(self.text, m.end()), levels - 1)
+        return max((u.end() for u in units), default=m.end())
+
+    def _between(self, m: re.Match, levels: int):
+        """Finds of the levels before the last: no pattern crosses an escape
+        sign, and what it eats is behind it, so these are runs of hex digits."""
+        if m[0] == "%25":
+            end = HEX_RUN.match(self.text, m.end()).end()
+            for start in range(m.end(), min(m.end() + 2 * (levels - 1), end - 23), 2):
+                a, b = self.place(start, end)
+                yield a, 2, b
 
     def opened(self):
         """The layers inside base64 runs, compressed ones unpacked."""
         for m in BASE64.finditer(self.text):
             for s in _base64_layers(m[0].rstrip("=")):
-                yield Layer(s, self.place(m.start(), m.end()))
+                yield Layer(s, self.place(m.start(), m.end())), ()
         if "\n" in self.text:
             for m in WRAPPED.finditer(self.text):
                 for s in _base64_layers("".join(m[0].split()).rstrip("=")):
-                    yield Layer(s, self.place(m.start(), m.end()))
+                    yield Layer(s, self.place(m.start(), m.end())), ()
 
 
 def all_spans(text: str) -> list[tuple[int, int, int]]:
@@ -213,10 +303,11 @@ def all_spans(text: str) -> list[tuple[int, int, int]]:
     top = Layer(text, None, range(len(text)), range(1, len(text) + 1))
     seen, work = set(), [itertools.chain(top.decoded(), top.opened())]
     while work:
-        layer = next(work[-1], None)
+        layer, more = next(work[-1], (None, ()))
         if layer is None:
             work.pop()
             continue
+        found.update(more)
         mark = layer.whole, hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest()
         if mark in seen:
             continue

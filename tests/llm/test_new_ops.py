@@ -266,3 +266,49 @@ def test_op13_tables(spark):
     empty = urls.limit(0).withColumn("verdict", urls["url"])
     assert u.mine(empty).count() == 0
     assert u.judge(urls.limit(0).selectExpr("1L as page_id", "url"), [], u.mine(empty)).count() == 0
+
+
+# op9, nested escapes
+
+
+def test_op9_nested_escapes_against_the_slow_reference():
+    from test_ops import slow_spans
+
+    from tallframe.llm import secrets
+
+    hexes = "2525" * 9
+    for t in [
+        "%" + "25" * 40 + "41", "pass%2577ord%253Dhunter2hunter2", "token=abcdef%252541bc and %2541", "%25252570assword=%2541bcdefgh %41", "%" + hexes + "ab12 token: %2525256162636465",
+        "%25" * 3 + "2525412541", "\\u005cu005cu005c0041KIA" + "B" * 16, "\\x5cu005cx5cU0000005cu0041KIA" + "B" * 16 + " \\u005cu0041", "%25%2525" + "a" * 30, "%252525%41", "%2525252525f0" + "0" * 24 + "%2541",
+        "é %2525" + "ab" * 20 + " x%2525" + "cd" * 14, "%255cu0041 \\u00252541",
+    ]:
+        assert secrets.form(secrets.all_spans(t)) == secrets.form(slow_spans(t)), t
+
+
+def test_op9_deep_nesting_takes_linear_time():
+    import time
+
+    from tallframe.llm import secrets
+
+    for t in ("%" + "25" * 500_000, "\\" + "u005c" * 200_000 + "u0041", "%" + "25" * 100_000 + "41 x%" + "25" * 50_000 + "3d"):
+        start = time.time()
+        secrets.all_spans(t)
+        assert time.time() - start < 4, t[:20]
+
+
+def test_op9_raw_deflate_and_utf16():
+    import base64
+    import zlib
+
+    from tallframe.llm import secrets
+
+    inner = b"some words, then password=hunter2hunter2 and more words"
+    d = zlib.compressobj(9, zlib.DEFLATED, -15)
+    raw = d.compress(inner * 3) + d.flush()
+    for data in (raw, inner.decode().encode("utf-16-le"), inner.decode().encode("utf-16-be")):
+        t = base64.b64encode(data).decode()
+        assert secrets.all_spans("see " + t + " end") == [(4, 0, 4 + len(t.rstrip("=")) + (len(t) - len(t.rstrip("="))))]
+    rng = np.random.default_rng(0)
+    for _ in range(300):  # noise stays noise
+        t = base64.b64encode(rng.bytes(200)).decode()
+        assert set(secrets.all_spans(t)) == set(secrets.base_spans(t))
