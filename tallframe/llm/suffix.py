@@ -11,6 +11,10 @@ anywhere else in the corpus.  The suffix array that tells is built in shards:
     text they own goes to the shard of the anchor's hash.  Which hashes occur
     again is told by a bit map of fixed size (16 MB); a false positive
     only adds work.
+    An anchor that occurs more than ``HOT`` times (at the edge of a passage that
+    very many texts embed) owns a different stretch in each of them; its
+    stretches are cut into their single ``LENGTH``-byte strings, and these go to
+    the shards of their own bytes.
 3.  In a shard, whole anchors are put together in blocks of bounded size, the
     suffix array of a block is built by induced sorting (``sais``), permuted
     common prefixes are computed, and runs of equal ``LENGTH``-byte prefixes
@@ -46,6 +50,8 @@ LENGTH = 200
 GRAM = 40
 #: bytes of a suffix array block, about
 BLOCK = 3_000_000
+#: times that an anchor may occur before its stretches are cut into single strings
+HOT = 20_000
 #: bytes that are looked at together when anchors are chosen
 CHUNK = 1 << 18
 _RND = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -173,9 +179,31 @@ def _runs(starts: np.ndarray) -> list[int]:
     return np.stack([first, last], 1).ravel().tolist()
 
 
-def _repeat_map(hashes: DataFrame) -> bytes:
-    """Bit map of the hashes that occur twice or more."""
-    return bit_map(hashes.groupBy("h").count().where("count > 1").select("h"))
+def _maps(hashes: DataFrame) -> tuple[bytes, bytes | None]:
+    """Bit maps of the hashes that occur twice or more, and of those that occur
+    more than ``HOT`` times (None if there are none).  Anything else that a full
+    map lets through is worked on needlessly or in smaller pieces."""
+    counts = materialize(hashes.groupBy("h").count().where("count > 1"), "anchors")
+    hot = counts.where(F.col("count") > HOT).select("h")
+    return bit_map(counts.select("h")), bit_map(hot) if hot.limit(1).count() else None
+
+
+def _owned(data: list[bytes], maps: tuple[bytes, bytes | None]):
+    """(text index, first start, last start, shard) of what repeated anchors own:
+    whole stretches, or single strings under an anchor of the second map."""
+    bits = np.frombuffer(maps[0], np.uint8)
+    hot_bits = np.frombuffer(maps[1], np.uint8) if maps[1] else None
+    for owner, a, b, h in all_anchors(data):
+        ok = in_bit_map(bits, h)
+        owner, a, b, h = owner[ok], a[ok], b[ok], h[ok]
+        hot = in_bit_map(hot_bits, h) if hot_bits is not None else np.zeros(len(h), bool)
+        out = [x[~hot].tolist() for x in (owner, a, b, h.view(np.int64))]
+        for o, x, y in zip(owner[hot].tolist(), a[hot].tolist(), b[hot].tolist()):
+            for i in range(x, y + 1):
+                shard = int.from_bytes(hashlib.blake2b(data[o][i : i + LENGTH], digest_size=8).digest(), "little", signed=True)
+                for column, v in zip(out, (o, i, i, shard)):
+                    column.append(v)
+        yield out
 
 
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -190,11 +218,10 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
             for _, _, _, h in all_anchors(new(texts)):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    shared = spark.sparkContext.broadcast(_repeat_map(rows.mapInArrow(hashes, "h long")))
+    shared = spark.sparkContext.broadcast(_maps(rows.mapInArrow(hashes, "h long")))
 
     def stretches(batches):
         """(h, stretch, n) of repeated anchors, equal ones of a task together."""
-        bits = np.frombuffer(shared.value, np.uint8)
         new, held, size = _Once(), {}, 0
 
         def out():
@@ -206,18 +233,17 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
         for _, texts in by_bytes(batches, "text"):
             data = new(texts)
-            for owner, a, b, h in all_anchors(data):
-                ok = in_bit_map(bits, h)
-                for o, x, y, z in zip(owner[ok].tolist(), a[ok].tolist(), b[ok].tolist(), h[ok].view(np.int64).tolist()):
+            for owned in _owned(data, shared.value):
+                for o, x, y, z in zip(*owned):
                     k = (z, data[o][x : y + LENGTH])
                     if k in held:
                         held[k] += 1
                     else:
                         held[k] = 1
                         size += len(k[1])
-            if size > 24_000_000:
-                yield out()
-                held, size = {}, 0
+                if size > 24_000_000:
+                    yield out()
+                    held, size = {}, 0
         if held:
             yield out()
 
@@ -251,14 +277,12 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def places(batches):
         """(tk, digest of the stretch, offset) of repeated anchors."""
-        bits = np.frombuffer(shared.value, np.uint8)
         new = _Once()
         for _, texts in by_bytes(batches, "text"):
             data = new(texts)
             tks = [hashlib.md5(d).digest() for d in data]
-            for owner, a, b, h in all_anchors(data):
-                ok = in_bit_map(bits, h)
-                got = list(zip(owner[ok].tolist(), a[ok].tolist(), b[ok].tolist()))
+            for owned in _owned(data, shared.value):
+                got = list(zip(*owned[:3]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([tks[o] for o, _, _ in got], pa.binary()),

@@ -312,3 +312,29 @@ def test_op9_raw_deflate_and_utf16():
     for _ in range(300):  # noise stays noise
         t = base64.b64encode(rng.bytes(200)).decode()
         assert set(secrets.all_spans(t)) == set(secrets.base_spans(t))
+
+
+def test_op2_hot_anchors_and_odd_columns(spark, monkeypatch):
+    """One passage in many documents with different surroundings, with and without splitting its anchors."""
+    from tallframe.llm import suffix
+
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghij "))
+    noise = lambda n: "".join(rng.choice(letters, n))
+    passage = noise(450)
+    rows = [(i, noise(int(rng.integers(0, 300))) + passage + noise(int(rng.integers(0, 300)))) for i in range(60)]
+    rows += [(None, passage[:230]), (None, None), (70, noise(400)), (70, "short")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, runs string, digest int").repartition(4)
+    seen = Counter((t or "")[i : i + 200] for _, t in rows for i in range(len(t or "") - 199))
+    want = []
+    for k, t in rows:
+        t = t or ""
+        gone = bytearray(len(t))
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        kept = "".join(c for c, g in zip(t, gone) if not g)
+        want.append((k, len(t), sum(gone), sum(1 for i in range(len(t)) if gone[i] and (not i or not gone[i - 1])), hashlib.sha256(kept.encode()).hexdigest()))
+    for hot in (suffix.HOT, 10):
+        monkeypatch.setattr(suffix, "HOT", hot)
+        assert sorted(map(tuple, suffix.dedup(df).collect()), key=str) == sorted(want, key=str)
