@@ -1,14 +1,12 @@
 """Shared helpers of the training-data operators: scratch space, edges, components.
 
-Scratch data goes only to the folder named in ``spark.checkpoint.dir``; a
-private one is set up where that setting is absent and Spark runs in one
-process (tests, notebooks).  A cluster without the setting is an error.
+Scratch data goes only to the folder named in ``spark.checkpoint.dir``, or, where
+that is unset, below the warehouse, which executors share too.
 """
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
@@ -16,23 +14,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import remove as remove_path
+from ..sources.scratch import shared_dir
 
 #: bits of a bit map: 16 MB at any corpus size
 MAP_BITS = 27
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only in local mode where unset."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallframe-"))
-        base = sc.getCheckpointDir()
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, removed when the driver exits."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -40,17 +28,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path; a session that has ended already leaves it alone."""
-    if spark.sparkContext._jsc is None:
-        return
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except (TypeError, ConnectionError, AttributeError):
-        pass
-
-
 def open_folder(base: str):
     """Arrow filesystem and path of a folder given as a path or URI, for files
     that tasks write or read themselves."""

@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import by_bytes
+from .common import discard, materialize
 
 #: edits allowed for each character of an item
 ERROR_RATE = 0.08
-#: characters of items that one automaton takes; larger benchmarks are done in blocks
+#: characters of items that one automaton takes; larger benchmarks are done in blocks, one after the other: what
+#: one has found is stored before the next one is built, so a task holds one automaton
 BLOCK_CHARS = 4_000_000
 #: white space other than the blank
 SPACE = re.compile(r"[^\S ]")
@@ -153,8 +155,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     kind, item = docs.schema[key].dataType.simpleString(), item_type.simpleString()
     names = ["items", "distances", "ends"]
     empty = [F.array().cast(f"array<{x}>").alias(c) for c, x in zip(names, (item, "bigint", "bigint"))]
-    out = docs.select(docs[key].alias("key"), docs[text].alias("text"), *empty)
-    for block in item_blocks(benchmark, item_key):
+    out, last = docs.select(docs[key].alias("key"), docs[text].alias("text"), *empty), None
+    for n, block in enumerate(item_blocks(benchmark, item_key)):
+        if n:
+            out, last = _settled(out, last)
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
@@ -176,10 +180,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     return out.select(F.col("key").alias(key), *names)
 
 
+def _settled(out: DataFrame, last: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """``out`` as a stored table; the one before it goes."""
+    table = materialize(out, "matched")
+    if last is not None:
+        discard(last)
+    return table, table
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = ERROR_RATE) -> DataFrame:
     """The rows of ``docs`` (all columns) that match no item."""
-    out = docs
-    for block in item_blocks(benchmark):
+    out, last = docs, None
+    for n, block in enumerate(item_blocks(benchmark)):
+        if n:
+            out, last = _settled(out, last)
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):

@@ -9,8 +9,9 @@ of 0.8 or more, found by SimHash links and, for the rest, by an exact prefix joi
     the rarest first; of a text with n shingles the first n - ceil(0.8 n) + 1
     always hold one that a similar text has in its own prefix too.  Only shingles
     in the prefixes of two different groups matter.  Counts for the order come
-    from all texts; any order is exact, a good one keeps passages that many
-    texts share out of the prefixes.
+    from all texts: of the frequent shingles one by one, by mergeable summaries
+    of heavy hitters, of the others by cells.  Any order is exact, a good one
+    keeps passages that many texts share out of the prefixes.
 3.  Texts with such a shingle in common are compared by size, by what is left
     behind the shingle, and by parity maps: equal bits of 512 count shingles
     modulo 2, so that two maps differ in no more bits than the sets do in
@@ -24,12 +25,13 @@ of 0.8 or more, found by SimHash links and, for the rest, by an exact prefix joi
 
 Nulls count as empty texts; texts without words are alike.  Very long texts are
 taken whole.  Repeated rows are copies of each other.  An empty table gives an
-empty result.  Column names of the table may be any but ``__tk``, ``__th`` and
-``__hit``.
+empty result.  Columns of the table may have any names.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,6 +48,8 @@ WORDS = 5
 ABOVE, BELOW = 4, 5
 #: cells of the table of shingle counts (told from the hash's first bits), and pieces it is merged in
 CELLS, PIECES = 1 << 20, 1024
+#: shingles that a summary of heavy hitters keeps: it has all that make more than 1 in so many
+HITTERS = 1 << 16
 #: bits of a parity map
 PARITY = 512
 #: texts of a bucket that are compared in one task
@@ -135,20 +139,68 @@ class _Once:
         return out
 
 
-def rarity(texts: DataFrame) -> np.ndarray:
-    """Class (number of binary digits of the count) of each cell of shingles,
-    over all texts; copies within a task count once.  A fixed 1 MB."""
+class Hitters:
+    """The most frequent of a stream of hashes (a mergeable Misra-Gries summary):
+    counts are too small by 1 in ``HITTERS`` of the stream at most."""
+
+    def __init__(self):
+        self.keys, self.n, self.waiting, self.held = np.array([], np.uint64), np.array([], np.int64), [], 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.waiting.append(hashes)
+        self.held += len(hashes)
+        if self.held >= 4 * HITTERS:
+            self.fold()
+
+    def fold(self) -> None:
+        fresh, n = np.unique(np.concatenate(self.waiting), return_counts=True) if self.waiting else (np.array([], np.uint64), np.array([], np.int64))
+        keys, at = np.unique(np.concatenate([self.keys, fresh]), return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, at, np.concatenate([self.n, n]))
+        if len(keys) > HITTERS:
+            total -= np.partition(total, len(keys) - HITTERS - 1)[len(keys) - HITTERS - 1]
+        self.keys, self.n, self.waiting, self.held = keys[total > 0], total[total > 0], [], 0
+
+
+@dataclass
+class Order:
+    """How rare shingles are: classes of cells, and counts of the frequent ones,
+    which come behind all others."""
+
+    cells: np.ndarray
+    keys: np.ndarray
+    n: np.ndarray
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = self.cells[_cell(h)].astype(np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            out = np.where(self.keys[at] == h, 64 + self.n[at], out)
+        return out
+
+
+def rarity(texts: DataFrame) -> Order:
+    """The order over all texts; copies within a task count once.  A fixed 1 MB
+    of cells (the number of binary digits of each one's count) and ``HITTERS``
+    frequent shingles at most."""
 
     def count(batches):
-        new, memo, total = _Once(), WordHashes(), np.zeros(CELLS, np.int64)
+        new, memo, total, often = _Once(), WordHashes(), np.zeros(CELLS, np.int64), Hitters()
         for part, body in by_bytes(batches, "text"):
             got = [shingles(body[i], memo) for i in new(part.column("tk").to_pylist())]
             if got:
-                total += np.bincount(_cell(np.concatenate(got)), minlength=CELLS)
+                flat = np.concatenate(got)
+                total += np.bincount(_cell(flat), minlength=CELLS)
+                often.add(flat)
         if total.any():
+            often.fold()
             cut = np.minimum(total, (1 << 32) - 1).astype("<u4").reshape(PIECES, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())], ["piece", "n"])
-        del new, memo, total
+            some = often.n > 1
+            pairs = np.stack([often.keys[some], often.n[some].astype(np.uint64)], 1).astype("<u8")
+            for a in range(0, len(pairs), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - a // 4096], pa.int32()), pa.array([pairs[a : a + 4096].tobytes()], pa.binary())], ["piece", "n"])
+        del new, memo, total, often
         tidy()
 
     def merge(batches):
@@ -161,11 +213,24 @@ def rarity(texts: DataFrame) -> np.ndarray:
         digits = [np.frexp(held[k].astype(float))[1].astype(np.uint8).tobytes() for k in keys]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(digits, pa.binary())], ["piece", "n"])
 
-    parts = texts.mapInArrow(count, "piece int, n binary").repartition("piece").mapInArrow(merge, "piece int, n binary")
+    def single(batches):
+        for b in batches:
+            for n in b.column(0):
+                pairs = np.frombuffer(n.as_py(), "<u8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], ["h", "n"])
+
+    counted = materialize(texts.mapInArrow(count, "piece int, n binary"), "counts")
+    parts = counted.where("piece >= 0").repartition("piece").mapInArrow(merge, "piece int, n binary")
     out = np.zeros((PIECES, CELLS // PIECES), np.uint8)
     for r in parts.collect():
         out[r["piece"]] = np.frombuffer(r["n"], np.uint8)
-    return out.ravel()
+    often = counted.where("piece < 0").select("n").mapInArrow(single, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    # what only a few texts have is told apart well enough by its cell
+    top = often.where("n > 32").orderBy(F.col("n").desc(), "h").limit(HITTERS).toArrow()
+    discard(counted)
+    keys = top.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return Order(out.ravel(), keys[order], top.column("n").to_numpy()[order])
 
 
 def sketches(texts: DataFrame) -> DataFrame:
@@ -179,7 +244,7 @@ def sketches(texts: DataFrame) -> DataFrame:
             at = new(part.column("tk").to_pylist())
             sets = [shingles(body[i], memo) for i in at]
             sizes = [len(h) for h in sets]
-            prefixes = [h[np.argsort(rare[_cell(h)], kind="stable")[: n - -(-ABOVE * n // BELOW) + 1]] for h, n in zip(sets, sizes)]
+            prefixes = [h[np.argsort(rare.of(h), kind="stable")[: n - -(-ABOVE * n // BELOW) + 1]] for h, n in zip(sets, sizes)]
             ends = np.cumsum([0, *map(len, prefixes)])
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.array([], np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -398,12 +463,24 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     stay = materialize(best.unionByName(least.join(labels, "tk", "left_anti").select("tk", "m.k", "m.n")), "stay")
     # rows of texts that stand alone aren't shuffled: only the others are looked up
     touched = labels.select("tk").unionByName(least.where("n > 1").select("tk")).select(F.xxhash64("tk").alias("h"))
-    marked = mark_hits(docs.withColumn("__tk", body).withColumn("__th", F.xxhash64("__tk")), "__th", bit_map(touched), "__hit")
-    alone, rest = marked.where("not __hit"), marked.where("__hit")
+    tk, th, hit, ident, k = free_names(docs, ["tk", "th", "hit", "id", "k"])
+    marked = mark_hits(docs.withColumn(tk, body).withColumn(th, F.xxhash64(tk)), th, bit_map(touched), hit)
+    alone, rest = marked.where(~F.col(hit)), marked.where(F.col(hit))
 
     def those(which: str) -> DataFrame:
-        s = stay.where(which).select(F.col("tk").alias("__id"), F.col("k").alias("__k"))
-        return rest.join(s, (rest["__tk"] == s["__id"]) & rest[key].eqNullSafe(s["__k"]), "left_semi")
-
-    repeated = those("n > 1").dropDuplicates(["__tk", key])
-    return alone.unionByName(those("n = 1")).unionByName(repeated).drop("__tk", "__th", "__hit")
+        s = stay.where(which).select(F.col("tk").alias(ident), F.col("k").alias(k))
+        return rest.join(s, (rest[tk] == s[ident]) & rest[key].eqNullSafe(s[k]), "left_semi")
+
+    repeated = those("n > 1").dropDuplicates([tk, key])
+    return alone.unionByName(those("n = 1")).unionByName(repeated).drop(tk, th, hit)
+
+
+def free_names(df: DataFrame, names: list[str]) -> list[str]:
+    """Each name with so many underscores in front that no column has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+        taken.add(n.lower())
+    return out

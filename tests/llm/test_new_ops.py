@@ -338,3 +338,64 @@ def test_op2_hot_anchors_and_odd_columns(spark, monkeypatch):
     for hot in (suffix.HOT, 10):
         monkeypatch.setattr(suffix, "HOT", hot)
         assert sorted(map(tuple, suffix.dedup(df).collect()), key=str) == sorted(want, key=str)
+
+
+def test_near_copies_keep_columns_of_any_name_and_order_frequent_shingles_last(spark):
+    from tallframe.llm import near
+
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    common = words(40)
+    rows = []
+    for i in range(120):
+        own = words(60)
+        rows.append((i, " ".join(own[:30] + common + own[30:])))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join(own[:30] + common + own[30:-1] + words(1))))
+    df = spark.createDataFrame([(*r, "x", True, 1) for r in rows], "doc_id long, text string, __tk string, __hit boolean, tk int")
+    shared = set(near.shingles(" ".join(common)).tolist())
+    order = near.rarity(near._texts(df, "text"))
+    assert shared <= set(order.keys.tolist())
+    for _, t in rows[:20]:
+        h = near.shingles(t)
+        first = h[np.argsort(order.of(h), kind="stable")[: len(h) - -(-4 * len(h) // 5) + 1]]
+        assert not shared & set(first.tolist())
+    kept = near.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == list(range(120))
+    assert {(r["__tk"], r["__hit"], r["tk"]) for r in kept.collect()} == {("x", True, 1)}
+
+
+def test_heavy_hitters_are_within_their_bound(monkeypatch):
+    from tallframe.llm import near
+
+    monkeypatch.setattr(near, "HITTERS", 50)
+    rng = np.random.default_rng(7)
+    often, all_ = near.Hitters(), []
+    for _ in range(40):
+        x = np.concatenate([rng.integers(0, 10, 60), rng.integers(100, 10**6, 300)]).astype(np.uint64)
+        often.add(x)
+        all_.append(x)
+    often.fold()
+    true = Counter(np.concatenate(all_).tolist())
+    got = dict(zip(often.keys.tolist(), often.n.tolist()))
+    assert set(range(10)) <= set(got) and len(got) <= 50
+    assert all(true[k] - sum(true.values()) / 50 <= n <= true[k] for k, n in got.items())
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, repeated rows, long texts and clashing columns pass all stages."""
+    import corpus_pipeline as cp
+
+    long = " ".join(f"the word {i}" for i in range(30_000))
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "x", 1) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()[:40]]
+    rows += [(900, None, None, None, None, None, None), (900, None, None, None, None, None, None), (None, "a null key", "en", "s", 3, "y", 2), (901, "", "en", "s", 0, "y", 2), (902, long, "en", "s", 9, "z", 3), (903, long, "en", "s", 9, "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, item_id int")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = sorted(map(tuple, out.collect()), key=str)
+        assert len(got) <= docs.count() and {r[0] for r in got} <= {r[0] for r in rows}
+        docs = spark.createDataFrame(got, docs.schema)
+    ids = [r[0] for r in got]
+    assert ids.count(902) + ids.count(903) <= 1  # copies of each other
+    assert cp.STAGES[-1][1](spark, docs, SF).count() == len(got)
