@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+
 
 def tokenizer_path(name: str) -> str:
     """Where the installed package of public tokenizers has a vocabulary file."""
@@ -139,4 +141,4 @@ FROM p LEFT JOIN f USING (payload_digest)""",
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | {"op11_prefix_trie": oracles.OP11, "op12_centroids": oracles.OP12, "op13_url_filter": oracles.OP13}

@@ -399,3 +399,18 @@ def test_pipeline_stages_on_odd_rows(spark):
     ids = [r[0] for r in got]
     assert ids.count(902) + ids.count(903) <= 1  # copies of each other
     assert cp.STAGES[-1][1](spark, docs, SF).count() == len(got)
+
+
+@pytest.mark.parametrize("name", ["op11_prefix_trie", "op12_centroids", "op13_url_filter"])
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_queries_match_their_sql(spark, name, size):
+    import duckdb
+
+    from tallframe.llm import queries
+
+    con = duckdb.connect()
+    for t in ("pages", "labels", "embeddings", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{size}/{t}.parquet'")
+    got = queries.queries()[name](spark, f"{DATA}/{size}")
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
