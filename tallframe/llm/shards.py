@@ -25,6 +25,8 @@ from .common import materialize, new_path
 SLOTS = 4096
 #: Parts of a slot, by text: rows of one hot key spread over so many tasks.
 SALTS = 16
+#: copies of a record that one task lays out
+REPEAT = 10_000
 
 
 def grow(owner: list[int]) -> list[int]:
@@ -140,10 +142,12 @@ def assign(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str =
     ``path`` (in the shared folder, if not given); version 2, with one more
     shard, is an edit of what version 1 reads back.  Both are read from there.
 
-    Positions need no ordering of a whole shard in one task: rows are numbered
-    within (virtual slot, part), and each part starts where the counts of the
-    earlier ones end.  The counts are at most SLOTS x SALTS rows, a fixed
-    bound, and are broadcast.
+    Positions need no ordering of a whole shard in one task: distinct records
+    are numbered within (virtual slot, part) by sums of how often they occur, and
+    each part starts where the counts of the earlier ones end.  The counts are
+    at most SLOTS x SALTS rows, a fixed bound, and are broadcast.  Records that
+    repeat are counted before they are shuffled, and laid out again at the end,
+    very frequent ones by several tasks.
     """
     spark = docs.sparkSession
     rows = _records(docs, key, text)
@@ -157,12 +161,13 @@ def assign(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str =
     starts = counts.join(F.broadcast(old), "vslot").select(
         "vslot", "salt", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("start")
     ).join(F.broadcast(grown), "vslot")
-    within = W.partitionBy("vslot", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
-    return (
-        rows.withColumn("at", F.row_number().over(within) - 1)
-        .join(F.broadcast(starts), ["vslot", "salt"])
-        .select(
-            "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-            (F.col("start") + F.col("at")).cast("long").alias("slot"), "grown_shard", "vslot",
-        )
+    within = W.partitionBy("vslot", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)
+    once = rows.groupBy("doc_id", "size", "text_crc32", "vslot", "salt").agg(F.count("*").alias("n"))
+    placed = once.withColumn("at", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(starts), ["vslot", "salt"])
+    placed = placed.withColumn("first", F.explode(F.expr(f"sequence(0L, n - 1, {REPEAT}L)")))
+    few, many = placed.where(F.col("n") <= REPEAT), placed.where(F.col("n") > REPEAT).repartition("doc_id", "first")
+    each = few.unionByName(many).withColumn("nth", F.explode(F.expr(f"sequence(first, least(first + {REPEAT}L, n) - 1)")))
+    return each.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
+        (F.col("start") + F.col("at") + F.col("nth")).cast("long").alias("slot"), "grown_shard", "vslot",
     )

@@ -414,3 +414,16 @@ def test_queries_match_their_sql(spark, name, size):
     got = queries.queries()[name](spark, f"{DATA}/{size}")
     want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_op8_records_that_repeat(spark, monkeypatch):
+    from tallframe.llm import shards
+
+    monkeypatch.setattr(shards, "REPEAT", 7)
+    rows = [(1, "same text")] * 60 + [(1, "other"), (2, "same text"), (None, None), (None, None)] + [(i, "t" * i) for i in range(3, 40)]
+    got = shards.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((k, len(t or "") + 1) for k, t in rows)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert len({r.shard for r in got if r.doc_id == 1}) == 1
+    assert all(r.grown_shard in (r.shard, 4) for r in got)
