@@ -104,11 +104,12 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stated rules, then rules mined from the pages of labelled documents."""
-    from .url_rules import Stated, judge, labelled_pages, mine
+    from .url_rules import Stated, judge, labelled_pages, mine, undominated
 
     pages = _table(spark, sf_dir, "pages")
     stated = [Stated("block", "net"), Stated("allow", "example.net", "/en/"), Stated("block", "example.com", "/de/"), Stated("allow", "org", "/fr/")]
-    return judge(pages, stated, mine(labelled_pages(pages, _table(spark, sf_dir, "labels"))))
+    rules = mine(labelled_pages(pages, _table(spark, sf_dir, "labels")))
+    return judge(pages, stated, undominated(rules))
 
 
 def queries() -> dict:

@@ -243,6 +243,9 @@ def test_op13_mined_rules_equal_all_combinations(spark):
     for x, have in items.items():
         best = max(((c, m, len(s), v == "block", v) for (s, v), (c, m) in want.items() if set(s) <= set(have)), default=None)
         assert fired.get(x) == (best[-1] if best else None)
+    less = u.undominated(rules)
+    assert 0 < less.count() < rules.count()
+    assert {r.url: r.learned for r in u.fired(u.described(df), less).collect()} == fired
     few = u.mine(df, least=15)  # twelve items a URL
     new = spark.createDataFrame([(1, "http://casino-3.example.org/de/9"), (2, "http://news-2.example.com/en/8"), (3, None)], "page_id long, url string")
     assert {r.page_id: r.verdict for r in u.judge(new, [], few).collect()} == {1: "block", 2: "allow", 3: "allow"}
