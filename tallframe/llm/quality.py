@@ -112,16 +112,42 @@ def train(
     texts: list[str], labels: list[int], epochs: int = 8, rate: float = 1.0, buckets: int = BUCKETS, dim: int = DIM, seed: int = 7
 ) -> Model:
     """Stochastic gradient descent over documents in a new order each epoch,
-    the rate falling linearly to zero.  Class weights even out the labels."""
-    rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
-    out, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
+    the rate falling linearly to zero.  Class weights even out the labels.
+
+    A run that ends with a loss on its own rows above that of knowing nothing
+    (or none at all) has diverged: it starts anew at half the rate, down to a
+    1024th of it; if all diverge, every score is 0.5."""
     y = np.array(labels, np.int64)
     if not len(y):
         return Model(np.zeros(buckets), 0.0)
     rows = [_counted(t, buckets) for t in texts]
+    for halvings in range(11):
+        with np.errstate(over="ignore", invalid="ignore"):
+            vectors, out, bias = _descend(rows, y, epochs, rate / 2**halvings, buckets, dim, seed)
+            table, level = vectors @ (out[1] - out[0]), bias[1] - bias[0]
+            if _loss(rows, y, table, level) <= np.log(2):
+                return Model(table.astype(np.float64), float(level))
+    return Model(np.zeros(buckets), 0.0)
+
+
+def _class_weights(y: np.ndarray) -> np.ndarray:
+    return len(y) / (2 * np.maximum(1, np.bincount(y, minlength=2)))
+
+
+def _loss(rows: list, y: np.ndarray, table: np.ndarray, level: float) -> float:
+    """Weighted mean of the cross-entropy; log 2 for scores of 0.5, not a number where a score is none."""
+    gap = np.array([share @ table[ids] + level for ids, share in rows], np.float64)
+    weight = _class_weights(y)[y]
+    return float((np.logaddexp(0, np.where(y == 1, -gap, gap)) * weight).sum() / weight.sum())
+
+
+def _descend(rows: list, y: np.ndarray, epochs: int, rate: float, buckets: int, dim: int, seed: int) -> tuple:
+    """One run of the descent: vectors of the buckets, softmax layer and its bias."""
+    rng = np.random.default_rng(seed)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
+    out, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
     total, done = epochs * len(rows), 0
-    weight = len(y) / (2 * np.maximum(1, np.bincount(y, minlength=2)))
+    weight = _class_weights(y)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             ids, share = rows[i]
@@ -138,7 +164,7 @@ def train(
                 vectors[ids] -= np.outer(share * min(50.0, len(ids)), g @ out)
             out -= np.outer(g, h)
             bias -= 0.1 * g
-    return Model((vectors @ (out[1] - out[0])).astype(np.float64), float(bias[1] - bias[0]))
+    return vectors, out, bias
 
 
 def fold(key: str = "doc_id", folds: int = 5):

@@ -661,3 +661,24 @@ def test_batch_bound_leaves_a_setting_of_the_session_alone(spark):
         assert spark.conf.get(name) == "4m"
     finally:
         spark.conf.set(name, before)
+
+
+def test_op10_training_starts_anew_after_divergence():
+    from tallframe.llm import quality
+
+    rng = np.random.default_rng(3)
+    words = [["good", "clear", "plain", "words"], ["spam", "cheap", "click", "offer"]]
+    labels = [int(k % 3 == 0) for k in range(120)]
+    texts = [" ".join(rng.choice(words[1 - y], 30)) for y in labels]
+    calm = quality.train(texts, labels, buckets=1 << 12)
+    for rate in (1.0, 300.0):
+        model = quality.train(texts, labels, rate=rate, buckets=1 << 12)
+        scores = model.scores([*texts, "", "unseen"])
+        assert np.isfinite(scores).all() and all((s >= 0.5) == (y == 1) for s, y in zip(scores, labels)), rate
+    # what never settles says nothing, and a run that settles is the plain descent
+    assert set(quality.train(texts, labels, rate=1e30, buckets=1 << 12).scores(texts)) == {0.5}
+    rows = [quality._counted(t, 1 << 12) for t in texts]
+    vectors, out, _ = quality._descend(rows, np.array(labels), 8, 1.0, 1 << 12, quality.DIM, 7)
+    assert np.array_equal(calm.bucket_score, (vectors @ (out[1] - out[0])).astype(np.float64))
+    one = quality.train(["a b", "c d"], [1, 1], buckets=1 << 12).scores(["a b", ""])
+    assert np.isfinite(one).all() and (one >= 0.5).all()
