@@ -27,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ SAMPLE = 8192
 SHARD, MAX_SHARDS, SPLIT, FINE = 400, 4096, 6000, 16
 #: vectors that a worker holds while it folds them into balls
 HELD = 40_000
+#: cosines that a search holds at once
+CELLS = 4_000_000
 DEGREE = 16
 BEAM = 24
 ALPHA = 1.2
@@ -59,6 +62,12 @@ def unit(rows) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def unit_column(column: pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors of a column of usable vectors of one length, from its flat buffer."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks])
+    return unit(flat.to_numpy(zero_copy_only=False).reshape(len(column), -1))
+
+
 def centroids(vectors: np.ndarray, k: int, rounds: int = 6, seed: int = 3) -> np.ndarray:
     """Spherical k-means of the sample."""
     rng = np.random.default_rng(seed)
@@ -122,32 +131,40 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, pool
     return [np.array(sorted(s), np.int64) for s in out]
 
 
-def range_search(x: np.ndarray, nbrs: list[np.ndarray], queries: np.ndarray, start: int, need: np.ndarray, beam: int = BEAM):
+def padded(owner: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
+    """Adjacency as an array of ``n`` rows, -1 behind their ends; ``owner`` is in order."""
+    count = np.bincount(owner, minlength=n)
+    table = np.full((n, max(1, int(count.max(initial=0)))), -1)
+    table[owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)] = other
+    return table
+
+
+def range_search(x: np.ndarray, nbrs: list[np.ndarray] | np.ndarray, queries: np.ndarray, start: int, need: np.ndarray, beam: int = BEAM):
     """(query row, node, cosine) of nodes with cosine >= ``need[query]``:
     greedy from ``start`` for ``beam`` expansions, then as long as an
-    unexpanded node is in range.  All queries advance together."""
+    unexpanded node is in range.  All queries advance together.  ``nbrs`` is a
+    list of arrays or an array as ``padded`` makes it."""
     n = len(x)
-    width = max([1, *map(len, nbrs)])
-    table = np.full((n, width), -1)
-    for i, b in enumerate(nbrs):
-        table[i, : len(b)] = b
+    if isinstance(nbrs, list):
+        nbrs = padded(np.repeat(np.arange(n), [len(b) for b in nbrs]), np.concatenate([np.zeros(0, np.int64), *nbrs]), n)
     sims = np.full((len(queries), n), -2.0)
-    done = np.zeros((len(queries), n), bool)
-    q = np.arange(len(queries))
     sims[:, start] = x[queries] @ x[start]
+    open_ = sims.copy()  # as ``sims``, below -2 for nodes that are expanded
+    q = np.arange(len(queries))
     step = 0
     while len(q):
-        open_ = np.where(done[q], -3.0, sims[q])
         best = np.argmax(open_, axis=1)
         top = open_[np.arange(len(q)), best]
         go = (top > -2) if step < beam else (top >= need[q])
-        q, best = q[go], best[go]
-        done[q, best] = True
-        near = table[best]
+        if not go.all():
+            q, best, open_ = q[go], best[go], open_[go]
+        at = np.arange(len(q))
+        open_[at, best] = -3.0
+        near = nbrs[best]
         fresh = (near >= 0) & (sims[q[:, None], np.maximum(near, 0)] <= -2)
         r, c = np.nonzero(fresh)
         node = near[r, c]
-        sims[q[r], node] = np.einsum("rd,rd->r", x[queries[q[r]]], x[node])
+        sims[q[r], node] = open_[r, node] = np.einsum("rd,rd->r", x[queries[q[r]]], x[node])
         step += 1
     row, node = np.nonzero(sims >= need[:, None])
     return row, node, sims[row, node]
@@ -294,7 +311,7 @@ def links(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", co
 
     def build(table: pa.Table) -> pa.Table:
         ids = table.column("bid").to_numpy()
-        nbrs = robust_prune(unit(table.column("u").to_pylist()))
+        nbrs = robust_prune(unit_column(table.column("u")))
         return pa.table({"bid": ids, "nbrs": pa.array([ids[x] for x in nbrs], pa.list_(pa.int64()))})
 
     lists = routed.groupBy("shard").applyInArrow(build, "bid long, nbrs array<long>")
@@ -315,15 +332,20 @@ def links(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", co
         """Pairs (q, p, cosine) of balls whose vectors may be linked."""
         table = table.sort_by("bid")
         ids = table.column("bid").to_numpy()
-        x, rho = unit(table.column("u").to_pylist()), table.column("rho").to_numpy()
-        at = {b: i for i, b in enumerate(ids.tolist())}
-        nbrs = [np.array([at[b] for b in (l or []) if b in at], np.int64) for l in table.column("nbrs").to_pylist()]
+        x, rho = unit_column(table.column("u")), table.column("rho").to_numpy()
+        lists = table.column("nbrs")
+        owner = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        other = pa.concat_arrays([c.flatten() for c in lists.chunks]).to_numpy()
+        at = np.minimum(np.searchsorted(ids, other), len(ids) - 1)
+        here = ids[at] == other
+        nbrs = padded(owner[here], at[here], len(ids))
         home = np.flatnonzero(table.column("home").to_numpy(zero_copy_only=False))
         mean = x.mean(0)
         start = int(np.argmax(x @ mean))
         found = []
-        for a in range(0, len(home), 256):
-            q = home[a : a + 256]
+        strip = max(1, min(256, CELLS // len(ids)))
+        for a in range(0, len(home), strip):
+            q = home[a : a + strip]
             need = np.cos(np.minimum(np.pi, theta + rho[q] + rho.max() + EPS))
             row, node, cos = range_search(x, nbrs, q, start, need)
             ok = (ids[q[row]] != ids[node]) & (np.arccos(np.clip(cos, -1, 1)) <= theta + rho[q[row]] + rho[node] + EPS)
@@ -347,7 +369,7 @@ def links(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", co
     def compare(table: pa.Table) -> pa.Table:
         """Links of each vector across one pair of balls."""
         side = np.array(table.column("side").to_pylist())
-        x, n, nid = unit(table.column("u").to_pylist()), table.column("n").to_numpy(), table.column("nid").to_numpy()
+        x, n, nid = unit_column(table.column("u")), table.column("n").to_numpy(), table.column("nid").to_numpy()
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         got = np.zeros(len(nid), np.int64)
         for i in range(0, len(a), 1024):

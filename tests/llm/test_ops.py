@@ -682,3 +682,26 @@ def test_op10_training_starts_anew_after_divergence():
     assert np.array_equal(calm.bucket_score, (vectors @ (out[1] - out[0])).astype(np.float64))
     one = quality.train(["a b", "c d"], [1, 1], buckets=1 << 12).scores(["a b", ""])
     assert np.isfinite(one).all() and (one >= 0.5).all()
+
+
+def test_op3_range_search_and_flat_buffers():
+    import pyarrow as pa
+
+    from tallframe.llm import embed_graph as G
+
+    rng = np.random.default_rng(5)
+    x = G.unit(np.repeat(rng.normal(size=(60, 8)), 5, 0) + 0.05 * rng.normal(size=(300, 8)))
+    nbrs = G.robust_prune(x)
+    flat = G.padded(np.repeat(np.arange(300), [len(b) for b in nbrs]), np.concatenate(nbrs), 300)
+    assert all(np.array_equal(row[row >= 0], b) for row, b in zip(flat, nbrs))
+    queries, need = np.arange(0, 300, 3), np.full(100, 0.95)
+    got = [G.range_search(x, n, queries, 0, need) for n in (nbrs, flat)]
+    assert all(np.array_equal(a, b) for a, b in zip(*got))
+    near = x[queries] @ x.T >= 0.95
+    found = set(zip(got[0][0].tolist(), got[0][1].tolist()))
+    assert found <= set(zip(*map(np.ndarray.tolist, np.nonzero(near)))) and len(found) >= 0.99 * near.sum()
+    # one point without neighbours, and a column in chunks and slices
+    assert len(G.range_search(x[:1], [np.array([], int)], np.array([0]), 0, np.array([0.9]))[0]) == 1
+    chunks = pa.chunked_array([pa.array(x[:7].tolist()).slice(2), pa.array(x[7:9].tolist(), pa.list_(pa.float32()))
+                               .cast(pa.list_(pa.float64()))])
+    assert np.allclose(G.unit_column(chunks), x[2:9], atol=1e-6)
