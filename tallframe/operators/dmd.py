@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 
 from ..sources.scratch import stored
 from .gram import as_block, gram
-from .linalg import eigh_desc
+from .linalg import eigh_desc, tall_product
 from .pod import points
 
 MAX_STEPS = 2000
@@ -90,6 +90,31 @@ class DmdcModel:
         """B (n_x x n_u) as rows."""
         return self._rows(self.basis_right @ self.b_til, ["features"])
 
+    def _left(self) -> np.ndarray:
+        """Phi^+ = left Y^T."""
+        m = self.modes_right.astype(complex)
+        return np.linalg.pinv(m.conj().T @ self.gram_y @ m, rcond=1e-12, hermitian=True) @ m.conj().T
+
+    def _inner(self) -> np.ndarray:
+        """A = Y inner Y^T, n_t - 1 rows and columns."""
+        return ((self.modes_right * self.eigs) @ self._left()).real
+
+    def applied(self, x: DataFrame) -> DataFrame:
+        """A x for a row matrix with a row for each state point: of any length,
+        since A is never formed."""
+        return self._rows(self._inner() @ tall_product(self.points, x)[1:], ["features"])
+
+    def mode_residual(self, which: np.ndarray) -> float:
+        """max |A Phi - Phi L| / max |Phi| over some of the modes, taken over the
+        distributed state points."""
+        m = self.modes_right.astype(complex)[:, which]
+        gap = self._inner() @ self.gram_y @ m - m * self.eigs[which]
+        both = self._rows(np.hstack([gap, m]), ["re", "im"])
+        size = F.zip_with("re", "im", lambda a, b: F.sqrt(a * a + b * b))
+        k = len(which)
+        far, long = both.select(size.alias("z")).agg(F.max(F.array_max(F.slice("z", 1, k))), F.max(F.array_max(F.slice("z", k + 1, k)))).first()
+        return far / long
+
     def _against(self, x0) -> np.ndarray:
         """Y^T x0 in one pass; x0 is sent along (one number per state point,
         limited to ``MAX_STATE``)."""
@@ -119,7 +144,7 @@ class DmdcModel:
         are lifted in one distributed pass."""
         u = np.atleast_2d(np.asarray(u, float))
         m, b = self.modes_right.astype(complex), self.basis_right @ self.b_til
-        left = np.linalg.pinv(m.conj().T @ self.gram_y @ m, rcond=1e-12, hermitian=True) @ m.conj().T  # Phi^+ = left Y^T
+        left = self._left()
         z = self.eigs * (left @ self._against(x0))
         on_re, on_im, on_b = (left @ self.gram_y @ x for x in (m.real, m.imag, b))
         coef = []
@@ -137,9 +162,9 @@ class DmdcModel:
         return np.array([r["re"] for r in rows]) + 1j * np.array([r["im"] for r in rows])
 
     def est_a(self, limit: int = 5000) -> np.ndarray:
-        """Dense n_x x n_x operator; only for short states."""
+        """Dense n_x x n_x operator; only for short states, ``applied`` is for any."""
         if self.n_x > limit:
-            raise ValueError("the dense operator is too large; use the factors")
+            raise ValueError("the dense operator is too large; use applied()")
         phi = self._modes_local()
         return ((phi * self.eigs) @ np.linalg.pinv(phi)).real
 

@@ -110,6 +110,27 @@ def test_dmdc_and_pod(spark):
     near(api.PodI(spark, f, t, 20).predict(t[5])[:, 0], f[5], 1e-8)
 
 
+def test_dmdc_operator_on_long_states(spark):
+    from tallframe.operators import dmd
+
+    n, steps = 5200, []  # longer than the dense operator may be
+    p = np.stack([np.ones(n), np.cos(np.arange(n)), np.arange(n) % 7 / 7], axis=1)
+    a, b, z = np.array([[0.9, 0.1, 0.0], [-0.2, 0.8, 0.1], [0.0, 0.05, 0.95]]), np.array([0.5, 0.0, -0.25]), np.array([1.0, 0.0, -1.0])
+    for t in range(12):
+        u = float(np.sin(3 * t))
+        steps.append((t, (p @ z).tolist(), [u]))
+        z = a @ z + b * u
+    model = dmd.fit(spark.createDataFrame(steps, "t_idx int, state array<double>, control array<double>"), 4)
+    with pytest.raises(ValueError):
+        model.est_a()
+    x = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(p)], "row_id long, features array<double>")
+    near(src.to_numpy(model.applied(x)), p @ a, 1e-5)
+    big = np.argsort(-np.abs(model.eigs))[:3]
+    assert model.mode_residual(big) < 1e-6
+    assert model.mode_residual(np.argsort(-np.abs(model.eigs))[:1]) < 1e-6
+    near([model.eigs[big].sum().real, np.prod(model.eigs[big]).real], [2.65, 0.6985], 1e-5)
+
+
 def test_samples_dont_depend_on_partitions(spark):
     m = src.random_normal(spark, 40, 3, 7)
     near(src.to_numpy(m), src.to_numpy(src.random_normal(spark, 40, 3, 7).repartition(7)))
