@@ -252,3 +252,20 @@ def test_patched_interpolation(spark, monkeypatch):
         assert np.abs(out[500:] - want).max() < 0.02
     with pytest.raises(ValueError):
         interp.PatchedRbf(interp.cubic(), 3, 1).fit_frame(df)
+
+
+def test_patches_of_rows_in_order(spark, monkeypatch):
+    """More supports than the sample, in order of their place and far from the
+    origin: cells are cut from all of them, not from what stands first."""
+    from tallframe.operators import interp
+
+    monkeypatch.setattr(interp, "PATCH", 100)
+    monkeypatch.setattr(interp, "SAMPLE", 1000)
+    monkeypatch.setattr(interp, "MAX_SUPPORT", 1000)
+    df = spark.range(5000, numPartitions=4).selectExpr("id as row_id", "array(id / 1024D + 9000D) as features", "double(id * 7919 % 500) as y")
+    f = interp.PatchedRbf(interp.linear(), 1, 1).fit_frame(df)
+    q = spark.range(4999).selectExpr("id as row_id", "array(id / 1024D + 9000D + 1 / 2048D) as features")
+    at, between = ({r.row_id: r.x for r in f.predict(x).collect()} for x in (df, q))
+    y = np.arange(5000) * 7919 % 500
+    assert np.abs(np.array([at[i] for i in range(5000)]) - y).max() < 1e-7
+    assert np.abs(np.array([between[i] for i in range(4999)]) - (y[1:] + y[:-1]) / 2).max() < 1e-7
