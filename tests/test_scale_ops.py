@@ -269,3 +269,13 @@ def test_patches_of_rows_in_order(spark, monkeypatch):
     y = np.arange(5000) * 7919 % 500
     assert np.abs(np.array([at[i] for i in range(5000)]) - y).max() < 1e-7
     assert np.abs(np.array([between[i] for i in range(4999)]) - (y[1:] + y[:-1]) / 2).max() < 1e-7
+
+
+def test_shots_do_not_run_out_with_many_samples(spark):
+    """A fifth of the draws lies in the box: 40 shots of 50 are worth some 400 rows
+    a task, ten tasks of 3,000 rows ran out."""
+    from tallframe.operators import sampling
+
+    x = sampling.constrained_dirichlet(spark, [(0.0, 0.1), (0.0, 1.0), (0.0, 1.0)], 30_000, 40, 50, seed=1)
+    r = x.agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("ids"), F.max(F.col("features")[0]).alias("most"), F.countDistinct("features").alias("apart")).first()
+    assert r.n == r.ids == r.apart == 30_000 and r.most <= 0.1
