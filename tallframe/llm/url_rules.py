@@ -30,7 +30,8 @@ from .common import materialize
 #: least labelled URLs that a combination must occur in with its label: a share, and a number
 SUPPORT, LEAST = 0.001, 20
 CONFIDENCE = 0.8
-#: items of a labelled URL that are mined, those that say most about the label; FP-growth is exponential in them
+#: items of a labelled URL that FP-growth takes, which is exponential in them; where a URL has more, combinations
+#: are built level by level
 MINED = 12
 #: times that one task repeats a basket
 REPEAT = 10_000
@@ -87,46 +88,100 @@ def mine(
     have the items and the label), item (the rarest), from ``labelled(url, verdict)``; every row
     counts, repeated ones as often as they occur.
 
-    Items too rare for any rule go first.  Of the others each URL keeps its
-    ``mined`` items whose share of a label is farthest from the overall share,
-    in standard errors, so that no URL makes more than 2^mined combinations."""
-    from pyspark.ml.fpm import FPGrowth
-
+    Items too rare for any rule go first; all others count.  Where no URL has more
+    than ``mined`` of them, FP-growth gives every rule.  Else ``_by_levels`` gives
+    those that ``undominated`` can keep: the verdict of any URL is the same."""
     spark = labelled.sparkSession
     rows = labelled.where(F.col("url").isNotNull() & F.col("verdict").isNotNull()).groupBy("url", "verdict").count()
     rows = materialize(rows.join(described(labelled), "url").select("verdict", "items", "count"), "labelled")
-    total = rows.agg(F.sum("count"), F.sum(F.when(F.col("verdict") == "block", F.col("count")).otherwise(0))).first()
-    if not total[0]:
+    total = rows.agg(F.sum("count")).first()[0]
+    if not total:
         return spark.createDataFrame([], "rule_id long, items array<string>, verdict string, confidence double, support long, item string")
-    enough = max(least, support * total[0])
-    base = total[1] / total[0]
+    enough = max(least, support * total)
     each = rows.select(F.explode("items").alias("item"), "verdict", "count")
     stats = each.groupBy("item").agg(
         F.sum("count").alias("n"), F.sum(F.when(F.col("verdict") == "block", F.col("count")).otherwise(0)).alias("blocked")
     ).where(F.greatest("blocked", F.col("n") - F.col("blocked")) >= enough)
-    stats = stats.withColumn("weight", F.abs(F.col("blocked") / F.col("n") - base) * F.sqrt("n")).select("item", "n", "weight")
+    stats = stats.select("item", "n")
     stats = materialize(stats, "items")
     alike = rows.groupBy("items", "verdict").agg(F.sum("count").alias("count")).withColumn("set", F.xxhash64("items", "verdict"))
     held = alike.select("set", "verdict", "count", F.explode("items").alias("item")).join(stats, "item")
-    best = held.groupBy("set", "verdict", "count").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("weight")).alias("w"), "item"))), 1, mined).alias("best"))
-    baskets = best.select(F.array_sort(F.col("best.item")).alias("items"), "verdict", "count").groupBy("items", "verdict").agg(F.sum("count").alias("count"))
+    whole = held.groupBy("set", "verdict", "count").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    baskets = materialize(whole.groupBy("items", "verdict").agg(F.sum("count").alias("count")), "whole")
+    if (baskets.agg(F.max(F.size("items"))).first()[0] or 0) <= mined:
+        rules = _by_growth(baskets, enough, total, confidence)
+    else:
+        rules = _by_levels(baskets, enough, confidence)
+    # the index: each rule stands under its rarest item
+    rare = rules.select("*", F.explode("items").alias("item")).join(stats.select("item", "n"), "item").groupBy("items", "verdict", "confidence", "support").agg(
+        F.min(F.struct("n", "item")).alias("rarest")
+    )
+    name = F.xxhash64("items", "verdict").alias("rule_id")
+    return materialize(rare.select(name, "items", "verdict", "confidence", "support", F.col("rarest.item").alias("item")), "rules")
+
+
+def _by_growth(baskets: DataFrame, enough: float, total: int, confidence: float) -> DataFrame:
+    """(items, verdict, confidence, support) of all rules, by FP-growth."""
+    from pyspark.ml.fpm import FPGrowth
+
+    spark = baskets.sparkSession
     # a basket that occurs often is repeated as often: FP-growth counts rows
     baskets = materialize(baskets.select(F.concat("items", F.array(F.concat(F.lit(MARK), "verdict"))).alias("items"), "count"), "baskets")
     parts = baskets.select("items", "count", F.explode(F.expr(f"sequence(0L, (count - 1) div {REPEAT})")).alias("part")).repartition("items", "part")
     many = parts.select("items", F.explode(F.expr(f"sequence(1L, least({REPEAT}L, count - part * {REPEAT}L))")).alias("n")).select("items")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, enough / total[0]), minConfidence=confidence, numPartitions=parts).fit(many)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, enough / total), minConfidence=confidence, numPartitions=parts).fit(many)
     rules = model.associationRules.where(F.element_at("consequent", 1).startswith(MARK))
     rules = rules.select(
         F.array_sort("antecedent").alias("items"), F.substring(F.element_at("consequent", 1), len(MARK) + 1, 100).alias("verdict"),
-        "confidence", F.round(F.col("support") * total[0]).cast("long").alias("support"),
+        "confidence", F.round(F.col("support") * total).cast("long").alias("support"),
     ).where(F.col("support") >= enough)
-    # the index: each rule stands under its rarest item
-    rare = rules.select("*", F.explode("items").alias("item")).join(stats.select("item", "n"), "item").groupBy("items", "verdict", "confidence", "support").agg(
-        F.min(F.struct("n", "item")).alias("rarest")
-    )
-    name = F.xxhash64("items", "verdict").alias("rule_id")
-    return materialize(rare.select(name, "items", "verdict", "confidence", "support", F.col("rarest.item").alias("item")), "rules")
+    return rules
+
+
+def _by_levels(baskets: DataFrame, enough: float, confidence: float) -> DataFrame:
+    """(items, verdict, confidence, support) of all rules that none with an item
+    less makes needless, with baskets of any width.
+
+    Level by level, combinations that differ in their last item and meet in a
+    basket are joined and counted over all baskets.  Gone on with are those that
+    occur often enough with a label, with both labels, and less often than each of
+    their parts: any other says what a part of it says, and so does all that
+    contains it.  Only what a basket's combinations share is shuffled."""
+    blocked = F.sum(F.when(F.col("verdict") == "block", F.col("count")).otherwise(0)).alias("blocked")
+    sets = baskets.groupBy("items").agg(F.sum("count").alias("n"), blocked).select(F.monotonically_increasing_id().alias("set"), "items", "n", "blocked")
+    sets = materialize(sets, "sets")
+    often = F.greatest("blocked", F.col("n") - F.col("blocked")) >= enough
+    mixed = (F.col("blocked") > 0) & (F.col("blocked") < F.col("n"))
+    counted = [F.sum("n").alias("n"), F.sum("blocked").alias("blocked")]
+    met = sets.select("set", "n", "blocked", F.array().cast("array<string>").alias("head"), F.explode("items").alias("last"))
+    known, found = None, []
+    while True:
+        level = met.groupBy("head", "last").agg(*counted).where(often)
+        if known is not None:
+            level = level.withColumn("items", F.concat("head", F.array("last")))
+            parts = level.select("head", "last", "n", F.explode("items").alias("out"), "items")
+            parts = parts.withColumn("part", F.filter("items", lambda x: x != F.col("out"))).select("head", "last", "n", "part")
+            apart = parts.join(known, "part").where(F.col("n") < F.col("part_n")).groupBy("head", "last").count()
+            level = level.join(apart, ["head", "last"]).where(F.col("count") == F.size("items")).select("head", "last", "n", "blocked")
+        level = materialize(level, "level")
+        found.append(level)
+        on = level.where(mixed)
+        known = on.select(F.concat("head", F.array("last")).alias("part"), F.col("n").alias("part_n"))
+        held = materialize(met.join(on.select("head", "last"), ["head", "last"]), "held")
+        if held.isEmpty():
+            break
+        more = held.select("set", "head", F.col("last").alias("next"))
+        met = held.join(more, ["set", "head"]).where(F.col("last") < F.col("next")).select(
+            "set", "n", "blocked", F.concat("head", F.array("last")).alias("head"), F.col("next").alias("last")
+        )
+    out = None
+    for level in found:
+        out = level if out is None else out.unionByName(level)
+    each = out.select(F.concat("head", F.array("last")).alias("items"), "n", F.explode(F.array(
+        F.struct(F.lit("block").alias("verdict"), F.col("blocked").alias("support")), F.struct(F.lit("allow").alias("verdict"), (F.col("n") - F.col("blocked")).alias("support")),
+    )).alias("r")).select("items", "r.verdict", (F.col("r.support") / F.col("n")).alias("confidence"), F.col("r.support").alias("support"))
+    return each.where((F.col("support") >= enough) & (F.col("confidence") >= confidence))
 
 
 def undominated(rules: DataFrame) -> DataFrame:
