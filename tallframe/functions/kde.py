@@ -139,7 +139,7 @@ def likelihoods(support: DataFrame, test: DataFrame, widths: dict[int, np.ndarra
     """-sum of ln density of the test values for each width of each group, all
     in one pass: ``support(grp, s, w)``, ``test(grp, x)``, ``widths[grp]``.  Not
     ``weighted``, weights are shared out evenly.  A test value that no support
-    is near makes it infinite."""
+    is near makes it infinite; one counts ``m`` times, if there is that column."""
     spark = support.sparkSession
     rows, at = [], {}
     for grp, hs in widths.items():
@@ -150,8 +150,8 @@ def likelihoods(support: DataFrame, test: DataFrame, widths: dict[int, np.ndarra
     moments = _moments(_placed(support.join(table, "grp"), "s"))
     asked = _placed(test.where(F.col("x").isNotNull()).join(table, "grp"), "x")
     found = _polynomials(moments, asked.select("g", "bin").distinct(), LIKELY, False)
-    density = asked.join(found, ["g", "bin"], "left").select("g", (_value() / F.col("h")).alias("d"))
-    nll = density.groupBy("g").agg(F.sum(F.when(F.col("d") > 0, -F.log("d")).otherwise(F.lit(float("inf")))).alias("v"), F.count("*").alias("n"))
+    density = asked.join(found, ["g", "bin"], "left").select("g", (_value() / F.col("h")).alias("d"), (F.col("m") if "m" in test.columns else F.lit(1.0)).alias("m"))
+    nll = density.groupBy("g").agg(F.sum(F.when(F.col("d") > 0, -F.log("d") * F.col("m")).otherwise(F.lit(float("inf")))).alias("v"), F.sum("m").alias("n"))
     size = {r["grp"]: r["n"] for r in support.groupBy("grp").agg(F.sum("w").alias("n")).collect()} if not weighted else {}
     out = {grp: np.zeros(len(hs)) for grp, hs in widths.items()}
     for r in nll.collect():

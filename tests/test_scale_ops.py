@@ -294,3 +294,22 @@ def test_gradients_where_the_nearest_do_not_determine_them(spark, monkeypatch, s
     got = {r.row_id: r.features for r in active.gradients(df, 2, 24, 2).collect()}
     want = np.stack([x[:, 0] - x[:, 1] / 4, 1 - x[:, 0] / 4], axis=1)
     assert len(got) == len(x) and np.abs(np.array([got[i] for i in range(len(x))]) - want).max() < 1e-8
+
+
+def test_bandwidths_count_equal_values_together(spark, monkeypatch):
+    """Each pass of the bandwidths reads distinct values, and finds what all rows say."""
+    rows = spark.createDataFrame([(0, float(v)) for v in np.random.default_rng(6).integers(0, 40, 600)], "grp int, v double")
+    support, test = rows.select("grp", F.col("v").alias("s")), rows.limit(200).select("grp", (F.col("v") + 0.25).alias("x"))
+    seen, plain = [], kde.likelihoods
+
+    def watched(s, x, widths, weighted=False):
+        seen.append((s.count(), x.count()))
+        got = plain(s, x, widths, weighted)
+        if len(seen) == 1:
+            want = plain(support.withColumn("w", F.lit(1.0)), test, widths)
+            assert np.allclose(got[0], want[0], rtol=1e-12)
+        return got
+
+    monkeypatch.setattr(kde, "likelihoods", watched)
+    assert dist._bandwidths(support, test, [0], 1.0, 1)[0] > 0
+    assert all(a <= 40 and b <= 40 for a, b in seen)
