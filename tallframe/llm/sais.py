@@ -42,6 +42,8 @@ def _induce(t: np.ndarray, stype: np.ndarray, lms: np.ndarray, size: np.ndarray)
     lcount = np.bincount(t[~stype], minlength=k)
     seeds = np.bincount(t[lms], minlength=k)
     seed_at = np.concatenate([[0], np.cumsum(seeds)])
+    after_l, after_s = np.zeros(n, bool), np.zeros(n, bool)  # types of the suffixes one longer
+    after_l[1:], after_s[1:] = ~stype[:-1], stype[:-1]
 
     def put(j: np.ndarray, free: np.ndarray, sign: int) -> None:
         """Place suffixes j, in order, at the free ends of their buckets."""
@@ -50,8 +52,7 @@ def _induce(t: np.ndarray, stype: np.ndarray, lms: np.ndarray, size: np.ndarray)
         j, c = j[order], c[order]
         first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
         many = np.diff(np.append(first, len(c)))
-        at = np.arange(len(c)) - np.repeat(first, many)
-        sa[free[c] + sign * at] = j
+        sa[np.repeat(free[c[first]] - sign * first, many) + sign * np.arange(len(c))] = j
         free[c[first]] += sign * many
 
     free = starts.copy()  # next place for an L suffix
@@ -62,14 +63,12 @@ def _induce(t: np.ndarray, stype: np.ndarray, lms: np.ndarray, size: np.ndarray)
         while at < free[c]:
             block = sa[at : free[c]]
             at = free[c]
-            j = block[block > 0] - 1
-            j = j[~stype[j]]
+            j = block[after_l[block]] - 1
             if len(j):
                 put(j, free, 1)
         block = lms[seed_at[c] : seed_at[c + 1]]
         if len(block):
-            j = block[block > 0] - 1
-            j = j[~stype[j]]
+            j = block[after_l[block]] - 1
             if len(j):
                 put(j, free, 1)
     free = ends - 1  # next place for an S suffix, from the right
@@ -78,45 +77,50 @@ def _induce(t: np.ndarray, stype: np.ndarray, lms: np.ndarray, size: np.ndarray)
         while at > free[c]:
             block = sa[free[c] + 1 : at + 1][::-1]
             at = free[c]
-            j = block[block > 0] - 1
-            j = j[stype[j]]
+            j = block[after_s[block]] - 1
             if len(j):
                 put(j, free, -1)
         block = sa[starts[c] : starts[c] + lcount[c]][::-1]
-        j = block[block > 0] - 1
-        j = j[stype[j] & (t[j] < c)]
+        j = block[after_s[block]] - 1  # of smaller buckets, since the block's are L
         if len(j):
             put(j, free, -1)
     return sa
 
 
+def _sorted(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative keys and values in order of key and value, as one number each where that fits."""
+    bits = int(x.max()).bit_length()
+    if int(key.max()).bit_length() + bits > 63:
+        order = np.lexsort((x, key))
+        return key[order], x[order]
+    both = np.sort(key << bits | x)
+    return both >> bits, both & ((1 << bits) - 1)
+
+
 def _doubling(names: np.ndarray) -> np.ndarray:
     """Suffix array of a string over many names: ranks of the first 1, 2, 4, ...
     symbols, sorted again only where they tie."""
     n = len(names)
-    sa = np.argsort(names, kind="stable")
-    s = names[sa]
-    head = np.concatenate([[True], s[1:] != s[:-1]])
-    rank = np.empty(n, np.int64)
-    first = np.flatnonzero(head)
-    rank[sa] = np.repeat(first, np.diff(np.append(first, n)))
-    h = 1
-    while len(first) < n:
-        sizes = np.diff(np.append(first, n))
+    sa, rank = np.empty(n, np.int64), np.empty(n, np.int64)
+    where, x, key = np.arange(n), np.arange(n), np.zeros(n, np.int64)
+    bits = (int(names.max()) + 1).bit_length()
+    h = max(1, (63 - n.bit_length()) // bits)  # symbols that fit beside a position
+    for off in range(h):
+        key <<= bits
+        key[: max(n - off, 0)] |= names[off:].astype(np.int64) + 1
+    while True:
+        key, x = _sorted(key, x)
+        sa[where] = x
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(first, len(x)))
+        rank[x] = np.repeat(where[first], sizes)
         tied = np.repeat(sizes > 1, sizes)
-        where = np.flatnonzero(tied)
-        x = sa[where]
+        where, x = where[tied], x[tied]
+        if not len(x):
+            return sa
         after = np.where(x + h < n, rank[np.minimum(x + h, n - 1)] + 1, 0)
         key = rank[x] * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        x, key = x[order], key[order]
-        sa[where] = x
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        head[where] = new
-        first = np.flatnonzero(head)
-        rank[sa] = np.repeat(first, np.diff(np.append(first, n)))
         h *= 2
-    return sa
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -135,59 +139,76 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     if not len(lms):
         return _induce(t, stype, lms, size)
     sa = _induce(t, stype, lms[np.argsort(t[lms], kind="stable")], size)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    order = sa[is_lms[sa]]
-    # name: equal neighbours have equal lengths and symbols up to the next leftmost S
-    until = np.zeros(n, np.int64)
-    until[lms] = np.append(lms[1:], n - 1) - lms + 1
+    m = len(lms)
+    place = np.full(n, -1, np.int32)
+    place[lms] = np.arange(m)
+    order = place[sa]
+    order = order[order >= 0].astype(np.int64)
+    # name: equal neighbours have equal lengths and symbols up to the next leftmost S;
+    # as many symbols as fit are compared as one number
+    until = np.append(lms[1:], n - 1) - lms + 1
+    bits = top.bit_length()
+    held = 63 // bits
+    head, live = np.zeros(m, np.int64), np.arange(m)
+    for off in range(held):
+        live = live[until[live] > off]
+        head[live] |= (t[lms[live] + off].astype(np.int64) + 1) << bits * (held - 1 - off)
     a, b = order[:-1], order[1:]
-    same = until[a] == until[b]
-    live, off = np.flatnonzero(same), 0
+    x, y = head[order], until[order]
+    same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    off = held
+    live = np.flatnonzero(same & (y[1:] > off))
     while len(live):
-        differ = t[a[live] + off] != t[b[live] + off]
+        differ = t[lms[a[live]] + off] != t[lms[b[live]] + off]
         same[live[differ]] = False
         off += 1
         live = live[~differ]
         live = live[until[a[live]] > off]
     # the last one ends at the end of the string, like no other
-    last = lms[-1]
-    same &= (a != last) & (b != last)
-    names = np.empty(n, np.int64)
+    same &= (a != m - 1) & (b != m - 1)
+    names = np.empty(m, np.int64)
     names[order] = np.concatenate([[0], np.cumsum(~same)])
-    reduced = names[lms]
-    if int(reduced.max()) + 1 < len(lms):
-        lms_sorted = lms[suffix_array(reduced)]
-    else:
-        lms_sorted = order
+    lms_sorted = lms[suffix_array(names) if int(names.max()) + 1 < m else order]
     return _induce(t, stype, lms_sorted[np.argsort(t[lms_sorted], kind="stable")], size)
 
 
-def permuted_lcp(data: np.ndarray, sa: np.ndarray, room: np.ndarray, cap: int, step: int = 32) -> np.ndarray:
+def permuted_lcp(data: np.ndarray, sa: np.ndarray, room: np.ndarray, cap: int, step: int = 32, least: int = 1) -> np.ndarray:
     """For each position, the length it shares with the suffix before its own
-    in order, at most ``cap`` and ``room`` (bytes up to where matches end).
+    in order, at most ``cap`` and ``room`` (bytes up to where matches end); 0
+    where these leave less than ``least``.
 
-    Every ``step``-th position is compared from scratch, 8 bytes at a time; the
-    others start one below what the position before them shares.  ``data`` are
-    bytes (uint8)."""
+    Of a run of positions every ``step``-th is compared from scratch, 8 bytes at
+    a time; the others start one below what the position before them shares.
+    ``data`` are bytes (uint8)."""
     n = len(sa)
+    out = np.zeros(n, np.int64)
+    wide = (room >= least)[sa]
+    wide = np.flatnonzero(wide[1:] & wide[:-1])
     phi = np.full(n, -1, np.int64)
-    phi[sa[1:]] = sa[:-1]
+    phi[sa[wide + 1]] = sa[wide]
+    i = np.flatnonzero(phi >= 0)
+    if not len(i):
+        return out
+    phi = phi[i]
+    limit = np.minimum(cap, np.minimum(room[i], room[phi]))
     padded = np.concatenate([data, np.zeros(cap + 16, np.uint8)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
     words = np.ascontiguousarray(words).view("<u8")[:, 0]
-    out = np.zeros(n, np.int64)
-    limit = np.where(phi >= 0, np.minimum(cap, np.minimum(room, room[np.maximum(phi, 0)])), 0)
-    for r in range(step):
-        i = np.arange(r, n, step)
-        at = np.maximum(out[i - 1] - 1, 0) if r else np.zeros(len(i), np.int64)
-        live = np.flatnonzero(at < limit[i])
+    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1] + 1]))
+    turn = ((np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))) % step).astype(np.uint16)
+    order = np.argsort(turn, kind="stable")
+    shared = np.zeros(len(i), np.int64)
+    for r, k in enumerate(np.split(order, np.cumsum(np.bincount(turn))[:-1])):
+        x, y, most = i[k], phi[k], limit[k]
+        at = np.maximum(shared[k - 1] - 1, 0) if r else np.zeros(len(k), np.int64)
+        live = np.flatnonzero(at < most)
         while len(live):
-            x = words[i[live] + at[live]] ^ words[phi[i[live]] + at[live]]
-            whole = x == 0
-            low = x & (~x + np.uint64(1))
+            differ = words[x[live] + at[live]] ^ words[y[live] + at[live]]
+            whole = differ == 0
+            low = differ & (~differ + np.uint64(1))
             at[live] += np.where(whole, 8, np.bitwise_count(low - np.uint64(1)).astype(np.int64) >> 3)
             live = live[whole]
-            live = live[at[live] < limit[i[live]]]
-        out[i] = np.minimum(at, limit[i])
+            live = live[at[live] < most[live]]
+        shared[k] = np.minimum(at, most)
+    out[i] = shared
     return out

@@ -52,8 +52,8 @@ GRAM = 40
 BLOCK = 3_000_000
 #: times that an anchor may occur before its stretches are cut into single strings
 HOT = 20_000
-#: bytes that are looked at together when anchors are chosen
-CHUNK = 1 << 18
+#: bytes that are looked at together when anchors are chosen; their hashes stay in a core's cache
+CHUNK = 1 << 16
 _RND = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = np.random.default_rng(21).integers(1, 1 << 62, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POS = np.uint64((1 << 20) - 1)
@@ -63,13 +63,17 @@ def _gram_hashes(b: np.ndarray) -> np.ndarray:
     """Hash of the ``GRAM`` (40) bytes at each position, by doubling."""
     h = _RND[b]
     for n, width in enumerate((1, 2, 4, 8, 16)):
-        h = h[:-width] * _MUL[n] + h[width:]
+        left = h[:-width] * _MUL[n]
+        left += h[width:]
+        h = left
         if width == 4:
             eight = h
-    h = h[:-8] * _MUL[5] + eight[32 : 32 + len(h) - 8]
-    h ^= h >> np.uint64(29)
-    h *= _MUL[6]
-    return h ^ (h >> np.uint64(32))
+    left = h[:-8] * _MUL[5]
+    left += eight[32 : 32 + len(left)]
+    left ^= left >> np.uint64(29)
+    left *= _MUL[6]
+    left ^= left >> np.uint64(32)
+    return left
 
 
 def anchors(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +84,8 @@ def anchors(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     if len(data) < LENGTH:
         return (np.array([], np.int64),) * 3 + (np.array([], np.uint64),)
     h = _gram_hashes(data)
-    low = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)
+    low = h & ~_POS
+    low |= np.arange(len(h), dtype=np.uint64)
     width, want = 1, LENGTH - GRAM + 1
     while 2 * width <= want:
         low = np.minimum(low[:-width], low[width:])
@@ -88,16 +93,16 @@ def anchors(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     if width < want:
         low = np.minimum(low[: len(low) - (want - width)], low[want - width :])
     chosen = (low & _POS).astype(np.int64)
-    starts = np.arange(len(chosen))
-    part = np.repeat(np.arange(len(parts)), np.diff(np.concatenate([[0], ends])))[: len(chosen)]
-    ok = starts + LENGTH <= ends[part]
-    starts, chosen, part = starts[ok], chosen[ok], part[ok]
-    if not len(starts):
-        return (np.array([], np.int64),) * 3 + (np.array([], np.uint64),)
-    new = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (part[1:] != part[:-1])]))
-    last = np.append(new[1:] - 1, len(starts) - 1)
-    base = np.concatenate([[0], ends])[part[new]]
-    return part[new], starts[new] - base, starts[last] - base, h[chosen[new]]
+    # starts from which on an anchor owns, or a part begins; a part's last starts own nothing
+    new = np.concatenate([[True], chosen[1:] != chosen[:-1]])
+    begins = ends - np.array([len(p) for p in parts])
+    new[begins[begins < len(new)]] = True
+    new = np.flatnonzero(new)
+    part = np.searchsorted(ends, new, side="right")
+    last = np.minimum(np.append(new[1:], len(chosen)) - 1, ends[part] - LENGTH)
+    ok = new <= last
+    new, last, part = new[ok], last[ok], part[ok]
+    return part, new - begins[part], last - begins[part], h[chosen[new]]
 
 
 def _pieces(texts: list[bytes]):
@@ -145,38 +150,31 @@ class _Once:
         return out
 
 
-def repeated_starts(stretches: list[bytes], counts: np.ndarray) -> list[np.ndarray]:
-    """Starts (relative, all but the last ``LENGTH`` - 1 bytes own one) of each
-    stretch whose string occurs at another start too; ``counts`` say how often
-    a stretch itself occurs."""
+def repeated_runs(stretches: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of starts (relative, all but the last ``LENGTH`` - 1 bytes own one)
+    whose string occurs at another start too; ``counts`` say how often a stretch
+    itself occurs.  Returns the stretches that have any, the offsets of their
+    runs, and the runs as flat [first, last, first, last, ...]."""
     lengths = np.array([len(s) for s in stretches])
     data = np.frombuffer(b"\0".join(stretches) + b"\0", np.uint8)
     ends = np.cumsum(lengths + 1) - 1
     text = data.astype(np.uint16) + 1
     text[ends] = 0
-    owner = np.repeat(np.arange(len(stretches)), lengths + 1)
-    room = ends[owner] - np.arange(len(data))
+    room = np.repeat(ends, lengths + 1) - np.arange(len(data))
     sa = suffix_array(text)
-    lcp = permuted_lcp(data, sa, room, LENGTH)[sa]
-    # positions without LENGTH bytes left lie between longer ones only with a smaller lcp
-    own = room[sa] >= LENGTH
-    group = np.cumsum(lcp < LENGTH)
-    weight = np.bincount(group, np.where(own, counts[owner[sa]], 0))
-    hit = sa[own & (weight[group] >= 2)]
-    hit.sort()
-    begins = ends - lengths
-    cut = np.searchsorted(hit, begins)
-    return [hit[a:b] - s for a, b, s in zip(cut, np.append(cut[1:], len(hit)), begins)]
-
-
-def _runs(starts: np.ndarray) -> list[int]:
-    """Flat [first, last, first, last, ...] of runs of consecutive starts."""
-    if not len(starts):
-        return []
-    gap = np.flatnonzero(np.diff(starts) > 1)
-    first = starts[np.concatenate([[0], gap + 1])]
-    last = starts[np.concatenate([gap, [len(starts) - 1]])]
-    return np.stack([first, last], 1).ravel().tolist()
+    # positions without LENGTH bytes left lie between longer ones only with a smaller prefix in common
+    lcp = permuted_lcp(data, sa, room, LENGTH, least=LENGTH)
+    own = sa[(room >= LENGTH)[sa]]
+    group = np.cumsum(lcp[own] < LENGTH)
+    weight = np.bincount(group, counts[np.searchsorted(ends, own)])
+    hit = np.sort(own[weight[group] >= 2])
+    # stretches lie apart by the bytes that own no start
+    new = np.concatenate([[True], hit[1:] > hit[:-1] + 1])[: len(hit)]
+    first, last = hit[new], hit[np.append(new[1:], True)[: len(hit)]]
+    owner = np.searchsorted(ends, first)
+    runs = np.stack([first, last], 1) - (ends - lengths)[owner][:, None]
+    which, at = np.unique(owner, return_index=True)
+    return which, 2 * np.append(at, len(owner)), runs.ravel()
 
 
 def _maps(hashes: DataFrame) -> tuple[bytes, bytes | None]:
@@ -254,11 +252,10 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
         def out():
             keys = list(merged)
-            found = repeated_starts(keys, np.array(list(merged.values())))
-            some = [(hashlib.md5(k).digest(), _runs(f)) for k, f in zip(keys, found) if len(f)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in some], pa.binary()), pa.array([x[1] for x in some], pa.list_(pa.int32()))], ["digest", "runs"]
-            )
+            which, offsets, runs = repeated_runs(keys, np.array(list(merged.values())))
+            digests = pa.array([hashlib.md5(keys[i]).digest() for i in which.tolist()], pa.binary())
+            runs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(runs, pa.int32()))
+            return pa.RecordBatch.from_arrays([digests, runs], ["digest", "runs"])
 
         for batch in batches:
             h, stretch, n = (batch.column(i).to_pylist() for i in range(3))

@@ -204,6 +204,52 @@ def test_suffix_array_and_common_prefixes():
                 assert p[q] == m
 
 
+def test_op2_blocks_compare_only_where_a_string_fits(monkeypatch):
+    """The repeated starts of a block by brute force; bytes are compared only at the starts of whole strings (most
+    positions of a block have fewer bytes left), once for 32 of them and a few more."""
+    from tallframe.llm import sais, suffix
+
+    rng = np.random.default_rng(8)
+    common = [bytes(rng.integers(97, 123, 260, dtype=np.uint8)) for _ in range(30)]
+    stretches = []
+    for i in range(900):
+        left, right = (bytes(rng.integers(97, 123, int(rng.integers(0, 40)), dtype=np.uint8)) for _ in range(2))
+        stretches.append((left + common[i % 30] + right)[: int(rng.integers(200, 340))])
+    stretches = list(dict.fromkeys([*stretches, b"x" * 300, b"y" * 200, b"\0" * 210, b"only once" * 30 + b"!" * 200]))
+    counts = rng.integers(1, 3, len(stretches))
+    seen = Counter()
+    for s, n in zip(stretches, counts.tolist()):
+        for i in range(len(s) - 199):
+            seen[s[i : i + 200]] += n
+    want = {}
+    for k, s in enumerate(stretches):
+        starts = [i for i in range(len(s) - 199) if seen[s[i : i + 200]] > 1]
+        if starts:
+            want[k] = [x for i in starts for x in [i] * ((i - 1 not in starts) + (i + 1 not in starts))]
+    compared, count = [], np.bitwise_count
+    monkeypatch.setattr(sais.np, "bitwise_count", lambda x: compared.append(len(x)) or count(x))
+    which, offsets, runs = suffix.repeated_runs(stretches, counts)
+    assert {k: runs[a:b].tolist() for k, a, b in zip(which.tolist(), offsets, offsets[1:])} == want
+    fits = sum(len(s) - 199 for s in stretches)
+    assert fits < sum(map(len, stretches)) / 4
+    assert sum(compared) < 3 * fits
+    which, offsets, runs = suffix.repeated_runs([b"a" * 100 + b"b" * 100], np.array([1]))  # none
+    assert len(which) == len(runs) == 0 and offsets.tolist() == [0]
+
+
+def test_op2_names_longer_than_a_number_and_keys_too_wide_to_pack():
+    from tallframe.llm import sais
+
+    rng = np.random.default_rng(9)
+    for _ in range(100):
+        # long rises and falls: what lies between two leftmost S positions is longer than 7 or 15 symbols
+        t = np.concatenate([np.sort(rng.integers(0, 250, int(rng.integers(1, 40))))[:: int(rng.choice([1, -1]))] for _ in range(12)] * 2)
+        want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        assert sais.suffix_array(t).tolist() == want
+        assert sais.suffix_array(t + (1 << 14)).tolist() == want
+        assert sais.suffix_array(t + (1 << 60)).tolist() == want
+
+
 @pytest.mark.parametrize("split", [6000, 60])
 def test_op3_links(spark, monkeypatch, split):
     from tallframe.llm import embed_graph
